@@ -9,7 +9,7 @@ import tomllib
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-from fleetlens.functions.text import col, head, no_strings, split_lines, strip
+from fleetlens.functions.text import bind, col, head, no_strings, split_lines, strip
 
 _STRICT_JSON = {"allowSingleQuotes": "false"}
 _SECTIONS = "dependencies map<string,string>, devDependencies map<string,string>, main variant"
@@ -37,7 +37,9 @@ def go_mod_packages(c) -> Column:
     chunks = F.split(text, r"(?md)^require\s*\(.*$")
 
     def packages(chunk, i):
-        parts = F.split(chunk, r"(?md)^\)$", 2)
+        return bind(F.split(chunk, r"(?md)^\)$", 2), lambda parts: block_and_rest(chunk, i, parts))
+
+    def block_and_rest(chunk, i, parts):
         closed = F.size(parts) == 2
         inside = F.when(i > 0, head(parts)).otherwise("")
         outside = F.when(i == 0, chunk).when(closed, F.get(parts, F.lit(1))).otherwise("")
@@ -60,8 +62,8 @@ def cargo_packages(c) -> Column:
         F.split(s, "\n"), lambda l: F.regexp_extract(l, r"^([A-Za-z0-9_\-]+)\s*=", 1)))))
 
 
-def json_document(c) -> Column:
-    """``STRUCT<value STRING>`` of a valid JSON text, NULL for anything else.
+def is_json(c) -> Column:
+    """Whether the text is one valid JSON document.
 
     The reader accepts text after the document, so the text is parsed inside an object and
     inside an array; stray text breaks at least one of the two.
@@ -69,8 +71,7 @@ def json_document(c) -> Column:
     c = col(c)
     wrapped = F.from_json(F.concat(F.lit('{"r":'), c, F.lit("}")), "map<string,string>", _STRICT_JSON)
     listed = F.from_json(F.concat(F.lit("["), c, F.lit("]")), "array<string>", _STRICT_JSON)
-    return F.when(wrapped.isNotNull() & (F.size(listed) == 1),
-                  F.struct(F.element_at(wrapped, "r").alias("value")))
+    return wrapped.isNotNull() & F.coalesce(F.size(listed) == 1, F.lit(False))
 
 
 def package_json(c) -> Column:
@@ -80,29 +81,33 @@ def package_json(c) -> Column:
     an error of the whole repository.
     """
     c = col(c)
-    valid = json_document(c).isNotNull()
-    root = F.from_json(c, "map<string,string>", _STRICT_JSON)
-    typed = F.from_json(c, _SECTIONS, _STRICT_JSON)
-
-    def keys(section):
-        return F.when(typed[section].isNotNull(), F.array_distinct(F.map_keys(typed[section]))) \
-            .otherwise(no_strings())
-
-    def not_object(section):
-        return F.when(F.map_contains_key(root, section) & typed[section].isNull(),
-                      _attribute_error(F.element_at(root, section), "keys"))
-
-    main = F.when(F.schema_of_variant(typed["main"]) == "STRING",
-                  F.try_variant_get(typed["main"], "$", "string"))
-    ok = valid & root.isNotNull()
-    return F.struct(
-        F.when(ok, F.concat(keys("dependencies"), keys("devDependencies")))
-        .otherwise(no_strings()).alias("packages"),
-        F.when(ok, main).alias("main"),
-        F.when(valid & root.isNull(), _attribute_error(strip(c), "get")).alias("root_error"),
-        F.when(ok, F.coalesce(not_object("dependencies"), not_object("devDependencies")))
-        .alias("section_error"),
-    )
+    parsed = F.struct(
+        is_json(c).alias("valid"),
+        F.from_json(c, "map<string,string>", _STRICT_JSON).alias("root"),
+        F.from_json(c, _SECTIONS, _STRICT_JSON).alias("typed"))
+
+    def facts(p):
+        root, typed = p["root"], p["typed"]
+        ok = p["valid"] & root.isNotNull()
+
+        def keys(section):
+            return F.when(ok & typed[section].isNotNull(), F.array_distinct(F.map_keys(typed[section]))) \
+                .otherwise(no_strings())
+
+        def not_object(section):
+            return F.when(F.map_contains_key(root, section) & typed[section].isNull(),
+                          _attribute_error(F.element_at(root, section), "keys"))
+
+        main = F.when(F.schema_of_variant(typed["main"]) == "STRING",
+                      F.try_variant_get(typed["main"], "$", "string"))
+        return F.struct(
+            F.concat(keys("dependencies"), keys("devDependencies")).alias("packages"),
+            F.when(ok, main).alias("main"),
+            F.when(p["valid"] & root.isNull(), _attribute_error(strip(c), "get")).alias("root_error"),
+            F.when(ok, F.coalesce(not_object("dependencies"), not_object("devDependencies")))
+            .alias("section_error"))
+
+    return bind(parsed, facts)
 
 
 def _attribute_error(raw, attribute) -> Column:

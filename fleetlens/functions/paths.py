@@ -16,17 +16,20 @@ def posix(c) -> Column:
 
 
 def basename(c) -> Column:
-    return F.regexp_extract(posix(c), r"([^/]*)\z", 1)
+    return F.substring_index(posix(c), "/", -1)
 
 
 def dir_of(c) -> Column:
     """Directory part, ``""`` at the root."""
-    return F.regexp_extract(posix(c), r"(?s)^(.*)/[^/]*\z", 1)
+    return F.left(posix(c), F.length(col(c)) - F.length(basename(c)) - 1)
 
 
 def extension(c) -> Column:
     """Lower-cased extension without the dot; ``""`` for dot-files and names without one."""
-    return F.lower(F.regexp_extract(basename(c), r"(?s)^.+\.([^.]+)\z", 1))
+    name = basename(c)
+    suffix = F.substring_index(name, ".", -1)
+    # Something has to stand before the dot.
+    return F.when(F.length(name) - F.length(suffix) > 1, F.lower(suffix)).otherwise("")
 
 
 def rel_path(c) -> Column:
@@ -53,4 +56,4 @@ def join_path(directory, target) -> Column:
     full = F.when(absolute | (directory == ""), target).otherwise(F.concat_ws("/", directory, target))
     parts = F.filter(F.split(full, "/"), lambda p: ~p.isin("", "."))
     joined = F.concat(F.when(absolute, "/").otherwise(""), F.array_join(parts, "/"))
-    return F.when(joined == "", ".").otherwise(joined)
+    return F.coalesce(F.nullif(joined, F.lit("")), F.lit("."))

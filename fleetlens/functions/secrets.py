@@ -1,7 +1,5 @@
 """Secret scanning of single values: ``Column -> Column``."""
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
 from fleetlens import catalogs
@@ -47,7 +45,3 @@ def secret_file_pattern(path) -> Column:
 def redact(c) -> Column:
     c = col(c)
     return F.when(secret_value_pattern(c).isNotNull(), F.lit(catalogs.REDACTED)).otherwise(c)
-
-
-def any_secret(conditions) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

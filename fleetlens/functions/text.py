@@ -5,7 +5,8 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 # White space as Python's str.strip() sees it; Java's \s is ASCII only.
-_SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_SPACES = (" \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+           "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 _LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
@@ -14,14 +15,19 @@ def col(c) -> Column:
 
 
 def strip(c) -> Column:
-    return F.regexp_replace(col(c), f"^{_SPACE}+|{_SPACE}+\\z", "")
+    return F.btrim(col(c), F.lit(_SPACES))
+
+
+def bind(value, body) -> Column:
+    """``body(value)`` with the value computed once per row, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def split_lines(c) -> Column:
     """Lines without their terminators; a trailing terminator opens no extra line."""
-    parts = F.split(col(c), _LINE_BREAK)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)) \
-        .otherwise(parts)
+    return bind(F.split(col(c), _LINE_BREAK), lambda parts: F.when(
+        F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1))
+        .otherwise(parts))
 
 
 def strings(values) -> Column:

@@ -1,13 +1,14 @@
 """Repository records: assembling them from facts, reading them from JSON, checking limits."""
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens import catalogs, schemas
-from fleetlens.functions.text import no_strings
+from fleetlens.functions import paths
+from fleetlens.functions.text import head, literal_map, no_strings
 from fleetlens.operators import inventory
-from fleetlens.operators.dependencies import manifest_errors, parse_manifests
+from fleetlens.operators.dependencies import parse_manifests
+from fleetlens.operators.guide import RECORD_FIELDS
+from fleetlens.session import dimension
 from fleetlens.sources.files import dirs_of
 
 LIST_LIMITS = {
@@ -18,66 +19,112 @@ LIST_LIMITS = {
 }
 
 
-def _json_bytes(c) -> Column:
-    """Bytes of a string as a JSON literal, quotes included."""
-    return F.octet_length(F.to_json(F.array(c))) - 2
-
-
 # ---------------------------------------------------------------- records from file facts
 
-def _last_separators() -> Column:
-    """Every structure entry was given a separator; the last one of each list has none."""
-    return reduce(lambda a, b: a + b, [
-        F.coalesce(F.max(F.when(F.col("section") == s, 2)), F.lit(0))
-        for s in ("top_level_dirs", "entry_points")])
+_ENTRY_RANK = {name: i for i, name in enumerate(catalogs.ENTRY_POINTS)}
+_LABELLED = tuple(catalogs.IMPORTANT_FILES)
 
 
-def _items(files: DataFrame, parsed: DataFrame) -> DataFrame:
-    """All list entries of all records as one long table.
+def path_items(files: DataFrame) -> DataFrame:
+    """``(repo_id, section, key, n)``: every fact the paths hold, from a single scan.
 
-    ``section`` names the list, ``ord`` sorts inside it, ``weight`` counts entries and ``width``
-    is the bytes the entry takes inside the serialised structure.
+    One file yields a few small rows that are counted before the shuffle, so the exchange
+    carries one row per distinct fact and task whatever the size of a repository.
     """
-    def entry(df, section, order, value, label=None, weight=F.lit(1), width=None):
-        return df.select(
-            "repo_id", F.lit(section).alias("section"),
-            F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]).alias("ord"),
-            value.alias("values"),
-            (label if label is not None else F.lit(None).cast("string")).alias("label"),
-            weight.cast("long").alias("weight"),
-            F.array_max(F.transform(value, F.length)).alias("longest"),
-            (width if width is not None else F.lit(0)).cast("long").alias("width"))
-
-    def order(number=F.lit(0), text=F.lit("")):
-        return number.cast("long"), text.cast("string"), F.lit("")
-
-    path = F.col("path")
-    languages = inventory.language_counts(files)
-    important = inventory.important_files(files)
-    top = inventory.top_level_dirs(files)
-    entries = inventory.entry_points(files)
-    # One separator of two bytes stands between two entries.
-    parts = [
-        entry(languages, "languages", order(-F.col("n_files"), F.col("language")),
-              F.array("language")),
-        entry(important, "important_files", order(text=path), F.array("path"), F.col("label")),
-        entry(parsed, "dependencies", order(F.col("kind_rank"), F.col("source")),
-              F.col("packages"), weight=F.size("packages")),
-        entry(top, "top_level_dirs", order(text=F.col("dir")), F.array("dir"),
-              width=_json_bytes(F.col("dir")) + 2),
-        entry(entries, "entry_points",
-              (F.col("rank").cast("long"), F.col("manifest"), path), F.array("path"),
-              width=_json_bytes(path) + 2),
+    path, name = F.col("path"), F.col("name")
+    top = F.regexp_extract("path", r"(?s)^([^/]+)/", 1)
+    known = dimension(files.sparkSession, catalogs.LANGUAGES.items(), "extension, language")
+    facts = [
+        ("files", F.lit(True), F.lit("")),
+        ("languages", F.col("language").isNotNull(), F.col("language")),
+        ("important_files", name.isin(*_LABELLED), path),
+        ("top_level_dirs", top != "", top),
+        ("parents", top != "", paths.dir_of(path)),
+        ("entry_points", name.isin(*catalogs.ENTRY_POINTS), path),
+        ("names", name.isin(*inventory.MARKER_NAMES), name),
+        ("tests", inventory.looks_tested(path, name), F.lit("")),
     ]
-    return reduce(DataFrame.unionByName, parts)
+    rows = F.array(*[F.when(ok, F.struct(F.lit(section).alias("section"), key.alias("key")))
+                     for section, ok, key in facts])
+    return (
+        files.where(F.col("repo_id").isNotNull())
+        .select("repo_id", "path", F.lower(paths.basename("path")).alias("name"),
+                paths.extension("path").alias("extension"))
+        .join(F.broadcast(known), "extension", "left")
+        .select("repo_id", F.explode(rows).alias("r")).where(F.col("r").isNotNull())
+        .groupBy("repo_id", "r.section", "r.key").agg(F.count(F.lit(1)).alias("n")))
+
+
+def _content_items(files: DataFrame) -> DataFrame:
+    """``(repo_id, section, rank, key, values)`` from manifests and READMEs."""
+    parsed = parse_manifests(files)
+    main = paths.join_path(paths.dir_of("source"), F.col("main"))
+    failure = F.coalesce("root_error", "error")
+    # A package.json that is not an object is met before any other problem.
+    failure_rank = F.when(F.col("root_error").isNotNull(), 0).otherwise(F.col("kind_rank"))
+
+    def item(section, rank, values):
+        return F.struct(F.lit(section).alias("section"), rank.cast("int").alias("rank"),
+                        F.col("source").alias("key"), values.alias("values"))
+
+    rows = F.array(
+        item("dependencies", F.col("kind_rank"), F.col("packages")),
+        F.when(F.col("main") != "", item("mains", F.col("kind_rank"), F.array(main))),
+        F.when(failure.isNotNull(), item("errors", failure_rank, F.array(failure))))
+    manifests = (parsed.where(F.col("repo_id").isNotNull())
+                 .select("repo_id", F.explode(rows).alias("r")).where(F.col("r").isNotNull())
+                 .select("repo_id", "r.*"))
+    titles = inventory.pick_readme(files).where(F.col("repo_id").isNotNull()).select(
+        "repo_id", F.lit("title").alias("section"), F.lit(0).alias("rank"),
+        F.col("path").alias("key"), F.array(inventory.readme.readme_title("raw")).alias("values"))
+    return manifests.unionByName(titles)
+
+
+def _items(files: DataFrame) -> DataFrame:
+    """All facts of all repositories as one long table."""
+    from_paths = path_items(files).select(
+        "repo_id", "section", F.lit(0).alias("rank"), "key",
+        F.array("key").alias("values"), "n")
+    from_content = _content_items(files).select(
+        "repo_id", "section", "rank", "key", "values", F.lit(1).cast("long").alias("n"))
+    return from_paths.unionByName(from_content)
+
+
+def _count(section: str, amount=None) -> Column:
+    amount = F.lit(1) if amount is None else amount
+    return F.coalesce(F.sum(F.when(F.col("section") == section, amount)), F.lit(0)).cast("long")
+
+
+def _facts(items: DataFrame) -> DataFrame:
+    """Scalar facts and entry counts per repository; partial sums before the shuffle."""
+    def has(*names):
+        return F.bool_or((F.col("section") == "names") & F.col("key").isin(*names))
+
+    return items.groupBy("repo_id").agg(
+        _count("files", F.col("n")).alias("total_files"),
+        inventory.project_type(has).alias("type"),
+        F.bool_or(F.col("section") == "tests").alias("has_tests"),
+        has(*catalogs.CI_MARKERS).alias("has_ci"),
+        has(*catalogs.DOCKER_MARKERS).alias("has_docker"),
+        _count("important_files").alias("n_important_files"),
+        _count("dependencies", F.size("values")).alias("n_dependencies"),
+        F.sum(F.when(F.col("section").isin("top_level_dirs", "entry_points", "mains"),
+                     F.octet_length(head(F.col("values"))))).alias("width"),
+        _count("errors").alias("n_errors"))
+
+
+def _errors(files: DataFrame) -> DataFrame:
+    """The first problem of each repository that makes its whole analysis an error."""
+    first = F.min(F.struct("rank", "key", head(F.col("values")).alias("text")))["text"]
+    return (_content_items(files).where(F.col("section") == "errors").groupBy("repo_id")
+            .agg(F.concat(F.lit("Unexpected error during analysis: "), first).alias("error")))
 
 
 def repo_facts(files: DataFrame) -> DataFrame:
     """Scalar facts of every repository; ``status`` is ``error`` where a manifest breaks it."""
-    errors = manifest_errors(parse_manifests(files))
     dirs = dirs_of(files).groupBy("repo_id").agg(F.count(F.lit(1)).alias("total_dirs"))
-    return (inventory.structure_flags(files)
-            .join(dirs, "repo_id", "left").join(errors, "repo_id", "left")
+    return (_facts(_items(files)).join(dirs, "repo_id", "left")
+            .join(_errors(files), "repo_id", "left")
             .select("repo_id",
                     F.when(F.col("error").isNull(), "ok").otherwise("error").alias("status"), "error",
                     "total_files", F.coalesce("total_dirs", F.lit(0)).alias("total_dirs"),
@@ -87,84 +134,64 @@ def repo_facts(files: DataFrame) -> DataFrame:
 def assemble_analyses(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(analyses, rejected)`` from scanned files.
 
-    A record may hold a few hundred entries only, so the entries are counted first (partial
-    sums before the shuffle) and lists are built just for repositories within the limits.  The
-    others go to ``rejected(repo_id, reason)`` with their exact counts; no list is cut short.
+    A record may hold a few hundred entries only, so entries are counted first and lists are
+    built just for repositories that can be within the limits; the finished records are then
+    checked exactly.  The others go to ``rejected(repo_id, reason)``; no list is cut short.
     """
-    parsed = parse_manifests(files)
-    items = _items(files, parsed)
-    titles = inventory.pick_readme(files).select(
-        "repo_id", inventory.readme.readme_title("raw").alias("project_name"))
-    facts = repo_facts(files)
-
-    def total(section):
-        return F.coalesce(F.sum(F.when(F.col("section") == section, F.col("weight"))), F.lit(0))
-
-    sizes = items.groupBy("repo_id").agg(
-        *[total(s).alias(f"n_{s}") for s in ("languages", "important_files", "dependencies")],
-        (F.sum("width") - _last_separators()).alias("width"),
-        F.max(F.when(F.col("section").isin("languages", "important_files", "dependencies"),
-                     F.col("longest"))).alias("longest"))
-    # The constant part of the structure: its keys, punctuation, type name and flags.
-    structure_bytes = (
-        F.octet_length(F.lit('{"type": "", "has_tests": , "has_ci": , "has_docker": , '
-                             '"top_level_dirs": [], "entry_points": []}'))
-        + F.octet_length("type")
-        + reduce(lambda a, b: a + b, [F.when(F.col(f), 4).otherwise(5)
-                                      for f in ("has_tests", "has_ci", "has_docker")])
-        + F.coalesce("width", F.lit(0)))
-    checked = (
-        facts.join(sizes, "repo_id", "left").join(titles, "repo_id", "left")
-        .withColumn("structure_bytes", structure_bytes)
-        .withColumn("reason", F.coalesce(
-            F.col("error"),
-            *[_too_many(s, F.col(f"n_{s}"), LIST_LIMITS[s])
-              for s in ("languages", "important_files", "dependencies")],
-            F.when(F.greatest(F.col("longest"), F.length("project_name")) > catalogs.MAX_STRING,
-                   f"string exceeds {catalogs.MAX_STRING} characters"),
-            F.when(F.col("structure_bytes") > catalogs.MAX_STRUCTURE_BYTES, _STRUCTURE_TOO_BIG)))
-    )
-    good = checked.where(F.col("reason").isNull())
-    rejected = checked.where(F.col("reason").isNotNull()).select("repo_id", "reason")
-
-    def listed(section, value):
-        rows = F.array_sort(F.collect_list(
-            F.when(F.col("section") == section, F.struct("ord", "values", "label"))))
-        return value(rows)
-
-    def flat(rows):
-        return F.flatten(F.transform(rows, lambda r: r["values"]))
-
-    def described(rows):
-        return F.transform(rows, lambda r: F.struct(
-            r["values"][0].alias("path"), r["label"].alias("description"),
-            F.lit(True).alias("is_entry")))
-
-    def bare(rows):
-        return F.transform(flat(rows), lambda n: F.struct(
-            n.alias("name"), F.lit(None).cast("string").alias("version"),
-            F.lit(None).cast("string").alias("type"), F.lit(False).alias("is_entry")))
-
-    lists = (items.join(good.select("repo_id"), "repo_id", "left_semi").groupBy("repo_id").agg(
-        listed("languages", flat).alias("languages"),
-        listed("important_files", described).alias("important_files"),
-        listed("dependencies", bare).alias("dependencies"),
-        listed("top_level_dirs", flat).alias("top_level_dirs"),
-        listed("entry_points", flat).alias("entry_points")))
+    items = _items(files)
+    checked = _facts(items).withColumn("reason", F.coalesce(
+        *[_too_many(s, F.col(f"n_{s}"), LIST_LIMITS[s]) for s in ("important_files", "dependencies")],
+        # A package main may repeat a named entry point, so the sum is at most twice too high.
+        F.when(F.col("width") > 2 * catalogs.MAX_STRUCTURE_BYTES, F.lit(_STRUCTURE_TOO_BIG))))
+    sound = checked.where(F.col("n_errors") == 0)
+    records = limit_violations(_records(items, sound.where(F.col("reason").isNull())))
+    analyses = records.where(F.size("violations") == 0).drop("violations")
+    rejected = (_errors(files).withColumnRenamed("error", "reason")
+                .unionByName(sound.where(F.col("reason").isNotNull()).select("repo_id", "reason"))
+                .unionByName(records.where(F.size("violations") > 0)
+                             .select("repo_id", head(F.col("violations")).alias("reason"))))
+    return analyses, rejected
+
+
+_SCALARS = ("type", "has_tests", "has_ci", "has_docker")
+
+
+def _records(items: DataFrame, facts: DataFrame) -> DataFrame:
+    def listed(section, *order):
+        return F.sort_array(F.collect_list(F.when(
+            F.col("section") == section, F.struct(*order, F.col("values"))))).alias(section)
+
+    entry_rank = F.element_at(literal_map(_ENTRY_RANK), F.lower(paths.basename("key")))
+    # The scalars ride along as grouping columns, so `facts` is joined once.
+    lists = items.join(facts, "repo_id").groupBy("repo_id", *_SCALARS).agg(
+        listed("languages", (-F.col("n")).alias("o"), "key"),
+        listed("important_files", "key"),
+        listed("dependencies", "rank", "key"),
+        listed("top_level_dirs", "key"),
+        listed("entry_points", entry_rank.alias("o"), "key"),
+        listed("mains", "key"),
+        F.max(F.when(F.col("section") == "title", head(F.col("values")))).alias("project_name"))
+
+    def flat(section):
+        return F.flatten(F.transform(section, lambda r: r["values"]))
+
+    files = F.transform(flat("important_files"), lambda p: F.struct(
+        p.alias("path"),
+        F.element_at(literal_map(catalogs.IMPORTANT_FILES), F.lower(paths.basename(p)))
+        .alias("description"), F.lit(True).alias("is_entry")))
+    nothing = F.lit(None).cast("string")
+    dependencies = F.transform(flat("dependencies"), lambda n: F.struct(
+        n.alias("name"), nothing.alias("version"), nothing.alias("type"),
+        F.lit(False).alias("is_entry")))
+    entries = F.array_distinct(F.concat(flat("entry_points"), flat("mains")))
     structure = F.to_json(F.struct(
-        "type", "has_tests", "has_ci", "has_docker",
-        F.coalesce("top_level_dirs", no_strings()).alias("top_level_dirs"),
-        F.coalesce("entry_points", no_strings()).alias("entry_points")))
-    analyses = good.join(lists, "repo_id", "left").select(
+        *_SCALARS, flat("top_level_dirs").alias("top_level_dirs"),
+        entries.alias("entry_points")))
+    return lists.select(
         "repo_id", F.lit(1).alias("schema_version"), "project_name",
-        F.coalesce("languages", no_strings()).alias("languages"),
-        no_strings().alias("frameworks"),
-        F.coalesce("important_files", F.array().cast(f"array<{schemas.IMPORTANT_FILE}>"))
-        .alias("important_files"),
-        F.coalesce("dependencies", F.array().cast(f"array<{schemas.DEPENDENCY}>"))
-        .alias("dependencies"),
+        flat("languages").alias("languages"), no_strings().alias("frameworks"),
+        files.alias("important_files"), dependencies.alias("dependencies"),
         structure.alias("project_structure"))
-    return analyses, rejected
 
 
 def _too_many(section, n, limit) -> Column:
@@ -315,10 +342,6 @@ def validate_limits(analyses: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(ok, violations)``; the second has one row per broken limit."""
     checked = limit_violations(analyses)
     ok = checked.where(F.size("violations") == 0).drop("violations")
-    keys = [c for c in analyses.columns if c not in _RECORD_FIELDS]
+    keys = [c for c in analyses.columns if c not in RECORD_FIELDS]
     broken = checked.select(*keys, F.explode("violations").alias("violation"))
     return ok, broken
-
-
-_RECORD_FIELDS = {"schema_version", "project_name", "languages", "frameworks", "important_files",
-                  "dependencies", "project_structure"}

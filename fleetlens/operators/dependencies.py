@@ -5,13 +5,13 @@ from pyspark.sql import DataFrame, functions as F
 from fleetlens import catalogs
 from fleetlens.functions import manifests
 from fleetlens.functions.names import normalise_dep, purpose_by_convention
-from fleetlens.functions.text import no_strings
+from fleetlens.functions.text import no_strings, strip
 from fleetlens.session import dimension
 from fleetlens.sources.files import with_file_class
 
 
 def parse_manifests(files: DataFrame) -> DataFrame:
-    """``(repo_id, source, kind, kind_rank, packages, root_error, error)``, one row per manifest.
+    """``(repo_id, source, kind, kind_rank, packages, main, root_error, error)`` per manifest.
 
     One pass over the manifests; a manifest without packages keeps its row.
     """
@@ -34,6 +34,7 @@ def parse_manifests(files: DataFrame) -> DataFrame:
         "repo_id", "source", "kind", "kind_rank",
         F.coalesce("pip", "npm.packages", "toml.packages", "go", "cargo", no_strings())
         .alias("packages"),
+        strip(F.col("npm.main")).alias("main"),
         F.col("npm.root_error").alias("root_error"),
         F.coalesce("npm.section_error", "toml.error").alias("error"),
     )
@@ -45,21 +46,6 @@ def extract_dependencies(files: DataFrame) -> DataFrame:
         "repo_id", "source", "kind", F.posexplode_outer("packages").alias("pos", "package"))
 
 
-def manifest_errors(parsed: DataFrame) -> DataFrame:
-    """The first problem of each repository that makes its whole analysis an error.
-
-    A package.json whose root is not an object is met first, while entry points are read; the
-    others follow in manifest order.
-    """
-    return (parsed.where(F.col("root_error").isNotNull() | F.col("error").isNotNull())
-            .groupBy("repo_id")
-            .agg(F.min(F.struct(
-                F.when(F.col("root_error").isNotNull(), 0).otherwise(F.col("kind_rank")).alias("at"),
-                "source", F.coalesce("root_error", "error").alias("text"))).alias("first"))
-            .select("repo_id", F.concat(F.lit("Unexpected error during analysis: "),
-                                        F.col("first.text")).alias("error")))
-
-
 def dependency_purposes(deps: DataFrame, column: str = "package") -> DataFrame:
     """Add ``purpose``: by exact normalised name, by naming convention, or the sentinel."""
     purposes = dimension(deps.sparkSession, catalogs.PURPOSES.items(), "dep_key, known_purpose")

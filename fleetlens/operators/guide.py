@@ -15,6 +15,10 @@ from fleetlens.functions.text import (concat_all, head, literal_map, no_strings,
 from fleetlens.operators import signals
 
 
+RECORD_FIELDS = ("schema_version", "project_name", "languages", "frameworks", "important_files",
+                 "dependencies", "project_structure")
+
+
 def _text(*parts) -> Column:
     """Concatenation of literals and columns."""
     return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
@@ -430,9 +434,7 @@ def development_workflow() -> Column:
 
 def generate_onboarding(analyses: DataFrame) -> DataFrame:
     """One guide per record; columns outside the record are kept."""
-    record = {"schema_version", "project_name", "languages", "frameworks", "important_files",
-              "dependencies", "project_structure"}
-    keys = [c for c in analyses.columns if c not in record]
+    keys = [c for c in analyses.columns if c not in RECORD_FIELDS]
     return with_steps(with_signals(analyses)).select(
         *keys,
         overview().alias("project_overview"),

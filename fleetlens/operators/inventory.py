@@ -7,8 +7,8 @@ files sends a few partial rows per task, not its files.
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens import catalogs
-from fleetlens.functions import manifests, paths, readme
-from fleetlens.functions.text import strip
+from fleetlens.functions import paths, readme
+from fleetlens.operators.dependencies import parse_manifests
 from fleetlens.session import dimension
 from fleetlens.sources.files import dirs_of, prune_ignored, with_file_class
 
@@ -41,7 +41,7 @@ def top_level_dirs(files: DataFrame) -> DataFrame:
             .where(F.col("dir") != "").distinct())
 
 
-def _project_type(has) -> Column:
+def project_type(has) -> Column:
     node = (
         F.when(has("angular.json"), "Angular application")
         .when(has("next.config.js", "next.config.ts"), "Next.js application")
@@ -63,6 +63,19 @@ def _project_type(has) -> Column:
 
 _TEST_DIR = r"(?i)(?:^|/)(?:" + "|".join(catalogs.TEST_DIR_NAMES) + ")/"
 
+# Names that project_type, has_ci and has_docker look at.
+MARKER_NAMES = (
+    "pyproject.toml", "setup.py", "requirements.txt", "manage.py", "package.json", "angular.json",
+    "next.config.js", "next.config.ts", "vite.config.ts", "vite.config.js", "cargo.toml", "go.mod",
+    "pom.xml", "build.gradle", *catalogs.CI_MARKERS, *catalogs.DOCKER_MARKERS,
+)
+
+
+def looks_tested(path, name) -> Column:
+    """A file below a test directory or named like a test."""
+    return (path.rlike(_TEST_DIR) | F.startswith(name, F.lit("test_"))
+            | F.endswith(name, F.lit("_test.py")))
+
 
 def structure_flags(files: DataFrame, include_dot_github: bool = False) -> DataFrame:
     """``total_files``, ``type``, ``has_tests``, ``has_ci``, ``has_docker`` in one pass.
@@ -75,14 +88,13 @@ def structure_flags(files: DataFrame, include_dot_github: bool = False) -> DataF
     def has(*names):
         return F.bool_or(F.col("name").isin(*names))
 
-    tests = (F.col("path").rlike(_TEST_DIR) | F.startswith("name", F.lit("test_"))
-             | F.endswith("name", F.lit("_test.py")))
+    tests = looks_tested(F.col("path"), F.col("name"))
     ci = F.col("name").isin(*catalogs.CI_MARKERS)
     if include_dot_github:
         ci = ci | F.startswith("path", F.lit(".github/workflows/"))
     return files.groupBy("repo_id").agg(
         F.count(F.lit(1)).alias("total_files"),
-        _project_type(has).alias("type"),
+        project_type(has).alias("type"),
         F.bool_or(tests).alias("has_tests"),
         F.bool_or(ci).alias("has_ci"),
         has(*catalogs.DOCKER_MARKERS).alias("has_docker"),
@@ -98,13 +110,9 @@ def repo_totals(files: DataFrame) -> DataFrame:
 
 def package_mains(files: DataFrame) -> DataFrame:
     """``main`` of every package.json, resolved against its directory."""
-    main = strip(manifests.package_json("content")["main"])
-    return (with_file_class(files)
-            .where((F.col("file_class") == "manifest") & (F.col("name") == "package.json"))
-            .select("repo_id", F.col("path").alias("manifest"), main.alias("main"))
-            .where(F.col("main") != "")
-            .select("repo_id", "manifest",
-                    paths.join_path(paths.dir_of("manifest"), "main").alias("path")))
+    return (parse_manifests(files).where((F.col("kind") == "package.json") & (F.col("main") != ""))
+            .select("repo_id", F.col("source").alias("manifest"),
+                    paths.join_path(paths.dir_of("source"), "main").alias("path")))
 
 
 def entry_points(files: DataFrame) -> DataFrame:
@@ -136,13 +144,12 @@ def pick_readme(files: DataFrame) -> DataFrame:
 
 def readme_facts(files: DataFrame) -> DataFrame:
     """Path, title, description, excerpt and sections of the picked README."""
-    # The section rules read the tokens several times, so they get their own projection.
-    return (pick_readme(files).withColumn("tokens", readme.readme_tokens("raw"))
-            .select("repo_id", "path",
-                    readme.readme_title("raw").alias("title"),
-                    readme.readme_description("raw").alias("description"),
-                    readme.readme_excerpt("raw").alias("raw_excerpt"),
-                    readme.sections_of_tokens(F.col("tokens")).alias("sections")))
+    return pick_readme(files).select(
+        "repo_id", "path",
+        readme.readme_title("raw").alias("title"),
+        readme.readme_description("raw").alias("description"),
+        readme.readme_excerpt("raw").alias("raw_excerpt"),
+        readme.readme_sections("raw").alias("sections"))
 
 
 def readme_sections(files: DataFrame) -> DataFrame:
