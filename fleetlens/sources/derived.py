@@ -270,3 +270,26 @@ def urls_from_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 URLS_SQL = f"urls AS (SELECT page_id, {URL_TEXT} AS url FROM pages)".replace("{text}", "VARCHAR")
+
+
+# ---------------------------------------------------------------- model responses from part
+
+_ANSWER_REST = ('"setup_guide": ["s"], "development_workflow": ["w"], "starter_tasks": ["t"], '
+                '"data_completeness_notes": ["setup_guide: thin", "free text"]}')
+RESPONSE_JSON = (
+    f"CASE CAST({_K} % 4 AS INT) WHEN 0 THEN '{{\"project_overview\": \"o\", \"architecture\": \"a\", \"tech_stack\": "
+    f"[{{\"name\": ' || {_json_text(_pick(LANGS, _K))} || ', \"category\": null, \"role\": \"r\"}}, {{\"name\": \"GhostTech\", \"role\": \"r\"}}], "
+    f"\"important_files\": [{{\"path\": \"web/none.py\", \"purpose\": \"p\"}}, {{\"path\": \"ghost/x.py\", \"purpose\": \"p\"}}], "
+    f"\"dependencies\": [{{\"name\": ' || {_json_text(_pick(PIP, _K))} || ', \"purpose\": \"p\"}}, {{\"name\": \"ghost-lib\", \"purpose\": \"p\"}}], {_ANSWER_REST}' "
+    f"WHEN 1 THEN '{{\"project_overview\": \"o\", \"tech_stack\": [], \"important_files\": [], \"dependencies\": [], {_ANSWER_REST}' "
+    f"WHEN 2 THEN '{{bad' ELSE '{{\"project_overview\": \"p\", \"architecture\": \"b\", \"tech_stack\": [{{\"name\": \"Go\", \"role\": \"r\"}}], "
+    f"\"important_files\": [], \"dependencies\": [{{\"name\": \"React\"}}], {_ANSWER_REST}' END")
+
+
+def responses_from_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(part_id, response)``: what a model might have returned for each record."""
+    return _table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("part_id"), _spark(RESPONSE_JSON).alias("response"))
+
+
+RESPONSES_SQL = f"responses AS (SELECT p_partkey AS id, {RESPONSE_JSON} AS response FROM part)"
