@@ -422,7 +422,7 @@ rl AS (SELECT repo_id, i, ls[i] AS line FROM (SELECT repo_id, ls, unnest(range(1
 README_FACTS_SQL = f"""SELECT k.repo_id, path, title, description, substring(raw, 1, {c.EXCERPT_CHARS}) AS raw_excerpt
 FROM (SELECT repo_id, path, raw, CASE WHEN regexp_matches(raw, '(?m)^#\\s+(.+)$') THEN trim(regexp_extract(raw, '(?m)^#\\s+(.+)$', 1), chr(32) || chr(13)) END AS title FROM kept) k
 LEFT JOIN (
-  SELECT l.repo_id, string_agg(trim(line), ' ' ORDER BY i) AS description FROM rl l JOIN (
+  SELECT l.repo_id, string_agg(trim(line), ' ' ORDER BY l.i) AS description FROM rl l JOIN (
     SELECT s.repo_id, first_text, coalesce((SELECT min(x.i) FROM kinds_of x WHERE x.repo_id = s.repo_id AND x.kind = 'stop' AND x.i > first_text), 1000000) AS stop_at
     FROM (SELECT repo_id, min(i) AS first_text FROM kinds_of WHERE kind = 'text' GROUP BY 1) s) b
     ON b.repo_id = l.repo_id AND l.i >= first_text AND l.i < stop_at
@@ -450,7 +450,7 @@ README_SECTIONS_SQL = "SELECT repo_id, row_number() OVER (PARTITION BY repo_id O
 # ---------------------------------------------------------------- request log
 
 TTL = f"""distinct_ts AS (SELECT cache_key, ts, min(request_id) AS first_id FROM requests GROUP BY 1, 2),
-pointers AS (SELECT a.cache_key, a.ts, b.ts AS nxt FROM (SELECT *, ts + INTERVAL {c.CACHE_TTL_SECONDS} SECONDS AS expires FROM distinct_ts) a
+pointers AS MATERIALIZED (SELECT a.cache_key, a.ts, b.ts AS nxt FROM (SELECT *, ts + INTERVAL {c.CACHE_TTL_SECONDS} SECONDS AS expires FROM distinct_ts) a
   ASOF LEFT JOIN distinct_ts b ON a.cache_key = b.cache_key AND a.expires < b.ts),
 anchors AS (
   SELECT cache_key, min(ts) AS ts FROM distinct_ts GROUP BY 1
@@ -494,8 +494,8 @@ _V = lambda x: secret_case(x, c.SECRET_VALUES)
 _F = lambda x: secret_case(base(x), c.SECRET_FILES)
 REDACTIONS = f"""structure_leaves AS (
   SELECT id, row_number() OVER (PARTITION BY id ORDER BY o, i) AS n, leaf FROM (
-    SELECT id, 0 AS o, unnest(range(1, json_array_length(structure) + 1)) AS i, unnest(CAST(structure AS VARCHAR[])) AS leaf FROM rec WHERE json_type(structure) = 'ARRAY'
-    UNION ALL SELECT id, o, unnest(range(1, json_array_length(v) + 1)), unnest(CAST(v AS VARCHAR[])) FROM (
+    SELECT id, 0 AS o, unnest(range(1, CAST(json_array_length(structure) AS BIGINT) + 1)) AS i, unnest(CAST(structure AS VARCHAR[])) AS leaf FROM rec WHERE json_type(structure) = 'ARRAY'
+    UNION ALL SELECT id, o, unnest(range(1, CAST(json_array_length(v) AS BIGINT) + 1)), unnest(CAST(v AS VARCHAR[])) FROM (
       SELECT id, o, structure->(json_keys(structure)[o]) AS v FROM (SELECT id, structure, unnest(range(1, len(json_keys(structure)) + 1)) AS o FROM rec WHERE json_type(structure) = 'OBJECT')) WHERE json_type(v) = 'ARRAY'
     UNION ALL SELECT id, o, 0, v->>'$' FROM (
       SELECT id, o, structure->(json_keys(structure)[o]) AS v FROM (SELECT id, structure, unnest(range(1, len(json_keys(structure)) + 1)) AS o FROM rec WHERE json_type(structure) = 'OBJECT')) WHERE json_type(v) = 'VARCHAR')),

@@ -415,7 +415,11 @@ def merged_guides(spark, sf):
         F.col("architecture_diagram").alias("diagram"))
 
 
-@query(o.with_(*o.PARTS, "SELECT 0 AS id, 0 AS pos, '' AS failure WHERE false"))
+@query(o.with_(*o.PARTS, o.KNOWN, f"""SELECT id, pos, label || ' not in input: ' || {o.repr_('n')} AS failure FROM (
+    SELECT id, 'tech_stack name' AS label, unnest(list_concat(languages, frameworks)) AS n, 0 AS pos FROM rec
+    UNION ALL SELECT id, 'important_files path', unnest(list_transform(files, lambda f: f.path)), 0 FROM rec
+    UNION ALL SELECT id, 'dependency name', unnest(deps), 0 FROM rec)
+  WHERE (id, lower(n)) NOT IN (SELECT id, name FROM known)"""))
 def rule_based_grounding_failures(spark, sf):
     return fleet.audit_job(part_records(spark, sf), "id").select("id", long("pos"), "failure")
 
@@ -530,7 +534,8 @@ def _scratch(spark: SparkSession) -> str:
 
 def _event_stream(spark, sf) -> DataFrame:
     table = f"{sf}/events.parquet"
-    return d.as_requests(spark.readStream.schema(spark.read.parquet(table).schema).parquet(table))
+    # A pattern also stands for a table that is one file; a plain path has to be a folder.
+    return d.as_requests(spark.readStream.schema(spark.read.parquet(table).schema).parquet(f"{table}*"))
 
 
 def _drain(spark: SparkSession, stream: DataFrame) -> DataFrame:
