@@ -23,6 +23,16 @@ def bind(value, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def computed(df, **columns):
+    """Add columns that are computed exactly once per row.
+
+    A filter above a projection is moved below it together with copies of the expressions it
+    reads.  A generator of one row stops that, and costs next to nothing.
+    """
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def split_lines(c) -> Column:
     """Lines without their terminators; a trailing terminator opens no extra line."""
     return bind(F.split(col(c), _LINE_BREAK), lambda parts: F.when(

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens import catalogs, schemas
 from fleetlens.functions import paths
-from fleetlens.functions.text import head, literal_map, no_strings
+from fleetlens.functions.text import computed, head, literal_map, no_strings
 from fleetlens.operators import inventory
 from fleetlens.operators.dependencies import parse_manifests
 from fleetlens.operators.guide import RECORD_FIELDS
@@ -222,7 +222,7 @@ def parse_analyses(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     text = F.col(column)
     fields = F.from_json(text, schemas.ANALYSIS_INPUT, {"allowSingleQuotes": "false"})
     raw = F.from_json(text, "map<string,string>", {"allowSingleQuotes": "false"})
-    rows = df.withColumn("_f", fields).withColumn("_raw", raw)
+    rows = computed(df, _f=fields, _raw=raw)
 
     def variant(name):
         return F.col(f"_f.{name}")
@@ -279,7 +279,7 @@ def parse_analyses(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
                    & F.exists(members("project_structure"), lambda v: ~is_text(v)),
                    "project_structure: invalid"),
         ))
-    rows = rows.withColumn("reason", reason)
+    rows = computed(rows, reason=reason)
 
     def texts(name):
         return F.transform(members(name), lambda v: v.cast("string"))
@@ -328,8 +328,7 @@ def limit_violations(analyses: DataFrame) -> DataFrame:
         F.when(structure_bytes("project_structure") > catalogs.MAX_STRUCTURE_BYTES,
                F.lit(_STRUCTURE_TOO_BIG)),
     ]
-    return analyses.withColumn(
-        "violations", F.filter(F.array(*checks), lambda v: v.isNotNull()))
+    return computed(analyses, violations=F.filter(F.array(*checks), lambda v: v.isNotNull()))
 
 
 def structure_bytes(c) -> Column:

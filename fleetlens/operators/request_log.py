@@ -5,11 +5,11 @@ into blocks: windows run inside a block, one summary row per block is chained pe
 and the carried value is joined back.  The chained table grows with the time span only.
 """
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fleetlens import catalogs
 
@@ -95,8 +95,7 @@ _ANY = np.iinfo(np.int64).max
 
 def _jump_to_last(after: np.ndarray) -> np.ndarray:
     """Last index reached from each index by following ``after`` (its length marks the end)."""
-    here = np.arange(len(after))
-    jump = np.where(after < len(after), after, here)
+    jump = np.where(after < len(after), after, np.arange(len(after)))
     while True:
         further = jump[jump]
         if np.array_equal(further, jump):
@@ -104,10 +103,10 @@ def _jump_to_last(after: np.ndarray) -> np.ndarray:
         jump = further
 
 
-def _runs(upto: np.ndarray, leaves: np.ndarray) -> pd.DataFrame:
-    """One row per run of equal results."""
+def _runs(upto: np.ndarray, leaves: np.ndarray):
+    """One piece per run of equal results."""
     last = np.append(leaves[1:] != leaves[:-1], True)
-    return pd.DataFrame({"upto": upto[last], "leaves": leaves[last]})
+    return upto[last], leaves[last]
 
 
 def _follow(expiry, upto: np.ndarray, leaves: np.ndarray):
@@ -115,15 +114,83 @@ def _follow(expiry, upto: np.ndarray, leaves: np.ndarray):
     return np.where(at < len(upto), leaves[np.minimum(at, len(upto) - 1)], expiry)
 
 
-def _by_block(pdf: pd.DataFrame):
-    for block, rows in pdf.sort_values(["_block", "upto"]).groupby("_block", sort=True):
-        yield block, rows["upto"].to_numpy(), rows["leaves"].to_numpy()
+def _cuts(*columns: np.ndarray) -> np.ndarray:
+    """Start of every run of equal rows, and the length."""
+    new = np.ones(len(columns[0]), dtype=bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.append(np.flatnonzero(new), len(new))
+
+
+def _groups(batches: Iterator[pd.DataFrame], by: Sequence[str]) -> Iterator[dict[str, np.ndarray]]:
+    """Groups of consecutive rows with equal ``by``; a group may span batches."""
+    held = []
+
+    def joined():
+        frame = pd.concat(held) if len(held) > 1 else held[0]
+        return {c: frame[c].to_numpy() for c in frame.columns}
+
+    for batch in batches:
+        if batch.empty:
+            continue
+        cuts = _cuts(*[batch[c].to_numpy() for c in by])
+        for start, end in zip(cuts[:-1], cuts[1:]):
+            part = batch.iloc[start:end]
+            if held and any(held[-1][c].iloc[-1] != part[c].iloc[0] for c in by):
+                yield joined()
+                held = []
+            held.append(part)
+    if held:
+        yield joined()
+
+
+def _per_group(rows: DataFrame, by: Sequence[str], order: Sequence[str], schema: str, fn) -> DataFrame:
+    """``fn(group) -> columns`` for every group of ``by``, its rows in ``order``.
+
+    Groups are streamed through sorted partitions: most hold a handful of rows, for which a
+    Python call with its own frame per group would cost far more than the work.
+    """
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def run(batches):
+        out, size = [], 0
+        for group in _groups(batches, by):
+            columns = fn(group)
+            out.append(columns)
+            size += len(columns[-1])
+            if size >= 50_000:
+                yield frame(out)
+                out, size = [], 0
+        if out:
+            yield frame(out)
+
+    def frame(out):
+        return pd.DataFrame({n: np.concatenate([np.broadcast_to(c[i], np.shape(c[-1])) for c in out])
+                             for i, n in enumerate(names)})
+
+    return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, schema)
+
+
+def _blocks(group):
+    """``(block, upto, leaves)`` of each block of a group that is sorted by block and ``upto``."""
+    cuts = _cuts(group["block"])
+    for start, end in zip(cuts[:-1], cuts[1:]):
+        yield int(group["block"][start]), group["upto"][start:end], group["leaves"][start:end]
+
+
+def _entries(group, expiry: int):
+    """The expiry with which each block of the group is entered."""
+    blocks, entered = [], []
+    for block, upto, leaves in _blocks(group):
+        blocks.append(block)
+        entered.append(expiry)
+        expiry = int(_follow(np.int64(expiry), upto, leaves))
+    return group["key"][0], np.array(blocks, np.int64), np.array(entered, np.int64)
 
 
 def ttl_misses(requests: DataFrame, keys: Sequence[str] = ("cache_key",),
                ttl: int = catalogs.CACHE_TTL_SECONDS,
                block_seconds: int = HOUR, span_seconds: int = DAY) -> DataFrame:
-    """``(keys…, us, first_id)``: the requests that miss an anchored cache.
+    """``(keys…, us, request_id)``: the requests that miss an anchored cache.
 
     The first request of a key opens a window of ``ttl`` seconds; later ones inside it (the end
     included) are hits and do not extend it.  ``us`` is the time in microseconds.
@@ -133,107 +200,76 @@ def ttl_misses(requests: DataFrame, keys: Sequence[str] = ("cache_key",),
     expiry to exit expiry, chained over spans of blocks and then over the key, and walked with
     the entry that results.
     """
-    keys = list(keys)
-    width = ttl * 1_000_000
-    key_type = [requests.schema[k] for k in keys]
-    times = requests.select(*keys, F.unix_micros("ts").alias("us"), "request_id") \
-        .groupBy(*keys, "us").agg(F.min("request_id").alias("first_id")) \
-        .withColumn("_block", _block(F.col("us"), block_seconds))
-
-    in_block = Window.partitionBy(*keys, "_block").orderBy("us")
-    in_key = Window.partitionBy(*keys).orderBy("_block")
-    edges = times.groupBy(*keys, "_block").agg(F.min("us").alias("lo"), F.max("us").alias("hi")) \
-        .select(*keys, "_block", F.lag("hi").over(in_key).alias("_before"),
-                F.lead("lo").over(in_key).alias("_after"))
-    placed = (times.withColumn("_prev", F.lag("us").over(in_block))
-              .withColumn("_next", F.lead("us").over(in_block))
-              .join(edges, [*keys, "_block"]))
-    gap_before = F.col("us") - F.coalesce("_prev", "_before")
-    gap_after = F.coalesce("_next", "_after") - F.col("us")
-    alone = (F.coalesce(gap_before > width, F.lit(True))
-             & F.coalesce(gap_after > width, F.lit(True)))
-    placed = placed.withColumn("_alone", alone).select(*keys, "_block", "us", "first_id", "_alone")
-    lonely = placed.where("_alone").select(*keys, "us", "first_id")
-    crowded = placed.where(~F.col("_alone")).drop("_alone")
-
-    per = block_seconds * 1_000_000
-    pieces_schema = T.StructType([*key_type, T.StructField("_block", T.LongType()),
-                                  T.StructField("upto", T.LongType()),
-                                  T.StructField("leaves", T.LongType())])
-    entry_schema = T.StructType([*key_type, T.StructField("_block", T.LongType()),
-                                 T.StructField("entry", T.LongType())])
-
-    def labelled(group, frame, **extra):
-        for name, value in zip(keys, group):
-            frame[name] = value
-        for name, value in extra.items():
-            frame[name] = value
-        return frame
-
-    def block_function(group, pdf):
-        us = np.sort(pdf["us"].to_numpy())
+    keys, width, per = list(keys), ttl * 1_000_000, block_seconds * 1_000_000
+    times = requests.select(F.to_json(F.struct(*keys)).alias("key"), F.unix_micros("ts").alias("us"),
+                            "request_id") \
+        .groupBy("key", "us").agg(F.min("request_id").alias("request_id")) \
+        .withColumn("block", _block(F.col("us"), block_seconds))
+
+    in_block = Window.partitionBy("key", "block").orderBy("us")
+    in_key = Window.partitionBy("key").orderBy("block")
+    edges = times.groupBy("key", "block").agg(F.min("us").alias("lo"), F.max("us").alias("hi")) \
+        .select("key", "block", F.lag("hi").over(in_key).alias("before"),
+                F.lead("lo").over(in_key).alias("after"))
+    placed = (times.withColumn("prev", F.lag("us").over(in_block))
+              .withColumn("next", F.lead("us").over(in_block)).join(edges, ["key", "block"]))
+    gap_before = F.col("us") - F.coalesce("prev", "before")
+    gap_after = F.coalesce("next", "after") - F.col("us")
+    alone = (F.coalesce(gap_before > width, F.lit(True)) & F.coalesce(gap_after > width, F.lit(True)))
+    placed = placed.select("key", "block", "us", "request_id", alone.alias("alone"))
+    lonely = placed.where("alone").select("key", "us", "request_id")
+    crowded = placed.where(~F.col("alone")).drop("alone")
+
+    def block_function(group):
+        us, block = group["us"], int(group["block"][0])
         last = _jump_to_last(np.searchsorted(us, us + width, side="right"))
         # An entry expires inside the first ttl of the block, so later starts cannot be first.
-        reachable = np.searchsorted(us, group[-1] * per + width, side="left") + 1
-        frame = _runs(us[:reachable], (us[last] + width)[:reachable])
-        return labelled(group, frame, _block=group[-1])[pieces_schema.names]
+        reachable = np.searchsorted(us, block * per + width, side="left") + 1
+        return group["key"][0], block, *_runs(us[:reachable], (us[last] + width)[:reachable])
 
-    def span_function(group, pdf):
+    def span_function(group):
         upto = leaves = None
-        for _, u, l in _by_block(pdf):
+        for _, u, l in _blocks(group):
             if upto is None:
                 upto, leaves = u, l
                 continue
             if upto[-1] != _ANY:  # an expiry past the first block meets the next one at its start
                 upto, leaves = np.append(upto, _ANY), np.append(leaves, _UNSEEN)
             leaves = _follow(leaves, u, l)
-        return labelled(group, _runs(upto, leaves), _block=group[-1])[pieces_schema.names]
-
-    def entries(group, pdf, start, out):
-        expiry, rows = start, []
-        for block, u, l in _by_block(pdf):
-            rows.append((block, expiry))
-            expiry = int(_follow(np.int64(expiry), u, l))
-        frame = pd.DataFrame(rows, columns=["_block", out])
-        return labelled(group[:len(keys)], frame)
-
-    def span_entries(group, pdf):
-        return entries(group, pdf, _UNSEEN, "entry")[entry_schema.names]
-
-    def block_entries(group, pdf):
-        return entries(group, pdf, int(pdf["entry"].iloc[0]), "entered") \
-            .rename(columns={"entered": "entry"})[entry_schema.names]
-
-    def walk(group, pdf):
-        pdf = pdf.sort_values("us", ignore_index=True)
-        us = pdf["us"].to_numpy()
+        return group["key"][0], int(group["span"][0]), *_runs(upto, leaves)
+
+    def walk(group):
+        us = group["us"]
         after = np.searchsorted(us, us + width, side="right")
-        at, misses = int(np.searchsorted(us, pdf["entry"].iloc[0], side="right")), []
+        at, misses = int(np.searchsorted(us, group["entry"][0], side="right")), []
         while at < len(us):
             misses.append(at)
             at = int(after[at])
-        return pdf.loc[misses, [*keys, "us", "first_id"]]
-
-    span = F.floor(F.col("_block") * block_seconds / F.lit(span_seconds)).cast("long")
-    functions = crowded.groupBy(*keys, "_block").applyInPandas(block_function, pieces_schema) \
-        .withColumn("_span", span)
-    spans = functions.groupBy(*keys, "_span").applyInPandas(span_function, pieces_schema)
-    span_starts = spans.groupBy(*keys).applyInPandas(span_entries, entry_schema) \
-        .withColumnRenamed("_block", "_span")
-    block_starts = functions.join(span_starts, [*keys, "_span"]) \
-        .groupBy(*keys, "_span").applyInPandas(block_entries, entry_schema)
-    walked = crowded.join(block_starts, [*keys, "_block"]).groupBy(*keys, "_block") \
-        .applyInPandas(walk, lonely.schema)
-    return lonely.unionByName(walked)
+        return group["key"][0], us[misses], group["request_id"][misses]
+
+    pieces, starts = "key string, block long, upto long, leaves long", "key string, block long, entry long"
+    span = F.floor(F.col("block") * block_seconds / F.lit(span_seconds)).cast("long")
+    functions = _per_group(crowded, ["key", "block"], ["us"], pieces, block_function) \
+        .withColumn("span", span)
+    spans = _per_group(functions, ["key", "span"], ["block", "upto"], pieces, span_function)
+    span_starts = _per_group(spans, ["key"], ["block", "upto"], starts,
+                             lambda g: _entries(g, _UNSEEN)).withColumnRenamed("block", "span")
+    block_starts = _per_group(functions.join(span_starts, ["key", "span"]), ["key", "span"],
+                              ["block", "upto"], starts, lambda g: _entries(g, int(g["entry"][0])))
+    walked = _per_group(crowded.join(block_starts, ["key", "block"]), ["key", "block"], ["us"],
+                        "key string, us long, request_id long", walk)
+    key_type = ", ".join(f"{k} {requests.schema[k].dataType.simpleString()}" for k in keys)
+    return (lonely.unionByName(walked).withColumn("_key", F.from_json("key", key_type))
+            .select("_key.*", "us", "request_id"))
 
 
 def ttl_outcomes(requests: DataFrame, keys: Sequence[str] = ("cache_key",),
                  ttl: int = catalogs.CACHE_TTL_SECONDS) -> DataFrame:
     """Add ``outcome``: ``miss`` for the request that opens a cache window, else ``hit``."""
     keys = list(keys)
-    misses = ttl_misses(requests, keys, ttl).withColumnRenamed("first_id", "request_id")
+    misses = ttl_misses(requests, keys, ttl).withColumn("_miss", F.lit(True))
     marked = (requests.withColumn("us", F.unix_micros("ts"))
-              .join(misses.withColumn("_miss", F.lit(True)), [*keys, "us", "request_id"], "left"))
+              .join(misses, [*keys, "us", "request_id"], "left"))
     return marked.withColumn(
         "outcome", F.when(F.col("_miss"), "miss").otherwise("hit")).drop("us", "_miss")
 

@@ -3,8 +3,8 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens import catalogs
-from fleetlens.functions.secrets import redact, secret_file_pattern, secret_value_pattern
-from fleetlens.functions.text import col, concat_all, no_strings, safe_preview
+from fleetlens.functions.secrets import secret_file_pattern, secret_value_pattern
+from fleetlens.functions.text import computed, concat_all, no_strings, safe_preview
 
 
 def scan_secrets(df: DataFrame, column: str) -> DataFrame:
@@ -20,109 +20,128 @@ def scan_secret_files(files: DataFrame) -> DataFrame:
             .where(F.col("pattern").isNotNull()))
 
 
-def _event(condition, where, pattern) -> Column:
-    return F.when(condition, F.concat(where, F.lit(" matched "), pattern))
+def _found(column: str) -> Column:
+    """``ARRAY<STRUCT<value, pattern>>`` of a list of strings."""
+    return F.transform(column, lambda v: F.struct(
+        v.alias("value"), secret_value_pattern(v).alias("pattern")))
+
+
+def _found_files() -> Column:
+    return F.transform("important_files", lambda f: F.struct(
+        f.alias("entry"), secret_file_pattern(f["path"]).alias("by_name"),
+        secret_value_pattern(f["path"]).alias("by_value"),
+        secret_value_pattern(f["description"]).alias("described")))
+
+
+def _found_dependencies() -> Column:
+    return F.transform("dependencies", lambda d: F.struct(
+        d.alias("entry"), secret_value_pattern(d["name"]).alias("name"),
+        secret_value_pattern(d["version"]).alias("version")))
+
+
+def _event(where, pattern) -> Column:
+    """Notice of a redaction, NULL when ``pattern`` is."""
+    return F.concat(where, F.lit(" matched "), pattern)
 
 
 def _at(field: str, i: Column, tail: str = "") -> Column:
     return F.concat(F.lit(f"{field}["), i.cast("string"), F.lit(f"]{tail}"))
 
 
-def _string_events(field: str) -> Column:
-    return F.transform(field, lambda v, i: F.array(
-        _event(secret_value_pattern(v).isNotNull(), _at(field, i), secret_value_pattern(v))))
+def _file_events(f: Column, i: Column) -> Column:
+    named, field = f["by_name"].isNotNull(), "important_files"
+    path = F.when(f["entry"]["is_entry"], _at(field, i, ".path")) \
+        .when(named, _at(field, i, " path")).otherwise(_at(field, i))
+    return F.array(
+        _event(path, F.coalesce(f["by_name"], f["by_value"])),
+        F.when(~named, _event(_at(field, i, ".description"), f["described"])))
 
 
-def _file_event(f: Column, i: Column) -> Column:
-    by_name, by_value = secret_file_pattern(f["path"]), secret_value_pattern(f["path"])
-    entry, named = f["is_entry"], by_name.isNotNull()
-    field = "important_files"
-    path = F.when(entry, _at(field, i, ".path")).when(named, _at(field, i, " path")) \
-        .otherwise(_at(field, i))
-    description = secret_value_pattern(f["description"])
-    return F.array(
-        _event(F.coalesce(by_name, by_value).isNotNull(), path, F.coalesce(by_name, by_value)),
-        _event(~named & description.isNotNull(), _at(field, i, ".description"), description))
+def _dependency_events(d: Column, i: Column) -> Column:
+    name = F.when(d["entry"]["is_entry"], _at("dependencies", i, ".name")) \
+        .otherwise(_at("dependencies", i))
+    return F.array(_event(name, d["name"]), _event(_at("dependencies", i, ".version"), d["version"]))
 
 
-def _clean_file(f: Column) -> Column:
-    named = secret_file_pattern(f["path"]).isNotNull()
-    hidden = F.lit(catalogs.REDACTED)
-    return F.struct(
-        F.when(named, hidden).otherwise(redact(f["path"])).alias("path"),
-        F.when(named & f["is_entry"], hidden).otherwise(redact(f["description"])).alias("description"),
-        f["is_entry"].alias("is_entry"))
+def _hidden(value, condition) -> Column:
+    return F.when(condition, F.lit(catalogs.REDACTED)).otherwise(value)
 
 
-def _dependency_event(d: Column, i: Column) -> Column:
-    name, version = secret_value_pattern(d["name"]), secret_value_pattern(d["version"])
-    field = F.when(d["is_entry"], _at("dependencies", i, ".name")).otherwise(_at("dependencies", i))
-    return F.array(_event(name.isNotNull(), field, name),
-                   _event(version.isNotNull(), _at("dependencies", i, ".version"), version))
+def _clean_file(f: Column) -> Column:
+    entry, named = f["entry"], f["by_name"].isNotNull()
+    return F.struct(
+        _hidden(entry["path"], named | f["by_value"].isNotNull()).alias("path"),
+        _hidden(entry["description"], (named & entry["is_entry"]) | f["described"].isNotNull())
+        .alias("description"),
+        entry["is_entry"].alias("is_entry"))
 
 
 def _clean_dependency(d: Column) -> Column:
-    return F.struct(redact(d["name"]).alias("name"), redact(d["version"]).alias("version"),
-                    d["type"].alias("type"), d["is_entry"].alias("is_entry"))
+    entry = d["entry"]
+    return F.struct(_hidden(entry["name"], d["name"].isNotNull()).alias("name"),
+                    _hidden(entry["version"], d["version"].isNotNull()).alias("version"),
+                    entry["type"].alias("type"), entry["is_entry"].alias("is_entry"))
 
 
 # A JSON string literal, with the mark that follows it: a key is followed by a colon.
 _JSON_STRING = r'"((?:[^"\\]|\\.)*+)"(\s*:)?'
 
 
-def structure_strings(c) -> Column:
-    """``ARRAY<STRUCT<raw, text, is_key>>``: every string of a JSON text in document order."""
-    c = col(c)
-    raws = F.regexp_extract_all(c, F.lit(_JSON_STRING), F.lit(0))
-    return F.transform(raws, lambda r: F.struct(
-        r.alias("raw"),
-        F.get(F.from_json(F.concat(F.lit("["), F.regexp_replace(r, r":\z", ""), F.lit("]")),
-                          "array<string>"), F.lit(0)).alias("text"),
-        F.endswith(r, F.lit(":")).alias("is_key")))
+def _found_leaves(c: str) -> Column:
+    """``ARRAY<STRUCT<raw, event>>``: every string of a JSON text in document order.
 
+    A value is searched as text first, then as a file name; keys are left alone.
+    """
+    def leaf(raw):
+        is_key = F.endswith(raw, F.lit(":"))
+        text = F.get(F.from_json(F.concat(F.lit("["), raw, F.lit("]")), "array<string>"), F.lit(0))
+        event = F.coalesce(_event(F.lit("project_structure leaf"), secret_value_pattern(text)),
+                           _event(F.lit("project_structure filename"), secret_file_pattern(text)))
+        return F.struct(raw.alias("raw"), F.when(~is_key, event).alias("event"))
 
-def _leaf_secret(leaf: Column) -> Column:
-    """Secret found in a structure value: in its text first, then in its file name."""
-    return F.when(~leaf["is_key"], F.coalesce(
-        F.concat(F.lit("project_structure leaf matched "), secret_value_pattern(leaf["text"])),
-        F.concat(F.lit("project_structure filename matched "), secret_file_pattern(leaf["text"]))))
+    return F.transform(F.regexp_extract_all(F.col(c), F.lit(_JSON_STRING), F.lit(0)), leaf)
 
 
 def _clean_structure(c: str) -> Column:
     """The JSON text with every secret value replaced; keys stay."""
-    gaps = F.split(c, _JSON_STRING)
     shown = F.transform("_leaves", lambda l: F.when(
-        _leaf_secret(l).isNotNull(), F.lit(f'"{catalogs.REDACTED}"')).otherwise(l["raw"]))
-    woven = F.transform(F.arrays_zip(gaps.alias("gap"), shown.alias("leaf")),
+        l["event"].isNotNull(), F.lit(f'"{catalogs.REDACTED}"')).otherwise(l["raw"]))
+    woven = F.transform(F.arrays_zip(F.split(c, _JSON_STRING).alias("gap"), shown.alias("leaf")),
                         lambda z: F.concat(z["gap"], F.coalesce(z["leaf"], F.lit(""))))
-    return F.when(F.size("_leaves") > 0, F.array_join(woven, "")).otherwise(F.col(c))
+    secret = F.exists("_leaves", lambda l: l["event"].isNotNull())
+    return F.when(secret, F.array_join(woven, "")).otherwise(F.col(c))
 
 
 def sanitize(analyses: DataFrame) -> DataFrame:
     """Records with secrets replaced, plus ``redactions ARRAY<STRING>`` in field order.
 
-    Every list is rewritten in place: no explode, no shuffle.
+    Every list is searched once and rewritten in place: no shuffle.
     """
-    name = secret_value_pattern("project_name")
-    structure = "project_structure"
-    leaves = F.coalesce(structure_strings(structure), F.array().cast(
-        "array<struct<raw:string,text:string,is_key:boolean>>"))
+    rows = computed(
+        analyses, _name=secret_value_pattern("project_name"), _langs=_found("languages"),
+        _fws=_found("frameworks"), _files=_found_files(), _deps=_found_dependencies(),
+        _leaves=_found_leaves("project_structure"))
+
+    def string_events(found, field):
+        return F.transform(found, lambda v, i: _event(_at(field, i), v["pattern"]))
+
+    def clean_strings(found):
+        return F.transform(found, lambda v: _hidden(v["value"], v["pattern"].isNotNull()))
+
     events = concat_all(
-        F.array(_event(name.isNotNull(), F.lit("project_name"), name)),
-        F.flatten(_string_events("languages")), F.flatten(_string_events("frameworks")),
-        F.flatten(F.transform("important_files", _file_event)),
-        F.flatten(F.transform("dependencies", _dependency_event)),
-        F.transform("_leaves", _leaf_secret))
-    rows = analyses.withColumn("_leaves", leaves)
+        F.array(_event(F.lit("project_name"), F.col("_name"))),
+        string_events("_langs", "languages"), string_events("_fws", "frameworks"),
+        F.flatten(F.transform("_files", _file_events)),
+        F.flatten(F.transform("_deps", _dependency_events)),
+        F.coalesce(F.transform("_leaves", lambda l: l["event"]), no_strings()))
     others = [c for c in analyses.columns if c not in _CLEANED]
     return rows.select(
-        *others, redact("project_name").alias("project_name"),
-        F.transform("languages", redact).alias("languages"),
-        F.transform("frameworks", redact).alias("frameworks"),
-        F.transform("important_files", _clean_file).alias("important_files"),
-        F.transform("dependencies", _clean_dependency).alias("dependencies"),
-        _clean_structure(structure).alias(structure),
-        F.coalesce(F.filter(events, lambda e: e.isNotNull()), no_strings()).alias("redactions"))
+        *others, _hidden(F.col("project_name"), F.col("_name").isNotNull()).alias("project_name"),
+        clean_strings("_langs").alias("languages"), clean_strings("_fws").alias("frameworks"),
+        F.transform("_files", _clean_file).alias("important_files"),
+        F.transform("_deps", _clean_dependency).alias("dependencies"),
+        _clean_structure("project_structure").alias("project_structure"),
+        F.filter(events, lambda e: e.isNotNull()).alias("redactions"))
 
 
 _CLEANED = {"project_name", "languages", "frameworks", "important_files", "dependencies",
