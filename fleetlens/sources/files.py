@@ -16,11 +16,9 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
     bodies when the column is pruned.
     """
     raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root))
-    # The source reports percent-encoded locations.
-    location = F.expr("url_decode(replace(path, '+', '%2B'))")
-    base = root.rstrip("/").split("://", 1)[-1].lstrip("/")
-    base = base.removeprefix("file:").lstrip("/")
-    pattern = r"(?s)^(?:[a-z0-9+.-]+:)?/*" + _quote(base) + r"/([^/]+)/(.*)\z"
+    location = F.col("path")
+    base = root.rstrip("/").split("://", 1)[-1].removeprefix("file:").lstrip("/")
+    pattern = r"(?s)^(?:[a-z0-9+.-]+:)?/*\Q" + base + r"\E/([^/]+)/(.*)\z"
     return raw.select(
         F.regexp_extract(location, pattern, 1).alias("repo_id"),
         F.regexp_extract(location, pattern, 2).alias("path"),
@@ -29,10 +27,6 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
     ).where(F.col("repo_id") != "")
 
 
-def _quote(text: str) -> str:
-    return r"\Q" + text + r"\E"
-
-
 def prune_ignored(files: DataFrame) -> DataFrame:
     """Drop files below an ignored or dot directory; dot-files stay."""
     return files.where(~F.col("path").rlike(paths.IGNORED_ANCESTOR))
