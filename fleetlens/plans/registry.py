@@ -344,19 +344,20 @@ def section_provenance(spark, sf):
 
 @query(o.secrets_sql("documents", "doc_id", "text"))
 def document_secrets(spark, sf):
-    return sanitize.scan_secrets(
-        spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), "text")
+    return sanitize.scan_secrets(d.spread(
+        spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")), "text")
 
 
 @query(o.secrets_sql("pages", "page_id", "html"))
 def page_secrets(spark, sf):
-    return sanitize.scan_secrets(spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html"), "html")
+    return sanitize.scan_secrets(d.spread(
+        spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "html")), "html")
 
 
 @query(o.secrets_sql("conversations", "conv_id, turn", "text"))
 def conversation_secrets(spark, sf):
-    return sanitize.scan_secrets(
-        spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "text"), "text")
+    return sanitize.scan_secrets(d.spread(
+        spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "text")), "text")
 
 
 @query(o.with_(*o.PARTS, o.REDACTIONS, "SELECT * FROM redactions"))

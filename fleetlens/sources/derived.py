@@ -7,6 +7,8 @@ Every row of the source table is used.
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from fleetlens.functions.text import computed
+
 # ---------------------------------------------------------------- word lists
 
 DIRS = ("src", "tests", "docs", "node_modules/pkg", ".github/workflows", "backend", "frontend",
@@ -108,14 +110,26 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows over all cores.
+
+    A table of one row group is read by one task, and everything derived from it would stay
+    there.  A table with enough splits is left as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def _spark(sql: str):
     return F.expr(sql.replace("{text}", "STRING"))
 
 
 def files_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``files(repo_id, path, content, size)``: one repository per supplier."""
-    rows = _table(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").alias("repo_id"), _spark(FILE_PATH).alias("path"), "l_partkey")
+    source = spread(_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"))
+    # Filters on the path must not repeat the expression that builds it.
+    rows = computed(source, repo_id=F.col("l_suppkey"), path=_spark(FILE_PATH))
     unique = rows.groupBy("repo_id", "path").agg(F.min("l_partkey").alias("file_seed"))
     named = unique.withColumn("name", F.regexp_extract("path", "([^/]*)$", 1))
     content = _spark(FILE_CONTENT)
@@ -155,7 +169,8 @@ README_TEXT = "CASE CAST(doc_id % 6 AS INT) WHEN 0 THEN text {cases} END".format
 def readmes_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``files`` with one README per document, each in a repository of its own."""
     content = _spark(README_TEXT)
-    return _table(spark, sf_dir, "documents").select(
+    documents = spread(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return documents.select(
         F.col("doc_id").alias("repo_id"), _spark(README_PATH).alias("path"),
         content.alias("content"), F.octet_length(content).cast("long").alias("size"))
 
@@ -225,8 +240,8 @@ RECORD_JSON = (
 
 def record_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(part_id, source_text)``: one JSON record per part."""
-    return _table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("part_id"), _spark(RECORD_JSON).alias("source_text"))
+    parts = spread(_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size"))
+    return parts.select(F.col("p_partkey").alias("part_id"), _spark(RECORD_JSON).alias("source_text"))
 
 
 RECORDS_SQL = f"record_texts AS (SELECT p_partkey AS part_id, {RECORD_JSON} AS source_text FROM part)"
