@@ -40,16 +40,26 @@ def split_lines(c) -> Column:
         .otherwise(parts))
 
 
-def strings(values) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+def sql_literal(value) -> str:
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return str(value)
 
 
-def one_of(c, values) -> Column:
-    return col(c).isin(*values)
+# Constant tables are handed over as one SQL text each: built call by call, the literals of a
+# guide alone would take longer to plan than a small table takes to process.
+
+def strings(values) -> Column:
+    return F.expr(f"array({', '.join(map(sql_literal, values))})")
 
 
 def literal_map(mapping) -> Column:
-    return F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])
+    return F.expr(f"map({', '.join(sql_literal(x) for pair in mapping.items() for x in pair)})")
+
+
+def one_of(c, values) -> Column:
+    """Whether the column is one of a few constants."""
+    return F.array_contains(strings(values), col(c))
 
 
 def head(array) -> Column:
@@ -57,10 +67,6 @@ def head(array) -> Column:
     return F.get(array, F.lit(0))
 
 
-def non_empty(c) -> Column:
-    return F.when(col(c) != "", col(c))
-
-
 def some(condition, value) -> Column:
     """``[value]`` when the condition holds, ``[]`` otherwise or when the value is NULL."""
     value = value if isinstance(value, Column) else F.lit(value)
@@ -69,7 +75,7 @@ def some(condition, value) -> Column:
 
 
 def no_strings() -> Column:
-    return F.array().cast("array<string>")
+    return F.expr("cast(array() as array<string>)")
 
 
 def concat_all(*arrays) -> Column:

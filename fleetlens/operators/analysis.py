@@ -39,7 +39,6 @@ def path_items(files: DataFrame) -> DataFrame:
         ("languages", F.col("language").isNotNull(), F.col("language")),
         ("important_files", name.isin(*_LABELLED), path),
         ("top_level_dirs", top != "", top),
-        ("parents", top != "", paths.dir_of(path)),
         ("entry_points", name.isin(*catalogs.ENTRY_POINTS), path),
         ("names", name.isin(*inventory.MARKER_NAMES), name),
         ("tests", inventory.looks_tested(path, name), F.lit("")),
@@ -131,28 +130,41 @@ def repo_facts(files: DataFrame) -> DataFrame:
                     "type", "has_tests", "has_ci", "has_docker"))
 
 
-def assemble_analyses(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(analyses, rejected)`` from scanned files.
+def _checked(items: DataFrame) -> DataFrame:
+    """Facts with ``reason``, set where a list is too long to be collected."""
+    return _facts(items).withColumn("reason", F.coalesce(
+        *[_too_many(s, F.col(f"n_{s}"), LIST_LIMITS[s]) for s in ("important_files", "dependencies")],
+        # A package main may repeat a named entry point, so the sum is at most twice too high.
+        F.when(F.col("width") > 2 * catalogs.MAX_STRUCTURE_BYTES, F.lit(_STRUCTURE_TOO_BIG))))
+
+
+def _within_reach(files: DataFrame) -> DataFrame:
+    """Records of the repositories whose lists may be collected, with their ``violations``."""
+    items = _items(files)
+    sound = _checked(items).where((F.col("n_errors") == 0) & F.col("reason").isNull())
+    return limit_violations(_records(items, sound))
+
+
+def assemble_analyses(files: DataFrame) -> DataFrame:
+    """Records of scanned files.
 
     A record may hold a few hundred entries only, so entries are counted first and lists are
     built just for repositories that can be within the limits; the finished records are then
-    checked exactly.  The others go to ``rejected(repo_id, reason)``; no list is cut short.
+    checked exactly.  :func:`rejected_repositories` gives the others; no list is cut short.
     """
-    items = _items(files)
-    checked = _facts(items).withColumn("reason", F.coalesce(
-        *[_too_many(s, F.col(f"n_{s}"), LIST_LIMITS[s]) for s in ("important_files", "dependencies")],
-        # A package main may repeat a named entry point, so the sum is at most twice too high.
-        F.when(F.col("width") > 2 * catalogs.MAX_STRUCTURE_BYTES, F.lit(_STRUCTURE_TOO_BIG))))
-    sound = checked.where(F.col("n_errors") == 0)
-    records = limit_violations(_records(items, sound.where(F.col("reason").isNull())))
-    analyses = records.where(F.size("violations") == 0).drop("violations")
-    rejected = (_errors(files).withColumnRenamed("error", "reason")
-                .unionByName(sound.where(F.col("reason").isNotNull()).select("repo_id", "reason"))
-                .unionByName(records.where(F.size("violations") > 0)
-                             .select("repo_id", head(F.col("violations")).alias("reason"))))
-    return analyses, rejected
+    return _within_reach(files).where(F.size("violations") == 0).drop("violations")
+
+
+def rejected_repositories(files: DataFrame) -> DataFrame:
+    """``(repo_id, reason)`` of every repository that has no record."""
+    oversized = _checked(_items(files)).where((F.col("n_errors") == 0) & F.col("reason").isNotNull())
+    violating = _within_reach(files).where(F.size("violations") > 0)
+    return (_errors(files).withColumnRenamed("error", "reason")
+            .unionByName(oversized.select("repo_id", "reason"))
+            .unionByName(violating.select("repo_id", head(F.col("violations")).alias("reason"))))
 
 
+_SALTS = 32
 _SCALARS = ("type", "has_tests", "has_ci", "has_docker")
 
 
@@ -162,8 +174,13 @@ def _records(items: DataFrame, facts: DataFrame) -> DataFrame:
             F.col("section") == section, F.struct(*order, F.col("values"))))).alias(section)
 
     entry_rank = F.element_at(literal_map(_ENTRY_RANK), F.lower(paths.basename("key")))
+    # `facts` holds only repositories of bounded size.  The items of an oversized one, maybe a
+    # third of all, meet no partner; the salt drops them in many tasks instead of one.
+    salted = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    kept = items.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(_SALTS)).cast("int")) \
+        .join(salted, ["repo_id", "salt"])
     # The scalars ride along as grouping columns, so `facts` is joined once.
-    lists = items.join(facts, "repo_id").groupBy("repo_id", *_SCALARS).agg(
+    lists = kept.groupBy("repo_id", *_SCALARS).agg(
         listed("languages", (-F.col("n")).alias("o"), "key"),
         listed("important_files", "key"),
         listed("dependencies", "rank", "key"),

@@ -1,35 +1,41 @@
 """Declared dependencies of every manifest."""
 
-from pyspark.sql import DataFrame, functions as F
+from functools import cache
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens import catalogs
 from fleetlens.functions import manifests
 from fleetlens.functions.names import normalise_dep, purpose_by_convention
-from fleetlens.functions.text import no_strings, strip
+from fleetlens.functions.text import no_strings, strings, strip
 from fleetlens.session import dimension
 from fleetlens.sources.files import with_file_class
 
 
+def _only(kind: str) -> Column:
+    return F.when(F.col("kind") == kind, F.col("content"))
+
+
+@cache
+def _native_parsers() -> tuple[Column, ...]:
+    """Parsers that run in the JVM; the expressions hold no data and are built once."""
+    return (
+        F.array_position(strings(catalogs.MANIFESTS), F.col("kind")).cast("int").alias("kind_rank"),
+        manifests.requirements_packages(_only("requirements.txt")).alias("pip"),
+        F.when(F.col("kind") == "package.json", manifests.package_json("content")).alias("npm"),
+        manifests.go_mod_packages(_only("go.mod")).alias("go"),
+        manifests.cargo_packages(_only("cargo.toml")).alias("cargo"))
+
+
 def parse_manifests(files: DataFrame) -> DataFrame:
     """``(repo_id, source, kind, kind_rank, packages, main, root_error, error)`` per manifest.
 
     One pass over the manifests; a manifest without packages keeps its row.
     """
-    def only(kind):
-        return F.when(F.col("kind") == kind, F.col("content"))
-
     rows = (with_file_class(files).where(F.col("file_class") == "manifest")
             .select("repo_id", F.col("path").alias("source"), F.col("name").alias("kind"), "content"))
-    parsed = rows.select(
-        "repo_id", "source", "kind",
-        F.array_position(F.array(*[F.lit(m) for m in catalogs.MANIFESTS]), F.col("kind"))
-        .cast("int").alias("kind_rank"),
-        manifests.requirements_packages(only("requirements.txt")).alias("pip"),
-        F.when(F.col("kind") == "package.json", manifests.package_json("content")).alias("npm"),
-        manifests.pyproject_packages(only("pyproject.toml")).alias("toml"),
-        manifests.go_mod_packages(only("go.mod")).alias("go"),
-        manifests.cargo_packages(only("cargo.toml")).alias("cargo"),
-    )
+    parsed = rows.select("repo_id", "source", "kind", *_native_parsers(),
+                         manifests.pyproject_packages(_only("pyproject.toml")).alias("toml"))
     return parsed.select(
         "repo_id", "source", "kind", "kind_rank",
         F.coalesce("pip", "npm.packages", "toml.packages", "go", "cargo", no_strings())

@@ -1,16 +1,17 @@
 """The rule-based onboarding guide.
 
 A record is one row with bounded lists, so the whole guide is a chain of projections over it:
-no join, no shuffle, any number of repositories in parallel.
+no join, no shuffle, any number of repositories in parallel.  The parts name columns and hold no
+data, so each expression is built once per process.
 """
 
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens import catalogs
 from fleetlens.functions import names, paths
-from fleetlens.functions.text import (concat_all, head, literal_map, no_strings, py_repr, some,
+from fleetlens.functions.text import (concat_all, head, literal_map, no_strings, one_of, py_repr, some,
                                       strings)
 from fleetlens.operators import signals
 
@@ -29,7 +30,7 @@ def _missing(c) -> Column:
 
 
 def _named(files, *wanted) -> Column:
-    return F.filter(files, lambda f: f["name"].isin(*wanted))
+    return F.filter(files, lambda f: one_of(f["name"], wanted))
 
 
 def _requirements(f) -> Column:
@@ -42,10 +43,11 @@ def with_structure(analyses: DataFrame) -> DataFrame:
     """Add the parsed structure: ``_tree`` (object entries in order) or ``_listed`` (flat list)."""
     text = F.col("project_structure")
     return (analyses
-            .withColumn("_map", F.from_json(text, "map<string,variant>"))
-            .withColumn("_tree", F.map_entries("_map"))
-            .withColumn("_listed", F.when(F.startswith(F.ltrim(text), F.lit("[")),
-                                          F.from_json(text, "array<string>"))))
+            .withColumns({
+                "_map": F.from_json(text, "map<string,variant>"),
+                "_listed": F.when(F.startswith(F.ltrim(text), F.lit("[")),
+                                  F.from_json(text, "array<string>"))})
+            .withColumn("_tree", F.map_entries("_map")))
 
 
 def _list_of(v) -> Column:
@@ -82,7 +84,7 @@ def detected_files(analyses: DataFrame) -> DataFrame:
         return F.transform(items, lambda i: F.when(F.startswith(i, F.lit("/")), i)
                            .otherwise(F.concat(key, F.lit("/"), i)))
 
-    tree = F.filter(F.col("_tree"), lambda e: ~e["key"].isin(*catalogs.STRUCTURE_METADATA_KEYS))
+    tree = F.filter(F.col("_tree"), lambda e: ~one_of(e["key"], catalogs.STRUCTURE_METADATA_KEYS))
     candidates = concat_all(
         F.transform("important_files", lambda f: f["path"]),
         F.coalesce(F.flatten(F.transform(tree, leaves)), no_strings()),
@@ -102,28 +104,27 @@ def with_signals(analyses: DataFrame) -> DataFrame:
     shown = F.transform("detected", lambda p: F.struct(
         p.alias("path"), F.lower(paths.basename(p)).alias("name"), paths.dir_of(p).alias("dir"),
         paths.basename(p).alias("base")))
-    df = detected_files(with_structure(analyses)).withColumn("files", shown)
-    df = (df.withColumn("dep_names", dep_names)
-          .withColumn("dep_keys", F.transform("dep_names", names.normalise_dep))
-          .withColumn("langs", F.transform("languages", F.lower))
-          .withColumn("entries", F.when(F.size(reported) > 0, reported).otherwise(known_entries))
-          .withColumn("top_dirs", _list_of(_member("top_level_dirs")))
-          .withColumn("manifests", _named(F.col("files"), "package.json"))
-          .withColumn("locks", _named(F.col("files"), *catalogs.LOCKFILES))
-          .withColumn("signal_names", signals.signal_names(
-              F.col("frameworks"), F.col("dep_names"))))
+    df = detected_files(with_structure(analyses)).withColumns({
+        "files": shown, "dep_names": dep_names, "langs": F.transform("languages", F.lower),
+        "top_dirs": _list_of(_member("top_level_dirs"))})
+    df = df.withColumns({
+        "dep_keys": F.transform("dep_names", names.normalise_dep),
+        "entries": F.when(F.size(reported) > 0, reported).otherwise(known_entries),
+        "manifests": _named(F.col("files"), "package.json"),
+        "locks": _named(F.col("files"), *catalogs.LOCKFILES),
+        "signal_names": signals.signal_names(F.col("frameworks"), F.col("dep_names"))})
     # The package manager of a manifest is pinned by the first lock file of its own directory.
     pinned = F.transform("manifests", lambda m: F.struct(
         m["path"].alias("path"), m["dir"].alias("dir"),
         F.element_at(literal_map(catalogs.LOCKFILES),
                      head(F.filter("locks", lambda k: k["dir"] == m["dir"]))["name"]).alias("pm")))
-    return (df.withColumn("node", pinned)
-            .withColumn("entry", head(F.col("entries")))
+    return (df.withColumns({"node": pinned, "entry": head(F.col("entries"))})
             .withColumn("entry_dir", F.coalesce(paths.dir_of("entry"), F.lit(""))))
 
 
 # ---------------------------------------------------------------- guide parts
 
+@cache
 def overview_dirs() -> Column:
     """Top-level directories, by the shape of the structure."""
     def segments(raw):
@@ -144,6 +145,7 @@ def overview_dirs() -> Column:
         .otherwise(from_files))
 
 
+@cache
 def overview() -> Column:
     name, langs = F.col("project_name"), F.array_join("languages", ", ")
     has_name, has_langs = ~_missing(name), F.size("languages") > 0
@@ -166,6 +168,7 @@ def overview() -> Column:
                _text("Key dependencies include ", F.array_join("dep_names", ", "), ".")))
 
 
+@cache
 def tech_stack() -> Column:
     def items(column, category):
         return F.transform(column, lambda n: F.struct(
@@ -174,6 +177,7 @@ def tech_stack() -> Column:
     return F.concat(items("languages", "language"), items("frameworks", "framework"))
 
 
+@cache
 def file_explanations() -> Column:
     return F.transform("important_files", lambda f: F.struct(
         f["path"].alias("path"),
@@ -181,6 +185,7 @@ def file_explanations() -> Column:
         .alias("purpose")))
 
 
+@cache
 def dependency_explanations() -> Column:
     return F.transform("dep_names", lambda n: F.struct(
         n.alias("name"), names.dependency_purpose(n).alias("purpose")))
@@ -200,6 +205,7 @@ def python_install() -> Column:
                       editable("pyproject.toml"), editable("setup.py"))
 
 
+@cache
 def install_steps() -> Column:
     def fetch(name, command):
         found = head(_named(F.col("files"), name))
@@ -212,6 +218,7 @@ def install_steps() -> Column:
                       fetch("go.mod", "go mod download"), fetch("cargo.toml", "cargo fetch"))
 
 
+@cache
 def unresolved_step() -> Column:
     return _text(
         "Dependencies detected: ", F.array_join("dep_names", ", "), " — no dependency manifest "
@@ -219,12 +226,14 @@ def unresolved_step() -> Column:
         "was detected, so the install command was not determined.")
 
 
+@cache
 def install_gaps() -> Column:
     locks = " / ".join(sorted(catalogs.LOCKFILES))
     return F.transform(F.filter("node", lambda m: m["pm"].isNull()), lambda m: _text(
         "no lock file next to '", m["path"], f"' was detected ({locks}), so npm is assumed"))
 
 
+@cache
 def env_steps() -> Column:
     templates = F.transform(_named(F.col("files"), *catalogs.ENV_TEMPLATES), lambda f: _text(
         "cp ", f["path"], " ", F.when(f["dir"] != "", _text(f["dir"], "/.env")).otherwise(".env"),
@@ -234,12 +243,14 @@ def env_steps() -> Column:
     return F.concat(templates, configs)
 
 
+@cache
 def env_gaps() -> Column:
     return F.transform(_named(F.col("files"), *catalogs.ENV_TEMPLATES), lambda f: _text(
         "the variable names required by '", f["path"], "' were not detected "
         "(the analyzer reports the file, not its contents)"))
 
 
+@cache
 def start_command() -> Column:
     """``STRUCT<command, caveat>`` for the first entry point."""
     path = F.col("entry")
@@ -270,6 +281,7 @@ def start_command() -> Column:
     return F.struct(command.alias("command"), caveat.alias("caveat"))
 
 
+@cache
 def start_steps() -> Column:
     no_entry = F.col("entry").isNull()
     return F.concat(
@@ -282,11 +294,13 @@ def _frontends() -> Column:
     return F.filter("node", lambda m: m["dir"] != F.col("entry_dir"))
 
 
+@cache
 def frontend_steps() -> Column:
     return F.transform(_frontends(), lambda m: paths.run_in(
         m["dir"], _text(F.coalesce(m["pm"], F.lit("npm")), " run dev")))
 
 
+@cache
 def frontend_gaps() -> Column:
     return F.transform(_frontends(), lambda m: _text(
         "the 'dev' script in '", m["path"], "' was not detected (the analyzer reads dependencies, "
@@ -294,12 +308,14 @@ def frontend_gaps() -> Column:
         paths.run_in(m["dir"], _text(F.coalesce(m["pm"], F.lit("npm")), " run")), "'"))
 
 
+@cache
 def docker_steps() -> Column:
     return some(F.size(_named(F.col("files"), *catalogs.CONTAINER_FILES)) > 0, _text(
         "docker build -t ", names.docker_slug("project_name"),
         " .  # Dockerfile detected at the repository root"))
 
 
+@cache
 def test_step() -> Column:
     """Test command, NULL when the record shows no tests."""
     def looks_like_test(f):
@@ -323,6 +339,7 @@ def test_step() -> Column:
     return F.when(has_tests, command)
 
 
+@cache
 def ci_and_runner_steps() -> Column:
     runners = F.transform(_named(F.col("files"), *catalogs.TASK_RUNNERS), lambda f: _text(
         paths.run_in(f["dir"], f["base"]), " <target>  # the available targets in '", f["path"],
@@ -332,12 +349,12 @@ def ci_and_runner_steps() -> Column:
         "pipeline the repository uses before opening a pull request.")), runners)
 
 
+@cache
 def starter_tasks() -> Column:
     files, top = F.col("files"), F.col("top_dirs")
     has_top = F.coalesce(F.size(top) > 0, F.lit(False))
     manifests = F.transform(
-        F.filter(files, lambda f: f["name"].isin("package.json", "pyproject.toml", "go.mod",
-                                                 "cargo.toml") | _requirements(f)),
+        F.filter(files, lambda f: one_of(f["name"], catalogs.MANIFESTS) | _requirements(f)),
         lambda f: py_repr(f["path"]))
     read = F.when(F.size("important_files") > 0, _text(
         "Read the ", F.size("important_files").cast("string"),
@@ -369,12 +386,14 @@ def starter_tasks() -> Column:
     return F.array(read, follow, trace, prove, change)
 
 
+@cache
 def architecture_diagram() -> Column:
     """Diagram from the ``tier_*`` and ``services`` columns."""
     return signals.diagram(F.col("tier_frontend"), F.col("tier_backend"), F.col("tier_database"),
                            F.col("services"))
 
 
+@cache
 def completeness_notes() -> Column:
     def note(condition, text):
         return some(condition, text)
@@ -392,36 +411,38 @@ def completeness_notes() -> Column:
 
 def with_steps(signalled: DataFrame) -> DataFrame:
     """Guide parts shared by the setup guide, the workflow and the notes."""
-    df = (signalled.withColumn("start", F.when(F.col("entry").isNotNull(), start_command()))
-          .withColumn("install_found", install_steps())
-          .withColumn("install", F.when(F.size("install_found") > 0, F.col("install_found"))
-                      .otherwise(some(F.size("dep_names") > 0, unresolved_step())))
-          .withColumn("install_gap", install_gaps())
-          .withColumn("env", env_steps()).withColumn("env_gap", env_gaps())
-          .withColumn("start_step", start_steps())
-          .withColumn("start_gap", some(F.col("start.caveat").isNotNull(), F.col("start.caveat")))
-          .withColumn("front", frontend_steps()).withColumn("front_gap", frontend_gaps())
-          .withColumn("docker", docker_steps()).withColumn("test", test_step())
-          .withColumn("top_overview", overview_dirs())
-          .withColumn("services", signals.services(F.col("signal_names")))
-          .withColumns({f"tier_{t}": signals.tier_present(F.col("signal_names"), t)
-                        for t in signals.TIERS}))
+    df = signalled.withColumns({
+        "start": F.when(F.col("entry").isNotNull(), start_command()),
+        "install_found": install_steps(), "install_gap": install_gaps(),
+        "env": env_steps(), "env_gap": env_gaps(),
+        "front": frontend_steps(), "front_gap": frontend_gaps(),
+        "docker": docker_steps(), "test": test_step(), "top_overview": overview_dirs(),
+        "services": signals.services(F.col("signal_names")),
+        **{f"tier_{t}": signals.tier_present(F.col("signal_names"), t) for t in signals.TIERS}})
+    df = df.withColumns({
+        "install": F.when(F.size("install_found") > 0, F.col("install_found"))
+        .otherwise(some(F.size("dep_names") > 0, unresolved_step())),
+        "start_step": start_steps(),
+        "start_gap": some(F.col("start.caveat").isNotNull(), F.col("start.caveat"))})
     # A lone "not detected" start statement says nothing when no step precedes it.
     lone = (F.col("start_step") == F.array(F.lit(catalogs.NO_ENTRY_POINT))) \
         & (F.size("install") == 0) & (F.size("env") == 0)
     steps = concat_all(F.col("install"), F.col("env"),
                        F.when(lone, no_strings()).otherwise(F.col("start_step")),
                        F.col("front"), F.col("docker"))
-    return (df.withColumn("setup_found", steps)
-            .withColumn("setup_gaps", concat_all(
-                F.col("install_gap"), F.col("env_gap"), F.col("start_gap"), F.col("front_gap"))))
+    return df.withColumns({
+        "setup_found": steps,
+        "setup_gaps": concat_all(F.col("install_gap"), F.col("env_gap"), F.col("start_gap"),
+                                 F.col("front_gap"))})
 
 
+@cache
 def setup_guide() -> Column:
     return F.when(F.size("setup_found") > 0, F.col("setup_found")) \
         .otherwise(F.array(F.lit(catalogs.NOT_DETECTED)))
 
 
+@cache
 def development_workflow() -> Column:
     gaps = F.array_distinct(concat_all(
         F.col("start_gap"), F.col("front_gap"), F.col("install_gap"), F.col("env_gap")))

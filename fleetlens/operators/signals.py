@@ -5,7 +5,7 @@ import re
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens import catalogs
-from fleetlens.functions.text import col, strings
+from fleetlens.functions.text import col, literal_map, sql_literal, strings
 
 TIERS = {
     "frontend": catalogs.FRONTEND_SIGNALS,
@@ -48,7 +48,8 @@ def architecture_signals(names: DataFrame, column: str = "name", exact: bool = F
     name = F.lower(col(column))
     every = [(t, s) for t, signals in {**TIERS, "external": catalogs.SERVICE_SIGNALS}.items()
              for s in signals]
-    table = F.array(*[F.struct(F.lit(t).alias("tier"), F.lit(s).alias("signal")) for t, s in every])
+    table = F.expr("array({})".format(", ".join(
+        f"named_struct('tier', {sql_literal(t)}, 'signal', {sql_literal(s)})" for t, s in every)))
     found = F.filter(table, lambda e: (name == e["signal"]) if exact
                      else F.contains(name, e["signal"]))
     return (names.withColumn("_hit", F.explode(found))
@@ -79,13 +80,11 @@ def architecture_edges(summary: DataFrame) -> DataFrame:
 
 
 def service_node(signal: Column) -> Column:
-    ids = F.create_map(*[F.lit(x) for s in catalogs.SERVICE_SIGNALS for x in (s, _node_id(s))])
-    return F.element_at(ids, signal)
+    return F.element_at(literal_map({s: _node_id(s) for s in catalogs.SERVICE_SIGNALS}), signal)
 
 
 def service_label(signal: Column) -> Column:
-    labels = F.create_map(*[F.lit(x) for s in catalogs.SERVICE_SIGNALS for x in (s, s.title())])
-    return F.element_at(labels, signal)
+    return F.element_at(literal_map({s: s.title() for s in catalogs.SERVICE_SIGNALS}), signal)
 
 
 def diagram(has_frontend, has_backend, has_database, found) -> Column:

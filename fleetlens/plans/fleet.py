@@ -7,8 +7,9 @@ from fleetlens.operators import analysis, audit, guide, inventory, prompts
 
 def guides_from_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(guides, rejected)`` for a whole file table; every step is lazy."""
-    records, rejected = analysis.assemble_analyses(inventory.scan(files))
-    return guide.generate_onboarding(records), rejected
+    scanned = inventory.scan(files)
+    return (guide.generate_onboarding(analysis.assemble_analyses(scanned)),
+            analysis.rejected_repositories(scanned))
 
 
 def prompts_from_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -39,7 +39,7 @@ def scanned(spark, sf):
 
 
 def fleet_records(spark, sf):
-    return analysis.assemble_analyses(scanned(spark, sf))[0].withColumnRenamed("repo_id", "id")
+    return analysis.assemble_analyses(scanned(spark, sf)).withColumnRenamed("repo_id", "id")
 
 
 def part_records(spark, sf):
@@ -224,8 +224,7 @@ def architecture_edges(spark, sf):
   array_to_string(list_transform(files, lambda f: f.path || '=' || f.description), chr(10)) AS important_files,
   array_to_string(deps, chr(10)) AS dependencies, CAST(structure AS VARCHAR) AS project_structure FROM rec"""))
 def assembled_records(spark, sf):
-    records, _ = analysis.assemble_analyses(scanned(spark, sf))
-    return records.select(
+    return analysis.assemble_analyses(scanned(spark, sf)).select(
         "repo_id", "project_name", F.array_join("languages", ",").alias("languages"),
         lines(F.transform("important_files", lambda f: F.concat(f["path"], F.lit("="), f["description"])))
         .alias("important_files"),
@@ -234,7 +233,7 @@ def assembled_records(spark, sf):
 
 @query(o.with_(*o.FLEET, "SELECT * FROM rejects"))
 def rejected_repositories(spark, sf):
-    return analysis.assemble_analyses(scanned(spark, sf))[1]
+    return analysis.rejected_repositories(scanned(spark, sf))
 
 
 @query(o.with_(*o.PARTS, """SELECT id, project_name, array_to_string(languages, ',') AS languages,

@@ -103,9 +103,10 @@ def whole_repo():
 
 
 def test_assemble(spark):
-    ok, bad = analysis.assemble_analyses(inventory.scan(files(spark, *whole_repo())))
+    scanned = inventory.scan(files(spark, *whole_repo()))
+    ok = analysis.assemble_analyses(scanned)
     r = ok.first()
-    assert bad.count() == 0
+    assert analysis.rejected_repositories(scanned).count() == 0
     assert r.project_name == "My API" and r.languages == ["Python", "JSON", "Markdown"]
     assert [(f.path, f.description) for f in r.important_files] == [
         ("Dockerfile", "Docker container definition"), ("README.md", "README (Markdown)"),
@@ -126,15 +127,15 @@ def test_repo_facts_errors(spark):
     start = "Unexpected error during analysis: "
     assert got == {"a": ("error", start + "'NoneType' object has no attribute 'keys'"),
                    "b": ("error", start + "'list' object has no attribute 'get'"), "c": ("ok", None)}
-    ok, rejected = analysis.assemble_analyses(df)
+    ok, rejected = analysis.assemble_analyses(df), analysis.rejected_repositories(df)
     assert [r.repo_id for r in ok.collect()] == ["c"]
     assert sorted(r.repo_id for r in rejected.collect()) == ["a", "b"]
 
 
 @pytest.mark.parametrize("n, kept", [(200, 1), (201, 0)])
 def test_assemble_important_file_limit(spark, n, kept):
-    ok, rejected = analysis.assemble_analyses(inventory.scan(files(
-        spark, *[("r", f"d{i}/LICENSE") for i in range(n)])))
+    scanned = inventory.scan(files(spark, *[("r", f"d{i}/LICENSE") for i in range(n)]))
+    ok, rejected = analysis.assemble_analyses(scanned), analysis.rejected_repositories(scanned)
     assert ok.count() == kept
     if not kept:
         assert rejected.first().reason == "important_files exceeds limit of 200 items (got 201)"
@@ -144,9 +145,9 @@ def test_assemble_dependency_and_structure_limits(spark):
     many = "\n".join(f"p{i}" for i in range(501))
     wide = [("w", f"d{i}/{'x' * 200}{i}/main.py") for i in range(400)]
     huge = [("h", f"d{i}/{'x' * 200}{i}/main.py") for i in range(900)]
-    ok, rejected = analysis.assemble_analyses(inventory.scan(files(
-        spark, ("d", "requirements.txt", many), *wide, *huge)))
-    assert ok.count() == 0
+    scanned = inventory.scan(files(spark, ("d", "requirements.txt", many), *wide, *huge))
+    rejected = analysis.rejected_repositories(scanned)
+    assert analysis.assemble_analyses(scanned).count() == 0
     assert {r.repo_id: r.reason for r in rejected.collect()} == {
         "d": "dependencies exceeds limit of 500 items (got 501)",
         "w": "project_structure exceeds size limit of 64 KiB when serialised",
@@ -167,8 +168,8 @@ def test_read_and_land_files(spark, tmp_path):
     assert (odd.path, odd.content, odd.size) == ("a b+c%20.py", "\ufffd ok", 4)
     land_files(df, str(tmp_path / "landed"))
     landed = spark.read.parquet(str(tmp_path / "landed"))
-    direct = analysis.assemble_analyses(inventory.scan(df))[0]
-    again = analysis.assemble_analyses(inventory.scan(landed))[0]
+    direct = analysis.assemble_analyses(inventory.scan(df))
+    again = analysis.assemble_analyses(inventory.scan(landed))
     assert sorted(map(str, direct.collect())) == sorted(map(str, again.collect()))
     plan = dependencies.parse_manifests(inventory.scan(landed))._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(file_class" in plan
