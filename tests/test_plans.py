@@ -52,9 +52,16 @@ def test_languages_are_broadcast(spark):
 
 
 def test_log_windows_are_cut_into_blocks(spark):
-    text = plan(request_log.fallback_streaks(derived.requests_from_events(spark, SF)))
-    assert re.search(r"hashpartitioning\(_scope#\d+, _block#\d+L", text)
+    requests = derived.requests_from_events(spark, SF)
+    text = plan(request_log.fallback_streaks(requests, "cache_key"))
+    assert re.search(r"hashpartitioning\((?:_scope|cache_key)#\d+, _block#\d+L", text)
     assert "SinglePartition" not in text
+    # Without a scope only the block summaries meet in one task.
+    whole = plan(request_log.fallback_streaks(requests))
+    assert re.search(r"hashpartitioning\(_block#\d+L", whole)
+    single = whole.split("Exchange SinglePartition")
+    below = re.findall(r"^\W*([A-Z]\w+)", single[1].split("\n", 1)[1], re.M)
+    assert len(single) == 2 and below[:2] == ["Project", "SortAggregate"]
 
 
 def test_scan_reads_only_needed_columns(spark):
