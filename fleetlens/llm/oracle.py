@@ -25,4 +25,23 @@ words AS (
 SELECT d.doc_id, len(w)::bigint AS n_words, coalesce(n_hit, 0)::bigint AS n_hit, coalesce(n_items, 0)::bigint AS n_items,
   sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN items USING (doc_id) LEFT JOIN words USING (doc_id)""",
+    "op2_chat_format": """
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+sized AS (
+  SELECT *, length(text) + length(text) - length(translate(text, '~[]<', '')) AS n_text,
+    length(role) + length(role) - length(translate(role, '~[]<', '')) AS n_role,
+    lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before,
+    lead(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) IS NULL AS last
+  FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::bigint AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (3 + sum(n_text + CASE role WHEN 'system' THEN 6 + 7 WHEN 'user' THEN 7 + 8 WHEN 'assistant' THEN 8 + 4 WHEN 'tool' THEN 7 + 8
+    ELSE 6 + n_role + 2 + 8 END))::bigint AS formatted_chars,
+  bool_and(coalesce(before, 'start') || ' ' || role IN ('start system', 'start user', 'system user', 'user assistant',
+    'assistant user', 'assistant tool', 'tool tool', 'tool assistant') AND (NOT last OR role = 'assistant')) AS is_valid
+FROM sized GROUP BY conv_id""",
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fleetlens.llm import decontaminate
+from fleetlens.llm import chat, decontaminate
 from fleetlens.llm.common import read
 from fleetlens.llm.oracle import ORACLES  # noqa: F401
 
@@ -18,6 +18,27 @@ def op1_decontaminate(spark, sf_dir):
         decontaminate.contaminated().alias("contaminated"))
 
 
+#: A conversation whose texts look like marks of chat templates.
+MARKED = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
+def op2_chat_format(spark, sf_dir):
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marked = ", ".join(f"({c}L, {t}L, '{r}', '{x}')" for c, t, r, x in MARKED)
+    chats = chat.format_chats(turns.unionByName(
+        spark.sql(f"SELECT * FROM VALUES {marked} AS t(conv_id, turn, role, text)")))
+    back = chat.parse_chat(F.col("formatted"))
+    learnt = chats.withColumn("learnt", chat.loss_text(F.col("segments"))).withColumn("back", back)
+    return learnt.select(
+        "conv_id", F.size("back").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+               .cast("binary"), 256).alias("turns_sha256"),
+        F.length("learnt").cast("long").alias("loss_chars"),
+        F.sha2(F.col("learnt").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"), "is_valid")
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_chat_format": op2_chat_format,
 }
