@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fleetlens.llm import chat, decontaminate
+from fleetlens.llm import chat, decontaminate, quality_rules
 from fleetlens.llm.common import read
 from fleetlens.llm.oracle import ORACLES  # noqa: F401
 
@@ -38,7 +38,13 @@ def op2_chat_format(spark, sf_dir):
         F.length("formatted").cast("long").alias("formatted_chars"), "is_valid")
 
 
+def op7_quality_rules(spark, sf_dir):
+    return quality_rules.judge_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_chat_format": op2_chat_format,
+    "op7_quality_rules": op7_quality_rules,
 }
