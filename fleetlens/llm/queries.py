@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fleetlens.llm import chat, decontaminate, quality_rules
+from fleetlens.llm import chat, decontaminate, kneser_ney, quality_rules
 from fleetlens.llm.common import read
 from fleetlens.llm.oracle import ORACLES  # noqa: F401
 
@@ -43,8 +43,14 @@ def op7_quality_rules(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
 
 
+def op10_quality_classifier(spark, sf_dir):
+    judged, _, _ = kneser_ney.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "lang", "n_words", "log_likelihood", "perplexity", "peak", "kept")
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_chat_format": op2_chat_format,
     "op7_quality_rules": op7_quality_rules,
+    "op10_quality_classifier": op10_quality_classifier,
 }
