@@ -44,4 +44,24 @@ SELECT conv_id, count(*) AS n_turns,
   bool_and(coalesce(before, 'start') || ' ' || role IN ('start system', 'start user', 'system user', 'user assistant',
     'assistant user', 'assistant tool', 'tool tool', 'tool assistant') AND (NOT last OR role = 'assistant')) AS is_valid
 FROM sized GROUP BY conv_id""",
+    "op6_ngram_join": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: hash(array_to_string(w[i:i + 4], ' '))))) AS s
+  FROM words WHERE len(w) > 0),
+tokens AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, a.n AS n_a, b.n AS n_b, count(*) AS c
+  FROM tokens a JOIN tokens b ON a.t = b.t AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY ALL),
+links AS (SELECT a, b FROM shared WHERE 100 * c >= 80 * (n_a + n_b - c)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT doc_id, doc_id AS low FROM documents
+  UNION
+  SELECT e.b, r.low FROM reach r JOIN edges e ON e.a = r.doc_id WHERE r.low < e.b)
+SELECT d.doc_id, coalesce(len(s), 0)::bigint AS n_shingles, d.low AS component_id
+FROM (SELECT doc_id, min(low) AS low FROM reach GROUP BY doc_id) d LEFT JOIN sets USING (doc_id)""",
 }

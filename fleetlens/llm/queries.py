@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fleetlens.llm import chat, decontaminate, kneser_ney, quality_rules
+from fleetlens.llm import chat, decontaminate, kneser_ney, ngram_join, quality_rules
 from fleetlens.llm.common import read
 from fleetlens.llm.oracle import ORACLES  # noqa: F401
 
@@ -38,6 +38,11 @@ def op2_chat_format(spark, sf_dir):
         F.length("formatted").cast("long").alias("formatted_chars"), "is_valid")
 
 
+def op6_ngram_join(spark, sf_dir):
+    return ngram_join.link_documents(read(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op7_quality_rules(spark, sf_dir):
     return quality_rules.judge_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
@@ -51,6 +56,7 @@ def op10_quality_classifier(spark, sf_dir):
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_chat_format": op2_chat_format,
+    "op6_ngram_join": op6_ngram_join,
     "op7_quality_rules": op7_quality_rules,
     "op10_quality_classifier": op10_quality_classifier,
 }
