@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fleetlens.llm import chat, decontaminate, kneser_ney, ngram_join, quality_rules
+from fleetlens.llm import chat, decontaminate, html_extract, kneser_ney, ngram_join, quality_rules
 from fleetlens.llm.common import read
 from fleetlens.llm.oracle import ORACLES  # noqa: F401
 
@@ -48,6 +48,11 @@ def op7_quality_rules(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")
 
 
+def op8_html_extract(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.extract_text(pages, html_extract.fit_labeller(pages)).drop("html")
+
+
 def op10_quality_classifier(spark, sf_dir):
     judged, _, _ = kneser_ney.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return judged.select("doc_id", "lang", "n_words", "log_likelihood", "perplexity", "peak", "kept")
@@ -58,5 +63,6 @@ QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op6_ngram_join": op6_ngram_join,
     "op7_quality_rules": op7_quality_rules,
+    "op8_html_extract": op8_html_extract,
     "op10_quality_classifier": op10_quality_classifier,
 }
