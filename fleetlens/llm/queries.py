@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fleetlens.llm import chat, decontaminate, html_extract, kneser_ney, ngram_join, quality_rules
+from fleetlens.llm import chat, decontaminate, html_extract, kneser_ney, ngram_join, packing, quality_rules
 from fleetlens.llm.common import read
 from fleetlens.llm.oracle import ORACLES  # noqa: F401
 
@@ -38,6 +38,15 @@ def op2_chat_format(spark, sf_dir):
         F.length("formatted").cast("long").alias("formatted_chars"), "is_valid")
 
 
+def op4_packing(spark, sf_dir, tokenizer=None):
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    pieces = packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op6_ngram_join(spark, sf_dir):
     return ngram_join.link_documents(read(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "n_shingles", "component_id")
@@ -61,6 +70,7 @@ def op10_quality_classifier(spark, sf_dir):
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_chat_format": op2_chat_format,
+    "op4_packing": op4_packing,
     "op6_ngram_join": op6_ngram_join,
     "op7_quality_rules": op7_quality_rules,
     "op8_html_extract": op8_html_extract,
