@@ -1,8 +1,64 @@
-"""The corpus pipeline: stages over documents, each written and read again."""
+"""The corpus pipeline: stages over documents, each written and read again as the next one's input.
 
-STAGES = []
+The quality classifier drops what it rejects; line dedup takes repeated lines out of the texts and drops
+documents that lose all their lines; of each group of near copies one document stays; contaminated
+documents go; the rest is packed into training windows. Documents without text pass up to the packing.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from fleetlens.llm import decontaminate, kneser_ney, line_dedup, ngram_join, packing
+from fleetlens.llm.common import land, read
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return kneser_ney.keep_documents(docs, read(spark, sf_dir, "labels"))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with the lines that stay; ``n_chars`` follows the text."""
+    done = line_dedup.dedup_lines(docs).where("n_removed = 0 or trim(kept_text) <> ''")
+    replaced = {"text": F.col("kept_text"), "n_chars": F.when(
+        F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))}
+    return done.select(*[replaced.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the lowest id of each group; rows that repeat an id are one document."""
+    kept = ngram_join.link_documents(docs).where("component_id = id").select(F.col("id").alias("doc_id")).distinct()
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*docs.columns))
+    one = docs.join(kept, "doc_id", "left_semi").withColumn("_row", F.row_number().over(order)).where("_row = 1")
+    return one.select(docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(docs, read(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("line dedup", dedup_lines),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontaminated),
+    ("packing", pack),
+]
+
+#: Models, fuzzy links and retrieval have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of the last stage."""
+    docs = read(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = land(stage(spark, docs, sf_dir))
+    return docs

@@ -1,7 +1,11 @@
-"""Connected components of links, as Spark joins; and comparing linked texts without large groups."""
+"""From buckets of possible partners to connected components, without large groups or all their pairs."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,3 +60,73 @@ def beside(pairs: DataFrame, bodies: DataFrame, group_rows: int = GROUP_ROWS) ->
         "a", "part", F.col("b").alias("node"), "body")
     return own.unionByName(partners).repartition("a", "part").sortWithinPartitions(
         "a", "part", F.col("node").asc_nulls_first())
+
+
+def buckets(rows: DataFrame) -> DataFrame:
+    """``token, node, n, rep, n_rep`` for every token of ``rows(token, node, n)`` with two nodes or more.
+
+    The rows of a token follow one another in a sorted partition; the first is its representative. A
+    stream over them holds no group.
+    """
+    ordered = rows.select("token", "node", "n").repartition("token").sortWithinPartitions("token", "n", "node")
+    schema = "token long, node long, n long, rep long, n_rep long"
+
+    def run(batches):
+        last = None  # token, representative and its size at the end of the last batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            token, node, n = (c.to_numpy() for c in batch.columns)
+            fresh = np.concatenate([[last is None or token[0] != last[0]], token[1:] != token[:-1]])
+            start = np.maximum.accumulate(np.where(fresh, np.arange(len(token)), -1))
+            carried = start < 0
+            rep = np.where(carried, last[1] if last else 0, node[start])
+            n_rep = np.where(carried, last[2] if last else 0, n[start])
+            keep = ~fresh & (node != rep)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c[keep]) for c in (token, node, n, rep, n_rep)], ["token", "node", "n", "rep", "n_rep"])
+            last = (token[-1], rep[-1], n_rep[-1])
+
+    return ordered.mapInArrow(run, schema)
+
+
+def link_buckets(found: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """``node, comp``: components of the confirmed pairs of ``found``, the landed :func:`buckets`.
+
+    First every member is compared with its bucket's representative. Of the pairs that remain, only those
+    whose nodes the links so far leave apart are compared, so a bucket of copies stays a star. Sizes
+    ``n`` of a pair may differ by ``percent`` at most.
+    """
+    spark = found.sparkSession
+    stars = land(found.select(F.col("rep").alias("a"), F.col("node").alias("b"), F.col("n_rep").alias("n_a"),
+                              F.col("n").alias("n_b")).where(_fits(percent)).select("a", "b").distinct())
+    links = land(confirm(stars))
+    labels = components(links)
+    more = land(confirm(_apart(found, stars, labels, percent)))
+    if not more.isEmpty():
+        labels = components(links.union(more))
+    discard(spark, stars, links, more)
+    return labels
+
+
+def _fits(percent: int):
+    return F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
+
+
+def _apart(found: DataFrame, stars: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a bucket that lie in different components and were not compared with each other yet."""
+    members = found.select("token", "node", "n").union(
+        found.select("token", F.col("rep").alias("node"), F.col("n_rep").alias("n")).distinct())
+    placed = members.join(labels, "node", "left").select(
+        "token", "node", "n", F.coalesce("comp", "node").alias("comp"))
+    # A bucket of two nodes is settled by its star; one component needs no further comparison.
+    unsettled = placed.groupBy("token").agg(
+        F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where(
+            "size > 2 and low < high").select("token")
+    left = land(placed.join(unsettled, "token", "left_semi"))
+    pairs = left.select("token", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a")).join(
+        left.select("token", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b")),
+        "token").where((F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & _fits(percent)).select(
+            "a", "b").distinct()
+    both = stars.select("a", "b").union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return pairs.join(both, ["a", "b"], "left_anti")

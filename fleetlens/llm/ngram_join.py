@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens.llm.common import append_columns, discard, land, slices
-from fleetlens.llm.linking import beside, components
+from fleetlens.llm.linking import beside, buckets, link_buckets
 
 WIDTH = 5
 #: Links need this percentage of the union.
@@ -157,41 +157,8 @@ def _prefixes(docs: DataFrame, frequent, width: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _buckets(prefixes: DataFrame) -> DataFrame:
-    """``token, node, n, rep, n_rep`` for every token that two nodes or more have in their prefixes.
-
-    The rows of a token follow one another in a sorted partition; the first is its representative. A
-    stream over them holds no group.
-    """
-    rows = prefixes.select(F.explode("prefix").alias("token"), "node", "n").repartition("token").sortWithinPartitions(
-        "token", "n", "node")
-    schema = "token long, node long, n long, rep long, n_rep long"
-
-    def run(batches):
-        last = None  # token, rep, size of rep, whether the rep's own row is out
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            token, node, n = (c.to_numpy() for c in batch.columns)
-            fresh = np.concatenate([[last is None or token[0] != last[0]], token[1:] != token[:-1]])
-            start = np.maximum.accumulate(np.where(fresh, np.arange(len(token)), -1))
-            carried = start < 0
-            rep = np.where(carried, last[1] if last else 0, node[start])
-            n_rep = np.where(carried, last[2] if last else 0, n[start])
-            keep = ~fresh & (node != rep)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c[keep]) for c in (token, node, n, rep, n_rep)], ["token", "node", "n", "rep", "n_rep"])
-            last = (token[-1], rep[-1], n_rep[-1])
-
-    return rows.mapInArrow(run, schema)
-
-
 # ---- comparing ------------------------------------------------------------------------------------
 
-def _fits(percent: int, a: str = "n_a", b: str = "n_b"):
-    return F.lit(100) * F.least(a, b) >= F.lit(percent) * F.greatest(a, b)
-
-
 def _share_prefixes(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
     """The pairs (a, b) that share a prefix token under every other order too."""
     packed = prefixes.select("node", F.col("others"))
@@ -244,37 +211,12 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
              np.array([int(r.n).bit_length() for r in heavy], np.int64))
     nodes = texts.join(reps.select(F.col("rep").alias("node")).distinct(), "node", "left_semi")
     prefixes = land(_prefixes(nodes, spark.sparkContext.broadcast(ranks), width, percent))
-    buckets = land(_buckets(prefixes))
-
-    stars = land(buckets.select(F.col("rep").alias("a"), F.col("node").alias("b"), F.col("n_rep").alias("n_a"),
-                                F.col("n").alias("n_b")).where(_fits(percent)).select("a", "b").distinct())
-    links = land(_verify(_share_prefixes(stars, prefixes), texts, width, percent))
-    labels = components(links)
-    more = land(_verify(_share_prefixes(_unsettled(buckets, stars, labels, percent), prefixes), texts, width, percent))
-    if not more.isEmpty():
-        labels = components(links.union(more))
+    found = land(buckets(prefixes.select(F.explode("prefix").alias("token"), "node", "n")))
+    labels = link_buckets(
+        found, lambda pairs: _verify(_share_prefixes(pairs, prefixes), texts, width, percent), percent)
     ends = labels.select(F.col("node").alias("rep"), "comp")
     out = rows.join(reps, "print", "left").join(ends, "rep", "left").select(
         "id", F.col("n").alias("n_shingles"), "rep",
         F.when(F.col("id").isNotNull(), F.coalesce("comp", "rep", "id")).alias("component_id"))
-    discard(spark, stars, links, more, buckets, prefixes)
+    discard(spark, found, prefixes)
     return out
-
-
-def _unsettled(buckets: DataFrame, stars: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket that lie in different components and were not compared with each other yet."""
-    members = buckets.select("token", "node", "n").union(
-        buckets.select("token", F.col("rep").alias("node"), F.col("n_rep").alias("n")).distinct())
-    placed = members.join(labels, "node", "left").select(
-        "token", "node", "n", F.coalesce("comp", "node").alias("comp"))
-    # A bucket of two nodes is settled by its star; one component needs no further comparison.
-    open_tokens = placed.groupBy("token").agg(
-        F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where(
-            "size > 2 and low < high").select("token")
-    left = land(placed.join(open_tokens, "token", "left_semi"))
-    pairs = left.select("token", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a")).join(
-        left.select("token", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b")),
-        "token").where((F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & _fits(percent)).select(
-            "a", "b").distinct()
-    both = stars.select("a", "b").union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return pairs.join(both, ["a", "b"], "left_anti")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fleetlens.llm import chat, decontaminate, html_extract, kneser_ney, ngram_join, packing, quality_rules
+from fleetlens.llm import chat, decontaminate, html_extract, kneser_ney, line_dedup, ngram_join, packing, quality_rules
 from fleetlens.llm.common import read
 from fleetlens.llm.oracle import ORACLES  # noqa: F401
 
@@ -38,6 +38,11 @@ def op2_chat_format(spark, sf_dir):
         F.length("formatted").cast("long").alias("formatted_chars"), "is_valid")
 
 
+def op3_line_dedup(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "kept_text")
+
+
 def op4_packing(spark, sf_dir, tokenizer=None):
     if tokenizer is None:
         import public_tokenizers
@@ -70,6 +75,7 @@ def op10_quality_classifier(spark, sf_dir):
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_chat_format": op2_chat_format,
+    "op3_line_dedup": op3_line_dedup,
     "op4_packing": op4_packing,
     "op6_ngram_join": op6_ngram_join,
     "op7_quality_rules": op7_quality_rules,
