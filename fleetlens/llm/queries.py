@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fleetlens.llm import chat, decontaminate, html_extract, kneser_ney, line_dedup, ngram_join, packing, quality_rules
+from fleetlens.llm import chat, decontaminate, html_extract, kneser_ney, line_dedup, ngram_join, packing, quality_rules, suffix_dedup
 from fleetlens.llm.common import read
 from fleetlens.llm.oracle import ORACLES  # noqa: F401
 
@@ -52,6 +52,11 @@ def op4_packing(spark, sf_dir, tokenizer=None):
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_ngram_join(spark, sf_dir):
     return ngram_join.link_documents(read(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), "n_shingles", "component_id")
@@ -77,6 +82,7 @@ QUERIES = {
     "op2_chat_format": op2_chat_format,
     "op3_line_dedup": op3_line_dedup,
     "op4_packing": op4_packing,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_ngram_join": op6_ngram_join,
     "op7_quality_rules": op7_quality_rules,
     "op8_html_extract": op8_html_extract,
