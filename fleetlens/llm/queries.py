@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fleetlens.llm import chat, decontaminate, html_extract, kneser_ney, line_dedup, ngram_join, packing, quality_rules, suffix_dedup
+from fleetlens.llm import chat, decontaminate, html_extract, kneser_ney, line_dedup, ngram_join, packing, pseudo_likelihood, quality_rules, suffix_dedup
 from fleetlens.llm.common import read
 from fleetlens.llm.oracle import ORACLES  # noqa: F401
 
@@ -72,6 +72,10 @@ def op8_html_extract(spark, sf_dir):
     return html_extract.extract_text(pages, html_extract.fit_labeller(pages)).drop("html")
 
 
+def op9_pseudo_likelihood(spark, sf_dir):
+    return pseudo_likelihood.score_documents(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_quality_classifier(spark, sf_dir):
     judged, _, _ = kneser_ney.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return judged.select("doc_id", "lang", "n_words", "log_likelihood", "perplexity", "peak", "kept")
@@ -86,5 +90,6 @@ QUERIES = {
     "op6_ngram_join": op6_ngram_join,
     "op7_quality_rules": op7_quality_rules,
     "op8_html_extract": op8_html_extract,
+    "op9_pseudo_likelihood": op9_pseudo_likelihood,
     "op10_quality_classifier": op10_quality_classifier,
 }
