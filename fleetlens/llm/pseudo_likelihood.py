@@ -181,7 +181,8 @@ def encode_documents(docs: DataFrame, frequent: dict[int, int], text: str = "tex
     return append_columns(docs, [text], T.StructType([T.StructField("ids", T.BinaryType())]), compute)
 
 
-def _train_round(encoded: DataFrame, network: Network, offset: int, rate: float, stride: int) -> np.ndarray | None:
+def _train_round(encoded: DataFrame, network: Network, offset: int, rate: float, stride: int,
+                 batch_words: int) -> np.ndarray | None:
     """The average of the copies that the partitions train, weighted by their words."""
     sent = encoded.sparkSession.sparkContext.broadcast(network.flat)
 
@@ -194,9 +195,9 @@ def _train_round(encoded: DataFrame, network: Network, offset: int, rate: float,
         def run(last: bool):
             nonlocal contexts, targets, waiting, seen
             c, t = np.concatenate(contexts), np.concatenate(targets)
-            stop = len(t) if last else len(t) - len(t) % BATCH
-            for at in range(0, stop, BATCH):
-                own.step(c[at:at + BATCH], t[at:at + BATCH], squares, rate)
+            stop = len(t) if last else len(t) - len(t) % batch_words
+            for at in range(0, stop, batch_words):
+                own.step(c[at:at + batch_words], t[at:at + batch_words], squares, rate)
             seen += stop
             contexts, targets, waiting = [c[stop:]], [t[stop:]], len(t) - stop
 
@@ -206,7 +207,7 @@ def _train_round(encoded: DataFrame, network: Network, offset: int, rate: float,
             contexts.append(context[offset::stride])
             targets.append(target[offset::stride])
             waiting += len(targets[-1])
-            if waiting >= 4 * BATCH:
+            if waiting >= 4 * batch_words:
                 run(False)
         if contexts:
             run(True)
@@ -248,10 +249,11 @@ def frequent_words(docs: DataFrame, text: str = "text") -> dict[int, int]:
     return {r.code: i for i, r in enumerate(rows)}
 
 
-def train(encoded: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, rate: float = RATE) -> Network:
+def train(encoded: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, rate: float = RATE,
+          batch_words: int = BATCH) -> Network:
     network = Network()
     for k in range(rounds):
-        mean = _train_round(encoded, network, k * stride // rounds, rate / (k + 1), stride)
+        mean = _train_round(encoded, network, k * stride // rounds, rate / (k + 1), stride, batch_words)
         if mean is not None:
             network = Network(mean)
     return network
