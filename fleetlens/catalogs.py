@@ -83,10 +83,6 @@ IMPORTANT_FILES = {
 # Dependency manifests in display order.
 MANIFESTS = ("requirements.txt", "package.json", "pyproject.toml", "go.mod", "cargo.toml")
 
-# README bytes that are analysed, and characters kept as an excerpt.
-README_BYTES = 8192
-EXCERPT_CHARS = 500
-
 # Entry-point file names, most likely first.
 ENTRY_POINTS = (
     "main.py", "app.py", "server.py", "manage.py", "__main__.py",
@@ -331,7 +327,6 @@ ARCHITECTURE_PROSE = ("Architecture prose unavailable in fallback mode — "
                       "see architecture_diagram for a deterministic structural view.")
 ARCHITECTURE_NOTE = ("architecture: prose description unavailable in fallback mode — "
                      "see architecture_diagram for a deterministic view, or enable the LLM path.")
-OVERVIEW_DIRS = 6
 
 # Provenance of the guide sections.
 SECTION_LABELS = {
@@ -345,7 +340,6 @@ SECTION_LABELS = {
     "development_workflow": "Development workflow",
     "tech_stack": "Tech stack",
 }
-EVIDENCE_FILES = 8
 REASON_DIAGRAM_EMPTY = ("The diagram is produced by the deterministic diagram generator, never by "
                         "the LLM — but no structural signal was recognised for this repository.")
 REASON_DIAGRAM = ("The diagram is generated deterministically from detected structure and "
@@ -356,7 +350,7 @@ REASON_RULES = (" was assembled by the rule-based fallback from the repository a
                 "The LLM path was not used for this result.")
 
 # Prompt wrapper around the record.
-PROMPT_VERSION = "v2"
+PROMPT_VERSION = "fleet-1"
 PROMPT_HEAD = "The repository analysis data is enclosed below.\n\n<repo_analysis>\n"
 PROMPT_TAIL = (
     "\n</repo_analysis>\n\n"

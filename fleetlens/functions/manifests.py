@@ -3,11 +3,7 @@
 A manifest is one row, so parsing is a projection: nothing is exploded or shuffled.
 """
 
-import re
-import tomllib
-
-import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, functions as F
 
 from fleetlens.functions.text import bind, col, head, no_strings, split_lines, strip
 
@@ -122,26 +118,71 @@ def _attribute_error(raw, attribute) -> Column:
     return F.concat(F.lit("'"), kind, F.lit(f"' object has no attribute '{attribute}'"))
 
 
-_NAMES = T.ArrayType(T.StringType())
+_Q1, _Q3 = "'", "'" * 3
+# Strings, comments and what lies between them; a quote that nothing closes stands alone.
+_TOML_TOKEN = "|".join((
+    r'"""(?s:.*?)"""', rf"{_Q3}(?s:.*?){_Q3}", r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"', rf"{_Q1}[^{_Q1}\n]*+{_Q1}",
+    r"#[^\n]*+", rf'[^"{_Q1}#]++', rf'["{_Q1}]'))
+_TOML_QUOTES = rf'(?s)^(?:"{{3}}|{_Q1}{{3}}|["{_Q1}])\n?|(?:"{{3}}|{_Q1}{{3}}|["{_Q1}])\z'
+_TOML_HEADER = r"(?m)^(?=[ \t]*\[[^\[\]\n=,]+\][ \t\r]*$)"
+# What a value may begin with; strings are masked by then.
+_TOML_VALUE = r"[\x01\[{0-9+\-tfin]"
 
 
-@F.pandas_udf(T.StructType([T.StructField("packages", _NAMES), T.StructField("error", T.StringType())]))
-def pyproject_packages(texts: pd.Series) -> pd.DataFrame:
-    """PEP 621 and Poetry dependency names.
+def pyproject_packages(c) -> Column:
+    """``STRUCT<packages, error>``: PEP 621 and Poetry dependency names.
 
-    TOML has no built-in reader, so this is the one manifest that goes through Arrow; rows of
-    other manifests arrive as NULL.
+    Read by rule: strings are masked, so that brackets and equal signs outside of them can be trusted,
+    and the text is split at its table headers. ``dependencies`` has to be an array under
+    ``[project]``, Poetry's names keys or sub-tables of ``[tool.poetry.dependencies]``. Of invalid
+    documents only a value that cannot begin as it does is recognised; others give what can be read.
     """
-    def names(text):
-        if text is None:
-            return None, None
-        try:
-            document = tomllib.loads(text)
-            listed = document.get("project", {}).get("dependencies", [])
-            found = [re.split(r"[><=!~;\[@\s]", spec)[0].strip() for spec in listed]
-            tables = document.get("tool", {}).get("poetry", {}).get("dependencies", {})
-            return [n for n in found if n] + [n for n in tables if n.lower() != "python"], None
-        except Exception as problem:  # the text is untrusted: any failure is data
-            return [], str(problem)
-
-    return pd.DataFrame([names(t) for t in texts], columns=["packages", "error"])
+    tokens = F.filter(F.regexp_extract_all(col(c), F.lit(_TOML_TOKEN), F.lit(0)),
+                      lambda t: ~F.startswith(t, F.lit("#")))
+
+    def is_text(t):
+        return t.rlike(rf'^["{_Q1}]') & (F.length(t) > 1)
+
+    def read(t):
+        masked = F.transform(t, lambda x, i: F.when(
+            is_text(x), F.concat(F.lit("\x01"), i.cast("string"), F.lit("\x02"))).otherwise(x))
+        return bind(F.array_join(masked, ""), lambda m: facts(t, m))
+
+    def unmasked(t, part):
+        """The text that a placeholder stands for, without its quotes; other text as it is."""
+        i = F.regexp_extract(part, r"\x01(\d+)\x02", 1)
+        return F.when(i == "", part).otherwise(
+            F.regexp_replace(F.get(t, i.try_cast("int")), _TOML_QUOTES, ""))
+
+    def facts(t, m):
+        return bind(F.split(m, _TOML_HEADER), lambda parts: F.struct(
+            F.concat(_present(listed(t, parts)), _present(tables(t, parts))).alias("packages"),
+            problem(m).alias("error")))
+
+    def under(parts, name):
+        return F.array_join(F.filter(parts, lambda p: p.rlike(rf"^[ \t]*\[[ \t]*{name}[ \t]*\]")), "\n")
+
+    def listed(t, parts):
+        body = F.regexp_extract(under(parts, "project"), r"(?m)^[ \t]*dependencies[ \t]*=[ \t]*\[([^\]]*)\]", 1)
+        return F.transform(F.regexp_extract_all(body, F.lit(r"\x01\d+\x02"), F.lit(0)), lambda p: strip(
+            head(F.split(unmasked(t, p), r"(?U)[><=!~;\[@\s]"))))
+
+    def tables(t, parts):
+        name = r"([A-Za-z0-9_-]+|\x01\d+\x02)"
+        keys = F.regexp_extract_all(under(parts, r"tool\.poetry\.dependencies"),
+                                    F.lit(rf"(?m)^[ \t]*{name}(?:[ \t]*\.[^=\n]*)?[ \t]*="), F.lit(1))
+        sub = rf"^[ \t]*\[[ \t]*tool\.poetry\.dependencies\.{name}"
+        subs = F.transform(F.filter(parts, lambda p: p.rlike(sub)), lambda p: F.regexp_extract(p, sub, 1))
+        return F.array_distinct(F.filter(F.transform(F.concat(keys, subs), lambda k: unmasked(t, k)),
+                                         lambda n: F.lower(n) != "python"))
+
+    def problem(m):
+        """The first value that cannot begin as it does, told as a TOML reader tells it."""
+        bad = rf"^(\s*[A-Za-z0-9_.-]+[ \t]*+=[ \t]*+)(?!{_TOML_VALUE})"
+        lines = F.transform(F.split(m, "\n"), lambda l, i: F.struct(
+            (i + 1).alias("line"), l.rlike(bad).alias("bad"),
+            (F.length(F.regexp_extract(l, bad, 1)) + 1).alias("column")))
+        return bind(head(F.filter(lines, lambda l: l["bad"])), lambda first: F.when(
+            first.isNotNull(), F.format_string("Invalid value (at line %d, column %d)", first["line"], first["column"])))
+
+    return F.when(col(c).isNotNull(), bind(tokens, read))

@@ -9,6 +9,8 @@ from fleetlens.functions.text import col, strip
 
 _IGNORED = "|".join(re.escape(d) for d in catalogs.IGNORED_DIRS if not d.startswith("."))
 IGNORED_ANCESTOR = rf"(?:^|/)(?:\.[^/]*|{_IGNORED})/"
+# The directories of a path before the first ignored one.
+VISIBLE_PREFIX = rf"^(?:(?!\.|(?:{_IGNORED})/)[^/]*/)*+"
 
 
 def posix(c) -> Column:

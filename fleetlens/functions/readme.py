@@ -1,22 +1,22 @@
-"""README parsing: ``Column -> Column`` over one README of at most 8 KiB."""
+"""README parsing: ``Column -> Column`` over one whole README."""
 
 from pyspark.sql import Column, functions as F
 
-from fleetlens import catalogs
 from fleetlens.functions.text import bind, byte_prefix, col, split_lines, strip
 
 # A whole fenced block, or one line.
 _TOKEN = (r"(?md)^(?:```(?s:.*?)(?:\n```[^\n]*|\z)|~~~(?s:.*?)(?:\n~~~[^\n]*|\z)|[^\n]*)$")
-_RULE = r"^(?:\s*[-*_]){3,}\s*$"
+_RULE = r"(?U)^(?:\s*[-*_]){3,}\s*$"
 
 
-def readme_prefix(content) -> Column:
-    return byte_prefix(content, catalogs.README_BYTES)
+def readme_text(content, max_bytes: int | None = None) -> Column:
+    """The whole README, or its first ``max_bytes`` bytes where that is asked for."""
+    return col(content) if max_bytes is None else byte_prefix(content, max_bytes)
 
 
 def readme_title(c) -> Column:
     """First H1, NULL without one."""
-    pattern = r"(?md)^#\s+(.+)$"
+    pattern = r"(?Umd)^#\s+(.+)$"
     return F.when(col(c).rlike(pattern), strip(F.regexp_extract(col(c), pattern, 1)))
 
 
@@ -42,8 +42,8 @@ def readme_description(c) -> Column:
     return bind(F.transform(split_lines(c), lambda l: classified(strip(l))), paragraph)
 
 
-def readme_excerpt(c) -> Column:
-    return F.left(col(c), F.lit(catalogs.EXCERPT_CHARS))
+def readme_excerpt(c, max_chars: int | None = None) -> Column:
+    return col(c) if max_chars is None else F.left(col(c), F.lit(max_chars))
 
 
 def readme_sections(c) -> Column:
@@ -58,7 +58,7 @@ def readme_sections(c) -> Column:
 
 
 def _headings(tokens) -> Column:
-    heading = r"^(#{1,6})\s+(.+)$"
+    heading = r"(?U)^(#{1,6})\s+(.+)$"
     marked = F.transform(tokens, lambda t, i: F.struct(t.alias("line"), i.alias("at")))
     return F.transform(F.filter(marked, lambda m: m["line"].rlike(heading)), lambda m: F.struct(
         m["at"].alias("at"),

@@ -9,8 +9,11 @@ from fleetlens.operators import inventory
 from fleetlens.operators.dependencies import parse_manifests
 from fleetlens.operators.guide import RECORD_FIELDS
 from fleetlens.session import dimension
-from fleetlens.sources.files import dirs_of
+from fleetlens.sources.files import dirs_of, is_file, with_file_class
 
+# How the messages of the limits name the lists.
+_LISTS = {"languages": "languages list", "frameworks": "frameworks list",
+          "important_files": "important_files", "dependencies": "dependencies"}
 LIST_LIMITS = {
     "languages": catalogs.MAX_LANG_OR_FW,
     "frameworks": catalogs.MAX_LANG_OR_FW,
@@ -35,7 +38,8 @@ def path_items(files: DataFrame) -> DataFrame:
     top = F.regexp_extract("path", r"(?s)^([^/]+)/", 1)
     known = dimension(files.sparkSession, catalogs.LANGUAGES.items(), "extension, language")
     facts = [
-        ("files", F.lit(True), F.lit("")),
+        # A repository without a visible file is known by the directories where the walk stopped.
+        ("files", F.lit(True), F.when(is_file(), "file").otherwise("directory")),
         ("languages", F.col("language").isNotNull(), F.col("language")),
         ("important_files", name.isin(*_LABELLED), path),
         ("top_level_dirs", top != "", top),
@@ -46,9 +50,8 @@ def path_items(files: DataFrame) -> DataFrame:
     rows = F.array(*[F.when(ok, F.struct(F.lit(section).alias("section"), key.alias("key")))
                      for section, ok, key in facts])
     return (
-        files.where(F.col("repo_id").isNotNull())
-        .select("repo_id", "path", F.lower(paths.basename("path")).alias("name"),
-                paths.extension("path").alias("extension"))
+        with_file_class(files).where(F.col("repo_id").isNotNull())
+        .select("repo_id", "path", "name", "file_class", paths.extension("path").alias("extension"))
         .join(F.broadcast(known), "extension", "left")
         .select("repo_id", F.explode(rows).alias("r")).where(F.col("r").isNotNull())
         .groupBy("repo_id", "r.section", "r.key").agg(F.count(F.lit(1)).alias("n")))
@@ -100,15 +103,11 @@ def _facts(items: DataFrame) -> DataFrame:
         return F.bool_or((F.col("section") == "names") & F.col("key").isin(*names))
 
     return items.groupBy("repo_id").agg(
-        _count("files", F.col("n")).alias("total_files"),
+        _count("files", F.when(F.col("key") == "file", F.col("n"))).alias("total_files"),
         inventory.project_type(has).alias("type"),
         F.bool_or(F.col("section") == "tests").alias("has_tests"),
         has(*catalogs.CI_MARKERS).alias("has_ci"),
         has(*catalogs.DOCKER_MARKERS).alias("has_docker"),
-        _count("important_files").alias("n_important_files"),
-        _count("dependencies", F.size("values")).alias("n_dependencies"),
-        F.sum(F.when(F.col("section").isin("top_level_dirs", "entry_points", "mains"),
-                     F.octet_length(head(F.col("values"))))).alias("width"),
         _count("errors").alias("n_errors"))
 
 
@@ -130,62 +129,53 @@ def repo_facts(files: DataFrame) -> DataFrame:
                     "type", "has_tests", "has_ci", "has_docker"))
 
 
-def _checked(items: DataFrame) -> DataFrame:
-    """Facts with ``reason``, set where a list is too long to be collected."""
-    return _facts(items).withColumn("reason", F.coalesce(
-        *[_too_many(s, F.col(f"n_{s}"), LIST_LIMITS[s]) for s in ("important_files", "dependencies")],
-        # A package main may repeat a named entry point, so the sum is at most twice too high.
-        F.when(F.col("width") > 2 * catalogs.MAX_STRUCTURE_BYTES, F.lit(_STRUCTURE_TOO_BIG))))
+def record_items(files: DataFrame) -> DataFrame:
+    """``(repo_id, section, pos, text)``: the entries of every record as rows, however many there are.
 
-
-def _within_reach(files: DataFrame) -> DataFrame:
-    """Records of the repositories whose lists may be collected, with their ``violations``."""
-    items = _items(files)
-    sound = _checked(items).where((F.col("n_errors") == 0) & F.col("reason").isNull())
-    return limit_violations(_records(items, sound))
+    Records hold the same as arrays; a repository too large for one row is read here.
+    """
+    order = F.struct("rank", F.when(F.col("section") == "languages", -F.col("n")).otherwise(F.lit(0).cast("long")).alias("o"),
+                     F.when(F.col("section") == "entry_points", _entry_rank("key")).otherwise(0).alias("e"), "key")
+    listed = _items(files).where(F.col("section").isin(
+        "languages", "important_files", "dependencies", "top_level_dirs", "entry_points", "mains"))
+    return listed.select("repo_id", "section", order.alias("pos"), F.posexplode("values").alias("i", "text")).select(
+        "repo_id", "section", F.struct("pos.*", "i").alias("pos"), "text")
 
 
 def assemble_analyses(files: DataFrame) -> DataFrame:
-    """Records of scanned files.
+    """Records of scanned files: one for every repository that :func:`rejected_repositories` doesn't name.
 
-    A record may hold a few hundred entries only, so entries are counted first and lists are
-    built just for repositories that can be within the limits; the finished records are then
-    checked exactly.  :func:`rejected_repositories` gives the others; no list is cut short.
+    Nothing is cut; which limits a record breaks is told by :func:`validate_limits`.
     """
-    return _within_reach(files).where(F.size("violations") == 0).drop("violations")
+    items = _items(files)
+    return _records(items, _facts(items).where(F.col("n_errors") == 0))
 
 
 def rejected_repositories(files: DataFrame) -> DataFrame:
-    """``(repo_id, reason)`` of every repository that has no record."""
-    oversized = _checked(_items(files)).where((F.col("n_errors") == 0) & F.col("reason").isNotNull())
-    violating = _within_reach(files).where(F.size("violations") > 0)
-    return (_errors(files).withColumnRenamed("error", "reason")
-            .unionByName(oversized.select("repo_id", "reason"))
-            .unionByName(violating.select("repo_id", head(F.col("violations")).alias("reason"))))
+    """``(repo_id, reason)`` of every repository that has no record: a manifest breaks its analysis."""
+    return _errors(files).withColumnRenamed("error", "reason")
 
 
-_SALTS = 32
 _SCALARS = ("type", "has_tests", "has_ci", "has_docker")
 
 
+def _entry_rank(path) -> Column:
+    return F.element_at(literal_map(_ENTRY_RANK), F.lower(paths.basename(path)))
+
+
 def _records(items: DataFrame, facts: DataFrame) -> DataFrame:
     def listed(section, *order):
         return F.sort_array(F.collect_list(F.when(
             F.col("section") == section, F.struct(*order, F.col("values"))))).alias(section)
 
-    entry_rank = F.element_at(literal_map(_ENTRY_RANK), F.lower(paths.basename("key")))
-    # `facts` holds only repositories of bounded size.  The items of an oversized one, maybe a
-    # third of all, meet no partner; the salt drops them in many tasks instead of one.
-    salted = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
-    kept = items.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(_SALTS)).cast("int")) \
-        .join(salted, ["repo_id", "salt"])
+    kept = items.join(facts.select("repo_id", *_SCALARS), "repo_id")
     # The scalars ride along as grouping columns, so `facts` is joined once.
     lists = kept.groupBy("repo_id", *_SCALARS).agg(
         listed("languages", (-F.col("n")).alias("o"), "key"),
         listed("important_files", "key"),
         listed("dependencies", "rank", "key"),
         listed("top_level_dirs", "key"),
-        listed("entry_points", entry_rank.alias("o"), "key"),
+        listed("entry_points", _entry_rank("key").alias("o"), "key"),
         listed("mains", "key"),
         F.max(F.when(F.col("section") == "title", head(F.col("values")))).alias("project_name"))
 
@@ -213,7 +203,7 @@ def _records(items: DataFrame, facts: DataFrame) -> DataFrame:
 
 def _too_many(section, n, limit) -> Column:
     return F.when(n > limit, F.format_string(
-        f"{section} exceeds limit of {limit} items (got %d)", n.cast("long")))
+        f"{_LISTS[section]} exceeds limit of {limit} items (got %d)", n.cast("long")))
 
 
 _STRUCTURE_TOO_BIG = (f"project_structure exceeds size limit of "
@@ -285,8 +275,11 @@ def parse_analyses(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
         F.coalesce(
             F.when(~is_null("project_name") & ~is_text(variant("project_name")),
                    "project_name: not a string"),
-            F.when(variant("schema_version").isNotNull()
-                   & _get(variant("schema_version"), "$", "int").isNull(),
+            # A whole number may be written 1.0; 1.5 and true are no versions.
+            F.when(variant("schema_version").isNotNull() & ~F.coalesce(
+                _kind(variant("schema_version")).rlike("^(BIGINT|DECIMAL|DOUBLE)")
+                & (_get(variant("schema_version"), "$", "double")
+                   == F.floor(_get(variant("schema_version"), "$", "double"))), F.lit(False)),
                    "schema_version: not an integer"),
             list_problem("languages", is_text), list_problem("frameworks", is_text),
             list_problem("important_files", file_ok), list_problem("dependencies", dependency_ok),
@@ -337,10 +330,10 @@ def limit_violations(analyses: DataFrame) -> DataFrame:
         *[_too_many(s, F.size(s), limit) for s, limit in LIST_LIMITS.items()],
         F.when(F.exists("languages", longer), text_limit("language name")),
         F.when(F.exists("frameworks", longer), text_limit("framework name")),
-        F.when(F.exists(files, lambda f: longer(f["path"])), text_limit("important_files path")),
+        F.when(F.exists(files, lambda f: longer(f["path"])), text_limit("important_files path string")),
         F.when(F.exists(files, lambda f: longer(f["description"])),
                text_limit("important_files description")),
-        F.when(F.exists(deps, lambda d: longer(d["name"])), text_limit("dependency name")),
+        F.when(F.exists(deps, lambda d: longer(d["name"])), text_limit("dependency name string")),
         F.when(F.exists(deps, lambda d: longer(d["version"])), text_limit("dependency version")),
         F.when(structure_bytes("project_structure") > catalogs.MAX_STRUCTURE_BYTES,
                F.lit(_STRUCTURE_TOO_BIG)),

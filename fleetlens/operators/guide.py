@@ -135,8 +135,12 @@ def overview_dirs() -> Column:
     from_files = F.array_distinct(F.transform(
         F.filter(segments(F.transform("important_files", lambda f: f["path"])),
                  lambda s: F.size(s) > 1), head))
-    reported = F.filter(F.coalesce(F.col("top_dirs"), no_strings()),
-                        lambda d: d.isNotNull() & (d != ""))
+    listed = F.try_variant_get(F.element_at("_map", "top_level_dirs"), "$", "array<variant>")
+    # Entries that count as nothing are dropped: null, "", 0, false, and empty lists and objects.
+    reported = F.coalesce(F.transform(
+        F.filter(listed, lambda v: v.isNotNull() & ~F.coalesce(F.to_json(v), F.lit("null")).isin(
+            "null", '""', "0", "0.0", "-0.0", "false", "[]", "{}")),
+        lambda v: F.try_variant_get(v, "$", "string")), no_strings())
     return (
         F.when(F.col("_map").isNotNull(),
                F.when(F.map_contains_key("_map", "top_level_dirs"), reported)
@@ -155,8 +159,7 @@ def overview() -> Column:
         .when(has_name, _text("'", name, "' is a software project."))
         .when(has_langs, _text("This project is primarily written in ", langs, "."))
         .otherwise("This project's name and primary language were not detected."))
-    dirs = F.transform(F.slice("top_overview", 1, catalogs.OVERVIEW_DIRS),
-                       lambda d: _text("'", d, "'"))
+    dirs = F.transform("top_overview", lambda d: _text("'", d, "'"))
     return F.concat_ws(
         " ", first,
         F.when(F.size("frameworks") > 0,

@@ -10,12 +10,12 @@ from fleetlens import catalogs
 from fleetlens.functions import paths, readme
 from fleetlens.operators.dependencies import parse_manifests
 from fleetlens.session import dimension
-from fleetlens.sources.files import dirs_of, prune_ignored, with_file_class
+from fleetlens.sources.files import DIRECTORY, dirs_of, is_file, visible, with_file_class
 
 
 def scan(files: DataFrame) -> DataFrame:
-    """Pruned files with their class: the input of the operators below."""
-    return with_file_class(prune_ignored(files))
+    """Visible files with their class, and where the walk stopped: the input of the operators below."""
+    return visible(files)
 
 
 def with_language(files: DataFrame) -> DataFrame:
@@ -72,38 +72,40 @@ MARKER_NAMES = (
 
 
 def looks_tested(path, name) -> Column:
-    """A file below a test directory or named like a test."""
+    """A file or directory below a test directory, or a file named like a test."""
     return (path.rlike(_TEST_DIR) | F.startswith(name, F.lit("test_"))
             | F.endswith(name, F.lit("_test.py")))
 
 
-def structure_flags(files: DataFrame, include_dot_github: bool = False) -> DataFrame:
-    """``total_files``, ``type``, ``has_tests``, ``has_ci``, ``has_docker`` in one pass.
+def structure_flags(files: DataFrame, workflows: DataFrame | None = None) -> DataFrame:
+    """``total_files``, ``type``, ``has_tests``, ``has_ci``, ``has_docker`` in one pass over :func:`scan`.
 
-    Pruning removes ``.github``, so its workflows never count as CI; ``include_dot_github``
-    expects files that were not pruned and counts them.
+    A walk doesn't enter ``.github``, so its workflows never count as CI; give the listing before the
+    scan as ``workflows`` to count them too.
     """
-    files = files.withColumn("name", F.lower(paths.basename("path")))
+    files, github = with_file_class(files), F.lit(False)
+    if workflows is not None:
+        listed = workflows.where(F.startswith("path", F.lit(".github/workflows/"))).select(
+            "repo_id", F.lit("").alias("path"), F.lit("").alias("name"), F.lit(DIRECTORY).alias("file_class"),
+            F.lit(True).alias("github")).distinct()
+        files = files.select("repo_id", "path", "name", "file_class", F.lit(False).alias("github")).unionByName(listed)
+        github = F.col("github")
 
     def has(*names):
         return F.bool_or(F.col("name").isin(*names))
 
-    tests = looks_tested(F.col("path"), F.col("name"))
-    ci = F.col("name").isin(*catalogs.CI_MARKERS)
-    if include_dot_github:
-        ci = ci | F.startswith("path", F.lit(".github/workflows/"))
     return files.groupBy("repo_id").agg(
-        F.count(F.lit(1)).alias("total_files"),
+        F.count_if(is_file()).alias("total_files"),
         project_type(has).alias("type"),
-        F.bool_or(tests).alias("has_tests"),
-        F.bool_or(ci).alias("has_ci"),
+        F.bool_or(looks_tested(F.col("path"), F.col("name"))).alias("has_tests"),
+        F.bool_or(F.col("name").isin(*catalogs.CI_MARKERS) | github).alias("has_ci"),
         has(*catalogs.DOCKER_MARKERS).alias("has_docker"),
     )
 
 
 def repo_totals(files: DataFrame) -> DataFrame:
     dirs = dirs_of(files).groupBy("repo_id").agg(F.count(F.lit(1)).alias("total_dirs"))
-    return (files.groupBy("repo_id").agg(F.count(F.lit(1)).alias("total_files"))
+    return (with_file_class(files).groupBy("repo_id").agg(F.count_if(is_file()).alias("total_files"))
             .join(dirs, "repo_id", "left")
             .select("repo_id", "total_files", F.coalesce("total_dirs", F.lit(0)).alias("total_dirs")))
 
@@ -136,7 +138,7 @@ def entry_points(files: DataFrame) -> DataFrame:
 def pick_readme(files: DataFrame) -> DataFrame:
     """One README per repository: at the root if there is one, then by path."""
     candidate = F.struct(F.contains("path", F.lit("/")).alias("nested"), "path",
-                         readme.readme_prefix("content").alias("raw"))
+                         readme.readme_text("content").alias("raw"))
     return (with_file_class(files).where(F.col("file_class") == "readme")
             .groupBy("repo_id").agg(F.min(candidate).alias("pick"))
             .select("repo_id", "pick.path", "pick.raw"))

@@ -35,12 +35,13 @@ def section_provenance(guides: DataFrame, key: str) -> DataFrame:
                        F.concat(F.array(first), own).alias("reasons"))
 
 
-def evidence_files(guides: DataFrame, key: str) -> DataFrame:
-    """``(key, files, n_more)``: the first detected files and how many more there are."""
+def evidence_files(guides: DataFrame, key: str, shown: int | None = None) -> DataFrame:
+    """``(key, files, n_more)``: the detected files, or the first ``shown`` and how many more there are."""
     files = F.filter(F.transform("important_files", lambda f: f["path"]), lambda p: p != "")
-    return guides.select(
-        key, F.slice(files, 1, catalogs.EVIDENCE_FILES).alias("files"),
-        F.greatest(F.size(files) - catalogs.EVIDENCE_FILES, F.lit(0)).alias("n_more"))
+    if shown is None:
+        return guides.select(key, files.alias("files"), F.lit(0).alias("n_more"))
+    return guides.select(key, F.slice(files, 1, shown).alias("files"),
+                         F.greatest(F.size(files) - shown, F.lit(0)).alias("n_more"))
 
 
 def summary_counts(guides: DataFrame, key: str) -> DataFrame:

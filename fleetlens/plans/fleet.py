@@ -13,9 +13,9 @@ def guides_from_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def prompts_from_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(prompts, violations)`` for an external model."""
-    ok, violations = analysis.validate_limits(records)
-    return prompts.build_prompts(ok), violations
+    """``(prompts, violations)`` for an external model; whoever sends them may leave out what breaks a limit."""
+    _, violations = analysis.validate_limits(records)
+    return prompts.build_prompts(records), violations
 
 
 def guides_from_responses(records: DataFrame, responses: DataFrame, key: str, column: str) -> DataFrame:

@@ -39,6 +39,12 @@ SCANNED = f"""scanned AS (
     CASE WHEN contains(path, '/') THEN array_to_string(parts[:-2], '/') ELSE '' END AS dir
   FROM (SELECT *, string_split(path, '/') AS parts FROM files)
   WHERE len(list_filter(parts[:-2], lambda x: x IN {in_list(c.IGNORED_DIRS)} OR x LIKE '.%')) = 0)"""
+_SEEN = f"list_position(list_transform(parts[:-2], lambda x: x IN {in_list(c.IGNORED_DIRS)} OR x LIKE '.%'), true)"
+#: Every directory that a listing shows before its first ignored one, files in it or not.
+DIRS = f"""dirs AS (
+  SELECT DISTINCT repo_id, array_to_string(parts[:n], '/') AS path
+  FROM (SELECT repo_id, parts, unnest(range(1, coalesce({_SEEN}, len(parts)))) AS n FROM (
+    SELECT repo_id, string_split(path, '/') AS parts FROM files)))"""
 BASE = (FILES, SCANNED)
 
 LANGUAGES = values_table("language_of", "extension, language", c.LANGUAGES.items())
@@ -135,11 +141,11 @@ ENTRIES = """entries AS (
 ENTRY_BASE = (*DEP_BASE, ENTRY_RANKS, MAINS, ENTRIES)
 
 def _has(*names):
-    return f"bool_or(name IN {in_list(names)})"
+    return f"coalesce(bool_or(name IN {in_list(names)}), false)"
 
 
 FLAGS = f"""flags AS (
-  SELECT repo_id, count(*) AS total_files,
+  SELECT repo_id, count(path) AS total_files,
     CASE WHEN {_has('pyproject.toml', 'setup.py')} THEN 'Python package'
       WHEN {_has('requirements.txt')} AND {_has('manage.py')} THEN 'Django application'
       WHEN {_has('requirements.txt')} THEN 'Python application'
@@ -151,14 +157,10 @@ FLAGS = f"""flags AS (
       WHEN {_has('go.mod')} THEN 'Go module'
       WHEN {_has('pom.xml', 'build.gradle')} THEN 'Java/JVM project'
       WHEN {_has('dockerfile')} THEN 'Containerised application' ELSE 'Unknown' END AS type,
-    bool_or(len(list_filter(parts[:-2], lambda x: lower(x) IN {in_list(c.TEST_DIR_NAMES)})) > 0
-      OR starts_with(name, 'test_') OR ends_with(name, '_test.py')) AS has_tests,
+    coalesce(bool_or(starts_with(name, 'test_') OR ends_with(name, '_test.py')), false) OR repo_id IN (
+      SELECT repo_id FROM dirs WHERE lower(string_split(path, '/')[-1]) IN {in_list(c.TEST_DIR_NAMES)}) AS has_tests,
     {_has(*c.CI_MARKERS)} AS has_ci, {_has(*c.DOCKER_MARKERS)} AS has_docker
-  FROM scanned GROUP BY 1)"""
-DIRS = """dirs AS (
-  SELECT DISTINCT repo_id, array_to_string(parts[:n], '/') AS path
-  FROM (SELECT repo_id, parts, unnest(range(1, len(parts))) AS n FROM scanned))"""
-
+  FROM (SELECT DISTINCT repo_id FROM files) LEFT JOIN scanned USING (repo_id) GROUP BY 1)"""
 # ---------------------------------------------------------------- records
 
 REC_PARTS = f"""{d.RECORDS_SQL},
@@ -181,9 +183,9 @@ parsed AS (
     list_transform(dep_docs, lambda e: CASE json_type(e) WHEN 'VARCHAR' THEN e->>'$' ELSE e->>'$.name' END) AS deps
   FROM docs),
 broken AS (
-  SELECT part_id, 'languages exceeds limit of 50 items (got ' || len(languages) || ')' AS violation FROM parsed WHERE len(languages) > 50
+  SELECT part_id, 'languages list exceeds limit of 50 items (got ' || len(languages) || ')' AS violation FROM parsed WHERE len(languages) > 50
   UNION ALL SELECT part_id, 'project_name exceeds 2048 characters' FROM parsed WHERE length(project_name) > 2048),
-rec AS (SELECT part_id AS id, * EXCLUDE (part_id) FROM parsed WHERE part_id NOT IN (SELECT part_id FROM broken))"""
+rec AS (SELECT part_id AS id, * EXCLUDE (part_id) FROM parsed)"""
 
 REC_FLEET = f"""{ERRORS},
 label_rows AS (SELECT repo_id, path, label FROM scanned JOIN label_of USING (name)),
@@ -198,12 +200,12 @@ labelled AS (SELECT repo_id, list({{'path': path, 'description': label}} ORDER B
 flat AS (SELECT repo_id, list(package ORDER BY kind_rank, source, rn) FILTER (package IS NOT NULL) AS deps FROM deps GROUP BY 1),
 tops AS (SELECT repo_id, list(path ORDER BY path) AS top FROM dirs WHERE NOT contains(path, '/') GROUP BY 1),
 entry_lists AS (SELECT repo_id, list(path ORDER BY k, path) AS entry_points FROM entries GROUP BY 1),
-rejects AS (
-  SELECT repo_id, error AS reason FROM errors
-  UNION ALL SELECT repo_id, 'important_files exceeds limit of 200 items (got ' || n || ')' FROM n_files
+rejects AS (SELECT repo_id, error AS reason FROM errors),
+broken AS (
+  SELECT repo_id, 'important_files exceeds limit of 200 items (got ' || n || ')' AS violation FROM n_files
     WHERE n > 200 AND repo_id NOT IN (SELECT repo_id FROM errors)
-  UNION ALL SELECT n_deps.repo_id, 'dependencies exceeds limit of 500 items (got ' || n_deps.n || ')' FROM n_deps JOIN n_files USING (repo_id)
-    WHERE n_deps.n > 500 AND n_files.n <= 200 AND repo_id NOT IN (SELECT repo_id FROM errors)),
+  UNION ALL SELECT repo_id, 'dependencies exceeds limit of 500 items (got ' || n || ')' FROM n_deps
+    WHERE n > 500 AND repo_id NOT IN (SELECT repo_id FROM errors)),
 rec AS (
   SELECT f.repo_id AS id, title AS project_name, coalesce(languages, []) AS languages, CAST([] AS VARCHAR[]) AS frameworks,
     coalesce(files, []) AS files, coalesce(deps, []) AS deps,
@@ -212,7 +214,7 @@ rec AS (
   FROM flags f LEFT JOIN titles USING (repo_id) LEFT JOIN langs USING (repo_id) LEFT JOIN labelled USING (repo_id)
   LEFT JOIN flat USING (repo_id) LEFT JOIN tops USING (repo_id) LEFT JOIN entry_lists USING (repo_id)
   WHERE f.repo_id NOT IN (SELECT repo_id FROM rejects))"""
-FLEET = (*ENTRY_BASE, LANGUAGES, LABELS, LANG_FILES, FLAGS, DIRS, REC_FLEET)
+FLEET = (*ENTRY_BASE, LANGUAGES, LABELS, LANG_FILES, DIRS, FLAGS, REC_FLEET)
 PARTS = (REC_PARTS,)
 
 # ---------------------------------------------------------------- guide over `rec`
@@ -389,7 +391,7 @@ OVERVIEW_SQL = f"""SELECT id, concat_ws(' ',
     WHEN len(languages) > 0 THEN 'This project is primarily written in ' || array_to_string(languages, ', ') || '.'
     ELSE 'This project''s name and primary language were not detected.' END,
   CASE WHEN len(frameworks) > 0 THEN 'It makes use of ' || array_to_string(frameworks, ', ') || '.' END,
-  CASE WHEN len(dirs6) > 0 THEN 'The repository is organized into the following top-level directories: ' || array_to_string(list_transform(dirs6[:6], lambda x: '''' || x || ''''), ', ') || '.' END,
+  CASE WHEN len(dirs6) > 0 THEN 'The repository is organized into the following top-level directories: ' || array_to_string(list_transform(dirs6, lambda x: '''' || x || ''''), ', ') || '.' END,
   CASE WHEN len(deps) > 0 THEN 'Key dependencies include ' || array_to_string(deps, ', ') || '.' END) AS project_overview FROM tops_distinct"""
 
 NAMES = "signal_names AS (SELECT id, lower(unnest(list_concat(frameworks, deps))) AS name FROM rec)"
@@ -413,13 +415,11 @@ DIAGRAM_BASE = (SIGNALS, NODES, NAMES, SUMMARY, DIAGRAM)
 
 _BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e]|\x{0085}|\x{2028}|\x{2029}"
 README_RAW = f"""{d.READMES_SQL},
-prefixed AS (SELECT repo_id, path, CASE WHEN octet_length(encode(content)) <= {c.README_BYTES} THEN content ELSE coalesce(
-    try(decode(encode(content)[1:{c.README_BYTES}])), try(decode(encode(content)[1:{c.README_BYTES - 1}])) || chr(65533),
-    try(decode(encode(content)[1:{c.README_BYTES - 2}])) || chr(65533), try(decode(encode(content)[1:{c.README_BYTES - 3}])) || chr(65533)) END AS raw FROM readmes),
+prefixed AS (SELECT repo_id, path, content AS raw FROM readmes),
 split_up AS (SELECT *, string_split_regex(raw, '{_BREAK}') AS all_lines FROM prefixed),
 kept AS (SELECT *, CASE WHEN all_lines[-1] = '' THEN all_lines[:-2] ELSE all_lines END AS ls FROM split_up),
 rl AS (SELECT repo_id, i, ls[i] AS line FROM (SELECT repo_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM kept))"""
-README_FACTS_SQL = f"""SELECT k.repo_id, path, title, description, substring(raw, 1, {c.EXCERPT_CHARS}) AS raw_excerpt
+README_FACTS_SQL = f"""SELECT k.repo_id, path, title, description, raw AS raw_excerpt
 FROM (SELECT repo_id, path, raw, CASE WHEN regexp_matches(raw, '(?m)^#\\s+(.+)$') THEN trim(regexp_extract(raw, '(?m)^#\\s+(.+)$', 1), chr(32) || chr(13)) END AS title FROM kept) k
 LEFT JOIN (
   SELECT l.repo_id, string_agg(trim(line), ' ' ORDER BY l.i) AS description FROM rl l JOIN (

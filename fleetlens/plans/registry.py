@@ -14,7 +14,7 @@ from fleetlens.operators import (analysis, audit, dependencies, guide, inventory
                                  provenance, request_log, sanitize, signals)
 from fleetlens.plans import fleet, oracle as o
 from fleetlens.sources import derived as d
-from fleetlens.sources.files import dirs_of
+from fleetlens.sources.files import dirs_of, prune_ignored
 from fleetlens.sources.requests import validate_urls
 from fleetlens.streaming import request_stream
 
@@ -44,7 +44,7 @@ def fleet_records(spark, sf):
 
 def part_records(spark, sf):
     records, _ = analysis.parse_analyses(d.record_texts(spark, sf), "source_text")
-    return analysis.validate_limits(records.drop("source_text"))[0].withColumnRenamed("part_id", "id")
+    return records.drop("source_text").withColumnRenamed("part_id", "id")
 
 
 def lines(column):
@@ -59,7 +59,7 @@ def long(column):
 
 @query(o.with_(*o.BASE, "SELECT repo_id, path FROM scanned"))
 def pruned_files(spark, sf):
-    return scanned(spark, sf).select("repo_id", "path")
+    return prune_ignored(d.files_from_lineitem(spark, sf)).select("repo_id", "path")
 
 
 @query(o.with_(*o.BASE, o.DIRS, "SELECT * FROM dirs"))
@@ -68,7 +68,7 @@ def directories(spark, sf):
 
 
 @query(o.with_(*o.BASE, o.DIRS, """SELECT f.repo_id, total_files, coalesce(total_dirs, 0) AS total_dirs
-  FROM (SELECT repo_id, count(*) AS total_files FROM scanned GROUP BY 1) f
+  FROM (SELECT repo_id, count(s.path) AS total_files FROM files LEFT JOIN scanned s USING (repo_id, path) GROUP BY 1) f
   LEFT JOIN (SELECT repo_id, count(*) AS total_dirs FROM dirs GROUP BY 1) g USING (repo_id)"""))
 def repo_totals(spark, sf):
     return inventory.repo_totals(scanned(spark, sf))
@@ -90,7 +90,7 @@ def important_files(spark, sf):
     return inventory.important_files(scanned(spark, sf))
 
 
-@query(o.with_(*o.BASE, o.FLAGS, "SELECT * FROM flags"))
+@query(o.with_(*o.BASE, o.DIRS, o.FLAGS, "SELECT * FROM flags"))
 def structure_flags(spark, sf):
     return inventory.structure_flags(scanned(spark, sf))
 
@@ -151,7 +151,7 @@ def dependency_purposes(spark, sf):
     return dependencies.dependency_purposes(deps).select("repo_id", "source", long("pos"), "package", "purpose")
 
 
-@query(o.with_(*o.DEP_BASE, o.FLAGS, o.DIRS, o.ERRORS, """SELECT f.repo_id, CASE WHEN error IS NULL THEN 'ok' ELSE 'error' END AS status, error,
+@query(o.with_(*o.DEP_BASE, o.DIRS, o.FLAGS, o.ERRORS, """SELECT f.repo_id, CASE WHEN error IS NULL THEN 'ok' ELSE 'error' END AS status, error,
   total_files, coalesce(n, 0) AS total_dirs, type, has_tests, has_ci, has_docker
   FROM flags f LEFT JOIN errors USING (repo_id) LEFT JOIN (SELECT repo_id, count(*) AS n FROM dirs GROUP BY 1) USING (repo_id)"""))
 def repo_facts(spark, sf):
@@ -236,6 +236,11 @@ def rejected_repositories(spark, sf):
     return analysis.rejected_repositories(scanned(spark, sf))
 
 
+@query(o.with_(*o.FLEET, "SELECT * FROM broken"))
+def fleet_limit_violations(spark, sf):
+    return analysis.validate_limits(analysis.assemble_analyses(scanned(spark, sf)))[1]
+
+
 @query(o.with_(*o.PARTS, """SELECT id, project_name, array_to_string(languages, ',') AS languages,
   array_to_string(frameworks, ',') AS frameworks,
   array_to_string(list_transform(files, lambda f: f.path || '=' || coalesce(f.description, '-')), chr(10)) AS important_files,
@@ -261,10 +266,10 @@ def limit_violations(spark, sf):
     return analysis.validate_limits(records.drop("source_text"))[1]
 
 
-@query(o.with_(d.RECORDS_SQL, """SELECT part_id, sha256('{"part_id":' || part_id || ',"absent":null}') AS cache_key FROM record_texts"""))
+@query(o.with_(d.RECORDS_SQL, """SELECT part_id, sha256('{"part_id":' || part_id || ',"absent":null,"source_text":' || to_json(source_text) || '}') AS cache_key FROM record_texts"""))
 def content_keys(spark, sf):
     return d.record_texts(spark, sf).withColumn("absent", F.lit(None).cast("string")).select(
-        "part_id", content_key("part_id", "absent").alias("cache_key"))
+        "part_id", content_key("part_id", "absent", "source_text").alias("cache_key"))
 
 
 # ---------------------------------------------------------------- guides
@@ -317,8 +322,7 @@ def summary_counts(spark, sf):
     return counts.select("id", long("n_technologies"), long("n_key_files"), long("n_dependencies"))
 
 
-@query(o.with_(*o.FLEET, f"""SELECT id, array_to_string(list_transform(files, lambda f: f.path)[:{c.EVIDENCE_FILES}], chr(10)) AS files,
-  greatest(len(files) - {c.EVIDENCE_FILES}, 0) AS n_more FROM rec"""))
+@query(o.with_(*o.FLEET, """SELECT id, array_to_string(list_transform(files, lambda f: f.path), chr(10)) AS files, 0 AS n_more FROM rec"""))
 def evidence_files(spark, sf):
     evidence = provenance.evidence_files(guide.generate_onboarding(fleet_records(spark, sf)), "id")
     return evidence.select("id", lines("files").alias("files"), long("n_more"))

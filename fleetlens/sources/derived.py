@@ -12,7 +12,7 @@ from fleetlens.functions.text import computed
 # ---------------------------------------------------------------- word lists
 
 DIRS = ("src", "tests", "docs", "node_modules/pkg", ".github/workflows", "backend", "frontend",
-        "src/app/core", "build", "Build", "lib/spec", "packages/ui")
+        "src/app/core", "build", "Build", "lib/spec", "packages/ui", "specs/node_modules/dep", "web/.cache/x")
 
 COMMON = (
     "main.py", "utils.py", "models.py", "test_api.py", "api_test.py", "index.js", "server.js",

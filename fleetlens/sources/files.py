@@ -1,5 +1,8 @@
 """File tables: scan, pruning, directories and landing."""
 
+from fnmatch import fnmatchcase
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fleetlens import catalogs
@@ -7,24 +10,97 @@ from fleetlens.functions import paths
 
 # Only these classes ever need their content.
 WITH_CONTENT = ("manifest", "readme")
+# Rows for directories in which the walk stopped.
+DIRECTORY = "directory"
 
 
-def read_files(spark: SparkSession, root: str) -> DataFrame:
-    """``files(repo_id, path, content, size)`` from ``root/<repo_id>/<path>``.
+def read_files(spark: SparkSession, roots: str | list[str], all_bodies: bool = False) -> DataFrame:
+    """``files(repo_id, path, content, size)`` from ``<root>/<repo_id>/<path>``, whatever the names.
 
-    ``content`` is read only for the columns that ask for it: the binary source skips file
-    bodies when the column is pruned.
+    Tasks list the repositories, first their top entries, then each entry of its own, so neither the
+    driver nor one task holds the files of a large repository. The driver sees the repositories' names
+    alone. A root may hold ``*`` and ``?``. ``content`` is read for manifests and READMEs, or for every
+    file where ``all_bodies`` is set; a broken sequence in it becomes U+FFFD.
     """
-    raw = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root))
-    location = F.col("path")
-    base = root.rstrip("/").split("://", 1)[-1].removeprefix("file:").lstrip("/")
-    pattern = r"(?s)^(?:[a-z0-9+.-]+:)?/*\Q" + base + r"\E/([^/]+)/(.*)\z"
-    return raw.select(
-        F.regexp_extract(location, pattern, 1).alias("repo_id"),
-        F.regexp_extract(location, pattern, 2).alias("path"),
-        F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
-        F.col("length").alias("size"),
-    ).where(F.col("repo_id") != "")
+    found = [(base, name) for root in ([roots] if isinstance(roots, str) else roots)
+             for base in _expand(root) for name, is_dir, _ in _children(base) if is_dir]
+    repos = spark.createDataFrame(found, "base string, repo_id string")
+    entries = repos.repartition(max(1, min(len(found), 10_000))).mapInPandas(
+        _top_entries, "base string, repo_id string, entry string, is_dir boolean, size long")
+    listed = entries.repartition("base", "repo_id", "entry").mapInPandas(
+        _deep_entries, "base string, repo_id string, path string, size long")
+    classed = with_file_class(listed)
+    wanted = F.lit(True) if all_bodies else F.col("file_class").isin(*WITH_CONTENT)
+    bodies = classed.withColumn("wanted", wanted).select("base", "repo_id", "path", "size", "wanted").mapInPandas(
+        _bodies, "repo_id string, path string, raw binary, size long")
+    return bodies.select("repo_id", "path", F.make_valid_utf8(F.col("raw").cast("string")).alias("content"), "size")
+
+
+def _store(location: str):
+    """The file system of a location, and the path in it."""
+    from pyarrow import fs
+
+    if "://" in location and not location.startswith("file:"):
+        return fs.FileSystem.from_uri(location)
+    return fs.LocalFileSystem(), "/" + location.removeprefix("file:").lstrip("/")
+
+
+def _children(location: str) -> list[tuple[str, bool, int]]:
+    """(name, is a directory, size) of what a directory holds, hidden names too."""
+    from pyarrow import fs
+
+    store, path = _store(location)
+    return sorted((i.base_name, i.type == fs.FileType.Directory, i.size or 0)
+                  for i in store.get_file_info(fs.FileSelector(path)))
+
+
+def _expand(root: str) -> list[str]:
+    """The directories that a root with ``*`` or ``?`` stands for."""
+    parts = root.rstrip("/").split("/")
+    at = next((i for i, p in enumerate(parts) if "*" in p or "?" in p), None)
+    if at is None:
+        return [root.rstrip("/")]
+    base = "/".join(parts[:at])
+    return [found for name, is_dir, _ in _children(base) if is_dir and fnmatchcase(name, parts[at])
+            for found in _expand("/".join([base, name, *parts[at + 1:]]))]
+
+
+def _top_entries(frames):
+    for frame in frames:
+        for base, repo in zip(frame["base"], frame["repo_id"], strict=True):
+            rows = [(base, repo, *child) for child in _children(f"{base}/{repo}")]
+            yield pd.DataFrame(rows, columns=["base", "repo_id", "entry", "is_dir", "size"])
+
+
+def _deep_entries(frames):
+    names = ["base", "repo_id", "path", "size"]
+    for frame in frames:
+        for base, repo, entry, is_dir, size in frame.itertuples(index=False):
+            if not is_dir:
+                yield pd.DataFrame([(base, repo, entry, size)], columns=names)
+                continue
+            waiting = [entry]
+            while waiting:  # one directory at a time: a task holds no repository
+                folder = waiting.pop()
+                children = _children(f"{base}/{repo}/{folder}")
+                waiting += [f"{folder}/{name}" for name, inner, _ in children if inner]
+                yield pd.DataFrame([(base, repo, f"{folder}/{name}", n) for name, inner, n in children if not inner],
+                                   columns=names)
+
+
+def _bodies(frames):
+    for frame in frames:
+        for at in range(0, len(frame), 64):
+            part = frame.iloc[at:at + 64]
+            raw = []
+            for base, repo, path, wanted in zip(part["base"], part["repo_id"], part["path"], part["wanted"], strict=True):
+                if wanted:
+                    store, place = _store(f"{base}/{repo}/{path}")
+                    with store.open_input_stream(place) as stream:
+                        raw.append(stream.read())
+                else:
+                    raw.append(None)
+            yield pd.DataFrame({"repo_id": part["repo_id"], "path": part["path"], "raw": raw, "size": part["size"]})
 
 
 def prune_ignored(files: DataFrame) -> DataFrame:
@@ -32,6 +108,28 @@ def prune_ignored(files: DataFrame) -> DataFrame:
     return files.where(~F.col("path").rlike(paths.IGNORED_ANCESTOR))
 
 
+def visible(files: DataFrame) -> DataFrame:
+    """Files as a walk meets them: it doesn't enter ignored or dot directories.
+
+    A file below one becomes a row for the directory in which the walk stopped, with a path that ends in
+    ``/`` (empty at the root), no content and the class ``directory``. So a directory that holds nothing
+    else is still known.
+    """
+    if "file_class" in files.columns:
+        return files
+    hidden = F.col("path").rlike(paths.IGNORED_ANCESTOR)
+    stopped = files.where(hidden).select(
+        "repo_id", F.regexp_extract("path", paths.VISIBLE_PREFIX, 0).alias("path"),
+        *[F.lit(None).cast(files.schema[c].dataType).alias(c) for c in files.columns if c not in ("repo_id", "path")],
+        F.lit("").alias("name"), F.lit(DIRECTORY).alias("file_class"))
+    return with_file_class(files.where(~hidden)).unionByName(stopped.select(
+        *files.columns, "name", "file_class"))
+
+
+def is_file():
+    return F.col("file_class") != DIRECTORY
+
+
 def with_file_class(files: DataFrame) -> DataFrame:
     """Add ``name`` (lower-cased base name) and ``file_class``.
 
@@ -48,19 +146,20 @@ def with_file_class(files: DataFrame) -> DataFrame:
 
 
 def land_files(files: DataFrame, path: str) -> None:
-    """Write the pruned files partitioned by class.
+    """Write the visible files partitioned by class, and the directories where the walk stopped.
 
     Manifest and README readers then open only their own small partitions and the passes over
     paths never read a file body.
     """
-    landed = with_file_class(prune_ignored(files))
+    landed = visible(files)
     body = F.when(F.col("file_class").isin(*WITH_CONTENT), F.col("content"))
-    (landed.withColumn("content", body)
+    landed = landed.withColumn("content", body)
+    (landed.where(is_file()).unionByName(landed.where(~is_file()).distinct())
      .write.mode("overwrite").partitionBy("file_class").parquet(path))
 
 
 def dirs_of(files: DataFrame) -> DataFrame:
-    """``dirs(repo_id, path)``: every directory that holds a file, at any depth."""
+    """``dirs(repo_id, path)``: every visible directory at any depth, even if all in it is ignored."""
     # Few directories hold many files: reduce to distinct parents before expanding prefixes.
     parents = (files.select("repo_id", paths.dir_of("path").alias("dir"))
                .where(F.col("dir") != "").distinct())

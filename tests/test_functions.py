@@ -81,7 +81,39 @@ def test_pyproject(spark):
     good, bad, none = evaluate(spark, manifests.pyproject_packages, body, "x = = 1", None)
     assert (good.packages, good.error) == (["a", "b", "c", "z"], None)
     assert bad.packages == [] and bad.error.startswith("Invalid value")
-    assert none.packages is None
+    assert none is None
+
+
+def test_pyproject_like_a_toml_reader(spark):
+    import re
+    import tomllib
+
+    texts = [
+        '[project]\nname = "a # b"\ndependencies = [\n  "one>=1", # why ]\n  \'two[x]~=2\',\n  "three ; python_version < \\"3\\"",\n]\n',
+        '[tool.poetry.dependencies] # deps\npython = "^3"\n"quoted.name" = "*"\nd = {version = "1", extras = ["x = 2"]}\n'
+        'e.version = "1"\nf = [\n  "a",\n]\n[tool.poetry.dependencies.g]\nversion = "2"\n[other]\nh = 1\n',
+        '[ project ]\r\ndependencies = ["x@y", "z\u00a0>1"]\r\n[project.optional-dependencies]\r\ndependencies = ["no"]\r\n',
+        "[project]\ndescription = \"\"\"\n[project]\ndependencies = ['no']\n\"\"\"\n", "", "a = 1\n",
+        '[project]\ndependencies = [' + ", ".join(f'"p{i}"' for i in range(4000)) + "]\n",
+    ]
+
+    def names(text):
+        d = tomllib.loads(text.replace("\r\n", "\n"))
+        listed = [re.split(r"[><=!~;\[@\s]", x)[0].strip() for x in d.get("project", {}).get("dependencies", [])]
+        return [n for n in listed if n] + [
+            n for n in d.get("tool", {}).get("poetry", {}).get("dependencies", {}) if n.lower() != "python"]
+
+    assert [tuple(r) for r in evaluate(spark, manifests.pyproject_packages, *texts)] == [(names(t), None) for t in texts]
+    bad = ["a = 1\nb = = 2\n", "k =\nx = 1\n", "v = yes\n"]
+
+    def problem(text):
+        try:
+            tomllib.loads(text)
+        except tomllib.TOMLDecodeError as e:
+            return str(e)
+
+    assert [r.error for r in evaluate(spark, manifests.pyproject_packages, *bad)] == [problem(t) for t in bad]
+
 
 
 def test_go_mod(spark):

@@ -53,8 +53,8 @@ def test_structure_flags(spark):
     no = (False, False, False)
     assert got == {"a": (True, False, False), "b": (True, False, False), "c": (True, False, False),
                    "d": no, "e": (False, True, False), "f": (False, False, True), "g": no}
-    dotted = inventory.structure_flags(df, include_dot_github=True).where("repo_id = 'g'").first()
-    assert dotted.has_ci
+    dotted = inventory.structure_flags(inventory.scan(df), workflows=df).where("repo_id = 'g'").first()
+    assert dotted.has_ci and dotted.total_files == 0
 
 
 def test_entry_points(spark):
@@ -132,26 +132,40 @@ def test_repo_facts_errors(spark):
     assert sorted(r.repo_id for r in rejected.collect()) == ["a", "b"]
 
 
-@pytest.mark.parametrize("n, kept", [(200, 1), (201, 0)])
-def test_assemble_important_file_limit(spark, n, kept):
-    scanned = inventory.scan(files(spark, *[("r", f"d{i}/LICENSE") for i in range(n)]))
-    ok, rejected = analysis.assemble_analyses(scanned), analysis.rejected_repositories(scanned)
-    assert ok.count() == kept
-    if not kept:
-        assert rejected.first().reason == "important_files exceeds limit of 200 items (got 201)"
-
-
-def test_assemble_dependency_and_structure_limits(spark):
-    many = "\n".join(f"p{i}" for i in range(501))
+def test_no_repository_is_lost_to_a_limit(spark):
+    many = "\n".join(f"p{i}" for i in range(5000))
     wide = [("w", f"d{i}/{'x' * 200}{i}/main.py") for i in range(400)]
-    huge = [("h", f"d{i}/{'x' * 200}{i}/main.py") for i in range(900)]
-    scanned = inventory.scan(files(spark, ("d", "requirements.txt", many), *wide, *huge))
-    rejected = analysis.rejected_repositories(scanned)
-    assert analysis.assemble_analyses(scanned).count() == 0
-    assert {r.repo_id: r.reason for r in rejected.collect()} == {
-        "d": "dependencies exceeds limit of 500 items (got 501)",
-        "w": "project_structure exceeds size limit of 64 KiB when serialised",
-        "h": "project_structure exceeds size limit of 64 KiB when serialised"}
+    scanned = inventory.scan(files(spark, ("d", "requirements.txt", many), *wide, *[("r", f"d{i}/LICENSE") for i in range(201)]))
+    records = analysis.assemble_analyses(scanned)
+    got = {r.repo_id: r for r in records.collect()}
+    assert len(got["d"].dependencies) == 5000 and len(got["r"].important_files) == 201 and "w" in got
+    assert analysis.rejected_repositories(scanned).count() == 0
+    assert {r.repo_id: r.violation for r in analysis.validate_limits(records)[1].collect()} == {
+        "d": "dependencies exceeds limit of 500 items (got 5000)", "r": "important_files exceeds limit of 200 items (got 201)",
+        "w": "project_structure exceeds size limit of 64 KiB when serialised"}
+    guides = {r.repo_id: r for r in guide.generate_onboarding(records).collect()}
+    assert set(guides) == {"d", "r", "w"} and len(guides["d"].dependencies) == 5000
+    items = analysis.record_items(scanned).where("repo_id = 'd' and section = 'dependencies'").orderBy("pos").collect()
+    assert [r.text for r in items] == [f"p{i}" for i in range(5000)]
+
+
+def test_directories_of_ignored_files(spark):
+    df = inventory.scan(files(spark, ("r", "tests/node_modules/a.js"), ("r", "a.py"), ("r", "x/.git/y/z"), ("s", "node_modules/q.js")))
+    assert rows(dirs_of(df), "repo_id", "path") == [("r", "tests"), ("r", "x")]
+    assert rows(inventory.top_level_dirs(df), "dir") == [("r", "tests"), ("r", "x")]
+    assert rows(inventory.repo_totals(df), "repo_id") == [("r", 1, 2), ("s", 0, 0)]
+    flags = {r.repo_id: (r.total_files, r.has_tests, r.type) for r in inventory.structure_flags(df).collect()}
+    assert flags == {"r": (1, True, "Unknown"), "s": (0, False, "Unknown")}
+    facts = {r.repo_id: (r.total_files, r.total_dirs, r.has_tests) for r in analysis.repo_facts(df).collect()}
+    assert facts == {"r": (1, 2, True), "s": (0, 0, False)}
+
+
+def test_workflows_count_where_asked_for(spark):
+    listed = files(spark, ("r", ".github/workflows/ci.yml"), ("r", "a.py"), ("s", "b.py"))
+    scanned = inventory.scan(listed)
+    assert [r.has_ci for r in inventory.structure_flags(scanned).collect()] == [False, False]
+    flags = {r.repo_id: (r.has_ci, r.total_files) for r in inventory.structure_flags(scanned, listed).collect()}
+    assert flags == {"r": (True, 1), "s": (False, 1)}
 
 
 def test_read_and_land_files(spark, tmp_path):
@@ -162,7 +176,18 @@ def test_read_and_land_files(spark, tmp_path):
         target.write_text(body[0] if body else "x")
     (root / "s").mkdir()
     (root / "s" / "a b+c%20.py").write_bytes(b"\xff ok")
-    df = read_files(spark, str(root))
+    names = ["__init__.py", "__main__.py", ".env.example", ".flake8", "_config.yml", ".github/workflows/ci.yml",
+             "__tests__/x.js", "README.md", "tests/node_modules/k.js", "src/a.py"]
+    for name in names:
+        (root / "t" / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / "t" / name).write_text("x")
+    df = read_files(spark, str(root), all_bodies=True)
+    assert sorted(r.path for r in df.where("repo_id = 't'").collect()) == sorted(names)
+    assert rows(dirs_of(inventory.scan(df.where("repo_id = 't'"))), "path") == [("t", "__tests__"), ("t", "src"), ("t", "tests")]
+    several = read_files(spark, str(tmp_path / "in*"))
+    assert several.count() == df.count()
+    assert {r.path for r in several.where("content is not null").collect()} == {
+        "README.md", "requirements.txt", "web/package.json", "node_modules/p/package.json"}
     assert sorted(r.path for r in df.where("repo_id = 'r'").collect()) == sorted(p for _, p, *_ in whole_repo())
     odd = df.where("repo_id = 's'").first()
     assert (odd.path, odd.content, odd.size) == ("a b+c%20.py", "\ufffd ok", 4)

@@ -114,7 +114,18 @@ def test_overview_directories(spark):
     assert [r.top_overview for r in shown] == [
         [f"d{i}" for i in range(8)], ["b", "a"], [], ["z", "w"], ["q"]]
     overview = guide.generate_onboarding(parsed).orderBy("id").first().project_overview
-    assert "'d5'" in overview and "'d6'" not in overview
+    assert all(f"'d{i}'" in overview for i in range(8))
+
+
+def test_reported_directories_that_count_as_nothing(spark):
+    parsed, _ = records(spark, dict(project_structure={"top_level_dirs": ["a", 1, 0, None, "", False, True, [], {}, "b"]}))
+    shown = guide.with_steps(guide.with_signals(parsed)).first()
+    assert shown.top_overview == ["a", "1", "true", "b"]
+
+
+def test_schema_version_is_a_whole_number(spark):
+    good, bad = records(spark, *[dict(schema_version=v) for v in (1, 2, 1.0, 1.5, True, "1", [1])])
+    assert sorted(r.id for r in good.collect()) == [0, 1, 2] and sorted(r.id for r in bad.collect()) == [3, 4, 5, 6]
 
 
 def test_malformed_records(spark):
@@ -207,7 +218,7 @@ def test_prompts(spark):
         "schema_version": 1, **{k: UNICODE[k] for k in ("project_name", "languages", "frameworks", "important_files")},
         "dependencies": ["a", {"name": "b", "version": None, "type": "dev"}], "project_structure": None}
     assert body == json.dumps(expected, indent=2)
-    assert made[0].prompt_version == "v2" and len({r.cache_key for r in made}) == 2
+    assert made[0].prompt_version == "fleet-1" and len({r.cache_key for r in made}) == 2
     assert "AKIA" not in made[1].prompt and "BEGIN RSA" not in made[1].prompt
 
 
@@ -264,4 +275,6 @@ def test_provenance(spark):
 def test_evidence(spark):
     parsed, _ = records(spark, dict(important_files=[f"f{i}" for i in range(11)]), SPARSE)
     got = rows(provenance.evidence_files(guide.generate_onboarding(parsed), "id"), "id")
-    assert got == [(0, [f"f{i}" for i in range(8)], 3), (1, [], 0)]
+    assert got == [(0, [f"f{i}" for i in range(11)], 0), (1, [], 0)]
+    some = rows(provenance.evidence_files(guide.generate_onboarding(parsed), "id", shown=8), "id")
+    assert some == [(0, [f"f{i}" for i in range(8)], 3), (1, [], 0)]
