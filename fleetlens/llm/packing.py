@@ -12,7 +12,11 @@ other; an empty table gives no pieces; other columns are ignored.
 
 from __future__ import annotations
 
+import array
+import functools
 import os
+import re
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +35,22 @@ QUERY_TERMS = 24
 NEIGHBOURS = 24
 K1, B = 1.2, 0.75
 #: Chunks of text whose ids a task remembers, and how long they may be.
-CACHE_CHUNKS, CHUNK_CHARS = 300_000, 64
+CACHE_CHUNKS, CHUNK_CHARS = 250_000, 64
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
 class ChunkTokenizer:
-    """Token ids as packed bytes. Texts are cut at blanks, which no token of the vocabulary crosses."""
+    """Token ids as packed bytes. Texts are cut at blanks, which no token of the vocabulary crosses.
+
+    Every chunk is encoded once and remembered. Where the tokenizer lower-cases, takes a run of letters
+    whole and the marks after it apart (which is tried out first), chunks are cut there too, and runs of
+    Latin letters go to its model directly.
+    """
+
+    #: Letters below this code point are their own normal form.
+    LATIN_END = "\u0250"
+    _MARKS = re.compile(rb"([a-z])([!-/:-@\[-`{-~]+)(?=[ \n]|$)")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -46,35 +59,94 @@ class ChunkTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+        self.special = [str(t.content).encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.letters: dict[str, str] = {}
+        self.plain = self._takes_letters_whole()
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _takes_letters_whole(self) -> bool:
+        t = self.tokenizer
+        if t.pre_tokenizer is None or t.normalizer is None:
+            return False
+        cut = [p for p, _ in t.pre_tokenizer.pre_tokenize_str("abcxyz., def")]
+        return (t.normalizer.normalize_str("ABC xyz") == "abc xyz" and cut[0] == "abcxyz" and "def" in cut
+                and self._ids("Abcxyz. Abc%, b'") == [i for x in ("abcxyz", ".", "abc", "%,", "b", "'") for i in self._ids(x)]
+                and self._ids("abcxyz") == [x.id for x in t.model.tokenize("abcxyz")])
+
+    def _letter(self, char: str) -> str:
+        """The characters that the model reads for a letter."""
+        found = self.letters.get(char)
+        if found is None:
+            found = self.letters[char] = "".join(p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(char))
+        return found
+
+    def _cut(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        if self.plain:
+            raw = text.encode("utf-8", "surrogatepass")
+            lower = raw.lower()  # for bytes: A-Z alone
+            if not any(s in lower for s in self.special):
+                text = self._MARKS.sub(rb"\1 \2", lower).decode("utf-8", "surrogatepass")
+        return text.replace("\n", " ").split(" ")
+
+    def _encode_fresh(self, fresh: list[str]) -> dict[str, bytes]:
+        out, rest = {}, fresh
+        if self.plain:
+            rest, model, pack = [], self.tokenizer.model, self.pack
+            for c in fresh:
+                if c.isalpha() and max(c) < self.LATIN_END:
+                    low = c if c.isascii() else c.lower()
+                    if low.isascii():
+                        out[c] = pack([x.id for x in model.tokenize(low)])
+                        continue
+                    if low.isalpha():
+                        out[c] = pack([x.id for x in model.tokenize("".join(map(self._letter, low)))])
+                        continue
+                rest.append(c)
+        for at in range(0, len(rest), 4096):
+            part = rest[at:at + 4096]
+            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                out[c] = self.pack(e.ids)
+        return out
 
     def pack(self, ids) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        packed = array.array("H" if self.dtype.itemsize == 2 else "I", ids)
+        if sys.byteorder == "big":
+            packed.byteswap()
+        return packed.tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        if len(self.known) > CACHE_CHUNKS:
-            self.known = {"": b""}
-        known = self.known
-        fresh = list({c for chunks in cut for c in chunks if c not in known})
-        long: list[str] = []
-        for at in range(0, len(fresh), 4096):
-            part = fresh[at:at + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                known[c] = self.pack(e.ids)
-                if len(c) > CHUNK_CHARS:
-                    long.append(c)
+        cut = [self._cut(t) for t in texts]
+        if len(self.known) > CACHE_CHUNKS:  # what is used again comes back from the older half
+            self.known, self.older = {"": b""}, self.known
+        known, older = self.known, self.older
+        fresh = set().union(*cut) - known.keys()
+        again = fresh & older.keys()
+        known.update((c, older[c]) for c in again)
+        known.update(self._encode_fresh(list(fresh - again)))
         out = [b"".join(map(known.__getitem__, chunks)) for chunks in cut]
-        for c in long:
-            del known[c]
+        for c in fresh:
+            if len(c) > CHUNK_CHARS:
+                del known[c]
         return out
 
 
+@functools.lru_cache(maxsize=2)
+def chunk_tokenizer(path: str) -> ChunkTokenizer:
+    """Kept by a worker for its next tasks."""
+    return ChunkTokenizer(path)
+
+
 def _tokenize(docs: DataFrame, tokenizer: str, end: int, shards: int) -> DataFrame:
     """``shard, doc_id, start, doc_tokens, ids``: parts of documents, ids packed."""
     schema = "hash long, doc_id long, start long, doc_tokens long, ids binary"
 
     def run(batches):
-        encoder = ChunkTokenizer(tokenizer)
+        encoder = chunk_tokenizer(tokenizer)
         width, last = encoder.dtype.itemsize, encoder.pack([end])
         for batch in slices(batches):
             rows = []
