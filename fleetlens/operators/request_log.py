@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from fleetlens import catalogs
 
 HOUR, DAY = 3600, 86400
+# Requests that one task puts in order.
+BLOCK_ROWS = 100_000
 
 
 def _block(micros: Column, seconds: int) -> Column:
@@ -39,22 +41,43 @@ def request_metrics(requests: DataFrame, *by: str) -> DataFrame:
         F.coalesce("avg", F.lit(0.0)).alias("avg_latency_ms"))
 
 
-def paging(metrics: DataFrame) -> DataFrame:
+def paging(metrics: DataFrame, rate: float = catalogs.PAGE_RATE,
+           min_requests: int = catalogs.PAGE_MIN_REQUESTS) -> DataFrame:
     """Metric rows that should page someone: nearly everything falls back."""
-    return metrics.where((F.col("fallback_rate") > catalogs.PAGE_RATE)
-                         & (F.col("total") > catalogs.PAGE_MIN_REQUESTS))
+    return metrics.where((F.col("fallback_rate") > rate) & (F.col("total") > min_requests))
 
 
 # ---------------------------------------------------------------- streaks
 
-def fallback_streaks(requests: DataFrame, scope: str | None = None,
-                     block_seconds: int = HOUR) -> DataFrame:
+def _row_blocks(rows: DataFrame, block_rows: int, tick_micros: int) -> DataFrame:
+    """Add ``_block``: consecutive requests of a scope, about ``block_rows`` of them however dense the log.
+
+    Requests are counted per tick before the shuffle.  The counts are summed up within an hour and over
+    the hours, so even one scope with all traffic is summed by many tasks.  A block may be larger by
+    the requests of one tick.
+    """
+    micros = F.unix_micros("ts")
+    rows = rows.withColumns({"_tick": F.floor(micros / tick_micros).cast("long"), "_hour": _block(micros, HOUR)})
+    ticks = rows.groupBy("_scope", "_hour", "_tick").agg(F.count(F.lit(1)).alias("n"))
+    hours = ticks.groupBy("_scope", "_hour").agg(F.sum("n").alias("n"))
+
+    def before(*by, order):
+        return F.coalesce(F.sum("n").over(
+            Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    hours = hours.select("_scope", "_hour", before("_scope", order="_hour").alias("_earlier"))
+    placed = ticks.withColumn("_within", before("_scope", "_hour", order="_tick")).join(hours, ["_scope", "_hour"])
+    blocks = placed.select("_scope", "_tick", F.floor((F.col("_earlier") + F.col("_within")) / block_rows).alias("_block"))
+    return rows.join(blocks, ["_scope", "_tick"]).drop("_tick", "_hour")
+
+
+def fallback_streaks(requests: DataFrame, scope: str | None = None, block_rows: int = BLOCK_ROWS,
+                     tick_micros: int = 1_000_000) -> DataFrame:
     """Add ``streak``: consecutive fallbacks so far.
 
     A model answer or a cache hit resets it, an error leaves it unchanged.
     """
-    rows = _scoped(requests, scope).withColumn(
-        "_block", _block(F.unix_micros("ts"), block_seconds))
+    rows = _row_blocks(_scoped(requests, scope), block_rows, tick_micros)
     within = Window.partitionBy("_scope", "_block").orderBy("ts", "request_id") \
         .rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn(

@@ -485,6 +485,17 @@ def paging_keys(spark, sf):
         d.requests_from_events(spark, sf), "cache_key")).select("cache_key", "total")
 
 
+# A lower bar, so that the test data has keys that page.
+_PAGE = dict(rate=0.2, min_requests=3)
+
+
+@query(o.with_(d.REQUESTS_SQL, """SELECT cache_key, count(*) AS total FROM requests GROUP BY 1
+  HAVING count(*) > 3 AND count(*) FILTER (path = 'fallback') / count(*) > 0.2"""))
+def paging_keys_low_bar(spark, sf):
+    return request_log.paging(request_log.request_metrics(
+        d.requests_from_events(spark, sf), "cache_key"), **_PAGE).select("cache_key", "total")
+
+
 @query(o.with_(d.REQUESTS_SQL, o.STREAKS, "SELECT * FROM streaks"))
 def fallback_streaks(spark, sf):
     return request_log.fallback_streaks(d.requests_from_events(spark, sf)).select("request_id", "streak")
@@ -505,10 +516,8 @@ _HOT = d.REQUESTS_SQL.replace("CAST(user_id AS VARCHAR) AS cache_key", "event_ty
 
 
 def _hot_requests(spark, sf):
-    events = spark.read.parquet(f"{sf}/events.parquet")
-    return d.as_requests(events).join(
-        events.select(F.col("event_id").alias("request_id"), "event_type"), "request_id") \
-        .withColumn("cache_key", F.col("event_type")).drop("event_type")
+    requests = d.as_requests(spark.read.parquet(f"{sf}/events.parquet"), "event_type")
+    return requests.withColumn("cache_key", F.col("event_type")).drop("event_type")
 
 
 @query(o.with_(_HOT, o.TTL, "SELECT request_id, outcome FROM outcomes"))

@@ -258,9 +258,10 @@ def requests_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_requests(_table(spark, sf_dir, "events"))
 
 
-def as_requests(events: DataFrame) -> DataFrame:
+def as_requests(events: DataFrame, *more: str) -> DataFrame:
     # The log carries instants without a zone; they are UTC.
     return events.select(
+        *more,
         F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("request_id"),
         F.col("user_id").cast("string").alias("cache_key"), F.expr(_PATHS).alias("path"),
         F.col("value").alias("latency_ms"))
