@@ -77,3 +77,31 @@ def discard(spark: SparkSession, *landed: DataFrame) -> None:
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def most_frequent(counts: DataFrame, by: str, limit: int) -> DataFrame:
+    """The rows of ``counts`` with the highest ``by``, at most ``limit``; rows of about equal counts stay together.
+
+    A histogram of at most 1,024 steps gives the threshold, so only the rows that are wanted need reach the driver.
+    """
+    n = F.col(by)
+    width = F.length(F.bin(n))
+    shift = F.greatest(width - 4, F.lit(0))
+    steps = counts.where(n > 0).groupBy(F.expr(f"shiftright({by}, greatest(length(bin({by})) - 4, 0))").alias("top"),
+                                        shift.cast("int").alias("shift")).count().collect()
+    threshold, held = None, 0
+    for step in sorted(steps, key=lambda r: -(r.top << r.shift)):
+        held += step["count"]
+        if held > limit:
+            break
+        threshold = step.top << step.shift
+    return counts.where(n >= threshold) if threshold is not None else counts.limit(0)
+
+
+def spread_sample(rows: DataFrame, key: str, size: int, seed: int) -> DataFrame:
+    """At most ``size`` rows, those with the lowest hash of ``key``; few more are ever sorted."""
+    total = rows.count()
+    space = 1 << 40
+    share = min(space, int(space * (2 * size + 1000) / max(total, 1)) + 1)
+    order = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(space))
+    return rows.where(order < share).orderBy(order, *[F.col(c) for c in rows.columns]).limit(size)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.llm.common import append_columns, land
+from fleetlens.llm.common import append_columns, land, spread_sample
 
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS = 50
@@ -132,8 +132,7 @@ def grow_tree(rows: np.ndarray, rng: np.random.Generator) -> np.ndarray:
 
 def fit_forest(stats: DataFrame, key: str, trees: int = TREES, leaf_sample: int = LEAF_SAMPLE, seed: int = 7):
     """Trees on a bounded sample: at most ``trees * leaf_sample`` rows, spread by the hash of their id."""
-    order = [F.xxhash64(F.col(key), F.lit(seed)), *[F.col(c) for c in STATISTICS]]
-    sample = stats.orderBy(*order).select(*STATISTICS).limit(trees * leaf_sample).collect()
+    sample = spread_sample(stats.select(key, *STATISTICS), key, trees * leaf_sample, seed).select(*STATISTICS).collect()
     rows = _features(np.array([tuple(r) for r in sample], np.int64).reshape(-1, len(STATISTICS)))
     rng = np.random.default_rng(seed)
     rng.shuffle(rows)
