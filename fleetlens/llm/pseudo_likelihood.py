@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.llm.common import append_columns, land, slices
+from fleetlens.llm.common import append_columns, land, most_frequent, slices
 
 SIDE = 2
 CLASSES, PER_CLASS = 64, 64
@@ -245,8 +245,8 @@ def _train_round(encoded: DataFrame, network: Network, offset: int, rate: float,
 
 
 def frequent_words(docs: DataFrame, text: str = "text") -> dict[int, int]:
-    rows = word_counts(docs, text).orderBy(F.desc("n"), "code").limit(OWN_IDS).collect()
-    return {r.code: i for i, r in enumerate(rows)}
+    rows = most_frequent(land(word_counts(docs, text)), "n", OWN_IDS).collect()
+    return {r.code: i for i, r in enumerate(sorted(rows, key=lambda r: (-r.n, r.code)))}
 
 
 def train(encoded: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, rate: float = RATE,
