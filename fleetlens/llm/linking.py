@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +53,7 @@ def beside(pairs: DataFrame, bodies: DataFrame, group_rows: int = GROUP_ROWS) ->
     the bodies of ``a``, then each partner ``b`` with its body. A node with many partners is split into
     parts, each with its own copy of the body of ``a``, so that no group grows with the data.
     """
+    pairs = land(pairs)  # read four times below
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(group_rows)).alias("parts"))
     placed = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
     own = placed.select("a", "part").distinct().join(
@@ -90,22 +92,54 @@ def buckets(rows: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, schema)
 
 
-def link_buckets(found: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+#: Rounds of stars before what is left of the buckets is compared pair by pair.
+STARS = 2
+#: Pairs per row of a bucket, on average, up to which all that are left are compared.
+SMALL = 32
+
+
+def link_buckets(found: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent: int, stars: int = STARS) -> DataFrame:
     """``node, comp``: components of the confirmed pairs of ``found``, the landed :func:`buckets`.
 
-    First every member is compared with its bucket's representative. Of the pairs that remain, only those
-    whose nodes the links so far leave apart are compared, so a bucket of copies stays a star. Sizes
-    ``n`` of a pair may differ by ``percent`` at most.
+    First every member is compared with its bucket's representative. Then, for some rounds, with another
+    representative, if the links so far leave the two apart: a bucket of copies soon is one component.
+    In the end all pairs of a bucket that are still apart are compared, so no link is missed. Sizes ``n``
+    of a pair may differ by ``percent`` at most. No pair is compared twice.
     """
     spark = found.sparkSession
-    stars = land(found.select(F.col("rep").alias("a"), F.col("node").alias("b"), F.col("n_rep").alias("n_a"),
+    members = found.select("token", "node", "n").union(
+        found.select("token", F.col("rep").alias("node"), F.col("n_rep").alias("n")).distinct())
+    pairs = land(found.select(F.col("rep").alias("a"), F.col("node").alias("b"), F.col("n_rep").alias("n_a"),
                               F.col("n").alias("n_b")).where(_fits(percent)).select("a", "b").distinct())
-    links = land(confirm(stars))
-    labels = components(links)
-    more = land(confirm(_apart(found, stars, labels, percent)))
-    if not more.isEmpty():
-        labels = components(links.union(more))
-    discard(spark, stars, links, more)
+    tested, links = [pairs], [land(confirm(pairs))]
+    labels = components(links[0])
+    # A bucket of two nodes is settled by its star; one component needs no further comparison.
+    live = land(_unsettled(members, labels, "size > 2 and low < high"))
+    for k in range(1, stars + 1):
+        # Small buckets are cheaper to compare than to star once more.
+        left = live.groupBy("token").count().agg(
+            F.sum(F.col("count") * (F.col("count") - 1) / 2).alias("pairs"), F.sum("count").alias("rows")).first()
+        if (left.pairs or 0) <= SMALL * (left.rows or 0):
+            break
+        star = live.groupBy("token").agg(F.min_by(F.struct("node", "n", "comp"), F.xxhash64("node", F.lit(k))).alias("r"))
+        fresh = live.join(star, "token").where("comp <> r.comp").select(
+            F.least("node", "r.node").alias("a"), F.greatest("node", "r.node").alias("b"), F.col("r.n").alias("n_a"),
+            F.col("n").alias("n_b")).where(_fits(percent)).select("a", "b").distinct()
+        pairs = land(_untested(fresh, tested))
+        tested.append(pairs)
+        links.append(land(confirm(pairs)))
+        if not links[-1].isEmpty():
+            labels = components(reduce(DataFrame.union, links))
+            previous, live = live, land(_unsettled(live.drop("comp"), labels, "low < high"))
+            discard(spark, previous)
+    rest = live.select("token", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a")).join(
+        live.select("token", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b")),
+        "token").where((F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & _fits(percent)).select(
+            "a", "b").distinct()
+    links.append(land(confirm(_untested(rest, tested))))
+    if not links[-1].isEmpty():
+        labels = components(reduce(DataFrame.union, links))
+    discard(spark, live, *tested, *links)
     return labels
 
 
@@ -113,20 +147,15 @@ def _fits(percent: int):
     return F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
 
 
-def _apart(found: DataFrame, stars: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket that lie in different components and were not compared with each other yet."""
-    members = found.select("token", "node", "n").union(
-        found.select("token", F.col("rep").alias("node"), F.col("n_rep").alias("n")).distinct())
+def _unsettled(members: DataFrame, labels: DataFrame, condition: str) -> DataFrame:
+    """``token, node, n, comp`` of the buckets that the links so far leave in several components."""
     placed = members.join(labels, "node", "left").select(
         "token", "node", "n", F.coalesce("comp", "node").alias("comp"))
-    # A bucket of two nodes is settled by its star; one component needs no further comparison.
-    unsettled = placed.groupBy("token").agg(
-        F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where(
-            "size > 2 and low < high").select("token")
-    left = land(placed.join(unsettled, "token", "left_semi"))
-    pairs = left.select("token", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a")).join(
-        left.select("token", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b")),
-        "token").where((F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & _fits(percent)).select(
-            "a", "b").distinct()
-    both = stars.select("a", "b").union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return pairs.join(both, ["a", "b"], "left_anti")
+    tokens = placed.groupBy("token").agg(
+        F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where(condition).select("token")
+    return placed.join(tokens, "token", "left_semi")
+
+
+def _untested(pairs: DataFrame, tested: list[DataFrame]) -> DataFrame:
+    done = reduce(DataFrame.union, tested).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs.join(done, ["a", "b"], "left_anti")

@@ -27,17 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.llm.common import append_columns, discard, land, slices
+from fleetlens.llm.common import append_columns, discard, land, most_frequent, slices
 from fleetlens.llm.linking import beside, buckets, link_buckets
 
 WIDTH = 5
 #: Links need this percentage of the union.
 PERCENT = 80
 #: Tokens that the orders put last, at most; only the order of tokens depends on this.
-FREQUENT = 200_000
-#: A token is counted as frequent where it stands in this many of a task's slice of documents.
-LOCALLY = 3
-SLICE = 4096
+FREQUENT = 1_000_000
+#: A token is counted as frequent where it stands in this many different sets of a task's slice.
+LOCALLY = 2
+SLICE = 16_384
 #: Multipliers that set the orders apart.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 _FACTORS = np.array([0x9FB21C651E98DF25, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3,
@@ -95,12 +95,14 @@ def _survey(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
         hashes = WordHashes()
         for batch in slices(batches, SLICE):
-            prints, sizes, tokens = [], [], []
+            prints, sizes, tokens, seen = [], [], [np.empty(0, np.uint64)], set()
             for text in batch.column(1):
                 found = shingle_set(text.as_py(), hashes, width)
                 sizes.append(len(found))
                 prints.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-                tokens.append(found)
+                if prints[-1] not in seen:  # copies are one set
+                    seen.add(prints[-1])
+                    tokens.append(found)
             rows = pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(prints, pa.binary()), pa.nulls(batch.num_rows, pa.int64()),
                  pa.array(sizes, pa.int64())], ["id", "print", "token", "n"])
@@ -203,12 +205,12 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     survey = land(_survey(texts, width))
     rows = survey.where("token is null").select("id", "print", "n")
     reps = rows.where("print is not null and id is not null").groupBy("print").agg(F.min("id").alias("rep"))
-    heavy = survey.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")).orderBy(
-        F.desc("n"), "token").limit(frequent).collect()
-    heavy.sort(key=lambda r: np.uint64(r.token % (1 << 64)))
+    counted = land(survey.where("token is not null").groupBy("token").agg(F.sum("n").alias("n")))
     # At most ``frequent`` tokens with a coarse rank.
-    ranks = (np.array([r.token for r in heavy], np.int64).view(np.uint64),
-             np.array([int(r.n).bit_length() for r in heavy], np.int64))
+    heavy = most_frequent(counted, "n", frequent).selectExpr("token", "cast(length(bin(n)) as tinyint) as level").toArrow()
+    tokens = heavy.column("token").to_numpy().view(np.uint64)
+    order = np.argsort(tokens)
+    ranks = (tokens[order], heavy.column("level").to_numpy()[order])
     nodes = texts.join(reps.select(F.col("rep").alias("node")).distinct(), "node", "left_semi")
     prefixes = land(_prefixes(nodes, spark.sparkContext.broadcast(ranks), width, percent))
     found = land(buckets(prefixes.select(F.explode("prefix").alias("token"), "node", "n")))
@@ -218,5 +220,5 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     out = rows.join(reps, "print", "left").join(ends, "rep", "left").select(
         "id", F.col("n").alias("n_shingles"), "rep",
         F.when(F.col("id").isNotNull(), F.coalesce("comp", "rep", "id")).alias("component_id"))
-    discard(spark, found, prefixes)
+    discard(spark, found, prefixes, counted)
     return out
