@@ -16,21 +16,21 @@ from fleetlens.llm.common import discard, land
 GROUP_ROWS = 256
 
 
-def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``node, comp`` for every node of ``edges(a, b)``: the smallest node that links reach.
 
-    Each round hooks every node onto its smallest neighbour, follows the hooks once more, and contracts
-    the links to what is left; a hub's links are folded to one row per task before they are shuffled.
+    Each round hooks every node onto its smallest neighbour, follows the hooks to their ends, and contracts
+    the links to what is left; a hub's links are folded to one row per task before they are shuffled. In
+    every third round a hash that is new each time decides which neighbour is smallest: that halves what is
+    left, as expected, whatever the order of the ids is. So rounds, and the jumps in each, are logarithmic.
     """
     spark = edges.sparkSession
     live = land(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    labels = None
-    for _ in range(max_rounds):
+    labels, done = None, 0
+    while True:
         both = live.select("a", "b").union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooks = land(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select(
-            "node", F.least("node", "low").alias("up")))
-        above = hooks.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        jumped = land(hooks.join(above, "up").select("node", F.col("top").alias("up")))
+        jumped = _by_hash(both, done) if done % 3 == 2 else _ends(land(both.groupBy(F.col("a").alias("node")).agg(
+            F.min("b").alias("low")).select("node", F.least("node", "low").alias("up"))))
         ends = jumped.select(F.col("node").alias("a"), F.col("up").alias("a_up"))
         others = jumped.select(F.col("node").alias("b"), F.col("up").alias("b_up"))
         rest = land(live.join(ends, "a").join(others, "b").where("a_up <> b_up").select(
@@ -39,11 +39,33 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
             jumped.select(F.col("node").alias("comp"), "up"), "comp", "left").select(
                 "node", F.coalesce("up", "comp").alias("up"))
         previous, labels = labels, land(fresh.select("node", F.col("up").alias("comp")))
-        discard(spark, live, hooks, jumped, *([previous] if previous is not None else []))
-        live = rest
+        discard(spark, live, jumped, *([previous] if previous is not None else []))
+        live, done = rest, done + 1
         if live.isEmpty():
             return labels
-    raise RuntimeError(f"links were not settled in {max_rounds} rounds")
+
+
+def _ends(hooks: DataFrame) -> DataFrame:
+    """``node, up`` with the end of each node's hooks; the landed ``hooks(node, up)`` go."""
+    while True:
+        above = hooks.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        jumped = land(hooks.join(above, "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
+        discard(hooks.sparkSession, hooks)
+        hooks = jumped.select("node", "up")
+        if jumped.where("moved").isEmpty():
+            return hooks
+
+
+def _by_hash(both: DataFrame, salt: int) -> DataFrame:
+    """``node, up``: groups by the ends of hooks onto the neighbour of the lowest hash, named by their smallest node."""
+    def ranked(name: str):
+        return F.struct(F.xxhash64(name, F.lit(salt)).alias("rank"), F.col(name).alias("up"))
+
+    hooks = both.groupBy(F.col("a").alias("node")).agg(F.min(ranked("b")).alias("low"))
+    ended = _ends(land(hooks.select("node", F.least(ranked("node"), "low")["up"].alias("up"))))
+    named = land(ended.join(ended.groupBy("up").agg(F.min("node").alias("low")), "up").select("node", F.col("low").alias("up")))
+    discard(both.sparkSession, ended)
+    return named
 
 
 def beside(pairs: DataFrame, bodies: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:

@@ -61,3 +61,14 @@ def test_components_of_hubs_and_paths(spark):
     got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == link(edges, nodes | {5000}) | {5000: 5000} if 5000 in got else got == {
         n: c for n, c in link(edges, nodes | {5000}).items() if n != 5000}
+
+
+def test_components_of_long_paths(spark):
+    from fleetlens.llm.linking import components
+
+    rng = random.Random(2)
+    mixed = rng.sample(range(2000, 2300), 300)
+    comb = [n for i in range(150) for n in (4000 + i, 5000 + i)]  # every second node is smaller than its neighbours
+    edges = [(i, i + 1) for i in range(999)] + list(zip(mixed, mixed[1:], strict=False)) + list(zip(comb, comb[1:], strict=False))
+    got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == link(edges, {n for e in edges for n in e})
