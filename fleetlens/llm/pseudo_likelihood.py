@@ -6,9 +6,10 @@ is the sum of the log probabilities of its words, each given the words on both s
 
 The vocabulary is counted over all documents: the most frequent words have ids of their own, all others
 share hashed ids. Training runs where the data lie: in each round every partition trains a copy of the
-network on its documents, one word in ``STRIDE`` of every document, another one each round; the copies
-are averaged by their number of words, block of weights by block. What a round shuffles grows with the
-number of partitions; only the averaged network, of fixed size, passes through the driver.
+network on its documents, one word in ``ROUNDS`` of every document, the next one each round, so every word
+is a target once; the copies are averaged by their number of words, block of weights by block. What a round
+shuffles grows with the number of partitions; only the averaged network, of fixed size, passes through the
+driver.
 
 Defined results: a text without words has no words, a log probability of 0 and no mean; a corpus without
 words leaves the network untrained; repeated rows are scored row by row; a null id is scored like others;
@@ -32,7 +33,7 @@ CLASSES, PER_CLASS = 64, 64
 OWN_IDS = 3072
 IDS = CLASSES * PER_CLASS
 EMBEDDING, HIDDEN = 16, 24
-ROUNDS, STRIDE = 3, 32
+ROUNDS = 3
 BATCH, RATE = 2048, 0.1
 #: Words that are scored at a time.
 SCORE_WORDS = 1 << 16
@@ -112,12 +113,19 @@ class Network:
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         _, h, classes = self._forward(context)
         of, within = np.divmod(target, PER_CLASS)
-        out = classes[np.arange(len(target)), of]
-        for k, rows in _by_class(of):
-            inner = _log_softmax(h[rows] @ self.p["O"][k] + self.p["o"][k])
-            out[rows] += inner[np.arange(len(rows)), within[rows]]
+        every = np.arange(len(target))
+        out = classes[every, of]
+        order, parts = _by_class(of)
+        out[order] += self._inner(h[order], parts)[every, within[order]]
         return out
 
+    def _inner(self, h: np.ndarray, parts: list[tuple[int, int, int]]) -> np.ndarray:
+        """Log probabilities within the class, for rows ordered by class."""
+        z = np.empty((len(h), PER_CLASS), np.float32)
+        for k, at, end in parts:
+            z[at:end] = h[at:end] @ self.p["O"][k] + self.p["o"][k]
+        return _log_softmax(z)
+
     def step(self, context: np.ndarray, target: np.ndarray, squares: np.ndarray, rate: float) -> None:
         """One step of adaptive gradient descent on the mean log loss."""
         x, h, classes = self._forward(context)
@@ -130,17 +138,23 @@ class Network:
         grad.p["C"][:] = h.T @ d
         grad.p["c"][:] = d.sum(0)
         dh = d @ self.p["C"].T
-        for k, rows in _by_class(of):
-            e = np.exp(_log_softmax(h[rows] @ self.p["O"][k] + self.p["o"][k]))
-            e[np.arange(len(rows)), within[rows]] -= 1
-            e /= n
-            grad.p["O"][k] = h[rows].T @ e
-            grad.p["o"][k] = e.sum(0)
-            dh[rows] += e @ self.p["O"][k].T
+        order, parts = _by_class(of)
+        ordered = h[order]
+        e = np.exp(self._inner(ordered, parts))
+        e[np.arange(len(target)), within[order]] -= 1
+        e /= n
+        back = np.empty_like(ordered)
+        for k, at, end in parts:
+            grad.p["O"][k] = ordered[at:end].T @ e[at:end]
+            grad.p["o"][k] = e[at:end].sum(0)
+            back[at:end] = e[at:end] @ self.p["O"][k].T
+        dh[order] += back
         dz = dh * (1 - h * h)
         grad.p["W"][:] = x.T @ dz
         grad.p["b"][:] = dz.sum(0)
-        np.add.at(grad.p["E"], context.reshape(-1), (dz @ self.p["W"].T).reshape(-1, EMBEDDING))
+        by_id = np.argsort(context.reshape(-1), kind="stable")
+        ids, first = np.unique(context.reshape(-1)[by_id], return_index=True)
+        grad.p["E"][ids] = np.add.reduceat((dz @ self.p["W"].T).reshape(-1, EMBEDDING)[by_id], first)
         squares += grad.flat * grad.flat
         self.flat -= rate * grad.flat / (np.sqrt(squares) + 1e-6)
 
@@ -150,10 +164,16 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
-def _by_class(of: np.ndarray):
+def _by_class(of: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The rows ordered by class, and (class, start, stop) of each."""
     order = np.argsort(of, kind="stable")
     classes, first = np.unique(of[order], return_index=True)
-    return zip(classes.tolist(), np.split(order, first[1:]), strict=True)
+    return order, list(zip(classes.tolist(), first.tolist(), [*first[1:].tolist(), len(of)], strict=True))
+
+
+def turns(texts: list[np.ndarray], offset: int, stride: int) -> np.ndarray:
+    """Which words of the texts are targets of a round: every ``stride``-th of each text."""
+    return np.concatenate([np.arange(len(t)) % stride == offset for t in texts] or [np.zeros(0, bool)])
 
 
 def windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -204,8 +224,9 @@ def _train_round(encoded: DataFrame, network: Network, offset: int, rate: float,
         for batch in slices(batches):
             texts = [np.frombuffer(b, np.uint16) for b in batch.column(0).to_pylist()]
             _, context, target = windows(texts)
-            contexts.append(context[offset::stride])
-            targets.append(target[offset::stride])
+            now = turns(texts, offset, stride)
+            contexts.append(context[now])
+            targets.append(target[now])
             waiting += len(targets[-1])
             if waiting >= 4 * batch_words:
                 run(False)
@@ -249,9 +270,10 @@ def frequent_words(docs: DataFrame, text: str = "text") -> dict[int, int]:
     return {r.code: i for i, r in enumerate(sorted(rows, key=lambda r: (-r.n, r.code)))}
 
 
-def train(encoded: DataFrame, rounds: int = ROUNDS, stride: int = STRIDE, rate: float = RATE,
+def train(encoded: DataFrame, rounds: int = ROUNDS, stride: int | None = None, rate: float = RATE,
           batch_words: int = BATCH) -> Network:
-    network = Network()
+    """Trained on every word once, unless a smaller ``stride`` than ``rounds`` repeats words."""
+    network, stride = Network(), stride or rounds
     for k in range(rounds):
         mean = _train_round(encoded, network, k * stride // rounds, rate / (k + 1), stride, batch_words)
         if mean is not None:

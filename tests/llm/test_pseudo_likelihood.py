@@ -58,3 +58,20 @@ def test_odd_rows(spark):
         assert (r.mean_log_prob is None) == (r.n_words == 0) and r.log_prob <= 0
     assert P.score_documents(docs_of(spark, [(1, "x")]).limit(0), rounds=1).count() == 0
     assert [r.n_words for r in P.score_documents(docs_of(spark, [(1, None)]), rounds=1).collect()] == [0]
+
+
+def test_every_word_is_a_target_once(spark):
+    texts = [np.arange(n) for n in (1, 2, 3, 0, 31, 700)]
+    times = sum(P.turns(texts, k, P.ROUNDS).astype(int) for k in range(P.ROUNDS))
+    assert (times == 1).all() and len(times) == 737
+
+
+def test_production_parameters_learn_short_texts(spark):
+    # The pair of a text stands at its end, which rounds of one word in 32 of a slice seldom reach.
+    texts = [(i, "a b" if i % 2 else "c d") for i in range(4000)]
+    docs = docs_of(spark, texts)
+    encoded = P.encode_documents(docs.select("doc_id", "text"), P.frequent_words(docs)).drop("text").cache()
+    net = P.train(encoded)
+    _, context, target = P.windows([np.frombuffer(r.ids, np.uint16) for r in encoded.limit(10).collect()])
+    start = P.Network().log_probabilities(context, target).mean()
+    assert net.log_probabilities(context, target).mean() > start + 3
