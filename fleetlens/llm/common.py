@@ -105,3 +105,28 @@ def spread_sample(rows: DataFrame, key: str, size: int, seed: int) -> DataFrame:
     share = min(space, int(space * (2 * size + 1000) / max(total, 1)) + 1)
     order = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(space))
     return rows.where(order < share).orderBy(order, *[F.col(c) for c in rows.columns]).limit(size)
+
+
+def highest(counts: DataFrame, by: str, key: str, limit: int) -> DataFrame:
+    """The ``limit`` rows of ``counts`` with the highest ``by``, of equal ones those with the lowest ``key``, a 64-bit hash.
+
+    Exact: what :func:`most_frequent` leaves out is filled up from the counts right below it.
+    """
+    top = most_frequent(counts, by, limit)
+    held, low = top.agg(F.count("*"), F.min(by)).first()
+    below = counts.where(F.col(by) > 0) if low is None else counts.where((F.col(by) > 0) & (F.col(by) < low))
+    # Counts repeat; the step that crosses the limit is wide only where counts are high and words few.
+    for n, rows in below.groupBy(by).count().orderBy(F.desc(by)).limit(max(limit - held, 0)).collect():
+        ties = counts.where(F.col(by) == n)
+        if held + rows > limit:
+            # Keys are spread evenly, so a range of them holds little more than is wanted; else it is widened.
+            share = 2 * (limit - held) + 1000
+            while True:
+                bound = min((1 << 63) - 1, (1 << 64) * share // rows - (1 << 63))
+                few = ties.where(F.col(key) <= F.lit(bound))
+                if bound == (1 << 63) - 1 or few.count() >= limit - held:
+                    break
+                share *= 8
+            return top.unionByName(few.orderBy(key).limit(limit - held))
+        top, held = counts.where(F.col(by) >= n), held + rows
+    return top

@@ -4,8 +4,12 @@ The network reads ``SIDE`` words on either side of a masked word through shared
 layer, and predicts the word in two steps: its class, then the word within the class. A document's score
 is the sum of the log probabilities of its words, each given the words on both sides.
 
-The vocabulary is counted over all documents: the most frequent words have ids of their own, all others
-share hashed ids. Training runs where the data lie: in each round every partition trains a copy of the
+The vocabulary grows with the corpus: all words are counted over all documents, in a table that stays
+sharded. The network predicts ids. The most frequent words have ids of their own (of equally frequent ones
+those of the lowest hash), all others share hashed ids; such a word has the probability of its id times its
+share of the id's occurrences. The counts of the most frequent shared words are sent to the tasks, those of
+all others are joined; how many are sent doesn't change a score. The words scored are those counted, so none
+is unseen. Training runs where the data lie: in each round every partition trains a copy of the
 network on its documents, one word in ``ROUNDS`` of every document, the next one each round, so every word
 is a target once; the copies are averaged by their number of words, block of weights by block. What a round
 shuffles grows with the number of partitions; only the averaged network, of fixed size, passes through the
@@ -25,13 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.llm.common import append_columns, land, most_frequent, slices
+from fleetlens.llm.common import append_columns, discard, highest, land, most_frequent, slices
 
 SIDE = 2
 CLASSES, PER_CLASS = 64, 64
 #: Ids of frequent words; the rest of the ``CLASSES * PER_CLASS`` ids is shared by hash.
 OWN_IDS = 3072
 IDS = CLASSES * PER_CLASS
+#: Words with a shared id whose counts are sent to the tasks, at most; the rest is joined.
+SENT = 500_000
 EMBEDDING, HIDDEN = 16, 24
 ROUNDS = 3
 BATCH, RATE = 2048, 0.1
@@ -64,6 +70,27 @@ class Ids(dict):
         return value
 
 
+class Shares(dict):
+    """Word to the log of its share of its id: 0 with an id of its own, nan if its count isn't here."""
+
+    def __init__(self, frequent: dict[int, int], codes: np.ndarray, logs: np.ndarray):
+        super().__init__()
+        self.frequent, self.codes, self.logs = frequent, codes, logs
+
+    def __missing__(self, word: str) -> float:
+        if len(self) >= Ids.LIMIT:
+            self.clear()
+        code, value = _hash(word), np.nan
+        if code in self.frequent:
+            value = 0.0
+        else:
+            at = int(np.searchsorted(self.codes, code))
+            if at < len(self.codes) and self.codes[at] == code:
+                value = float(self.logs[at])
+        self[word] = value
+        return value
+
+
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``code, n``: occurrences of every word of the corpus by its hash."""
     def run(batches):
@@ -187,18 +214,31 @@ def windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return owner[at], line[at[:, None] + np.array(steps)], line[at]
 
 
-def encode_documents(docs: DataFrame, frequent: dict[int, int], text: str = "text") -> DataFrame:
-    """``docs`` with the ids of its words, packed, instead of the text."""
-    sent = docs.sparkSession.sparkContext.broadcast(frequent)
-    held: list[Ids] = []
+def encode_documents(docs: DataFrame, frequent: dict[int, int], text: str = "text",
+                     shares: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """``docs`` with the ids of its words, packed, instead of the text.
+
+    ``_within`` sums the logs of the shares that ``shares`` (codes, logs) has, ``_far`` are the other shared words.
+    """
+    codes, logs = shares or (np.empty(0, np.int64), np.empty(0))
+    sent = docs.sparkSession.sparkContext.broadcast((frequent, codes, logs))
+    held: list = []
 
     def compute(texts):
         if not held:
-            held.append(Ids(sent.value))
-        return [pa.array([np.fromiter(map(held[0].__getitem__, t.lower().split()), np.uint16).tobytes() if t else b""
-                          for t in texts.to_pylist()], pa.binary())]
+            held.extend([Ids(sent.value[0]), Shares(*sent.value)])
+        ids, within, far = [], [], []
+        for t in texts.to_pylist():
+            words = t.lower().split() if t else []
+            ids.append(np.fromiter(map(held[0].__getitem__, words), np.uint16, len(words)).tobytes())
+            own = np.fromiter(map(held[1].__getitem__, words), np.float64, len(words))
+            within.append(float(np.nansum(own)))
+            far.append([_hash(words[i]) for i in np.flatnonzero(np.isnan(own))])
+        return [pa.array(ids, pa.binary()), pa.array(within, pa.float64()), pa.array(far, pa.list_(pa.int64()))]
 
-    return append_columns(docs, [text], T.StructType([T.StructField("ids", T.BinaryType())]), compute)
+    return append_columns(docs, [text], T.StructType([
+        T.StructField("ids", T.BinaryType()), T.StructField("_within", T.DoubleType()),
+        T.StructField("_far", T.ArrayType(T.LongType()))]), compute)
 
 
 def _train_round(encoded: DataFrame, network: Network, offset: int, rate: float, stride: int,
@@ -266,10 +306,38 @@ def _train_round(encoded: DataFrame, network: Network, offset: int, rate: float,
 
 
 def frequent_words(docs: DataFrame, text: str = "text") -> dict[int, int]:
-    rows = most_frequent(land(word_counts(docs, text)), "n", OWN_IDS).collect()
+    return _frequent(land(word_counts(docs, text)))
+
+
+def _frequent(counts: DataFrame) -> dict[int, int]:
+    rows = highest(counts, "n", "code", OWN_IDS).collect()
     return {r.code: i for i, r in enumerate(sorted(rows, key=lambda r: (-r.n, r.code)))}
 
 
+def _slot(code):
+    return F.pmod(code, F.lit(IDS - OWN_IDS))
+
+
+def shared_totals(counts: DataFrame, frequent: dict[int, int]) -> np.ndarray:
+    """Occurrences of each shared id."""
+    spark, totals = counts.sparkSession, np.zeros(IDS - OWN_IDS, np.int64)
+    own = spark.createDataFrame([(c,) for c in frequent], "code long")
+    for r in counts.join(F.broadcast(own), "code", "left_anti").groupBy(_slot(F.col("code")).alias("slot")).agg(
+            F.sum("n").alias("n")).collect():
+        totals[r.slot] = r.n
+    return totals
+
+
+def sent_shares(counts: DataFrame, totals: np.ndarray, limit: int = SENT) -> tuple[np.ndarray, np.ndarray]:
+    """Codes, in order, and logs of the shares of the most frequent words."""
+    rows = most_frequent(counts, "n", limit + OWN_IDS).toArrow()
+    codes, n = rows.column("code").to_numpy(), rows.column("n").to_numpy()
+    order = np.argsort(codes)
+    codes, n = codes[order], n[order]
+    # Where a word has an id of its own, its share isn't asked for.
+    return codes, np.log(n / np.maximum(totals[codes % (IDS - OWN_IDS)], 1))
+
+
 def train(encoded: DataFrame, rounds: int = ROUNDS, stride: int | None = None, rate: float = RATE,
           batch_words: int = BATCH) -> Network:
     """Trained on every word once, unless a smaller ``stride`` than ``rounds`` repeats words."""
@@ -305,8 +373,22 @@ def score_encoded(encoded: DataFrame, network: Network) -> DataFrame:
     return append_columns(encoded, ["ids"], ADDED, compute, rows=256).drop("ids")
 
 
-def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", sent: int = SENT, **options) -> DataFrame:
     """``key, n_words, log_prob, mean_log_prob`` of every row of ``docs``, by a network trained on them."""
+    spark = docs.sparkSession
     own = docs.select(F.col(key), F.col(text).alias("_text"))
-    encoded = land(encode_documents(own, frequent_words(own, "_text"), "_text").drop("_text"))
-    return score_encoded(encoded, train(encoded, **options))
+    counts = land(word_counts(own, "_text"))
+    frequent = _frequent(counts)
+    totals = shared_totals(counts, frequent)
+    encoded = land(encode_documents(own, frequent, "_text", sent_shares(counts, totals, sent)).drop("_text").withColumn(
+        "_row", F.monotonically_increasing_id()))
+    sums = spark.createDataFrame([(i, int(n)) for i, n in enumerate(totals) if n], "_slot long, _total long")
+    # The words whose counts were not sent: their rows meet the table of counts.
+    far = encoded.select("_row", F.explode("_far").alias("code")).groupBy("_row", "code").agg(F.count("*").alias("_times"))
+    logs = land(far.join(counts, "code").withColumn("_slot", _slot(F.col("code"))).join(F.broadcast(sums), "_slot").groupBy(
+        "_row").agg(F.sum(F.col("_times") * F.log(F.col("n") / F.col("_total"))).alias("_rest")))
+    scored = score_encoded(encoded.drop("_far"), train(encoded, **options)).join(logs, "_row", "left")
+    whole = F.col("log_prob") + F.col("_within") + F.coalesce("_rest", F.lit(0.0))
+    discard(spark, counts)
+    return scored.select(key, "n_words", whole.alias("log_prob"),
+                         F.when(F.col("n_words") > 0, whole / F.col("n_words")).alias("mean_log_prob"))

@@ -75,3 +75,39 @@ def test_production_parameters_learn_short_texts(spark):
     _, context, target = P.windows([np.frombuffer(r.ids, np.uint16) for r in encoded.limit(10).collect()])
     start = P.Network().log_probabilities(context, target).mean()
     assert net.log_probabilities(context, target).mean() > start + 3
+
+
+def test_ties_fill_the_vocabulary(spark):
+    texts = [(i, " ".join(f"w{j}" for j in range(i, 5000, 50))) for i in range(50)] + [(50, "often often more more")]
+    frequent = P.frequent_words(docs_of(spark, texts))
+    rest = sorted(P._hash(f"w{j}") for j in range(5000))
+    assert len(frequent) == P.OWN_IDS
+    assert list(frequent) == sorted([P._hash("often"), P._hash("more")]) + rest[:P.OWN_IDS - 2]
+
+
+def test_shared_ids_score_each_word_by_its_counts(spark):
+    common = " ".join(f"w{j}" for j in range(P.OWN_IDS))
+    rare = [f"rare{j}" for j in range(3000)]
+    texts = [(0, common), (1, common), (2, common)] + [(10 + i, " ".join(rare[i::30])) for i in range(30)]
+    texts += [(50, "rare7 rare7"), (51, None), (52, "rare7 rare8"), (52, "rare7 rare8")]
+    docs, n = docs_of(spark, texts), {w: 1 for w in rare} | {"rare7": 5, "rare8": 3}
+    frequent = P.frequent_words(docs)
+    slot = lambda w: P._hash(w) % (P.IDS - P.OWN_IDS)
+    shared = [w for w in [*n, *common.split()] if P._hash(w) not in frequent]
+    count = lambda w: n.get(w, 3)
+    total = {}
+    for w in shared:
+        total[slot(w)] = total.get(slot(w), 0) + count(w)
+    net = P.Network()  # nothing is learnt in rounds=0
+    ids = P.Ids(frequent)
+    for sent in (0, 100_000):  # joined or sent: the same scores
+        got = {r.doc_id: r for r in P.score_documents(docs, rounds=0, sent=sent).collect()}
+        for i, t in texts:
+            words = (t or "").split()
+            if words:
+                own = net.log_probabilities(*P.windows([np.array([ids[w] for w in words])])[1:]).sum()
+                own += sum(np.log(count(w) / total[slot(w)]) for w in words if w in shared)
+                assert got[i].n_words == len(words) and abs(got[i].log_prob - own) < 1e-2 + 1e-5 * abs(own)
+                assert abs(got[i].mean_log_prob - own / len(words)) < 1e-3
+            else:
+                assert got[i].n_words == 0 and got[i].mean_log_prob is None
