@@ -9,7 +9,10 @@ stays.
 At a similarity of 0.8, a pair shares one of 12 bands of 5 rows with a probability of 0.991; above
 0.85, of 0.999. Equal lines are folded before anything is compared.
 
-Defined results: a line of fewer characters than a shingle has no signature and stays; a document
+With ``short_lines`` a line of fewer characters than a shingle is one shingle, so that it links with equal
+lines; it needs no signature. Blank lines always stay.
+
+Defined results: without ``short_lines`` a line of fewer characters than a shingle stays; a document
 without lines stays as it is; a null id takes no part; rows that repeat an id count as one document; an
 empty table gives no rows.
 """
@@ -124,7 +127,7 @@ def band_keys(values: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nd
     return out.view(np.int64)
 
 
-def _lines(docs: DataFrame, shingle: int) -> DataFrame:
+def _lines(docs: DataFrame, shingle: int, short_lines: bool) -> DataFrame:
     """``key, bands`` of the distinct lines of a slice and ``key, id, line`` of every occurrence."""
     schema = "key long, id long, line long, bands array<long>"
     arrow = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("line", pa.int64()), ("bands", pa.list_(pa.int64()))])
@@ -137,9 +140,10 @@ def _lines(docs: DataFrame, shingle: int) -> DataFrame:
                     continue
                 for i, raw in enumerate(text.split("\n")):
                     line = normal(raw)
-                    if len(line) >= shingle:
+                    if len(line) >= shingle or (short_lines and line):
                         key = line_key(line)
-                        fresh[key] = line
+                        if len(line) >= shingle:
+                            fresh[key] = line
                         keys.append(key)
                         ids.append(doc)
                         places.append(i)
@@ -202,10 +206,10 @@ def _verify(pairs: DataFrame, bodies: DataFrame, shingle: int, percent: int) ->
 
 
 def line_components(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
-                    percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+                    percent: int = PERCENT, short_lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """``key, id, line`` of every occurrence, and ``node, comp`` of the lines that link with another."""
     own = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    lines = land(_lines(own, shingle))
+    lines = land(_lines(own, shingle, short_lines))
     banded = lines.where("bands is not null").groupBy(F.col("key").alias("node")).agg(F.first("bands").alias("bands"))
     found = land(buckets(banded.select(F.explode("bands").alias("token"), "node", F.lit(0).cast("long").alias("n"))))
     nodes = found.select("node").union(found.select("rep")).distinct()

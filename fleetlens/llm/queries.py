@@ -40,7 +40,7 @@ def op2_chat_format(spark, sf_dir):
 
 def op3_line_dedup(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "kept_text")
+    return line_dedup.dedup_lines(docs, short_lines=True).select("doc_id", "n_lines", "n_removed", "kept_text")
 
 
 def op4_packing(spark, sf_dir, tokenizer=None):

@@ -74,3 +74,9 @@ def test_signatures_do_not_depend_on_neighbours():
 
 def test_empty_table(spark):
     assert L.dedup_lines(docs_of(spark, [(1, "x")]).limit(0)).count() == 0
+
+
+def test_equal_short_lines(spark):
+    texts = [(1, "Menu\n\n-----\na whole line of text"), (2, "menu \nother\n\n-----"), (3, "Next\n \nMENU"), (None, "Menu")]
+    kept = {r.doc_id: (r.n_removed, r.kept_text) for r in L.dedup_lines(docs_of(spark, texts), short_lines=True).collect()}
+    assert kept == {1: (0, texts[0][1]), 2: (2, "other\n"), 3: (1, "Next\n "), None: (0, "Menu")}
