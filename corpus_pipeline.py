@@ -7,7 +7,7 @@ documents go; the rest is packed into training windows. Documents without text p
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlens.llm import decontaminate, kneser_ney, line_dedup, ngram_join, packing
@@ -27,11 +27,18 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the lowest id of each group; rows that repeat an id are one document."""
-    kept = ngram_join.link_documents(docs).where("component_id = id").select(F.col("id").alias("doc_id")).distinct()
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64(*docs.columns))
-    one = docs.join(kept, "doc_id", "left_semi").withColumn("_row", F.row_number().over(order)).where("_row = 1")
-    return one.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """The document with the lowest id of each group; rows that repeat an id and its text are one document.
+
+    Different texts of one id are documents of their own. Rows without an id stay.
+    """
+    named = docs.where("doc_id is not null").withColumn("_node", F.xxhash64("doc_id", "text"))
+    groups = land(ngram_join.link_documents(named, key="_node")).select(F.col("id").alias("_node"), "component_id")
+    # Both aggregates fold equal rows before they are shuffled.
+    first = named.select("_node", "doc_id").distinct().join(groups.distinct(), "_node").groupBy("component_id").agg(
+        F.min(F.struct("doc_id", "_node"))["_node"].alias("_node"))
+    one = named.join(first, "_node", "left_semi").groupBy("_node").agg(
+        F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row"))
+    return one.select("_row.*").unionByName(docs.where("doc_id is null"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,6 +68,14 @@ def test_repeated_ids_are_one_document(spark):
     assert kept.columns == docs.columns and ngram_join.link_documents(docs).count() == 5
 
 
+def test_texts_of_one_id_are_documents(spark):
+    texts = [(1, "a b c d e f"), (1, "g h i j k l"), (1, "g h i j k l"), (2, "a b c d e f"), (3, "m n o p q r"), (3, None),
+             (0, "s t u v w x"), (9, "s t u v w x"), (9, "only here in all")]
+    kept = pipeline.near_duplicates(spark, spark.createDataFrame(texts, "doc_id long, text string"), SF)
+    assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == [
+        (0, "s t u v w x"), (1, "a b c d e f"), (1, "g h i j k l"), (3, ""), (3, "m n o p q r"), (9, "only here in all")]
+
+
 def test_decontamination_stage(spark, stages):
     before, after = map(rows, stages[3])
     items = [(r.item_id, r.text) for r in read(spark, SF, "benchmark").collect()]
