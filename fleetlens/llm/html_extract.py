@@ -44,15 +44,19 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 BLOCK = frozenset("""address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption
 figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table
 tbody td tfoot th thead tr ul""".split()) - {"br"}
-SILENT = "script|style|noscript|template|iframe|svg|object|textarea|select|title|canvas|audio|video|button"
+RAW = "script|style|textarea|title|iframe"
+SILENT = frozenset("noscript template svg object select canvas audio video button".split())
 #: Opening one of these ends an open element of the same set, up to the nearest container.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}}
 SCOPES = frozenset("ul ol dl table tbody thead tfoot article section div main body nav aside".split())
 
-TOKEN = re.compile(
-    rf"(?is)<!--.*?(?:-->|\Z)|<({SILENT})\b[^>]*>.*?(?:</\1\s*>|\Z)"
+_TOKEN = (
+    r"""(?is)<!--.*?(?:-->|\Z)|<(%s)\b[^>]*>.*?(?:</\1\s*>|\Z)"""
     r"""|</?([a-z][a-z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?/a-z][^>]*(?:>|\Z)|([^<]+|<)""")
+TOKEN = re.compile(_TOKEN % RAW)
+#: Inside of svg no element is raw text, so the first choice never matches.
+FOREIGN = re.compile(_TOKEN % "(?!)")
 NAMES = re.compile(r"""(?i)\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 
 #: Elements whose text is or isn't the article where pages mark it, and names of other parts.
@@ -79,6 +83,8 @@ def blocks_of(page: str | None) -> list[Block]:
     stack: list[tuple[str, str]] = []
     parts: list[str] = []
     links = 0  # characters inside links of the open block
+    silent = None  # where on the stack the outermost silent element stands
+    tokens = TOKEN.finditer(page or "")
 
     def flush():
         nonlocal links
@@ -96,8 +102,30 @@ def blocks_of(page: str | None) -> list[Block]:
             if stack[at][0] in SCOPES:
                 return
 
-    for m in TOKEN.finditer(page or ""):
+    while m := next(tokens, None):
         tag, attributes, text = m[2], m[3], m[4]
+        if silent is not None:
+            if tag is None:
+                continue
+            tag = tag.lower()
+            if not m[0].startswith("</"):
+                if tag not in VOID and not attributes.endswith("/"):
+                    stack.append((tag, tag))
+                continue
+            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+            if at is None:
+                continue
+            if at > silent:
+                del stack[at:]
+                continue
+            # Its own end, or that of an element around it where it isn't closed.
+            if stack[silent][0] == "svg":
+                tokens = TOKEN.finditer(page, m.end())
+            own = at == silent
+            del stack[silent:]
+            silent = None
+            if own:
+                continue
         if text is not None:
             text = entities.unescape(text)
             parts.append(text)
@@ -121,8 +149,16 @@ def blocks_of(page: str | None) -> list[Block]:
                 continue
             if tag in BLOCK:
                 leave({"p", *CLOSES.get(tag, ())})
+            if tag in SILENT:
+                parts.append(" ")
             if tag not in VOID and not attributes.endswith("/"):
+                if tag in SILENT:
+                    silent = len(stack)
+                    if tag == "svg":
+                        tokens = FOREIGN.finditer(page, m.end())
                 stack.append((tag, " ".join([tag, *_names(attributes)])))
+    if silent is not None:
+        del stack[silent:]
     flush()
     return out
 
@@ -145,6 +181,19 @@ def _slot(name: str, size: int) -> int:
     return zlib.crc32(name.encode("utf-8", "surrogatepass")) % size
 
 
+class _Slots(dict):
+    """Word to slot, kept for the words of a task."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 500_000:
+            self.clear()
+        value = self[word] = _slot(word, WORD_DIM)
+        return value
+
+
+_WORD_SLOTS = _Slots()
+
+
 def features(blocks: list[Block]) -> np.ndarray:
     x = np.zeros((len(blocks), PATH_DIM + WORD_DIM + FIGURES), np.float32)
     seen: dict[tuple, np.ndarray] = {}
@@ -158,13 +207,12 @@ def features(blocks: list[Block]) -> np.ndarray:
                 for n in names:
                     row[_slot("." + n, PATH_DIM)] = 1
         x[i, :PATH_DIM] = row
-        words = b.text.split(" ")
-        for w in words[:64]:  # a fingerprint of the wording; the text itself is kept whole
-            x[i, PATH_DIM + _slot(w.lower(), WORD_DIM)] += 1
-        x[i, PATH_DIM:PATH_DIM + WORD_DIM] /= np.sqrt(len(words[:64])) * 2
+        words = b.text.lower().split(" ")  # a fingerprint of the wording
+        x[i, PATH_DIM:PATH_DIM + WORD_DIM] = np.bincount(
+            [_WORD_SLOTS[w] for w in words], minlength=WORD_DIM) / (np.sqrt(len(words)) * 2)
         x[i, PATH_DIM + WORD_DIM:] = (
             np.log1p(len(b.text)) / 6, np.log1p(len(words)) / 4, b.linked, b.text[-1] in ".!?:;…\"'”»)",
-            "©" in b.text, sum(c.isdigit() for c in b.text[:200]) / len(b.text[:200]),
+            "©" in b.text, sum(map(str.isdigit, b.text)) / len(b.text),
             i / len(blocks), 1 / (1 + i))
     return x
 

@@ -32,6 +32,24 @@ def test_blocks():
     assert len(H.blocks_of("<div>" * 3000 + "deep")) == 1
 
 
+def test_silent_elements_end():
+    assert text("<p>a<svg class='i'/>b<p>c<svg><g/></svg>d") == ["a b", "c d"]
+    assert text("<p>a<svg><title/><svg><path></svg>no<style>x</style></svg>b<script>no</script><p>c") == ["a b", "c"]
+    assert text("<div><p>a<object><object>no</object>no</object>b</p></div>c") == ["a b", "c"]
+    assert text("<div><p>a<button>no</p><p>b</p></div>c") == ["a", "b", "c"]
+    assert text("<div>a<select><option>no<option>no</div>b<div>c<object><p>no</div>d") == ["a", "b", "c", "d"]
+    assert text("<p>a<button><div>no</div></button>b<noscript><p>no</noscript>") == ["a b"]
+    assert [b.path for b in H.blocks_of("<div><p>a<video>no")] == [("div", "p")]
+
+
+def test_features_read_whole_blocks():
+    words = [f"w{i}" for i in range(64)]
+    same, other = (H.features([H.Block((), " ".join([*words, *tail]), 0.0)]) for tail in (["end"] * 40, ["last"] * 40))
+    assert (same != other).any()
+    few, many = (H.features([H.Block((), "a" * 200 + tail, 0.0)]) for tail in ("b" * 100, "7" * 100))
+    assert (few != many).any()
+
+
 def test_gradients_match_differences():
     rng = np.random.default_rng(0)
     net = H.Labeller(5, hidden=3, seed=1)
