@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fleetlens.llm import chat, decontaminate, html_extract, kneser_ney, line_dedup, ngram_join, packing, pseudo_likelihood, quality_rules, suffix_dedup
+from fleetlens.llm import (chat, decontaminate, hard_negatives, html_extract, kneser_ney, license_scan, line_dedup, ngram_join, packing,
+                           pseudo_likelihood, quality_rules, suffix_dedup, turn_repair)
 from fleetlens.llm.common import read
 from fleetlens.llm.oracle import ORACLES  # noqa: F401
 
@@ -81,6 +82,22 @@ def op10_quality_classifier(spark, sf_dir):
     return judged.select("doc_id", "lang", "n_words", "log_likelihood", "perplexity", "peak", "kept")
 
 
+def op11_license_scan(spark, sf_dir):
+    found = license_scan.scan_licenses(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base_labels", ",").alias("base_labels"),
+                        F.array_join("labels", ",").alias("labels"), "score")
+
+
+def op12_turn_repair(spark, sf_dir):
+    return turn_repair.repair_turns(turn_repair.damaged(read(spark, sf_dir, "conversations")))
+
+
+def op13_hard_negatives(spark, sf_dir):
+    vec_id, label = F.col("vec_id"), F.col("label")
+    return hard_negatives.mine(
+        read(spark, sf_dir, "embeddings"), label=F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label), anchor=vec_id % 100 == 0)
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_chat_format": op2_chat_format,
@@ -92,4 +109,7 @@ QUERIES = {
     "op8_html_extract": op8_html_extract,
     "op9_pseudo_likelihood": op9_pseudo_likelihood,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_license_scan": op11_license_scan,
+    "op12_turn_repair": op12_turn_repair,
+    "op13_hard_negatives": op13_hard_negatives,
 }
