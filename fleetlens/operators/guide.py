@@ -93,6 +93,18 @@ def detected_files(analyses: DataFrame) -> DataFrame:
     return analyses.withColumn("detected", F.array_distinct(clean))
 
 
+def shown_file(p) -> Column:
+    """What the guide steps look at in a path."""
+    return F.struct(p.alias("path"), F.lower(paths.basename(p)).alias("name"), paths.dir_of(p).alias("dir"),
+                    paths.basename(p).alias("base"))
+
+
+def looks_like_test(f) -> Column:
+    segments = F.slice(F.split(F.lower(f["path"]), "/"), 1, 2)
+    return F.arrays_overlap(segments, strings(catalogs.TEST_DIR_SIGNALS)) | reduce(
+        lambda a, b: a | b, [F.contains(f["name"], F.lit(s)) for s in catalogs.TEST_FILE_SIGNALS])
+
+
 def with_signals(analyses: DataFrame) -> DataFrame:
     """Everything the guide steps look at, one column per signal."""
     reported = F.transform(
@@ -101,9 +113,7 @@ def with_signals(analyses: DataFrame) -> DataFrame:
     known_entries = F.transform(_named(F.col("files"), *catalogs.WELL_KNOWN_ENTRIES),
                                 lambda f: f["path"])
     dep_names = F.transform("dependencies", lambda d: d["name"])
-    shown = F.transform("detected", lambda p: F.struct(
-        p.alias("path"), F.lower(paths.basename(p)).alias("name"), paths.dir_of(p).alias("dir"),
-        paths.basename(p).alias("base")))
+    shown = F.transform("detected", shown_file)
     df = detected_files(with_structure(analyses)).withColumns({
         "files": shown, "dep_names": dep_names, "langs": F.transform("languages", F.lower),
         "top_dirs": _list_of(_member("top_level_dirs"))})
@@ -208,17 +218,28 @@ def python_install() -> Column:
                       editable("pyproject.toml"), editable("setup.py"))
 
 
-@cache
-def install_steps() -> Column:
-    def fetch(name, command):
-        found = head(_named(F.col("files"), name))
-        return some(found.isNotNull(), paths.run_in(found["dir"], command))
+def _fetch(name, command) -> Column:
+    found = head(_named(F.col("files"), name))
+    return some(found.isNotNull(), paths.run_in(found["dir"], command))
+
+
+def go_install() -> Column:
+    return _fetch("go.mod", "go mod download")
+
+
+def rust_install() -> Column:
+    return _fetch("cargo.toml", "cargo fetch")
+
 
-    node = F.transform("node", lambda m: paths.run_in(
+def node_install() -> Column:
+    return F.transform("node", lambda m: paths.run_in(
         m["dir"], _text(F.coalesce(m["pm"], F.lit("npm")), " install")))
+
+
+@cache
+def install_steps() -> Column:
     python = python_install()
-    return concat_all(some(python.isNotNull(), python), node,
-                      fetch("go.mod", "go mod download"), fetch("cargo.toml", "cargo fetch"))
+    return concat_all(some(python.isNotNull(), python), node_install(), go_install(), rust_install())
 
 
 @cache
@@ -231,19 +252,29 @@ def unresolved_step() -> Column:
 
 @cache
 def install_gaps() -> Column:
+    return lock_gaps("node")
+
+
+def lock_gaps(packages) -> Column:
     locks = " / ".join(sorted(catalogs.LOCKFILES))
-    return F.transform(F.filter("node", lambda m: m["pm"].isNull()), lambda m: _text(
+    return F.transform(F.filter(packages, lambda m: m["pm"].isNull()), lambda m: _text(
         "no lock file next to '", m["path"], f"' was detected ({locks}), so npm is assumed"))
 
 
-@cache
-def env_steps() -> Column:
-    templates = F.transform(_named(F.col("files"), *catalogs.ENV_TEMPLATES), lambda f: _text(
+def template_steps() -> Column:
+    return F.transform(_named(F.col("files"), *catalogs.ENV_TEMPLATES), lambda f: _text(
         "cp ", f["path"], " ", F.when(f["dir"] != "", _text(f["dir"], "/.env")).otherwise(".env"),
         " # copy the template, then fill in the values it lists"))
-    configs = F.transform(_named(F.col("files"), *catalogs.CONFIG_FILES), lambda f: _text(
+
+
+def config_steps() -> Column:
+    return F.transform(_named(F.col("files"), *catalogs.CONFIG_FILES), lambda f: _text(
         "Review the configuration file '", f["path"], "' before running the project."))
-    return F.concat(templates, configs)
+
+
+@cache
+def env_steps() -> Column:
+    return F.concat(template_steps(), config_steps())
 
 
 @cache
@@ -297,15 +328,23 @@ def _frontends() -> Column:
     return F.filter("node", lambda m: m["dir"] != F.col("entry_dir"))
 
 
+def dev_steps(packages) -> Column:
+    return F.transform(packages, lambda m: paths.run_in(
+        m["dir"], _text(F.coalesce(m["pm"], F.lit("npm")), " run dev")))
+
+
 @cache
 def frontend_steps() -> Column:
-    return F.transform(_frontends(), lambda m: paths.run_in(
-        m["dir"], _text(F.coalesce(m["pm"], F.lit("npm")), " run dev")))
+    return dev_steps(_frontends())
 
 
 @cache
 def frontend_gaps() -> Column:
-    return F.transform(_frontends(), lambda m: _text(
+    return dev_gaps(_frontends())
+
+
+def dev_gaps(packages) -> Column:
+    return F.transform(packages, lambda m: _text(
         "the 'dev' script in '", m["path"], "' was not detected (the analyzer reads dependencies, "
         "not scripts) — list them with '",
         paths.run_in(m["dir"], _text(F.coalesce(m["pm"], F.lit("npm")), " run")), "'"))
@@ -321,12 +360,6 @@ def docker_steps() -> Column:
 @cache
 def test_step() -> Column:
     """Test command, NULL when the record shows no tests."""
-    def looks_like_test(f):
-        segments = F.slice(F.split(F.lower(f["path"]), "/"), 1, 2)
-        return F.arrays_overlap(segments, strings(catalogs.TEST_DIR_SIGNALS)) | reduce(
-            lambda a, b: a | b,
-            [F.contains(f["name"], F.lit(s)) for s in catalogs.TEST_FILE_SIGNALS])
-
     def language(name):
         return F.array_contains("langs", name)
 
@@ -342,14 +375,21 @@ def test_step() -> Column:
     return F.when(has_tests, command)
 
 
-@cache
-def ci_and_runner_steps() -> Column:
-    runners = F.transform(_named(F.col("files"), *catalogs.TASK_RUNNERS), lambda f: _text(
+def runner_steps() -> Column:
+    return F.transform(_named(F.col("files"), *catalogs.TASK_RUNNERS), lambda f: _text(
         paths.run_in(f["dir"], f["base"]), " <target>  # the available targets in '", f["path"],
         "' were not detected"))
-    return F.concat(some(_flag("has_ci"), (
+
+
+def ci_steps() -> Column:
+    return some(_flag("has_ci"), (
         "CI configuration was detected — run your change through the same "
-        "pipeline the repository uses before opening a pull request.")), runners)
+        "pipeline the repository uses before opening a pull request."))
+
+
+@cache
+def ci_and_runner_steps() -> Column:
+    return F.concat(ci_steps(), runner_steps())
 
 
 @cache
@@ -430,9 +470,8 @@ def with_steps(signalled: DataFrame) -> DataFrame:
     # A lone "not detected" start statement says nothing when no step precedes it.
     lone = (F.col("start_step") == F.array(F.lit(catalogs.NO_ENTRY_POINT))) \
         & (F.size("install") == 0) & (F.size("env") == 0)
-    steps = concat_all(F.col("install"), F.col("env"),
-                       F.when(lone, no_strings()).otherwise(F.col("start_step")),
-                       F.col("front"), F.col("docker"))
+    df = df.withColumn("start_shown", F.when(lone, no_strings()).otherwise(F.col("start_step")))
+    steps = concat_all(F.col("install"), F.col("env"), F.col("start_shown"), F.col("front"), F.col("docker"))
     return df.withColumns({
         "setup_found": steps,
         "setup_gaps": concat_all(F.col("install_gap"), F.col("env_gap"), F.col("start_gap"),

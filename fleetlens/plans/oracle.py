@@ -357,6 +357,10 @@ _WORKFLOW = f"""CASE WHEN len(setup) = 0 THEN [{q(c.NOT_DETECTED)}] ELSE
       list_transform({named(*c.TASK_RUNNERS)}, lambda f: {run_in('f.dir', 'f.base')} || ' <target>  # the available targets in ''' || f.path || ''' were not detected')),
       list_transform({ordered_distinct('all_gaps')}, lambda g: 'Not detected: ' || g || '.')))) END"""
 WORKFLOW_SQL = f"SELECT id, {_JOINED.format(_WORKFLOW)} AS development_workflow FROM s3"
+# The same as rows.
+SETUP_ROWS_SQL = f"""SELECT id, unnest(range(0, len(s))) AS pos, unnest(s) AS step FROM (
+  SELECT id, CASE WHEN len(setup) > 0 THEN setup ELSE [{q(c.NOT_DETECTED)}] END AS s FROM s3)"""
+WORKFLOW_ROWS_SQL = f"SELECT id, unnest(range(0, len(s))) AS pos, unnest(s) AS step FROM (SELECT id, {_WORKFLOW} AS s FROM s3)"
 TASKS_SQL = f"""SELECT id,
   CASE WHEN len(files) > 0 THEN 'Read the ' || len(files) || ' file(s) the analyzer flagged as important, starting with ''' || replace(files[1].path, chr(92), '/') || ''', and note what each one is responsible for.'
     ELSE 'No important files were detected by the analyzer — list the repository root and identify the main source directory yourself.' END AS task_1,

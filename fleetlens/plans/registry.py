@@ -1,20 +1,17 @@
 """Every operator as a named query over the test tables, with its DuckDB statement where one
 can express it on the whole tables."""
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from fleetlens import catalogs as c
 from fleetlens.functions import paths
 from fleetlens.functions.text import content_key, safe_preview
-from fleetlens.operators import (analysis, audit, dependencies, guide, inventory, prompts,
+from fleetlens.operators import (analysis, audit, dependencies, guide, inventory, long_records, prompts,
                                  provenance, request_log, sanitize, signals)
 from fleetlens.plans import fleet, oracle as o
 from fleetlens.sources import derived as d
 from fleetlens.sources.files import dirs_of, prune_ignored
+from fleetlens.sources.landing import land, scratch
 from fleetlens.sources.requests import validate_urls
 from fleetlens.streaming import request_stream
 
@@ -343,6 +340,60 @@ def section_provenance(spark, sf):
     return rows.withColumn("reasons", lines("reasons"))
 
 
+# ---------------------------------------------------------------- records as rows
+
+def _items(spark, sf):
+    """Landed once: the steps, the audit and the redaction all read it."""
+    return land(long_records.accepted_items(scanned(spark, sf)))
+
+
+def _placed(rows):
+    """Rows with the position that the array forms give them; only a check needs it."""
+    place = Window.partitionBy("repo_id").orderBy("rank", "path", "i")
+    return rows.select(F.col("repo_id").alias("id"), (F.row_number().over(place) - 1).cast("long").alias("pos"), "step")
+
+
+@query(o.with_(*o.FLEET, *o.GUIDE, o.SETUP_ROWS_SQL))
+def setup_step_rows(spark, sf):
+    return _placed(long_records.setup_steps(long_records.steps(_items(spark, sf))))
+
+
+@query(o.with_(*o.FLEET, *o.GUIDE, o.WORKFLOW_ROWS_SQL))
+def workflow_step_rows(spark, sf):
+    return _placed(long_records.workflow_steps(long_records.steps(_items(spark, sf))))
+
+
+@query(o.with_(*o.FLEET, o.KNOWN, """mentions AS (
+    SELECT id + 1 AS id, 'tech_stack' AS section, unnest(languages) AS name FROM rec
+    UNION ALL SELECT id + 1, 'important_files', f.path || '/part' FROM (SELECT id, unnest(files) AS f FROM rec)
+    UNION ALL SELECT id + 1, 'dependencies', unnest(deps) FROM rec)""", f"""
+  SELECT m.id, section, CASE section WHEN 'tech_stack' THEN 'tech_stack name' WHEN 'dependencies' THEN 'dependency name' ELSE 'important_files path' END
+    || ' not in input: ' || {o.repr_('m.name')} AS failure FROM mentions m
+  WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.id = m.id AND (k.name = lower(m.name)
+    OR section = 'important_files' AND list_contains(string_split(lower(m.name), '/'), k.name)))"""))
+def grounding_failure_rows(spark, sf):
+    """What a text about each repository gets wrong that was written from its neighbour's record."""
+    rows = long_records.entries(_items(spark, sf))
+    section = F.when(F.col("section") == "languages", "tech_stack").otherwise(F.col("section"))
+    name = F.when(F.col("section") == "important_files", F.concat("name", F.lit("/part"))).otherwise(F.col("name"))
+    mentions = rows.where(F.col("section") != "title").select(
+        (F.col("repo_id") + 1).alias("repo_id"), section.alias("section"), F.struct("section", "key", "i").alias("pos"), name.alias("name"))
+    found = long_records.grounding_failures(mentions, long_records.known_names(rows))
+    return found.select(F.col("repo_id").alias("id"), "section", "failure")
+
+
+@query(o.with_(*o.FLEET, f"""SELECT id, section, name, pattern FROM (
+    SELECT id, 'important_files' AS section, f.path AS name, coalesce({o._F('f.path')}, {o._V('f.path')}) AS pattern FROM (SELECT id, unnest(files) AS f FROM rec)
+    UNION ALL SELECT id, 'dependencies', n, {o._V('n')} FROM (SELECT id, unnest(deps) AS n FROM rec)
+    UNION ALL SELECT id, 'languages', n, {o._V('n')} FROM (SELECT id, unnest(languages) AS n FROM rec)
+    UNION ALL SELECT id, 'title', project_name, {o._V('project_name')} FROM rec WHERE project_name IS NOT NULL)
+  WHERE pattern IS NULL"""))
+def clean_entry_rows(spark, sf):
+    """The entries that pass the secret scan."""
+    rows = long_records.redacted_entries(long_records.entries(_items(spark, sf)))
+    return rows.where("pattern IS NULL").select(F.col("repo_id").alias("id"), "section", "name", "pattern")
+
+
 # ---------------------------------------------------------------- secrets, prompts, audit
 
 @query(o.secrets_sql("documents", "doc_id", "text"))
@@ -537,14 +588,6 @@ def budget_unlimited(spark, sf):
 
 # ---------------------------------------------------------------- streams
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder below the shared checkpoint folder; a local one only where none is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    return os.path.join(tempfile.mkdtemp(prefix="run-"), "stream")
-
-
 def _event_stream(spark, sf) -> DataFrame:
     table = f"{sf}/events.parquet"
     # A pattern also stands for a table that is one file; a plain path has to be a folder.
@@ -553,7 +596,7 @@ def _event_stream(spark, sf) -> DataFrame:
 
 def _drain(spark: SparkSession, stream: DataFrame) -> DataFrame:
     """Run a stream over what has arrived, into files, and read them back."""
-    folder = _scratch(spark)
+    folder = scratch(spark, "stream")
     (stream.writeStream.format("parquet").option("path", f"{folder}/rows")
      .option("checkpointLocation", f"{folder}/state").outputMode("append")
      .trigger(availableNow=True).start().awaitTermination())
