@@ -13,7 +13,7 @@ from fleetlens.sources import derived as d
 from fleetlens.sources.files import dirs_of, prune_ignored
 from fleetlens.sources.landing import land, scratch
 from fleetlens.sources.requests import validate_urls
-from fleetlens.streaming import request_stream
+from fleetlens.streaming import event_time, metrics_stream, request_stream
 
 QUERIES = {}
 ORACLES = {}
@@ -612,3 +612,78 @@ def cache_outcomes_stream(spark, sf):
 def fallback_alerts_stream(spark, sf):
     scoped = _event_stream(spark, sf).withColumn("scope", F.lit("all"))
     return _drain(spark, request_stream.stream_alerts(scoped, "scope")).select("request_id", "streak")
+
+
+# Stateful operators with timers need this store.
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+FILES = 3
+
+
+def _shuffled(spark, requests: DataFrame, heartbeat: bool = False) -> DataFrame:
+    """A stream over ``requests`` in files that are out of order, one file a batch; a heartbeat far ahead comes last."""
+    folder = scratch(spark, "shuffled")
+    dealt = requests.withColumn("_file", F.pmod(F.xxhash64("request_id"), F.lit(FILES)))
+    for i in range(FILES):
+        dealt.where(F.col("_file") == i).drop("_file").coalesce(1).write.mode("append").parquet(folder)
+    if heartbeat:
+        beat = {"ts": F.expr("timestamp'2200-01-01 00:00:00'"), "request_id": F.lit(-1)}
+        spark.range(1).select(*[beat.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in requests.schema]) \
+            .write.mode("append").parquet(folder)
+    return spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", "1").parquet(folder)
+
+
+def _settled(spark, stream: DataFrame) -> DataFrame:
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, _ROCKS)
+    try:
+        return _drain(spark, stream).where("request_id >= 0")
+    finally:
+        spark.conf.set(_STORE, before) if before else spark.conf.unset(_STORE)
+
+
+# Longer than the log, so that files in any order hold no late row.
+_WHOLE_LOG = "36500 days"
+
+
+@query(o.with_(d.REQUESTS_SQL, o.TTL, "SELECT request_id, outcome FROM outcomes"))
+def cache_outcomes_event_time(spark, sf):
+    """The stream over shuffled files settles every request as the batch form does."""
+    stream = _shuffled(spark, d.requests_from_events(spark, sf), heartbeat=True)
+    return _settled(spark, event_time.stream_ttl(stream, lateness=_WHOLE_LOG)).select("request_id", "outcome")
+
+
+_KEYED_STREAKS = """islands AS (SELECT *, sum(CASE WHEN path IN ('llm', 'cache_hit') THEN 1 ELSE 0 END) OVER (PARTITION BY cache_key ORDER BY ts, request_id) AS island FROM requests),
+streaks AS (SELECT request_id, CAST(sum(CASE WHEN path = 'fallback' THEN 1 ELSE 0 END) OVER (PARTITION BY cache_key, island ORDER BY ts, request_id) AS BIGINT) AS streak FROM islands)"""
+
+
+@query(o.with_(d.REQUESTS_SQL, _KEYED_STREAKS, "SELECT request_id, streak FROM streaks"))
+def fallback_streaks_event_time(spark, sf):
+    """Streaks per key from shuffled files."""
+    stream = _shuffled(spark, d.requests_from_events(spark, sf), heartbeat=True)
+    return _settled(spark, event_time.stream_streaks(stream, "cache_key", lateness=_WHOLE_LOG)).select("request_id", "streak")
+
+
+def _metrics_table(spark, sf, key=None, window="1 hour"):
+    requests = d.as_requests(spark.read.parquet(f"{sf}/events.parquet"), *([key] if key else []))
+    by = [key] if key else []
+    updates = metrics_stream.windowed_metrics(_shuffled(spark, requests), *by, window=window, lateness=_WHOLE_LOG)
+    folder = scratch(spark, "metrics")
+    metrics_stream.start_upsert(updates, f"{folder}/rows", f"{folder}/state", availableNow=True).awaitTermination()
+    return metrics_stream.current(spark, f"{folder}/rows", updates.schema, [*by, "window_start", "window_end"])
+
+
+@query(o.with_(d.REQUESTS_SQL, o.metrics("strftime(ts, '%Y-%m-%d %H')")))
+def request_metrics_stream(spark, sf):
+    """Hourly metrics, updated batch by batch."""
+    table = _metrics_table(spark, sf).withColumn("bucket", F.date_format("window_start", "yyyy-MM-dd HH"))
+    return _rounded(table.drop("window_start", "window_end")).select(
+        "bucket", "total", *[f"n_{p}" for p in c.REQUEST_PATHS], "fallback_rate", "avg_latency_ms")
+
+
+@query(f"""SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS total FROM (SELECT *, {d._PATHS} AS path FROM events) GROUP BY 1, 2
+  HAVING count(*) > {c.PAGE_MIN_REQUESTS} AND count(*) FILTER (path = 'fallback') / count(*) > {c.PAGE_RATE}""")
+def paging_keys_stream(spark, sf):
+    """The event types that page someone on a day, from the updated table."""
+    table = _metrics_table(spark, sf, "event_type", "1 day")
+    return metrics_stream.paging_windows(table).select("event_type", F.date_format("window_start", "yyyy-MM-dd").alias("day"), "total")
