@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fleetlens import catalogs
+from fleetlens.sources.landing import land
 
 HOUR, DAY = 3600, 86400
 # Requests that one task puts in order.
@@ -113,7 +114,6 @@ def fallback_alerts(requests: DataFrame, scope: str | None = None) -> DataFrame:
 # What a block does to the cache state: an entry whose expiry is below ``upto`` leaves the block
 # with expiry ``leaves``; an expiry at or above every ``upto`` passes through unchanged.
 _UNSEEN = np.iinfo(np.int64).min
-_ANY = np.iinfo(np.int64).max
 
 
 def _jump_to_last(after: np.ndarray) -> np.ndarray:
@@ -137,6 +137,17 @@ def _follow(expiry, upto: np.ndarray, leaves: np.ndarray):
     return np.where(at < len(upto), leaves[np.minimum(at, len(upto) - 1)], expiry)
 
 
+def _compose(first, second, width: int):
+    """What two consecutive blocks do together.
+
+    An expiry that enters is below the first time of the first block plus ``width``, so a function holds no
+    more pieces than there are times within one ``width``.
+    """
+    (upto, leaves), (u, l) = first, second
+    start, end = np.searchsorted(u, upto[-1], side="right"), np.searchsorted(u, upto[0] + width, side="right") + 1
+    return _runs(np.append(upto, u[start:end]), np.append(_follow(leaves, u, l), l[start:end]))
+
+
 def _cuts(*columns: np.ndarray) -> np.ndarray:
     """Start of every run of equal rows, and the length."""
     new = np.ones(len(columns[0]), dtype=bool)
@@ -193,73 +204,114 @@ def _per_group(rows: DataFrame, by: Sequence[str], order: Sequence[str], schema:
     return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, schema)
 
 
-def _blocks(group):
-    """``(block, upto, leaves)`` of each block of a group that is sorted by block and ``upto``."""
-    cuts = _cuts(group["block"])
+def _nodes(group):
+    """``(node, upto, leaves)`` of each node of a group that is sorted by node and ``upto``."""
+    cuts = _cuts(group["node"])
     for start, end in zip(cuts[:-1], cuts[1:]):
-        yield int(group["block"][start]), group["upto"][start:end], group["leaves"][start:end]
+        yield int(group["node"][start]), group["upto"][start:end], group["leaves"][start:end]
 
 
-def _entries(group, expiry: int):
-    """The expiry with which each block of the group is entered."""
-    blocks, entered = [], []
-    for block, upto, leaves in _blocks(group):
-        blocks.append(block)
+def _entries(group):
+    """The expiry with which each node of the group is entered."""
+    nodes, entered, expiry = [], [], int(group["entry"][0])
+    for node, upto, leaves in _nodes(group):
+        nodes.append(node)
         entered.append(expiry)
         expiry = int(_follow(np.int64(expiry), upto, leaves))
-    return group["key"][0], np.array(blocks, np.int64), np.array(entered, np.int64)
+    return group["key"][0], np.array(nodes, np.int64), np.array(entered, np.int64)
+
+
+_PIECES, _STARTS = "key string, node long, upto long, leaves long", "key string, node long, entry long"
+
+
+def _tree_entries(functions: DataFrame, nodes: int, fan: int, width: int) -> DataFrame:
+    """``(key, node, entry)``: the expiry with which every node is entered, by a prefix over a tree of functions.
+
+    Upwards ``fan`` neighbours are composed into their parent until one node a key is left; downwards each parent hands
+    its entry to its children. No task meets more than ``fan`` functions of a key, and there are as many levels as the
+    logarithm of the longest key's blocks.
+    """
+    def parent(df):
+        return df.withColumn("parent", F.floor(F.col("node") / fan).cast("long"))
+
+    def composed(group):
+        whole = None
+        for _, upto, leaves in _nodes(group):
+            whole = (upto, leaves) if whole is None else _compose(whole, (upto, leaves), width)
+        return group["key"][0], int(group["parent"][0]), *whole
+
+    levels = []
+    while nodes > 1:
+        levels.append(land(functions))
+        functions = _per_group(parent(levels[-1]), ["key", "parent"], ["node", "upto"], _PIECES, composed)
+        nodes = -(-nodes // fan)
+    entries = functions.select("key", "node").distinct().withColumn("entry", F.lit(_UNSEEN))
+    for functions in reversed(levels):
+        below = parent(functions).join(entries.withColumnRenamed("node", "parent"), ["key", "parent"])
+        entries = _per_group(below, ["key", "parent"], ["node", "upto"], _STARTS, _entries)
+    return entries
+
+
+#: Blocks of one time slice; a slice of a key with more requests than a block may hold is cut.
+_SLICE = 1 << 20
+
+
+def _time_blocks(times: DataFrame, block_seconds: int, block_rows: int, tick_micros: int) -> DataFrame:
+    """Add ``block``: slices of ``block_seconds``, of which those of a key with more than ``block_rows`` requests are cut.
+
+    The requests of a dense slice are counted per tick, summed up and cut by count; only dense slices have such ticks.
+    """
+    times = times.withColumns({"slice": _block(F.col("us"), block_seconds), "tick": F.floor(F.col("us") / tick_micros).cast("long")})
+    dense = times.groupBy("key", "slice").count().where(F.col("count") > block_rows).select("key", "slice")
+    ticks = times.join(dense, ["key", "slice"], "left_semi").groupBy("key", "slice", "tick").count()
+    before = F.coalesce(F.sum("count").over(Window.partitionBy("key", "slice").orderBy("tick").rowsBetween(
+        Window.unboundedPreceding, -1)), F.lit(0))
+    parts = ticks.select("key", "slice", "tick", F.floor(before / block_rows).cast("long").alias("part"))
+    return times.join(parts, ["key", "slice", "tick"], "left").withColumn(
+        "block", F.col("slice") * _SLICE + F.coalesce("part", F.lit(0))).drop("slice", "tick", "part")
 
 
 def ttl_misses(requests: DataFrame, keys: Sequence[str] = ("cache_key",),
                ttl: int = catalogs.CACHE_TTL_SECONDS,
-               block_seconds: int = HOUR, span_seconds: int = DAY) -> DataFrame:
+               block_seconds: int = HOUR, span_seconds: int = DAY, block_rows: int = BLOCK_ROWS,
+               tick_micros: int = 100_000) -> DataFrame:
     """``(keys…, us, request_id)``: the requests that miss an anchored cache.
 
     The first request of a key opens a window of ``ttl`` seconds; later ones inside it (the end
     included) are hits and do not extend it.  ``us`` is the time in microseconds.
 
     Most requests have no neighbour within the window and are settled by two comparisons.  Only
-    the rest depend on what came before: their blocks are turned into functions from entry
-    expiry to exit expiry, chained over spans of blocks and then over the key, and walked with
-    the entry that results.
+    the rest depend on what came before: their blocks, of ``block_seconds`` and at most about ``block_rows`` requests,
+    are turned into functions from entry expiry to exit expiry, composed in a tree whose nodes have
+    ``span_seconds / block_seconds`` children, and walked with the entry that results.
     """
-    keys, width, per = list(keys), ttl * 1_000_000, block_seconds * 1_000_000
+    keys, width, fan = list(keys), ttl * 1_000_000, max(2, span_seconds // block_seconds)
     times = requests.select(F.to_json(F.struct(*keys)).alias("key"), F.unix_micros("ts").alias("us"),
                             "request_id") \
-        .groupBy("key", "us").agg(F.min("request_id").alias("request_id")) \
-        .withColumn("block", _block(F.col("us"), block_seconds))
+        .groupBy("key", "us").agg(F.min("request_id").alias("request_id"))
+    times = _time_blocks(times, block_seconds, block_rows, tick_micros)
 
     in_block = Window.partitionBy("key", "block").orderBy("us")
     in_key = Window.partitionBy("key").orderBy("block")
     edges = times.groupBy("key", "block").agg(F.min("us").alias("lo"), F.max("us").alias("hi")) \
-        .select("key", "block", F.lag("hi").over(in_key).alias("before"),
+        .select("key", "block", (F.row_number().over(in_key) - 1).cast("long").alias("node"), F.lag("hi").over(in_key).alias("before"),
                 F.lead("lo").over(in_key).alias("after"))
     placed = (times.withColumn("prev", F.lag("us").over(in_block))
               .withColumn("next", F.lead("us").over(in_block)).join(edges, ["key", "block"]))
     gap_before = F.col("us") - F.coalesce("prev", "before")
     gap_after = F.coalesce("next", "after") - F.col("us")
     alone = (F.coalesce(gap_before > width, F.lit(True)) & F.coalesce(gap_after > width, F.lit(True)))
-    placed = placed.select("key", "block", "us", "request_id", alone.alias("alone"))
+    placed = land(placed.select("key", "node", "us", "request_id", alone.alias("alone")))
     lonely = placed.where("alone").select("key", "us", "request_id")
     crowded = placed.where(~F.col("alone")).drop("alone")
+    last = crowded.agg(F.max("node")).first()[0]
 
     def block_function(group):
-        us, block = group["us"], int(group["block"][0])
+        us = group["us"]
         last = _jump_to_last(np.searchsorted(us, us + width, side="right"))
         # An entry expires inside the first ttl of the block, so later starts cannot be first.
-        reachable = np.searchsorted(us, block * per + width, side="left") + 1
-        return group["key"][0], block, *_runs(us[:reachable], (us[last] + width)[:reachable])
-
-    def span_function(group):
-        upto = leaves = None
-        for _, u, l in _blocks(group):
-            if upto is None:
-                upto, leaves = u, l
-                continue
-            if upto[-1] != _ANY:  # an expiry past the first block meets the next one at its start
-                upto, leaves = np.append(upto, _ANY), np.append(leaves, _UNSEEN)
-            leaves = _follow(leaves, u, l)
-        return group["key"][0], int(group["span"][0]), *_runs(upto, leaves)
+        reachable = np.searchsorted(us, us[0] + width, side="left") + 1
+        return group["key"][0], int(group["node"][0]), *_runs(us[:reachable], (us[last] + width)[:reachable])
 
     def walk(group):
         us = group["us"]
@@ -270,17 +322,12 @@ def ttl_misses(requests: DataFrame, keys: Sequence[str] = ("cache_key",),
             at = int(after[at])
         return group["key"][0], us[misses], group["request_id"][misses]
 
-    pieces, starts = "key string, block long, upto long, leaves long", "key string, block long, entry long"
-    span = F.floor(F.col("block") * block_seconds / F.lit(span_seconds)).cast("long")
-    functions = _per_group(crowded, ["key", "block"], ["us"], pieces, block_function) \
-        .withColumn("span", span)
-    spans = _per_group(functions, ["key", "span"], ["block", "upto"], pieces, span_function)
-    span_starts = _per_group(spans, ["key"], ["block", "upto"], starts,
-                             lambda g: _entries(g, _UNSEEN)).withColumnRenamed("block", "span")
-    block_starts = _per_group(functions.join(span_starts, ["key", "span"]), ["key", "span"],
-                              ["block", "upto"], starts, lambda g: _entries(g, int(g["entry"][0])))
-    walked = _per_group(crowded.join(block_starts, ["key", "block"]), ["key", "block"], ["us"],
-                        "key string, us long, request_id long", walk)
+    if last:
+        functions = _per_group(crowded, ["key", "node"], ["us"], _PIECES, block_function)
+        started = crowded.join(_tree_entries(functions, last + 1, fan, width), ["key", "node"])
+    else:
+        started = crowded.withColumn("entry", F.lit(_UNSEEN))
+    walked = _per_group(started, ["key", "node"], ["us"], "key string, us long, request_id long", walk)
     key_type = ", ".join(f"{k} {requests.schema[k].dataType.simpleString()}" for k in keys)
     return (lonely.unionByName(walked).withColumn("_key", F.from_json("key", key_type))
             .select("_key.*", "us", "request_id"))

@@ -171,3 +171,16 @@ def test_unprocessed(spark):
     keyed = spark.createDataFrame([("a", 1), ("b", 2)], "cache_key string, v int")
     done = spark.createDataFrame([("a",), ("a",)], "cache_key string")
     assert [r.cache_key for r in log.unprocessed(keyed, done).collect()] == ["b"]
+
+
+def test_dense_hours_are_cut_by_rows(spark):
+    """All of one key and one hour: no task gets more than a block, and the tree has several levels."""
+    rows = [(s, "hot", "llm") for s, *_ in generated(7, 3000, 3500, ["hot"])] + generated(8, 300, 86400 * 3, ["a", "hot"])
+    expected = {i for i, v in brute_outcomes(rows).items() if v[0] == "miss"}
+    blocks = log._time_blocks(requests(spark, rows).select(
+        F.col("cache_key").alias("key"), F.unix_micros("ts").alias("us"), "request_id"), 3600, 50, 1_000_000)
+    sizes = [r["count"] for r in blocks.groupBy("key", "block").count().collect()]
+    assert max(sizes) <= 60 and len(sizes) > 50
+    for fan in (2, 5):
+        got = {r.request_id for r in log.ttl_misses(requests(spark, rows), block_rows=50, span_seconds=fan * 3600, tick_micros=1_000_000).collect()}
+        assert got == expected
