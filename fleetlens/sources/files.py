@@ -1,12 +1,17 @@
 """File tables: scan, pruning, directories and landing."""
 
+import os
+from collections.abc import Iterator
 from fnmatch import fnmatchcase
+from functools import reduce
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fleetlens import catalogs
 from fleetlens.functions import paths
+from fleetlens.sources.landing import land
 
 # Only these classes ever need their content.
 WITH_CONTENT = ("manifest", "readme")
@@ -14,23 +19,43 @@ WITH_CONTENT = ("manifest", "readme")
 DIRECTORY = "directory"
 
 
-def read_files(spark: SparkSession, roots: str | list[str], all_bodies: bool = False) -> DataFrame:
+# Children of a directory that a task passes on at a time.
+_CHUNK = 10_000
+# Directories that one task lists in a round, and tasks of a round at most.
+_DIRS_A_TASK, _TASKS = 64, 10_000
+_FRONTIER = "base string, repo_id string, path string"
+_FOUND = f"{_FRONTIER}, is_dir boolean, size long"
+
+
+def read_files(spark: SparkSession, roots: str | list[str], all_bodies: bool = False, prune: bool = False) -> DataFrame:
     """``files(repo_id, path, content, size)`` from ``<root>/<repo_id>/<path>``, whatever the names.
 
-    Tasks list the repositories, first their top entries, then each entry of its own, so neither the
-    driver nor one task holds the files of a large repository. The driver sees the repositories' names
-    alone. A root may hold ``*`` and ``?``. ``content`` is read for manifests and READMEs, or for every
-    file where ``all_bodies`` is set; a broken sequence in it becomes U+FFFD.
+    The walk goes level by level: every directory of a level is a row, a round lists them all in parallel, and what it finds is
+    landed, so a deep or lopsided tree spreads over the tasks and a lost executor costs one round. The driver sees
+    the roots and a count per round, no name. Links to directories are not followed. With ``prune`` the walk doesn't enter ignored
+    and dot directories; each that it meets is a row whose path ends in ``/``, which :func:`visible` reads as the place where
+    the walk stopped. A root may hold ``*`` and ``?``. ``content`` is read for manifests and READMEs, or for every
+    file where ``all_bodies`` is set; a broken sequence in it becomes U+FFFD, a file that vanished or a dead link has none.
     """
-    found = [(base, name) for root in ([roots] if isinstance(roots, str) else roots)
-             for base in _expand(root) for name, is_dir, _ in _children(base) if is_dir]
-    repos = spark.createDataFrame(found, "base string, repo_id string")
-    entries = repos.repartition(max(1, min(len(found), 10_000))).mapInPandas(
-        _top_entries, "base string, repo_id string, entry string, is_dir boolean, size long")
-    listed = entries.repartition("base", "repo_id", "entry").mapInPandas(
-        _deep_entries, "base string, repo_id string, path string, size long")
-    classed = with_file_class(listed)
+    bases = [(base, None, "") for root in ([roots] if isinstance(roots, str) else roots) for base in _expand(root)]
+    frontier = spark.createDataFrame(bases, _FRONTIER)
+    waiting, levels = len(bases), []
+    while waiting:
+        tasks = max(1, min(-(-waiting // _DIRS_A_TASK) if waiting > spark.sparkContext.defaultParallelism * _DIRS_A_TASK
+                           else min(waiting, spark.sparkContext.defaultParallelism), _TASKS))
+        found = land(frontier.repartition(tasks).mapInPandas(_list_directories, _FOUND))
+        if prune:
+            name = F.concat(F.lit("/"), "path", F.lit("/"))
+            stops = F.col("is_dir") & (F.col("path") != "") & name.rlike(paths.IGNORED_ANCESTOR)
+            found = found.select("base", "repo_id", F.when(stops, F.concat("path", F.lit("/"))).otherwise(F.col("path")).alias("path"),
+                                 (F.col("is_dir") & ~stops).alias("is_dir"), "size")
+        levels.append(found.where("not is_dir"))
+        frontier = found.where("is_dir").select("base", "repo_id", "path")
+        waiting = frontier.count()
+    listed = reduce(DataFrame.unionByName, levels) if levels else spark.createDataFrame([], _FOUND)
+    classed = with_file_class(listed.drop("is_dir"))
     wanted = F.lit(True) if all_bodies else F.col("file_class").isin(*WITH_CONTENT)
+    wanted = wanted & ~F.endswith("path", F.lit("/"))
     bodies = classed.withColumn("wanted", wanted).select("base", "repo_id", "path", "size", "wanted").mapInPandas(
         _bodies, "repo_id string, path string, raw binary, size long")
     return bodies.select("repo_id", "path", F.make_valid_utf8(F.col("raw").cast("string")).alias("content"), "size")
@@ -42,16 +67,32 @@ def _store(location: str):
 
     if "://" in location and not location.startswith("file:"):
         return fs.FileSystem.from_uri(location)
-    return fs.LocalFileSystem(), "/" + location.removeprefix("file:").lstrip("/")
+    path = location.removeprefix("file:").lstrip("/")
+    return fs.LocalFileSystem(), "/" + path
+
 
+def _children(location: str) -> Iterator[tuple[str, bool, int]]:
+    """(name, is a directory, size) of what a directory holds, hidden names too, one by one.
 
-def _children(location: str) -> list[tuple[str, bool, int]]:
-    """(name, is a directory, size) of what a directory holds, hidden names too."""
+    A local link to a directory is left out; a link to a file counts as that file.
+    """
     from pyarrow import fs
 
     store, path = _store(location)
-    return sorted((i.base_name, i.type == fs.FileType.Directory, i.size or 0)
-                  for i in store.get_file_info(fs.FileSelector(path)))
+    if isinstance(store, fs.LocalFileSystem):
+        with os.scandir(path) as entries:
+            for e in entries:
+                if e.is_dir():
+                    if not e.is_symlink():
+                        yield e.name, True, 0
+                else:
+                    try:
+                        yield e.name, False, e.stat().st_size
+                    except FileNotFoundError:  # a dead link
+                        yield e.name, False, 0
+        return
+    for i in store.get_file_info(fs.FileSelector(path)):
+        yield i.base_name, i.type == fs.FileType.Directory, i.size or 0
 
 
 def _expand(root: str) -> list[str]:
@@ -61,31 +102,22 @@ def _expand(root: str) -> list[str]:
     if at is None:
         return [root.rstrip("/")]
     base = "/".join(parts[:at])
-    return [found for name, is_dir, _ in _children(base) if is_dir and fnmatchcase(name, parts[at])
+    return [found for name, is_dir, _ in sorted(_children(base)) if is_dir and fnmatchcase(name, parts[at])
             for found in _expand("/".join([base, name, *parts[at + 1:]]))]
 
 
-def _top_entries(frames):
+def _list_directories(frames):
+    """The children of every directory; those of a base are repositories, and files beside them belong to none."""
+    names = ["base", "repo_id", "path", "is_dir", "size"]
     for frame in frames:
-        for base, repo in zip(frame["base"], frame["repo_id"], strict=True):
-            rows = [(base, repo, *child) for child in _children(f"{base}/{repo}")]
-            yield pd.DataFrame(rows, columns=["base", "repo_id", "entry", "is_dir", "size"])
-
-
-def _deep_entries(frames):
-    names = ["base", "repo_id", "path", "size"]
-    for frame in frames:
-        for base, repo, entry, is_dir, size in frame.itertuples(index=False):
-            if not is_dir:
-                yield pd.DataFrame([(base, repo, entry, size)], columns=names)
-                continue
-            waiting = [entry]
-            while waiting:  # one directory at a time: a task holds no repository
-                folder = waiting.pop()
-                children = _children(f"{base}/{repo}/{folder}")
-                waiting += [f"{folder}/{name}" for name, inner, _ in children if inner]
-                yield pd.DataFrame([(base, repo, f"{folder}/{name}", n) for name, inner, n in children if not inner],
-                                   columns=names)
+        for base, repo, path in frame[["base", "repo_id", "path"]].itertuples(index=False):
+            top = repo is None
+            children = _children(base if top else f"{base}/{repo}/{path}".rstrip("/"))
+            while chunk := list(islice(children, _CHUNK)):
+                rows = [(base, name, "", True, 0) for name, is_dir, _ in chunk if is_dir] if top else [
+                    (base, repo, f"{path}/{name}".lstrip("/"), is_dir, size) for name, is_dir, size in chunk]
+                if rows:
+                    yield pd.DataFrame(rows, columns=names)
 
 
 def _bodies(frames):
@@ -94,15 +126,19 @@ def _bodies(frames):
             part = frame.iloc[at:at + 64]
             raw = []
             for base, repo, path, wanted in zip(part["base"], part["repo_id"], part["path"], part["wanted"], strict=True):
-                if wanted:
-                    store, place = _store(f"{base}/{repo}/{path}")
-                    with store.open_input_stream(place) as stream:
-                        raw.append(stream.read())
-                else:
-                    raw.append(None)
+                raw.append(_body(f"{base}/{repo}/{path}") if wanted else None)
             yield pd.DataFrame({"repo_id": part["repo_id"], "path": part["path"], "raw": raw, "size": part["size"]})
 
 
+def _body(location: str) -> bytes | None:
+    store, place = _store(location)
+    try:
+        with store.open_input_stream(place) as stream:
+            return stream.read()
+    except FileNotFoundError:
+        return None
+
+
 def prune_ignored(files: DataFrame) -> DataFrame:
     """Drop files below an ignored or dot directory; dot-files stay."""
     return files.where(~F.col("path").rlike(paths.IGNORED_ANCESTOR))

@@ -198,3 +198,29 @@ def test_read_and_land_files(spark, tmp_path):
     assert sorted(map(str, direct.collect())) == sorted(map(str, again.collect()))
     plan = dependencies.parse_manifests(inventory.scan(landed))._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(file_class" in plan
+
+
+def test_walk_by_frontier(spark, tmp_path):
+    """A deep tree, links that lead upwards, dead links, empty and ignored directories."""
+    root = tmp_path / "roots"
+    deep = "/".join(f"d{i}" for i in range(25))
+    names = [f"{deep}/end.py", "src/a.py", "src/b/c.py", "node_modules/p/index.js", ".git/config", "only/.cache/x", "README.md"]
+    for name in names:
+        (root / "mono" / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / "mono" / name).write_text("x")
+    (root / "mono" / "empty").mkdir()
+    (root / "mono" / "src" / "up").symlink_to(root / "mono")
+    (root / "mono" / "src" / "over").symlink_to(root)
+    (root / "mono" / "README.txt").symlink_to(root / "nowhere")
+    (root / "mono" / "linked.py").symlink_to(root / "mono" / "src" / "a.py")
+    (root / "stray.txt").write_text("belongs to no repository")
+    found = read_files(spark, str(root))
+    assert sorted(r.path for r in found.collect()) == sorted([*names, "README.txt", "linked.py"])
+    assert {r.path: r.content for r in found.where("content is not null").collect()} == {"README.md": "x"}
+    pruned = read_files(spark, "file://" + str(root), prune=True)
+    assert sorted(r.path for r in pruned.collect()) == sorted(
+        [*[n for n in names if not n.startswith(("node", ".git", "only"))], "README.txt", "linked.py", "node_modules/", ".git/", "only/.cache/"])
+    for df in (found, pruned):
+        assert rows(inventory.repo_totals(inventory.scan(df))) == [("mono", 6, 28)]
+        assert ("mono", "only") in rows(dirs_of(inventory.scan(df)), "path")
+    assert read_files(spark, str(root / "mono" / "empty")).count() == 0
