@@ -6,8 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from fleetlens import catalogs, schemas
-from fleetlens.functions.text import content_key, no_strings
-from fleetlens.operators import guide
+from fleetlens.functions.text import computed, content_key, no_strings
+from fleetlens.operators import contracts, guide
 from fleetlens.operators.audit import with_audit
 from fleetlens.operators.sanitize import sanitize
 
@@ -75,30 +75,16 @@ def build_prompts(analyses: DataFrame) -> DataFrame:
 
 
 def parse_generated(df: DataFrame, column: str) -> DataFrame:
-    """Add ``generated STRUCT`` and ``is_complete``: valid JSON with every required field."""
-    parsed = F.from_json(F.col(column), schemas.GENERATED, {"allowSingleQuotes": "false"})
-    rows = df.withColumn("generated", parsed)
-
-    def field(name):
-        return F.col(f"generated.{name}")
-
-    def every(name, *required):
-        return F.forall(field(name), lambda e: e.isNotNull() & _all_present(e, required))
-
-    complete = F.lit(True)
-    for name in schemas.GENERATED_FIELDS:
-        complete = complete & field(name).isNotNull()
-    complete = (complete & every("tech_stack", "name", "role")
-                & every("important_files", "path", "purpose")
-                & every("dependencies", "name", "purpose"))
-    return rows.withColumn("is_complete", F.coalesce(complete, F.lit(False)))
+    """Add ``generated STRUCT``, ``is_complete`` and ``problems``: every way in which the answer breaks its contract.
 
-
-def _all_present(e, required):
-    ok = F.lit(True)
-    for name in required:
-        ok = ok & e[name].isNotNull()
-    return ok
+    No value is bent into the type that is wanted: a number for a text, an object for a text or a number in a list of texts
+    is a problem, as a missing field is.
+    """
+    parsed = F.from_json(F.col(column), schemas.GENERATED, {"allowSingleQuotes": "false"})
+    document = F.from_json(F.col(column), "variant", {"allowSingleQuotes": "false"})
+    rows = computed(df, _document=F.when(parsed.isNotNull(), document), generated=parsed)
+    rows = computed(rows, problems=contracts.problems(F.col("_document"))).drop("_document")
+    return rows.withColumn("is_complete", F.size("problems") == 0)
 
 
 def with_diagram_note(notes, diagram) -> Column:

@@ -427,6 +427,9 @@ def known_names(spark, sf):
 
 _ANSWERED = (d.RESPONSES_SQL, """answers AS (SELECT id, response AS doc FROM responses SEMI JOIN rec USING (id)
   WHERE json_valid(response) AND json_exists(response, '$.architecture')
+    AND json_type(response, '$.architecture') = 'VARCHAR' AND json_type(response, '$.project_overview') = 'VARCHAR'
+    AND len(list_filter(CAST(CASE WHEN json_valid(response) THEN response->'$.setup_guide' END AS JSON[]), lambda x: json_type(x) <> 'VARCHAR')) = 0
+    AND len(list_filter(CAST(CASE WHEN json_valid(response) THEN response->'$.tech_stack' END AS JSON[]), lambda x: json_type(x, '$.name') <> 'VARCHAR')) = 0
     AND len(list_filter(CAST(CASE WHEN json_valid(response) THEN response->'$.dependencies' END AS JSON[]), lambda x: NOT json_exists(x, '$.purpose'))) = 0)""")
 _FAILED = f"""failed AS (
   SELECT id, 1 AS o, i, 'tech_stack name not in input: ' || {o.repr_('n')} AS failure FROM (SELECT id, i, t[i]->>'$.name' AS n FROM (SELECT id, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT id, CAST(doc->'$.tech_stack' AS JSON[]) AS t FROM answers)))
@@ -452,6 +455,23 @@ def complete_responses(spark, sf):
     return prompts.parse_generated(kept, "response").select("id", "is_complete")
 
 
+@query(o.with_(d.RESPONSES_SQL, """valid AS (SELECT id, CASE WHEN json_valid(response) THEN response END AS doc FROM responses)""", """
+  SELECT id, 'not a JSON object' AS problem FROM valid WHERE doc IS NULL
+  UNION ALL SELECT id, 'architecture: missing' FROM valid WHERE doc IS NOT NULL AND NOT json_exists(doc, '$.architecture')
+  UNION ALL SELECT id, 'architecture: not a string' FROM valid WHERE json_type(doc, '$.architecture') <> 'VARCHAR'
+  UNION ALL SELECT id, 'project_overview: not a string' FROM valid WHERE json_type(doc, '$.project_overview') <> 'VARCHAR'
+  UNION ALL SELECT id, 'setup_guide[' || (i - 1) || ']: not a string' FROM (SELECT id, s, unnest(range(1, len(s) + 1)) AS i FROM (
+    SELECT id, CAST(doc->'$.setup_guide' AS JSON[]) AS s FROM valid WHERE doc IS NOT NULL)) WHERE json_type(s[i]) <> 'VARCHAR'
+  UNION ALL SELECT id, 'tech_stack[' || (i - 1) || '].name: not a string' FROM (SELECT id, s, unnest(range(1, len(s) + 1)) AS i FROM (
+    SELECT id, CAST(doc->'$.tech_stack' AS JSON[]) AS s FROM valid WHERE doc IS NOT NULL)) WHERE json_type(s[i], '$.name') <> 'VARCHAR'
+  UNION ALL SELECT id, 'dependencies[' || (i - 1) || '].purpose: missing' FROM (SELECT id, s, unnest(range(1, len(s) + 1)) AS i FROM (
+    SELECT id, CAST(doc->'$.dependencies' AS JSON[]) AS s FROM valid WHERE doc IS NOT NULL)) WHERE NOT json_exists(s[i], '$.purpose')"""))
+def response_problems(spark, sf):
+    """Every way in which an answer breaks its contract."""
+    responses = d.responses_from_part(spark, sf).withColumnRenamed("part_id", "id")
+    return prompts.parse_generated(responses, "response").select("id", F.explode("problems").alias("problem"))
+
+
 @query(o.with_(*o.PARTS, o.KNOWN, *_ANSWERED, _FAILED,
                "SELECT id, row_number() OVER (PARTITION BY id ORDER BY o, i) - 1 AS pos, failure FROM failed"))
 def response_grounding_failures(spark, sf):

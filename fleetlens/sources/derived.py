@@ -292,14 +292,24 @@ URLS_SQL = f"urls AS (SELECT page_id, {URL_TEXT} AS url FROM pages)".replace("{t
 
 _ANSWER_REST = ('"setup_guide": ["s"], "development_workflow": ["w"], "starter_tasks": ["t"], '
                 '"data_completeness_notes": ["setup_guide: thin", "free text"]}')
+_SOUND = ('"important_files": [], "dependencies": [], "development_workflow": ["w"], "starter_tasks": ["t"], '
+          '"data_completeness_notes": []}')
+# Answers whose fields are all there, one of a wrong type.
+_MISTYPED = (
+    '{"project_overview": 5, "architecture": "a", "tech_stack": [], "setup_guide": ["s"], ' + _SOUND,
+    '{"project_overview": "o", "architecture": {"a": 1}, "tech_stack": [], "setup_guide": ["s"], ' + _SOUND,
+    '{"project_overview": "o", "architecture": "a", "tech_stack": [], "setup_guide": ["s", 1], ' + _SOUND,
+    '{"project_overview": "o", "architecture": "a", "tech_stack": [{"name": 1, "role": "r"}], "setup_guide": ["s"], ' + _SOUND,
+)
 RESPONSE_JSON = (
+    "CASE " + " ".join(f"WHEN {_K} % 17 = {4 * i + 1} THEN '{t}'" for i, t in enumerate(_MISTYPED)) + " ELSE "
     f"CASE CAST({_K} % 4 AS INT) WHEN 0 THEN '{{\"project_overview\": \"o\", \"architecture\": \"a\", \"tech_stack\": "
     f"[{{\"name\": ' || {_json_text(_pick(LANGS, _K))} || ', \"category\": null, \"role\": \"r\"}}, {{\"name\": \"GhostTech\", \"role\": \"r\"}}], "
     f"\"important_files\": [{{\"path\": \"web/none.py\", \"purpose\": \"p\"}}, {{\"path\": \"ghost/x.py\", \"purpose\": \"p\"}}], "
     f"\"dependencies\": [{{\"name\": ' || {_json_text(_pick(PIP, _K))} || ', \"purpose\": \"p\"}}, {{\"name\": \"ghost-lib\", \"purpose\": \"p\"}}], {_ANSWER_REST}' "
     f"WHEN 1 THEN '{{\"project_overview\": \"o\", \"tech_stack\": [], \"important_files\": [], \"dependencies\": [], {_ANSWER_REST}' "
     f"WHEN 2 THEN '{{bad' ELSE '{{\"project_overview\": \"p\", \"architecture\": \"b\", \"tech_stack\": [{{\"name\": \"Go\", \"role\": \"r\"}}], "
-    f"\"important_files\": [], \"dependencies\": [{{\"name\": \"React\"}}], {_ANSWER_REST}' END")
+    f"\"important_files\": [], \"dependencies\": [{{\"name\": \"React\"}}], {_ANSWER_REST}' END END")
 
 
 def responses_from_part(spark: SparkSession, sf_dir: str) -> DataFrame:
