@@ -1,11 +1,9 @@
 """Tables on either side of an external model: prompts out, responses in."""
 
-import json
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens import catalogs, schemas
+from fleetlens.functions.json_layout import indented
 from fleetlens.functions.text import computed, content_key, no_strings
 from fleetlens.operators import contracts, guide
 from fleetlens.operators.audit import with_audit
@@ -53,12 +51,6 @@ def record_json() -> Column:
         F.lit("}"))
 
 
-@F.pandas_udf(T.StringType())
-def indented_json(texts: pd.Series) -> pd.Series:
-    """JSON text indented by two, non-ASCII characters escaped; Spark's own layout differs."""
-    return texts.map(lambda t: json.dumps(json.loads(t), indent=2), na_action="ignore")
-
-
 def build_prompts(analyses: DataFrame) -> DataFrame:
     """``(…, cache_key, prompt_version, system_prompt, prompt)`` from the sanitised records.
 
@@ -70,7 +62,7 @@ def build_prompts(analyses: DataFrame) -> DataFrame:
     return body.select(
         *keys, F.lit(catalogs.PROMPT_VERSION).alias("prompt_version"),
         F.lit(SYSTEM_PROMPT).alias("system_prompt"),
-        F.concat(F.lit(catalogs.PROMPT_HEAD), indented_json("_json"), F.lit(catalogs.PROMPT_TAIL))
+        F.concat(F.lit(catalogs.PROMPT_HEAD), indented("_json"), F.lit(catalogs.PROMPT_TAIL))
         .alias("prompt"))
 
 
