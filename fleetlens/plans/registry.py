@@ -9,7 +9,7 @@ from fleetlens.functions.text import content_key, safe_preview
 from fleetlens.operators import (analysis, audit, dependencies, guide, inventory, long_records, prompts,
                                  provenance, request_log, sanitize, signals)
 from fleetlens.plans import fleet, oracle as o
-from fleetlens.sources import derived as d
+from fleetlens.sources import derived as d, records as records_source
 from fleetlens.sources.files import dirs_of, prune_ignored
 from fleetlens.sources.landing import land, scratch
 from fleetlens.sources.requests import validate_urls
@@ -252,6 +252,22 @@ def json_records(spark, sf):
         F.col("project_structure").isNotNull().alias("has_structure"))
 
 
+@query(o.with_(*o.PARTS, """SELECT project_name, array_to_string(languages, ',') AS languages, array_to_string(deps, chr(10)) AS dependencies,
+    CAST(NULL AS VARCHAR) AS reason FROM rec
+  UNION ALL SELECT NULL, NULL, NULL, reason FROM judged WHERE reason IS NOT NULL"""))
+def records_from_files(spark, sf):
+    """Records read back from a folder of mixed files: every fiftieth part is a file of its own, over several lines."""
+    folder = scratch(spark, "records")
+    texts = d.record_texts(spark, sf).withColumn("own", F.col("part_id") % 50 == 0)
+    laid_out = F.regexp_replace(F.regexp_replace("source_text", r"^\{", "{\n  "), ", ", ",\n  ")
+    texts.where("own").select("part_id", laid_out.alias("text")).repartition("part_id").write.partitionBy("part_id").text(f"{folder}/single")
+    texts.where(~F.col("own")).select("source_text").write.option("compression", "gzip").text(f"{folder}/lines")
+    records, bad = records_source.read_record_files(spark, folder, whole="*.txt")
+    return records.select(
+        "project_name", F.array_join("languages", ",").alias("languages"), lines(F.transform("dependencies", lambda x: x["name"])).alias("dependencies"),
+        F.lit(None).cast("string").alias("reason")).unionByName(bad.select("reason"), allowMissingColumns=True)
+
+
 @query(o.with_(*o.PARTS, "SELECT part_id, reason FROM judged WHERE reason IS NOT NULL"))
 def malformed_records(spark, sf):
     return analysis.parse_analyses(d.record_texts(spark, sf), "source_text")[1].select("part_id", "reason")
@@ -325,6 +341,19 @@ def evidence_files(spark, sf):
     return evidence.select("id", lines("files").alias("files"), long("n_more"))
 
 
+@query(o.with_(*o.PARTS, *o.GUIDE, o.OVERVIEW, f"""SELECT id, CAST(id % 3 AS INT) AS day, project_overview || CASE WHEN id % 3 = 1 THEN ' (again)' ELSE '' END AS project_overview,
+    CAST(false AS BOOLEAN) AS used_llm FROM ({o.OVERVIEW_SQL})"""))
+def knowledge_by_day(spark, sf):
+    """Guides written by day; one day is written a second time with new texts, twice, and all is read back."""
+    folder = scratch(spark, "knowledge")
+    guides = guide.generate_onboarding(part_records(spark, sf)).withColumn("day", (F.col("id") % 3).cast("int"))
+    records_source.write_knowledge(guides, folder, by=["day"])
+    again = guides.where("day = 1").withColumn("project_overview", F.concat("project_overview", F.lit(" (again)")))
+    for _ in range(2):
+        records_source.write_knowledge(again, folder, by=["day"])
+    return records_source.read_knowledge(spark, folder, guides.schema).select("id", "day", "project_overview", "used_llm")
+
+
 _SECTIONS = o.values_table("sections", "section, title", c.SECTION_LABELS.items())
 _PROVENANCE_SQL = f"""SELECT id, section, CASE WHEN len(own) > 0 THEN 'No data detected' WHEN section = 'architecture_diagram' THEN 'Pattern-matched'
     WHEN section = 'important_files' THEN 'Repository-derived' WHEN used_llm THEN 'AI-generated' ELSE 'Rule-based' END AS badge,

@@ -278,3 +278,40 @@ def test_evidence(spark):
     assert got == [(0, [f"f{i}" for i in range(11)], 0), (1, [], 0)]
     some = rows(provenance.evidence_files(guide.generate_onboarding(parsed), "id", shown=8), "id")
     assert some == [(0, [f"f{i}" for i in range(8)], 3), (1, [], 0)]
+
+
+def test_mixed_folder_of_records(spark, tmp_path):
+    from fleetlens.sources.records import read_record_files
+
+    one = {"project_name": "one", "languages": ["Go"], "dependencies": [{"name": "x"}]}
+    (tmp_path / "pretty.json").write_text(json.dumps(one, indent=2) + "\n")
+    (tmp_path / "compact.json").write_text(json.dumps({**one, "project_name": "two"}))
+    (tmp_path / "lines.json").write_text("\n".join(json.dumps({"project_name": f"l{i}"}) for i in range(3)) + "\n\nbroken\n")
+    (tmp_path / "many.jsonl").write_text("\n".join(json.dumps({"project_name": f"m{i}"}) for i in range(50)) + "\n{bad\n\n")
+    (tmp_path / "broken.json").write_text('{\n  "project_name": \n')
+    (tmp_path / "wrong.json").write_text('{\n  "languages": "Python"\n}')
+    (tmp_path / "empty.json").write_text("")
+    (tmp_path / "blank.json").write_text(" \n\n")
+    records, bad = read_record_files(spark, str(tmp_path))
+    assert sorted(r.project_name for r in records.collect()) == sorted(["one", "two", *[f"l{i}" for i in range(3)], *[f"m{i}" for i in range(50)]])
+    assert records.where("project_name = 'one'").first().languages == ["Go"]
+    found = {(r.source_file.rsplit("/", 1)[1], r.reason) for r in bad.collect()}
+    assert found == {("lines.json", "not a JSON object"), ("many.jsonl", "not a JSON object"), ("broken.json", "not a JSON object"),
+                     ("wrong.json", "languages: not a list")}
+    assert bad.where("source_file like '%broken.json'").first().source_text.count("\n") == 2
+
+
+def test_knowledge_by_partition_can_be_written_again(spark, tmp_path):
+    from fleetlens.sources.records import read_knowledge, write_knowledge
+
+    def guides(*rows):
+        return spark.createDataFrame(rows, "id int, text string, day string")
+
+    path = str(tmp_path / "out")
+    write_knowledge(guides((1, "a", "d1"), (2, None, "d2")), path, by=["day"])
+    for _ in range(2):
+        write_knowledge(guides((2, "new", "d2"), (3, "c", "d2")), path, by=["day"])
+    write_knowledge(guides((9, "z", "d3")), path, by=["day"])
+    back = read_knowledge(spark, path, "id int, text string, day string")
+    assert sorted(tuple(r) for r in back.collect()) == [(1, "a", "d1"), (2, "new", "d2"), (3, "c", "d2"), (9, "z", "d3")]
+    assert '"text":null' not in "".join(p.read_text() for p in (tmp_path / "out" / "day=d2").glob("*.json"))
