@@ -56,6 +56,17 @@ def architecture_signals(names: DataFrame, column: str = "name", exact: bool = F
             .select(*names.columns, "_hit.tier", "_hit.signal"))
 
 
+def signals_by_dictionary(names: DataFrame, column: str = "name") -> DataFrame:
+    """The rows of :func:`architecture_signals`, each distinct name searched once, whatever the number of rows that use it.
+
+    Names repeat across a fleet far more often than signals match: the dictionary of distinct names that match any
+    signal is small beside the rows, and it is joined back by name.
+    """
+    low = F.lower(col(column))
+    known = architecture_signals(names.select(low.alias("_name")).distinct(), "_name")
+    return names.withColumn("_name", low).join(known, "_name").select(*names.columns, "tier", "signal")
+
+
 def architecture_summary(names: DataFrame, column: str = "name") -> DataFrame:
     """Tier flags and the sorted services per repository."""
     hits = architecture_signals(names.select("repo_id", col(column).alias("name")))

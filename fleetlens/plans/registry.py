@@ -1,12 +1,14 @@
 """Every operator as a named query over the test tables, with its DuckDB statement where one
 can express it on the whole tables."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from fleetlens import catalogs as c
 from fleetlens.functions import paths
 from fleetlens.functions.text import content_key, safe_preview
-from fleetlens.operators import (analysis, audit, dependencies, guide, inventory, long_records, prompts,
+from fleetlens.operators import (analysis, audit, dependencies, guide, incremental, inventory, long_records, prompts,
                                  provenance, request_log, sanitize, signals)
 from fleetlens.plans import fleet, oracle as o
 from fleetlens.sources import derived as d, records as records_source
@@ -193,6 +195,11 @@ def architecture_signals(spark, sf):
     return signals.architecture_signals(_dependency_names(spark, sf))
 
 
+@query(o.with_(*_SIGNAL_BASE, "SELECT * FROM hits"))
+def architecture_signals_by_dictionary(spark, sf):
+    return signals.signals_by_dictionary(_dependency_names(spark, sf))
+
+
 @query(o.with_(*o.DEP_BASE, o.SIGNALS, _DEP_NAMES,
                "SELECT repo_id, name, tier, signal FROM dep_names JOIN signal_of ON lower(name) = signal"))
 def architecture_signals_exact(spark, sf):
@@ -443,6 +450,20 @@ def conversation_secrets(spark, sf):
         spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "text")), "text")
 
 
+@query(f"""SELECT id, pattern, preview FROM (SELECT id, {o.secret_case('text', c.SECRET_VALUES)} AS pattern, text[:4] || '…' AS preview
+    FROM (SELECT p_partkey AS id, {d.SECRET_TEXT} AS text FROM part)) WHERE pattern IS NOT NULL""".replace("{text}", "VARCHAR"))
+def secret_texts(spark, sf):
+    """Texts of which each value pattern finds some."""
+    return sanitize.scan_secrets(d.secrets_from_part(spark, sf).select("id", "text"), "text")
+
+
+@query(f"""SELECT repo_id, path, pattern FROM (SELECT p_partkey AS repo_id, path, {o.secret_case(o.base('path'), c.SECRET_FILES)} AS pattern
+    FROM (SELECT p_partkey, {d.SECRET_PATH} AS path FROM part)) WHERE pattern IS NOT NULL""".replace("{text}", "VARCHAR"))
+def secret_paths(spark, sf):
+    """Paths of which each name pattern finds some."""
+    return sanitize.scan_secret_files(d.secrets_from_part(spark, sf).select(F.col("id").alias("repo_id"), "path"))
+
+
 @query(o.with_(*o.PARTS, o.REDACTIONS, "SELECT * FROM redactions"))
 def record_redactions(spark, sf):
     return sanitize.redactions(sanitize.sanitize(part_records(spark, sf))).select(
@@ -560,6 +581,21 @@ def prompts_for_records(spark, sf):
         .alias("structure"), "project_name", "wrapped")
 
 
+@query(o.with_(*o.PARTS, """SELECT id, true AS is_new FROM rec JOIN judged ON part_id = id WHERE id % 7 = 2 OR id % 11 = 5
+    AND source_text NOT IN (SELECT source_text FROM judged WHERE part_id % 11 <> 5 AND reason IS NULL)"""))
+def incremental_prompts(spark, sf):
+    """A second run emits the prompts of the records that changed or are new since the first, and no other."""
+    table = f"results_{uuid.uuid4().hex}"
+    records = part_records(spark, sf)
+    first = incremental.pending_prompts(spark, records.where("id % 11 <> 5"), table)
+    incremental.save_results(first.select("cache_key", F.lit("answer").alias("answer")), table, buckets=8)
+    second = records.withColumn("project_name", F.when(F.col("id") % 7 == 2, F.concat(F.coalesce("project_name", F.lit("")), F.lit(" v2")))
+                                .otherwise(F.col("project_name")))
+    made = land(incremental.pending_prompts(spark, second, table).select("id", F.lit(True).alias("is_new")))
+    spark.sql(f"DROP TABLE {table}")
+    return made
+
+
 # ---------------------------------------------------------------- request log
 
 @query(o.with_(d.REQUESTS_SQL, o.metrics()))

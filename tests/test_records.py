@@ -315,3 +315,35 @@ def test_knowledge_by_partition_can_be_written_again(spark, tmp_path):
     back = read_knowledge(spark, path, "id int, text string, day string")
     assert sorted(tuple(r) for r in back.collect()) == [(1, "a", "d1"), (2, "new", "d2"), (3, "c", "d2"), (9, "z", "d3")]
     assert '"text":null' not in "".join(p.read_text() for p in (tmp_path / "out" / "day=d2").glob("*.json"))
+
+
+def test_every_secret_pattern_fires(spark):
+    from fleetlens import catalogs
+    from fleetlens.plans import registry
+
+    sf = "/root/testdata/sf0.001"
+    for name, patterns in (("secret_texts", catalogs.SECRET_VALUES), ("secret_paths", catalogs.SECRET_FILES)):
+        found = {r.pattern for r in registry.QUERIES[name](spark, sf).collect()}
+        assert found == {p for p, _ in patterns}
+
+
+def test_results_are_looked_up_without_moving_them(spark):
+    from fleetlens.operators import incremental
+
+    parsed, _ = records(spark, {"project_name": "a"}, {"project_name": "b"}, {"project_name": "a"}, {"languages": ["Go"]})
+    table = "results_of_a_test"
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    assert incremental.pending(spark, parsed, table).count() == 4
+    incremental.save_results(incremental.keyed(parsed.where("project_name = 'a'")).select("cache_key"), table, buckets=4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = incremental.pending(spark, parsed, table)
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.id for r in left.collect()) == [1, 3]
+        assert plan.count("Exchange") == 1 and "LeftAnti" in plan
+        incremental.save_results(incremental.keyed(left.drop("cache_key")).select("cache_key"), table, buckets=4)
+        assert incremental.pending_prompts(spark, parsed, table).count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql(f"DROP TABLE {table}")
