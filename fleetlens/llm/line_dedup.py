@@ -13,8 +13,9 @@ With ``short_lines`` a line of fewer characters than a shingle is one shingle, s
 lines; it needs no signature. Blank lines always stay.
 
 Defined results: without ``short_lines`` a line of fewer characters than a shingle stays; a document
-without lines stays as it is; a null id takes no part; rows that repeat an id count as one document; an
-empty table gives no rows.
+without lines stays as it is; a null id takes no part; rows that repeat an id and its text count as one document,
+different texts of one id are documents of their own, in the order of a hash of the text; lines of any length are hashed
+whole, in chunks; columns named as the added ones are replaced, all others pass; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -128,14 +129,14 @@ def band_keys(values: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nd
 
 
 def _lines(docs: DataFrame, shingle: int, short_lines: bool) -> DataFrame:
-    """``key, bands`` of the distinct lines of a slice and ``key, id, line`` of every occurrence."""
-    schema = "key long, id long, line long, bands array<long>"
-    arrow = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("line", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    """``key, bands`` of the distinct lines of a slice and ``key, id, row, line`` of every occurrence."""
+    schema = "key long, id long, row long, line long, bands array<long>"
+    arrow = pa.schema([*[(c, pa.int64()) for c in ("key", "id", "row", "line")], ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in slices(batches):
-            keys, ids, places, fresh = [], [], [], {}
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            keys, ids, rows, places, fresh = [], [], [], [], {}
+            for doc, text, row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if doc is None or not text:
                     continue
                 for i, raw in enumerate(text.split("\n")):
@@ -146,17 +147,17 @@ def _lines(docs: DataFrame, shingle: int, short_lines: bool) -> DataFrame:
                             fresh[key] = line
                         keys.append(key)
                         ids.append(doc)
+                        rows.append(row)
                         places.append(i)
             none = pa.nulls(len(keys), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(places, pa.int64()), none], schema=arrow)
+                [*[pa.array(c, pa.int64()) for c in (keys, ids, rows, places)], none], schema=arrow)
             if fresh:
                 bands = band_keys(signatures(list(fresh.values()), shingle))
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(fresh) + 1) * bands.shape[1], pa.int32()),
                                                 pa.array(bands.reshape(-1), pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(list(fresh), pa.int64()), pa.nulls(len(fresh), pa.int64()),
-                     pa.nulls(len(fresh), pa.int64()), flat], schema=arrow)
+                    [pa.array(list(fresh), pa.int64()), *[pa.nulls(len(fresh), pa.int64())] * 3, flat], schema=arrow)
 
     return docs.mapInArrow(run, schema)
 
@@ -207,8 +208,8 @@ def _verify(pairs: DataFrame, bodies: DataFrame, shingle: int, percent: int) ->
 
 def line_components(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
                     percent: int = PERCENT, short_lines: bool = False) -> tuple[DataFrame, DataFrame]:
-    """``key, id, line`` of every occurrence, and ``node, comp`` of the lines that link with another."""
-    own = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
+    """``key, id, row, line`` of every occurrence, and ``node, comp`` of the lines that link with another."""
+    own = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("row"))
     lines = land(_lines(own, shingle, short_lines))
     banded = lines.where("bands is not null").groupBy(F.col("key").alias("node")).agg(F.first("bands").alias("bands"))
     found = land(buckets(banded.select(F.explode("bands").alias("token"), "node", F.lit(0).cast("long").alias("n"))))
@@ -216,18 +217,18 @@ def line_components(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     bodies = land(_bodies(own, nodes, shingle))
     labels = link_buckets(found, lambda pairs: _verify(pairs, bodies, shingle, percent), percent)
     discard(docs.sparkSession, found, bodies)
-    return lines.where("bands is null").select("key", "id", "line"), labels
+    return lines.where("bands is null").select("key", "id", "row", "line"), labels
 
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``id, lines``: the numbers of the lines to remove from each document that loses any."""
+    """``id, row, lines``: the numbers of the lines to remove from each document that loses any."""
     occurrences, labels = line_components(docs, key, text, **options)
     placed = occurrences.join(labels.withColumnRenamed("node", "key"), "key", "left").select(
-        F.coalesce("comp", "key").alias("comp"), "id", "line")
-    first = placed.groupBy("comp").agg(F.min(F.struct("id", "line")).alias("first"), F.count("*").alias("n")).where(
+        F.coalesce("comp", "key").alias("comp"), "id", "row", "line")
+    first = placed.groupBy("comp").agg(F.min(F.struct("id", "row", "line")).alias("first"), F.count("*").alias("n")).where(
         "n > 1").select("comp", "first")
-    rest = placed.join(first, "comp").where(F.struct("id", "line") != F.col("first"))
-    return rest.groupBy("id").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+    rest = placed.join(first, "comp").where(F.struct("id", "row", "line") != F.col("first"))
+    return rest.groupBy("id", "row").agg(F.sort_array(F.collect_set("line")).alias("lines"))
 
 
 ADDED = T.StructType([T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType()),
@@ -236,8 +237,8 @@ ADDED = T.StructType([T.StructField("n_lines", T.LongType()), T.StructField("n_r
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with ``n_lines, n_removed`` and ``kept_text``; lines stay as they were written."""
-    removed = removed_lines(docs, key, text, **options).select(F.col("id").alias("_id"), F.col("lines").alias("_gone"))
-    wide = docs.join(removed, F.col(key).cast("long") == F.col("_id"), "left").drop("_id")
+    removed = removed_lines(docs, key, text, **options).select(F.col("id").alias("_id"), F.col("row").alias("_row"), F.col("lines").alias("_gone"))
+    wide = docs.join(removed, (F.col(key).cast("long") == F.col("_id")) & (F.xxhash64(text) == F.col("_row")), "left").drop("_id", "_row")
 
     def compute(texts, gone):
         counts, lost, kept = [], [], []

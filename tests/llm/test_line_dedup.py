@@ -80,3 +80,17 @@ def test_equal_short_lines(spark):
     texts = [(1, "Menu\n\n-----\na whole line of text"), (2, "menu \nother\n\n-----"), (3, "Next\n \nMENU"), (None, "Menu")]
     kept = {r.doc_id: (r.n_removed, r.kept_text) for r in L.dedup_lines(docs_of(spark, texts), short_lines=True).collect()}
     assert kept == {1: (0, texts[0][1]), 2: (2, "other\n"), 3: (1, "Next\n "), None: (0, "Menu")}
+
+
+def test_different_texts_of_one_id_keep_their_own_lines(spark):
+    first, second = "a line that stands in both of them", "a line of the second text alone"
+    texts = [(1, first + "\nother words of the first row"), (1, second + "\n" + first), (1, second + "\n" + first), (2, first)]
+    rows = L.dedup_lines(docs_of(spark, texts)).collect()
+    by_text = {}
+    for r in rows:
+        by_text.setdefault((r.doc_id, r.text), set()).add(r.kept_text)
+    assert len(rows) == 4 and all(len(kept) == 1 for kept in by_text.values())
+    kept = {k: next(iter(v)) for k, v in by_text.items()}
+    assert sorted(x for t in kept.values() for x in t.split("\n") if x) == sorted([first, second, "other words of the first row"])
+    # Nothing that stands once is lost, whichever row keeps the shared line.
+    assert second in kept[texts[1]] and "other words" in kept[texts[0]]

@@ -1,11 +1,13 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline as pipeline
 from fleetlens.llm import kneser_ney, ngram_join
 from fleetlens.llm.common import read
+from tests.llm.helpers import docs_of
 from tests.llm.test_decontaminate import brute as contamination
 from tests.llm.test_line_dedup import brute as repeated_lines
 from tests.llm.test_ngram_join import brute as near_copies
@@ -98,3 +100,12 @@ def test_queries_are_registered():
     names = entry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert np.all([n in names for n in entry.oracle_sql()])
+
+
+def test_line_stage_keeps_columns_of_clashing_names(spark):
+    docs = docs_of(spark, [(1, "a line that is repeated below\nmore"), (2, "a line that is repeated below\nand others")]).withColumns(
+        {"n_lines": F.lit("mine"), "kept_text": F.lit(5), "N_Removed": F.lit(True)})
+    out = pipeline.dedup_lines(spark, docs, SF)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id, r.text, r.n_lines, r.kept_text, r.N_Removed) for r in out.collect()) == [
+        (1, "a line that is repeated below\nmore", "mine", 5, True), (2, "and others", "mine", 5, True)]
