@@ -3,6 +3,10 @@
 The quality classifier drops what it rejects; line dedup takes repeated lines out of the texts and drops
 documents that lose all their lines; of each group of near copies one document stays; contaminated
 documents go; the rest is packed into training windows. Documents without text pass up to the packing.
+
+Defined results: rows without an id pass both dedup stages as they are; rows that repeat an id and its text are one document from
+the third stage on, different texts of one id are documents of their own throughout; among near copies the lowest id stays, then
+the lowest hash; texts of any length are read whole; further columns pass, whatever their names; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -20,10 +24,13 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the lines that stay; ``n_chars`` follows the text."""
-    done = line_dedup.dedup_lines(docs).where("n_removed = 0 or trim(kept_text) <> ''")
+    # The report's names must not hide columns of the input.
+    clash = {f.name.lower() for f in line_dedup.ADDED} & {c.lower() for c in docs.columns}
+    renamed = docs.withColumnsRenamed({c: f"_own_{c}" for c in docs.columns if c.lower() in clash})
+    done = line_dedup.dedup_lines(renamed).where("n_removed = 0 or trim(kept_text) <> ''")
     replaced = {"text": F.col("kept_text"), "n_chars": F.when(
         F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))}
-    return done.select(*[replaced.get(c, F.col(c)).alias(c) for c in docs.columns])
+    return done.select(*[replaced.get(c, F.col(f"`_own_{c}`" if c.lower() in clash else f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
