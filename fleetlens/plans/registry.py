@@ -332,6 +332,14 @@ def _guide_queries(prefix, records, base):
         "id", "entry", F.col("start.command").alias("command"), F.col("start.caveat").alias("caveat"))
 
 
+    purpose = f"""coalesce(purpose, CASE WHEN starts_with(k, '@types/') AND length(k) > 7 THEN 'TypeScript type declarations for ' || k[8:] || '.'
+        WHEN starts_with(k, 'eslint-plugin-') AND length(k) > 14 THEN 'ESLint rule set for ' || k[15:] || '.' ELSE {o.q(c.PURPOSE_UNKNOWN)} END)"""
+    register("dependency_explanations", (o.PURPOSES, f"""SELECT id, pos, name, {purpose} AS purpose, {o.q(c.ARCHITECTURE_PROSE)} AS architecture
+      FROM (SELECT id, i - 1 AS pos, deps[i] AS name, {o.dep_key('deps[i]')} AS k FROM (SELECT id, deps, unnest(range(1, len(deps) + 1)) AS i FROM rec))
+      LEFT JOIN purpose_of ON k = dep_key"""), lambda g: g.select("id", "architecture", F.posexplode("dependencies").alias("pos", "d")).select(
+          "id", long("pos"), "d.name", "d.purpose", "architecture"))
+
+
 _guide_queries("fleet", fleet_records, o.FLEET)
 _guide_queries("record", part_records, o.PARTS)
 
@@ -348,6 +356,12 @@ def evidence_files(spark, sf):
     return evidence.select("id", lines("files").alias("files"), long("n_more"))
 
 
+@query(o.with_(*o.FLEET, """SELECT id, array_to_string(list_transform(files[:3], lambda f: f.path), chr(10)) AS files, greatest(len(files) - 3, 0) AS n_more FROM rec"""))
+def evidence_files_shown(spark, sf):
+    evidence = provenance.evidence_files(guide.generate_onboarding(fleet_records(spark, sf)), "id", shown=3)
+    return evidence.select("id", lines("files").alias("files"), long("n_more"))
+
+
 @query(o.with_(*o.PARTS, *o.GUIDE, o.OVERVIEW, f"""SELECT id, CAST(id % 3 AS INT) AS day, project_overview || CASE WHEN id % 3 = 1 THEN ' (again)' ELSE '' END AS project_overview,
     CAST(false AS BOOLEAN) AS used_llm FROM ({o.OVERVIEW_SQL})"""))
 def knowledge_by_day(spark, sf):
@@ -540,6 +554,16 @@ def merged_guides(spark, sf):
         F.col("architecture_diagram").alias("diagram"))
 
 
+@query(o.with_(*o.PARTS, *o.GUIDE, o.NOTES, *o.DIAGRAM_BASE, *_ANSWERED, _SECTIONS, f"""all_notes AS (SELECT r.id, a.id IS NOT NULL AS used_llm,
+  CASE WHEN a.id IS NULL THEN notes WHEN contains(diagram, '{c.DIAGRAM_UNKNOWN}')
+    THEN list_append(CAST(doc->'$.data_completeness_notes' AS VARCHAR[]), '{c.DIAGRAM_UNKNOWN_NOTE}')
+    ELSE CAST(doc->'$.data_completeness_notes' AS VARCHAR[]) END AS notes
+  FROM rec r LEFT JOIN answers a USING (id) JOIN notes USING (id) JOIN drawn USING (id))""", _PROVENANCE_SQL))
+def merged_provenance(spark, sf):
+    """Where the sections of guides come from of which a model wrote some."""
+    return provenance.section_provenance(_merged(spark, sf), "id").withColumn("reasons", lines("reasons"))
+
+
 @query(o.with_(*o.PARTS, o.KNOWN, f"""SELECT id, pos, label || ' not in input: ' || {o.repr_('n')} AS failure FROM (
     SELECT id, 'tech_stack name' AS label, unnest(list_concat(languages, frameworks)) AS n, 0 AS pos FROM rec
     UNION ALL SELECT id, 'important_files path', unnest(list_transform(files, lambda f: f.path)), 0 FROM rec
