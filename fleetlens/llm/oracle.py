@@ -82,13 +82,13 @@ damaged AS (
   FROM keyed WHERE kind <> 0),
 ordered AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS r, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS core,
-    lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before,
-    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS again
+    lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before
   FROM damaged),
+repeated AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY r) AS again FROM ordered),
 judged AS (
   SELECT *, left(role, 1) AS c, CASE WHEN core = '' THEN 'b' WHEN again > 1 THEN 'd' WHEN right(core, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
     (fault = 't')::int AS extra, fault IN ('b', 'd') AS gone
-  FROM ordered),
+  FROM repeated),
 facts AS (
   SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::bigint AS gaps, count(*) FILTER (fault = 'b') AS blank,
     count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
