@@ -54,6 +54,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share; a session without one gets a local folder, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="fleetlens-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
