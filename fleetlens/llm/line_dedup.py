@@ -28,11 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens.llm.common import append_columns, discard, land, slices
-from fleetlens.llm.linking import beside, buckets, link_buckets
+from fleetlens.llm.linking import beside, buckets, link_buckets, parity_bits
 
 SHINGLE = 8
 BANDS, ROWS = 12, 5
 PERCENT = 80
+#: Bits of the bitmap of a line's shingles.
+BITS = 512
 #: Bins that an empty bin asks for a value, in a fixed order of its own.
 PROBES = 400
 _BASE = np.uint64(0x9FB21C651E98DF25)
@@ -185,6 +187,18 @@ def _bodies(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
     return lines.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("body").alias("body"))
 
 
+def _sketches(bodies: DataFrame, shingle: int) -> DataFrame:
+    """``node, n, bits``: size and bitmap of the shingles of every line."""
+    def run(batches):
+        for batch in slices(batches):
+            sets = [shingle_set(body, shingle) for body in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([parity_bits(x, BITS) for x in sets], pa.binary())],
+                ["node", "n", "bits"])
+
+    return bodies.mapInArrow(run, "node long, n long, bits binary")
+
+
 def _verify(pairs: DataFrame, bodies: DataFrame, shingle: int, percent: int) -> DataFrame:
     def run(batches):
         group, own = None, None
@@ -212,11 +226,11 @@ def line_components(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     own = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.xxhash64(text).alias("row"))
     lines = land(_lines(own, shingle, short_lines))
     banded = lines.where("bands is not null").groupBy(F.col("key").alias("node")).agg(F.first("bands").alias("bands"))
-    found = land(buckets(banded.select(F.explode("bands").alias("token"), "node", F.lit(0).cast("long").alias("n"))))
-    nodes = found.select("node").union(found.select("rep")).distinct()
-    bodies = land(_bodies(own, nodes, shingle))
-    labels = link_buckets(found, lambda pairs: _verify(pairs, bodies, shingle, percent), percent)
-    discard(docs.sparkSession, found, bodies)
+    found = land(buckets(banded.select(F.explode("bands").alias("token"), "node")))
+    bodies = land(_bodies(own, found.select("node").distinct(), shingle))
+    members = land(found.join(_sketches(bodies, shingle), "node").select("token", "node", "n", F.col("n").alias("left"), "bits"))
+    labels = link_buckets(members, lambda pairs: _verify(pairs, bodies, shingle, percent), percent)
+    discard(docs.sparkSession, found, bodies, members)
     return lines.where("bands is null").select("key", "id", "row", "line"), labels
 
 

@@ -87,97 +87,165 @@ def beside(pairs: DataFrame, bodies: DataFrame, group_rows: int = GROUP_ROWS) ->
 
 
 def buckets(rows: DataFrame) -> DataFrame:
-    """``token, node, n, rep, n_rep`` for every token of ``rows(token, node, n)`` with two nodes or more.
+    """The rows of ``rows(token, ...)``, longs all, whose token stands in two rows or more.
 
-    The rows of a token follow one another in a sorted partition; the first is its representative. A
-    stream over them holds no group.
+    The rows of a token follow one another in a sorted partition; a stream over them holds no group.
     """
-    ordered = rows.select("token", "node", "n").repartition("token").sortWithinPartitions("token", "n", "node")
-    schema = "token long, node long, n long, rep long, n_rep long"
+    names = rows.columns
+    ordered = rows.repartition("token").sortWithinPartitions("token", *[c for c in names if c != "token"])
 
     def run(batches):
-        last = None  # token, representative and its size at the end of the last batch
+        held, twin = None, False  # the last row so far, and whether the one before it has its token
         for batch in batches:
             if not batch.num_rows:
                 continue
-            token, node, n = (c.to_numpy() for c in batch.columns)
-            fresh = np.concatenate([[last is None or token[0] != last[0]], token[1:] != token[:-1]])
-            start = np.maximum.accumulate(np.where(fresh, np.arange(len(token)), -1))
-            carried = start < 0
-            rep = np.where(carried, last[1] if last else 0, node[start])
-            n_rep = np.where(carried, last[2] if last else 0, n[start])
-            keep = ~fresh & (node != rep)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c[keep]) for c in (token, node, n, rep, n_rep)], ["token", "node", "n", "rep", "n_rep"])
-            last = (token[-1], rep[-1], n_rep[-1])
+            columns = {c: batch.column(c).to_numpy() for c in names}
+            if held is not None:
+                columns = {c: np.concatenate([held[c], v]) for c, v in columns.items()}
+            token = columns["token"]
+            after = token[1:] == token[:-1]
+            keep = np.concatenate([[twin], after[:-1]]) | after if len(after) else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(columns[c][:-1][keep]) for c in names], names)
+            twin = bool(after[-1]) if len(after) else twin
+            held = {c: v[-1:] for c, v in columns.items()}
+        if twin:
+            yield pa.RecordBatch.from_arrays([pa.array(held[c]) for c in names], names)
 
-    return ordered.mapInArrow(run, schema)
+    return ordered.mapInArrow(run, rows.schema)
 
 
-#: Rounds of stars before what is left of the buckets is compared pair by pair.
-STARS = 2
-#: Pairs per row of a bucket, on average, up to which all that are left are compared.
-SMALL = 32
+#: Rows of a bucket that one task compares at a time; a larger bucket is cut into blocks of about this size.
+BLOCK = 2048
+#: Rounds in which every block names a forest of its candidates, before all that are left are named.
+FORESTS = 2
 
 
-def link_buckets(found: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent: int, stars: int = STARS) -> DataFrame:
-    """``node, comp``: components of the confirmed pairs of ``found``, the landed :func:`buckets`.
+def parity_bits(tokens: np.ndarray, bits: int) -> bytes:
+    """A bitmap in which every token of a set of 64-bit hashes flips a bit.
 
-    First every member is compared with its bucket's representative. Then, for some rounds, with another
-    representative, if the links so far leave the two apart: a bucket of copies soon is one component.
-    In the end all pairs of a bucket that are still apart are compared, so no link is missed. Sizes ``n``
-    of a pair may differ by ``percent`` at most. No pair is compared twice.
+    Two sets differ in at least as many tokens as their bitmaps differ in bits.
     """
-    spark = found.sparkSession
-    members = found.select("token", "node", "n").union(
-        found.select("token", F.col("rep").alias("node"), F.col("n_rep").alias("n")).distinct())
-    pairs = land(found.select(F.col("rep").alias("a"), F.col("node").alias("b"), F.col("n_rep").alias("n_a"),
-                              F.col("n").alias("n_b")).where(_fits(percent)).select("a", "b").distinct())
-    tested, links = [pairs], [land(confirm(pairs))]
-    labels = components(links[0])
-    # A bucket of two nodes is settled by its star; one component needs no further comparison.
-    live = land(_unsettled(members, labels, "size > 2 and low < high"))
-    for k in range(1, stars + 1):
-        # Small buckets are cheaper to compare than to star once more.
-        left = live.groupBy("token").count().agg(
-            F.sum(F.col("count") * (F.col("count") - 1) / 2).alias("pairs"), F.sum("count").alias("rows")).first()
-        if (left.pairs or 0) <= SMALL * (left.rows or 0):
-            break
-        star = live.groupBy("token").agg(F.min_by(F.struct("node", "n", "comp"), F.xxhash64("node", F.lit(k))).alias("r"))
-        fresh = live.join(star, "token").where("comp <> r.comp").select(
-            F.least("node", "r.node").alias("a"), F.greatest("node", "r.node").alias("b"), F.col("r.n").alias("n_a"),
-            F.col("n").alias("n_b")).where(_fits(percent)).select("a", "b").distinct()
-        pairs = land(_untested(fresh, tested))
-        tested.append(pairs)
-        links.append(land(confirm(pairs)))
-        if not links[-1].isEmpty():
+    slots = ((tokens >> np.uint64(24)) % np.uint64(bits)).astype(np.int64)
+    return np.packbits((np.bincount(slots, minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def link_buckets(members: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent: int, block: int = BLOCK) -> DataFrame:
+    """``node, comp``: components of the confirmed pairs of the landed ``members(token, node, n, left, bits)``.
+
+    Rows of one token may link. ``n`` is the size of a node's set, ``left`` the number of its tokens from this
+    one on, in the order of all tokens; ``bits`` are :func:`parity_bits`. Sizes, ``left`` and bits bound the
+    intersection from above, so a pair that they rule out cannot link. Tasks hold a block of a bucket and
+    name a forest of the pairs that are left: at most one pair per row. Once these are confirmed or not,
+    blocks name what is still apart, and at last every such pair of a bucket is compared, blocks against blocks;
+    no link is missed, and a bucket of copies never becomes pairs. No pair is confirmed twice.
+    """
+    spark = members.sparkSession
+    columns = ["token", "node", "n", "left", "bits"]
+    live, labels, tested, links, spent = members.withColumn("comp", F.col("node")), None, [], [], []
+    for k in range(FORESTS + 1):
+        last = k == FORESTS
+        pairs = _compare(_blocks(live, block, k, last), percent, not last, k).select(
+            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if tested:
+            pairs = pairs.join(reduce(DataFrame.union, tested), ["a", "b"], "left_anti")
+        tested.append(land(pairs))
+        links.append(land(confirm(tested[-1])))
+        if labels is None or not links[-1].isEmpty():
+            spent += [] if labels is None else [labels]
             labels = components(reduce(DataFrame.union, links))
-            previous, live = live, land(_unsettled(live.drop("comp"), labels, "low < high"))
-            discard(spark, previous)
-    rest = live.select("token", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("comp").alias("comp_a")).join(
-        live.select("token", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("comp").alias("comp_b")),
-        "token").where((F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b")) & _fits(percent)).select(
-            "a", "b").distinct()
-    links.append(land(confirm(_untested(rest, tested))))
-    if not links[-1].isEmpty():
-        labels = components(reduce(DataFrame.union, links))
-    discard(spark, live, *tested, *links)
+        if not last:
+            live = land(_unsettled(live.select(*columns), labels))
+            spent.append(live)
+            if live.isEmpty():
+                break
+    discard(spark, *tested, *links, *spent)
     return labels
 
 
-def _fits(percent: int):
-    return F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
+def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """``members`` with ``comp``, of the buckets that the links so far leave in several components."""
+    placed = members.join(labels, "node", "left").select(*members.columns, F.coalesce("comp", "node").alias("comp"))
+    tokens = placed.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("token")
+    return placed.join(tokens, "token", "left_semi")
 
 
-def _unsettled(members: DataFrame, labels: DataFrame, condition: str) -> DataFrame:
-    """``token, node, n, comp`` of the buckets that the links so far leave in several components."""
-    placed = members.join(labels, "node", "left").select(
-        "token", "node", "n", F.coalesce("comp", "node").alias("comp"))
-    tokens = placed.groupBy("token").agg(
-        F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).where(condition).select("token")
-    return placed.join(tokens, "token", "left_semi")
+def _blocks(live: DataFrame, block: int, salt: int, crossed: bool) -> DataFrame:
+    """``live`` with the number of its block, ``part``; ``crossed``: once per pair of blocks of its bucket."""
+    large = live.groupBy("token").count().where(F.col("count") > block).select(
+        "token", F.ceil(F.col("count") / F.lit(block)).alias("parts"))
+    parts = F.coalesce("parts", F.lit(1))
+    own = live.join(large, "token", "left").withColumn("own", F.pmod(F.xxhash64("node", "bits", F.lit(salt)), parts))
+    if crossed:
+        own = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).withColumn(
+            "part", F.least("own", "other") * parts + F.greatest("own", "other"))
+    else:
+        own = own.withColumn("part", F.col("own"))
+    return own.select("token", "part", "n", "node", "left", "comp", "bits").repartition("token", "part").sortWithinPartitions(
+        "token", "part", "n", "node")
 
 
-def _untested(pairs: DataFrame, tested: list[DataFrame]) -> DataFrame:
-    done = reduce(DataFrame.union, tested).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return pairs.join(done, ["a", "b"], "left_anti")
+def _compare(blocks: DataFrame, percent: int, forest: bool, turn: int) -> DataFrame:
+    """``a, b``: pairs of a block that may link and are in different components, or a forest of them."""
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            token, part = held.column("token").to_numpy(), held.column("part").to_numpy()
+            cuts = np.flatnonzero((token[1:] != token[:-1]) | (part[1:] != part[:-1])) + 1
+            if len(cuts):  # the last group may go on in the next batch
+                yield _pairs(held.slice(0, cuts[-1]), np.concatenate([[0], cuts]), percent, forest, turn)
+                held = held.slice(cuts[-1])
+        if held is not None:
+            yield _pairs(held, np.array([0, held.num_rows]), percent, forest, turn)
+
+    return blocks.mapInArrow(run, "a long, b long")
+
+
+def _pairs(rows: pa.Table, edges: np.ndarray, percent: int, forest: bool, turn: int) -> pa.RecordBatch:
+    """The pairs of the groups between ``edges``; the rows of a group are in the order of their sizes."""
+    node, n, left, comp = (rows.column(c).to_numpy() for c in ("node", "n", "left", "comp"))
+    bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(len(node), -1)
+
+    def may_link(x, y):
+        total = n[x] + n[y]
+        need = -(-percent * total // (100 + percent))
+        ok = (comp[x] != comp[y]) & (100 * n[x] >= percent * n[y]) & (np.minimum(left[x], left[y]) >= need)
+        x, y = np.broadcast_arrays(x, y)
+        near = np.flatnonzero(ok)
+        apart = np.bitwise_count(bits[x[near]] ^ bits[y[near]]).sum(axis=1, dtype=np.int64)
+        ok[near] = apart <= (total - 2 * need)[near]
+        return ok
+
+    size = np.diff(edges)
+    firsts = np.repeat(edges[:-1], size)
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    # All groups at once: every row with the first of its group.
+    star = may_link(firsts, np.arange(len(node)))
+    a.append(node[firsts[star]])
+    b.append(node[star])
+    apart = ~star & (comp != comp[firsts])
+    open_ = np.add.reduceat(apart, edges[:-1]) > 0 if forest else size > 2
+    for g in np.flatnonzero(open_ & (size > 2)):
+        lo, hi = edges[g], edges[g + 1]
+        root = comp[lo:hi].copy()  # components, as the candidates join them
+        if forest:
+            root[np.isin(root, root[star[lo:hi]])] = root[0]
+        for y in range(lo + 1, hi):
+            start = lo + 1 + int(np.searchsorted(100 * n[lo + 1:y], percent * n[y]))
+            x = np.arange(start, y)
+            if forest:
+                x = x[root[x - lo] != root[y - lo]]
+            if not len(x):
+                continue
+            x = x[may_link(x, np.full(len(x), y))]
+            if forest and len(x):
+                x = x[::-1] if turn % 2 else x  # not the pairs of the round before
+                roots, at = np.unique(root[x - lo], return_index=True)
+                x = x[at]
+                root[np.isin(root, roots)] = root[y - lo]
+            a.append(node[x])
+            b.append(np.full(len(x), node[y]))
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])

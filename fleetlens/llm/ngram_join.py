@@ -9,13 +9,13 @@ are is counted over all documents, and the table of the most frequent ones is bo
 the order, never which pairs are found.
 
 Documents with equal sets are one class, represented by its smallest id. Members of a prefix token's
-bucket are first compared with one representative; then every pair of the bucket that the links found so
-far don't join is compared. So no link between different sets is lost, and no group of copies is
-expanded into pairs.
+bucket are compared where they lie, by sizes, by the token's places in both and by bitmaps of their sets, which
+bound the intersection; the pairs left go through the other orders to the verification. No link between different
+sets is lost, and no group of copies is expanded into pairs.
 
 Defined results: a document without words or text has an empty set and links with nothing; a null id
 has no component; rows that repeat an id count as one document with the links of all of them; an empty
-table gives no rows; other columns are ignored.
+table gives no rows; other columns are ignored; texts of any length are read whole; equal counts are ordered by a hash.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetlens.llm.common import append_columns, discard, land, most_frequent, slices
-from fleetlens.llm.linking import beside, buckets, link_buckets
+from fleetlens.llm.linking import beside, buckets, link_buckets, parity_bits
 
 WIDTH = 5
 #: Links need this percentage of the union.
@@ -38,6 +38,8 @@ FREQUENT = 1_000_000
 #: A token is counted as frequent where it stands in this many different sets of a task's slice.
 LOCALLY = 2
 SLICE = 16_384
+#: Bits of a set's bitmap; fewer let more pairs through to the verification.
+BITS = 1024
 #: Multipliers that set the orders apart.
 ORDERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 _FACTORS = np.array([0x9FB21C651E98DF25, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3,
@@ -120,14 +122,16 @@ def _survey(docs: DataFrame, width: int) -> DataFrame:
 # ---- prefixes ------------------------------------------------------------------------------------
 
 def _ordered(found: np.ndarray, factor: int, ranks: tuple[np.ndarray, np.ndarray], size: int) -> np.ndarray:
-    """The first ``size`` tokens: the infrequent ones by a hash, then the frequent ones, rarest first."""
+    """The first ``size`` tokens in order: the infrequent ones by a hash, then the frequent ones, rarest first."""
     tokens, rank = ranks
     at = np.searchsorted(tokens, found)
     known = (at < len(tokens)) & (tokens[np.minimum(at, len(tokens) - 1)] == found) if len(tokens) else np.zeros(len(found), bool)
     rare = found[~known]
     if len(rare) >= size:
         key = _mix(rare * np.uint64(factor))
-        return rare[np.argpartition(key, size - 1)[:size]]
+        few = np.argpartition(key, size - 1)[:size]
+        return rare[few[np.argsort(key[few])]]
+    rare = rare[np.argsort(_mix(rare * np.uint64(factor)))]
     late = found[known]
     # Tokens of one rank are ordered by the hash, so that each order differs among them too.
     order = np.lexsort((_mix(late * np.uint64(factor)), rank[at[known]]))
@@ -135,13 +139,13 @@ def _ordered(found: np.ndarray, factor: int, ranks: tuple[np.ndarray, np.ndarray
 
 
 def _prefixes(docs: DataFrame, frequent, width: int, percent: int) -> DataFrame:
-    """``node, n, prefix`` and the prefixes under the other orders, packed."""
-    schema = "node long, n long, prefix array<long>, others array<binary>"
+    """``node, n, prefix, bits`` and the prefixes under the other orders, packed."""
+    schema = "node long, n long, prefix array<long>, others array<binary>, bits binary"
 
     def run(batches):
         hashes, ranks = WordHashes(), frequent.value
         for batch in slices(batches):
-            nodes, sizes, firsts, others = [], [], [], []
+            nodes, sizes, firsts, others, bits = [], [], [], [], []
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 found = shingle_set(text.as_py(), hashes, width)
                 if not len(found):
@@ -152,9 +156,11 @@ def _prefixes(docs: DataFrame, frequent, width: int, percent: int) -> DataFrame:
                 firsts.append(_ordered(found, ORDERS[0], ranks, size).view(np.int64))
                 others.append([np.sort((_ordered(found, f, ranks, size) >> np.uint64(32)).astype(np.uint32)).tobytes()
                                for f in ORDERS[1:]])
+                bits.append(parity_bits(found, BITS))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64())),
-                 pa.array(others, pa.list_(pa.binary()))], ["node", "n", "prefix", "others"])
+                 pa.array(others, pa.list_(pa.binary())), pa.array(bits, pa.binary())],
+                ["node", "n", "prefix", "others", "bits"])
 
     return docs.mapInArrow(run, schema)
 
@@ -213,12 +219,15 @@ def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", wid
     ranks = (tokens[order], heavy.column("level").to_numpy()[order])
     nodes = texts.join(reps.select(F.col("rep").alias("node")).distinct(), "node", "left_semi")
     prefixes = land(_prefixes(nodes, spark.sparkContext.broadcast(ranks), width, percent))
-    found = land(buckets(prefixes.select(F.explode("prefix").alias("token"), "node", "n")))
+    found = buckets(prefixes.select(F.posexplode("prefix").alias("place", "token"), "node", "n").select(
+        "token", "node", "n", (F.col("n") - F.col("place")).alias("left")))
+    # Texts of one id and one size meet each other's bitmaps too: more candidates, none fewer.
+    members = land(found.join(prefixes.select("node", "n", "bits"), ["node", "n"]).select("token", "node", "n", "left", "bits"))
     labels = link_buckets(
-        found, lambda pairs: _verify(_share_prefixes(pairs, prefixes), texts, width, percent), percent)
+        members, lambda pairs: _verify(_share_prefixes(pairs, prefixes), texts, width, percent), percent)
     ends = labels.select(F.col("node").alias("rep"), "comp")
     out = rows.join(reps, "print", "left").join(ends, "rep", "left").select(
         "id", F.col("n").alias("n_shingles"), "rep",
         F.when(F.col("id").isNotNull(), F.coalesce("comp", "rep", "id")).alias("component_id"))
-    discard(spark, found, prefixes, counted)
+    discard(spark, members, prefixes, counted)
     return out

@@ -72,3 +72,41 @@ def test_components_of_long_paths(spark):
     edges = [(i, i + 1) for i in range(999)] + list(zip(mixed, mixed[1:], strict=False)) + list(zip(comb, comb[1:], strict=False))
     got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == link(edges, {n for e in edges for n in e})
+
+
+def test_buckets_larger_than_a_block(spark):
+    """A token that all sets share, near copies beyond a block, and sets just short of a link."""
+    import numpy as np
+
+    from fleetlens.llm.linking import buckets, link_buckets, parity_bits
+
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 62, 60).astype(np.uint64)
+    sets = []
+    for k in range(260):
+        changed = int(rng.integers(0, 12)) if k % 2 else 3
+        own = base.copy()
+        own[rng.choice(np.arange(1, 60), changed, replace=False)] = rng.integers(0, 1 << 62, changed).astype(np.uint64)
+        sets.append(np.unique(own[:int(rng.integers(30, 61))] if k % 5 == 0 else own))
+    sets += [np.unique(np.append(base[:1], rng.integers(0, 1 << 62, 20).astype(np.uint64))) for _ in range(60)]
+    rows = [(int(t.view(np.int64)), k, len(s), len(s) - i) for k, s in enumerate(sets) for i, t in enumerate(s)]
+    bits = {k: parity_bits(s, 256) for k, s in enumerate(sets)}
+    found = buckets(spark.createDataFrame(rows, "token long, node long, n long, left long").repartition(5))
+    assert found.count() == sum(len(s) for s in sets) - sum(
+        1 for c in np.unique(np.concatenate(sets), return_counts=True)[1] if c == 1)
+    members = found.join(spark.createDataFrame([(k, bytearray(b)) for k, b in bits.items()], "node long, bits binary"), "node").select(
+        "token", "node", "n", "left", "bits")
+    pairs = [(b, a) for a in range(len(sets)) for b in range(a) if J.linked(sets[a], sets[b])]
+    true = spark.createDataFrame(pairs, "a long, b long")
+    asked = []
+
+    def confirm(candidates):
+        asked.append(candidates.count())
+        return candidates.join(true, ["a", "b"], "left_semi")
+
+    for block in (16, 2048):
+        asked.clear()
+        got = {r.node: r.comp for r in link_buckets(members, confirm, 80, block=block).collect()}
+        expected = link(pairs, range(len(sets)))
+        assert {k: got.get(k, k) for k in range(len(sets))} == expected
+        assert sum(asked) < len(pairs) / 2  # a group of near copies doesn't become pairs
