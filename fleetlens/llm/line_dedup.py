@@ -34,7 +34,7 @@ SHINGLE = 8
 BANDS, ROWS = 12, 5
 PERCENT = 80
 #: Bits of the bitmap of a line's shingles.
-BITS = 512
+BITS = 1024
 #: Bins that an empty bin asks for a value, in a fixed order of its own.
 PROBES = 400
 _BASE = np.uint64(0x9FB21C651E98DF25)

@@ -135,7 +135,7 @@ def link_buckets(members: DataFrame, confirm: Callable[[DataFrame], DataFrame],
     Rows of one token may link. ``n`` is the size of a node's set, ``left`` the number of its tokens from this
     one on, in the order of all tokens; ``bits`` are :func:`parity_bits`. Sizes, ``left`` and bits bound the
     intersection from above, so a pair that they rule out cannot link. Tasks hold a block of a bucket and
-    name a forest of the pairs that are left: at most one pair per row. Once these are confirmed or not,
+    name a forest of the pairs that are left: a bounded number per row. Once these are confirmed or not,
     blocks name what is still apart, and at last every such pair of a bucket is compared, blocks against blocks;
     no link is missed, and a bucket of copies never becomes pairs. No pair is confirmed twice.
     """
@@ -209,21 +209,26 @@ def _pairs(rows: pa.Table, edges: np.ndarray, percent: int, forest: bool, turn:
     node, n, left, comp = (rows.column(c).to_numpy() for c in ("node", "n", "left", "comp"))
     bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(len(node), -1)
 
-    def may_link(x, y):
+    def slack(x, y):
+        """What the bitmaps leave of the tokens that may differ, below zero if no link is possible; and these tokens."""
         total = n[x] + n[y]
         need = -(-percent * total // (100 + percent))
         ok = (comp[x] != comp[y]) & (100 * n[x] >= percent * n[y]) & (np.minimum(left[x], left[y]) >= need)
         x, y = np.broadcast_arrays(x, y)
         near = np.flatnonzero(ok)
         apart = np.bitwise_count(bits[x[near]] ^ bits[y[near]]).sum(axis=1, dtype=np.int64)
-        ok[near] = apart <= (total - 2 * need)[near]
-        return ok
+        spare = np.full(len(ok), -1, np.int64)
+        spare[near] = (total - 2 * need)[near] - apart
+        return spare, total - 2 * need
 
     size = np.diff(edges)
     firsts = np.repeat(edges[:-1], size)
     a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     # All groups at once: every row with the first of its group.
-    star = may_link(firsts, np.arange(len(node)))
+    spare, whole = slack(firsts, np.arange(len(node)))
+    star = spare >= 0
+    if forest:  # a narrow pair may fail and must not hide a better one
+        star &= (2 * spare >= whole) | (np.repeat(size, size) == 2)
     a.append(node[firsts[star]])
     b.append(node[star])
     apart = ~star & (comp != comp[firsts])
@@ -234,17 +239,20 @@ def _pairs(rows: pa.Table, edges: np.ndarray, percent: int, forest: bool, turn:
         if forest:
             root[np.isin(root, root[star[lo:hi]])] = root[0]
         for y in range(lo + 1, hi):
-            start = lo + 1 + int(np.searchsorted(100 * n[lo + 1:y], percent * n[y]))
+            low = lo if forest else lo + 1
+            start = low + int(np.searchsorted(100 * n[low:y], percent * n[y]))
             x = np.arange(start, y)
             if forest:
                 x = x[root[x - lo] != root[y - lo]]
             if not len(x):
                 continue
-            x = x[may_link(x, np.full(len(x), y))]
+            spare, _ = slack(x, np.full(len(x), y))
+            x, spare = x[spare >= 0], spare[spare >= 0]
             if forest and len(x):
-                x = x[::-1] if turn % 2 else x  # not the pairs of the round before
-                roots, at = np.unique(root[x - lo], return_index=True)
-                x = x[at]
+                # Of every component the likeliest partners: one in the first round, four times as many in each later one.
+                x = x[np.lexsort((-spare, root[x - lo]))]
+                roots, at, count = np.unique(root[x - lo], return_index=True, return_counts=True)
+                x = x[np.arange(len(x)) - np.repeat(at, count) < 4 ** turn]
                 root[np.isin(root, roots)] = root[y - lo]
             a.append(node[x])
             b.append(np.full(len(x), node[y]))
