@@ -100,3 +100,47 @@ def test_without_labels_or_rows(spark):
     judged, _, _ = K.classify(docs_of(spark, corpus()), none)
     assert all(r.kept for r in judged.collect())
     assert K.classify(docs_of(spark, [(1, "x")]).limit(0), none)[0].count() == 0
+
+
+def test_every_trusted_document_is_counted(spark):
+    """Each of more trusted documents than an earlier form read has a word of its own, so it leaves an n-gram of its own."""
+    n = 9_000
+    docs = spark.range(n).selectExpr("id AS doc_id", "concat('ab ', lpad(hex(id), 4, '0')) AS text", "'en' AS lang")
+    labels = spark.range(n).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    trusted = K.trusted_rows(labels)
+    fitted = docs.join(trusted.where("fold = 0"), "doc_id")
+    model = K.fit(docs, trusted, order=5)
+    own = {r.text[3:] + "\x03" for r in fitted.collect()}
+    assert len(own) > 4_000 and own <= set(model.grams["en"])
+
+
+def test_a_model_too_large_to_send_scores_the_same(spark, world):
+    docs, labels = world
+    trusted = K.trusted_rows(labels)
+    sent, joined = K.fit(docs, trusted), K.fit(docs, trusted, sent_rows=0)
+    assert sent.grams and not joined.grams and sent.order == joined.order == K.ORDER
+    columns = ["doc_id", "lang", "kept", "n_words", "log_likelihood", "perplexity", "peak"]
+    order = lambda r: (r.doc_id is None, r.doc_id or 0)
+    a, b = (sorted(K.score_documents(docs, m).select(columns).collect(), key=order) for m in (sent, joined))
+    assert len(a) == len(b) == docs.count()
+    for x, y in zip(a, b, strict=True):
+        assert tuple(x)[:4] == tuple(y)[:4]
+        assert all(u == v or math.isclose(u, v, rel_tol=1e-9) for u, v in zip(tuple(x)[4:], tuple(y)[4:], strict=True))
+
+
+def test_words_cost_what_their_characters_cost(spark, world):
+    docs, labels = world
+    model = K.fit(docs, K.trusted_rows(labels))
+    words = ["the", "schung", "xqzvwk", "ü", "a\x00b", "\x02\x03"]
+    for code in ("en", K.ALL):
+        for word, found in zip(words, model.words(code, words), strict=True):
+            padded, total = "\x02" * (model.order - 1) + word + "\x03", 0.0
+            for i in range(len(word) + 1):
+                gram = padded[i:i + model.order]
+                p = model.grams[code].get(gram)
+                while p is None:
+                    total += model.contexts[code].get(gram[:-1], 0.0)
+                    gram = gram[1:]
+                    p = model.grams[code].get(gram) if gram else model.unseen[code]
+                total += p
+            assert math.isclose(total, found, rel_tol=1e-12)
