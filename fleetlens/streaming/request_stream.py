@@ -6,7 +6,10 @@ batches is one number per group.  The trigger bounds what a group can receive at
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -63,21 +66,80 @@ def stream_ttl(requests: DataFrame, key: str = "cache_key",
                                     GroupStateTimeout.EventTimeTimeout))
 
 
+_BLOCK_US = 3_600_000_000
+#: What a row of :func:`_blocked` is: settled, waiting for the streak before its block, or the end of a block.
+_SETTLED, _WAITING, _END, _END_UNBROKEN = range(4)
+_LAST = (1 << 63) - 1
+
+
+def _blocked(requests: DataFrame, scope: str) -> DataFrame:
+    """The rows with the ``_streak`` that their scope's hour gives them, ``_block`` and ``_kind``, and a row for the end of each hour."""
+    names = requests.columns
+    at = [names.index(c) for c in (scope, "ts", "request_id", "path")]
+
+    def count(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        scopes, ts, ids, paths = (table.column(i).combine_chunks() for i in at)
+
+        def numbers(column):
+            return column.cast(pa.int64()).fill_null(_LAST).to_numpy()
+
+        us = numbers(ts.cast(pa.timestamp("us", ts.type.tz)))
+        block = np.where(us == _LAST, _LAST, us // _BLOCK_US)
+        group = pc.dictionary_encode(scopes, null_encoding="encode").indices.to_numpy()
+        order = np.lexsort((numbers(ids), us, block, group))
+        block, group = block[order], group[order]
+        place = np.arange(len(order))
+        fresh = np.r_[True, (group[1:] != group[:-1]) | (block[1:] != block[:-1])]
+        start = np.maximum.accumulate(np.where(fresh, place, 0))
+        breaks = pc.is_in(paths, pa.array(["llm", "cache_hit"])).to_numpy(zero_copy_only=False)[order]
+        broken = np.maximum.accumulate(np.where(breaks, place, -1))
+        waiting = broken < start
+        fallbacks = np.r_[0, np.cumsum(pc.equal(paths, "fallback").fill_null(False).to_numpy(zero_copy_only=False)[order])]
+        streak = fallbacks[1:] - fallbacks[np.where(waiting, start, broken + 1)]
+        ends = np.flatnonzero(np.r_[fresh[1:], True])
+        take = np.r_[place, ends]
+        kind = np.r_[np.where(waiting, _WAITING, _SETTLED), np.where(waiting[ends], _END_UNBROKEN, _END)]
+        for i in range(0, len(take), 10_000):
+            now = take[i:i + 10_000]
+            rows = table.take(pa.array(order[now])).combine_chunks().to_batches()[0]
+            yield pa.RecordBatch.from_arrays(
+                [*rows.columns, pa.array(block[now], pa.int64()), pa.array(streak[now], pa.int64()), pa.array(kind[i:i + 10_000], pa.int32())],
+                names=[*names, "_block", "_streak", "_kind"])
+
+    schema = _extended(requests, T.StructField("_block", T.LongType()), T.StructField("_streak", T.LongType()),
+                       T.StructField("_kind", T.IntegerType()))
+    us = F.unix_micros("ts")
+    return requests.repartition(F.col(scope), us - F.pmod(us, F.lit(_BLOCK_US))).mapInArrow(count, schema)
+
+
 def stream_streaks(requests: DataFrame, scope: str) -> DataFrame:
-    """Add ``streak``: consecutive fallbacks so far per scope."""
+    """Add ``streak``: consecutive fallbacks so far per scope.
 
-    def count(group, batches, state: GroupState):
-        rows = _ordered(batches)
-        streak, streaks = state.get[0] if state.exists else 0, []
-        for path in rows["path"]:
-            streak = 0 if path in ("llm", "cache_hit") else streak + (path == "fallback")
-            streaks.append(streak)
+    A batch is counted by hours of a scope, spread over the tasks. Only the rows before an hour's first answer, and a row per
+    hour, go on to the scope's one task, which adds the streak that the hours before left.
+    """
+
+    def settle(group, batches, state: GroupState):
+        rows = pd.concat(list(batches), ignore_index=True)
+        ends = rows[rows["_kind"] >= _END].sort_values("_block")
+        streak, before = state.get[0] if state.exists else 0, {}
+        for block, tail, kind in zip(ends["_block"], ends["_streak"], ends["_kind"]):
+            before[block] = streak
+            streak = int(tail) + (streak if kind == _END_UNBROKEN else 0)
         state.update((streak,))
-        yield rows.assign(streak=streaks)
+        rows = rows[rows["_kind"] == _WAITING]
+        found = rows["_streak"] + rows["_block"].map(before)
+        yield rows.drop(columns=["_block", "_streak", "_kind"]).assign(streak=found.astype("int64"))
 
     schema = _extended(requests, T.StructField("streak", T.LongType()))
-    return requests.groupBy(scope).applyInPandasWithState(
-        count, schema, _ONE_NUMBER, "append", GroupStateTimeout.NoTimeout)
+    blocked = _blocked(requests, scope)
+    settled = blocked.where(F.col("_kind") == _SETTLED).select(*requests.columns, F.col("_streak").alias("streak"))
+    return settled.unionByName(blocked.where(F.col("_kind") != _SETTLED).groupBy(scope).applyInPandasWithState(
+        settle, schema, _ONE_NUMBER, "append", GroupStateTimeout.NoTimeout))
 
 
 def stream_alerts(requests: DataFrame, scope: str) -> DataFrame:

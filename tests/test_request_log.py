@@ -157,6 +157,30 @@ def test_stream_alerts_match_batch(spark, tmp_path):
         (r.request_id, r.streak) for r in batch.collect()}
 
 
+def test_stream_streaks_by_hours(spark, tmp_path):
+    """Hours without an answer hand their streak on, also from batch to batch; few rows go on to the scope's one task."""
+    rng = random.Random(3)
+    paths = ["fallback"] * 5 + ["error", "llm", "cache_hit"]
+    rows = [(rng.randrange(-50, 200) * 600, "k", "fallback" if 30 < i % 90 < 60 else rng.choice(paths)) for i in range(700)]
+    rows += [(36_000 * 20 + i * 1_800, "k", "fallback") for i in range(12)] + [(36_000 * 30, "k", None)]
+    source = requests(spark, rows).withColumn("scope", F.when(F.col("request_id") % 3 > 0, F.concat(F.lit("s"), F.col("request_id") % 3)))
+    source = source.withColumn("ts", F.when(F.col("request_id") % 100 != 7, F.col("ts")))
+    got = drain(stream.stream_streaks(as_stream(spark, source.where("ts is not null"), tmp_path / "t"), "scope"), tmp_path / "o")
+    whole = drain(stream.stream_streaks(as_stream(spark, source, tmp_path / "w", 1), "scope"), tmp_path / "p")
+    for log_rows, found in ((source.where("ts is not null"), got), (source, whole)):
+        streak, wanted = {}, {}
+        late = datetime.max.replace(tzinfo=timezone.utc)
+        key = lambda r: (r.ts.timestamp() if r.ts else late.timestamp(), r.request_id)
+        for r in sorted(log_rows.collect(), key=key):
+            streak[r.scope] = 0 if r.path in ("llm", "cache_hit") else streak.get(r.scope, 0) + (r.path == "fallback")
+            wanted[r.request_id] = streak[r.scope]
+        assert found.columns == [*source.columns, "streak"] and found.count() == len(wanted)
+        assert {r.request_id: r.streak for r in found.collect()} == wanted
+    dense = requests(spark, [(i / 10, "k", rng.choice(paths)) for i in range(5_000)])
+    blocked = stream._blocked(dense, "scope")
+    assert blocked.where("_kind = 0").count() > 4_900 and blocked.where("_kind > 0").count() < 100
+
+
 def test_stream_metrics(spark, tmp_path):
     source = requests(spark, LOGS["mixed"])
     windows = stream.stream_metrics(as_stream(spark, source, tmp_path / "t", 4), "1 hour", "1 second")
