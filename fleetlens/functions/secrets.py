@@ -26,14 +26,23 @@ def _match(c: Column, name: str, pattern: str) -> Column:
     return F.contains(c, F.lit(_NEEDS[name])) & hit if name in _NEEDS else hit
 
 
+# No pattern matches fewer characters: only connection_string_with_password, which needs "://", matches fewer than 20.
+_LEAST = 20
+
+
 def secret_value_pattern(c) -> Column:
     """Name of the first secret pattern found in the value, NULL when clean."""
     c = col(c)
-    return F.coalesce(*[F.when(_match(c, n, p), F.lit(n)) for n, p in catalogs.SECRET_VALUES])
+    found = F.coalesce(*[F.when(_match(c, n, p), F.lit(n)) for n, p in catalogs.SECRET_VALUES])
+    return F.when((F.length(c) >= _LEAST) | F.contains(c, F.lit(_NEEDS["connection_string_with_password"])), found)
+
+
+# One search for all patterns; nearly every name ends there.
+_ANY_FILE = _java("|".join(f"(?:{p})" for _, p in catalogs.SECRET_FILES))
 
 
 def secret_file_pattern(path) -> Column:
     """Name of the first secret file-name pattern matching the last path component."""
-    trimmed = F.regexp_replace(F.translate(col(path), "\\", "/"), r"/+\z", "")
-    name = F.substring_index(trimmed, "/", -1)
-    return F.coalesce(*[F.when(name.rlike(_java(p)), F.lit(n)) for n, p in catalogs.SECRET_FILES])
+    name = F.substring_index(F.rtrim(F.translate(col(path), "\\", "/"), F.lit("/")), "/", -1)
+    found = F.coalesce(*[F.when(name.rlike(_java(p)), F.lit(n)) for n, p in catalogs.SECRET_FILES])
+    return F.when(name.rlike(_ANY_FILE), found)

@@ -195,3 +195,24 @@ def test_repo_urls(spark):
            "https://example.com/owner/repo", "https://github.com/owner", "", "word", "C:\\Users\\p"]
     assert evaluate(spark, names.is_repo_url, *good, *bad) == [True] * 7 + [False] * 9
     assert evaluate(spark, names.normalise_url, " https://x/y.git// ") == ["https://x/y.git"]
+
+
+def test_guards_of_the_secret_patterns_hide_nothing(spark):
+    from fleetlens import catalogs
+    from fleetlens.functions import secrets
+
+    values = ["a1://b:c23456@", "AKIA" + "A" * 16, "AB3=" + "x" * 20, "sk-" + "a" * 20, "token=" + "a" * 20, "0" * 32, "ghp_" + "a" * 36,
+              "-----BEGIN PRIVATE KEY-----", "short", "", None, "a://b"]
+    names = [".ENV", "d/.env.x/", "a.PEM//", "x\\id_rsa", "a.p12", "b.pfx", "my-credentials.json", "service account.json", "credentials",
+             ".netrc", ".htpasswd", "x.jks", "x.keystore", ".vault-token", "\u212aubeconfig.y", "plain.py", "pem", "/", "", None, "a.pem\n"]
+    rows = spark.createDataFrame([(v, n) for v in values for n in names], "v string, n string")
+    base = F.substring_index(F.regexp_replace(F.translate("n", "\\", "/"), r"/+\z", ""), "/", -1)
+    value = F.coalesce(*[F.when(F.col("v").rlike(secrets._java(p)), F.lit(k)) for k, p in catalogs.SECRET_VALUES])
+    file = F.coalesce(*[F.when(base.rlike(secrets._java(p)), F.lit(k)) for k, p in catalogs.SECRET_FILES])
+    got = rows.select(secrets.secret_value_pattern("v").alias("a"), value.alias("b"),
+                      secrets.secret_file_pattern("n").alias("c"), file.alias("d")).collect()
+    assert all(r.a == r.b and r.c == r.d for r in got)
+    assert len({r.a for r in got}) == 9 and {r.c for r in got} == {None, *[k for k, _ in catalogs.SECRET_FILES]}
+    # A name without a secret is settled by one search.
+    plan = rows.select(secrets.secret_file_pattern("n").alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "WHEN RLIKE" in plan and plan.index("(?:(?i)^\\.env") < plan.index("coalesce")
