@@ -11,10 +11,12 @@ _IGNORED = "|".join(re.escape(d) for d in catalogs.IGNORED_DIRS if not d.startsw
 IGNORED_ANCESTOR = rf"(?:^|/)(?:\.[^/]*|{_IGNORED})/"
 # The directories of a path before the first ignored one.
 VISIBLE_PREFIX = rf"^(?:(?!\.|(?:{_IGNORED})/)[^/]*/)*+"
+# A path with a directory behind those: what IGNORED_ANCESTOR finds, tried from the start only.
+BELOW_IGNORED = VISIBLE_PREFIX + "[^/]*/"
 
 
 def posix(c) -> Column:
-    return F.translate(col(c), "\\", "/")
+    return F.replace(col(c), F.lit("\\"), F.lit("/"))
 
 
 def basename(c) -> Column:

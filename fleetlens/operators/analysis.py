@@ -35,7 +35,7 @@ def path_items(files: DataFrame) -> DataFrame:
     carries one row per distinct fact and task whatever the size of a repository.
     """
     path, name = F.col("path"), F.col("name")
-    top = F.regexp_extract("path", r"(?s)^([^/]+)/", 1)
+    top = F.when(F.contains(path, F.lit("/")), F.substring_index(path, "/", 1)).otherwise("")
     known = dimension(files.sparkSession, catalogs.LANGUAGES.items(), "extension, language")
     facts = [
         # A repository without a visible file is known by the directories where the walk stopped.
@@ -51,7 +51,7 @@ def path_items(files: DataFrame) -> DataFrame:
                      for section, ok, key in facts])
     return (
         with_file_class(files).where(F.col("repo_id").isNotNull())
-        .select("repo_id", "path", "name", "file_class", paths.extension("path").alias("extension"))
+        .select("repo_id", "path", "name", "file_class", paths.extension("name").alias("extension"))
         .join(F.broadcast(known), "extension", "left")
         .select("repo_id", F.explode(rows).alias("r")).where(F.col("r").isNotNull())
         .groupBy("repo_id", "r.section", "r.key").agg(F.count(F.lit(1)).alias("n")))
@@ -97,32 +97,41 @@ def _count(section: str, amount=None) -> Column:
     return F.coalesce(F.sum(F.when(F.col("section") == section, amount)), F.lit(0)).cast("long")
 
 
-def _facts(items: DataFrame) -> DataFrame:
-    """Scalar facts and entry counts per repository; partial sums before the shuffle."""
+def _fact_columns() -> list[Column]:
+    """Scalar facts and entry counts, for an aggregate of items by repository."""
     def has(*names):
         return F.bool_or((F.col("section") == "names") & F.col("key").isin(*names))
 
-    return items.groupBy("repo_id").agg(
+    return [
         _count("files", F.when(F.col("key") == "file", F.col("n"))).alias("total_files"),
         inventory.project_type(has).alias("type"),
         F.bool_or(F.col("section") == "tests").alias("has_tests"),
         has(*catalogs.CI_MARKERS).alias("has_ci"),
         has(*catalogs.DOCKER_MARKERS).alias("has_docker"),
-        _count("errors").alias("n_errors"))
+        _count("errors").alias("n_errors")]
+
+
+def _facts(items: DataFrame, *more: Column) -> DataFrame:
+    """Scalar facts and entry counts per repository; partial sums before the shuffle."""
+    return items.groupBy("repo_id").agg(*_fact_columns(), *more)
+
+
+def _first_error() -> Column:
+    """The first problem that makes the whole analysis an error, for an aggregate of items by repository."""
+    problem = F.when(F.col("section") == "errors", F.struct("rank", "key", head(F.col("values")).alias("text")))
+    return F.concat(F.lit("Unexpected error during analysis: "), F.min(problem)["text"]).alias("error")
 
 
 def _errors(files: DataFrame) -> DataFrame:
     """The first problem of each repository that makes its whole analysis an error."""
-    first = F.min(F.struct("rank", "key", head(F.col("values")).alias("text")))["text"]
-    return (_content_items(files).where(F.col("section") == "errors").groupBy("repo_id")
-            .agg(F.concat(F.lit("Unexpected error during analysis: "), first).alias("error")))
+    return _content_items(files).where(F.col("section") == "errors").groupBy("repo_id").agg(_first_error())
 
 
 def repo_facts(files: DataFrame) -> DataFrame:
     """Scalar facts of every repository; ``status`` is ``error`` where a manifest breaks it."""
     dirs = dirs_of(files).groupBy("repo_id").agg(F.count(F.lit(1)).alias("total_dirs"))
-    return (_facts(_items(files)).join(dirs, "repo_id", "left")
-            .join(_errors(files), "repo_id", "left")
+    # The error comes from the same items: joined on, every manifest would be parsed a second time.
+    return (_facts(_items(files), _first_error()).join(dirs, "repo_id", "left")
             .select("repo_id",
                     F.when(F.col("error").isNull(), "ok").otherwise("error").alias("status"), "error",
                     "total_files", F.coalesce("total_dirs", F.lit(0)).alias("total_dirs"),
@@ -147,8 +156,7 @@ def assemble_analyses(files: DataFrame) -> DataFrame:
 
     Nothing is cut; which limits a record breaks is told by :func:`validate_limits`.
     """
-    items = _items(files)
-    return _records(items, _facts(items).where(F.col("n_errors") == 0))
+    return _records(_items(files))
 
 
 def rejected_repositories(files: DataFrame) -> DataFrame:
@@ -163,21 +171,21 @@ def _entry_rank(path) -> Column:
     return F.element_at(literal_map(_ENTRY_RANK), F.lower(paths.basename(path)))
 
 
-def _records(items: DataFrame, facts: DataFrame) -> DataFrame:
+def _records(items: DataFrame) -> DataFrame:
     def listed(section, *order):
         return F.sort_array(F.collect_list(F.when(
             F.col("section") == section, F.struct(*order, F.col("values"))))).alias(section)
 
-    kept = items.join(facts.select("repo_id", *_SCALARS), "repo_id")
-    # The scalars ride along as grouping columns, so `facts` is joined once.
-    lists = kept.groupBy("repo_id", *_SCALARS).agg(
+    # The scalars come from the same aggregate: joined on, all items would be made twice.
+    lists = _facts(
+        items,
         listed("languages", (-F.col("n")).alias("o"), "key"),
         listed("important_files", "key"),
         listed("dependencies", "rank", "key"),
         listed("top_level_dirs", "key"),
         listed("entry_points", _entry_rank("key").alias("o"), "key"),
         listed("mains", "key"),
-        F.max(F.when(F.col("section") == "title", head(F.col("values")))).alias("project_name"))
+        F.max(F.when(F.col("section") == "title", head(F.col("values")))).alias("project_name")).where(F.col("n_errors") == 0)
 
     def flat(section):
         return F.flatten(F.transform(section, lambda r: r["values"]))

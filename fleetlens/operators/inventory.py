@@ -4,6 +4,9 @@ Every aggregate here combines before the shuffle, so one repository with a large
 files sends a few partial rows per task, not its files.
 """
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fleetlens import catalogs
@@ -61,8 +64,6 @@ def project_type(has) -> Column:
     )
 
 
-_TEST_DIR = r"(?i)(?:^|/)(?:" + "|".join(catalogs.TEST_DIR_NAMES) + ")/"
-
 # Names that project_type, has_ci and has_docker look at.
 MARKER_NAMES = (
     "pyproject.toml", "setup.py", "requirements.txt", "manage.py", "package.json", "angular.json",
@@ -73,8 +74,9 @@ MARKER_NAMES = (
 
 def looks_tested(path, name) -> Column:
     """A file or directory below a test directory, or a file named like a test."""
-    return (path.rlike(_TEST_DIR) | F.startswith(name, F.lit("test_"))
-            | F.endswith(name, F.lit("_test.py")))
+    low = F.lower(F.concat(F.lit("/"), path))
+    below = reduce(or_, [F.contains(low, F.lit(f"/{d}/")) for d in catalogs.TEST_DIR_NAMES])
+    return below | F.startswith(name, F.lit("test_")) | F.endswith(name, F.lit("_test.py"))
 
 
 def structure_flags(files: DataFrame, workflows: DataFrame | None = None) -> DataFrame:

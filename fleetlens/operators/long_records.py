@@ -32,7 +32,8 @@ WORKFLOW_PARTS = ("start_found", "front", "python", "node", "go", "rust", "templ
 def accepted_items(files: DataFrame) -> DataFrame:
     """``(repo_id, section, rank, key, values, n)`` of all repositories that have a record."""
     items = analysis._items(files)
-    broken = items.where(F.col("section") == "errors").select("repo_id").distinct()
+    # From the manifests alone: out of the items, every path would be read again to find none.
+    broken = analysis.rejected_repositories(files).select("repo_id")
     return items.join(broken, "repo_id", "left_anti")
 
 

@@ -5,6 +5,8 @@ only SQL that Spark and DuckDB read alike, so that the same text feeds both side
 Every row of the source table is used.
 """
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fleetlens.functions.text import computed
@@ -120,8 +122,15 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
+_SPLIT = re.compile(r"split_part\('([^']*)', '\|', ")
+
+
 def _spark(sql: str):
-    return F.expr(sql.replace("{text}", "STRING"))
+    """The shared text as Spark reads it; a word list is an array that is made once, not split in every row."""
+    def listed(words):
+        return "element_at(array({}), ".format(", ".join(f"'{w}'" for w in words[1].split("|")))
+
+    return F.expr(_SPLIT.sub(listed, sql).replace("{text}", "STRING"))
 
 
 def files_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:

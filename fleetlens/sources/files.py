@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from fleetlens import catalogs
 from fleetlens.functions import paths
+from fleetlens.functions.text import computed
 from fleetlens.sources.landing import land
 
 # Only these classes ever need their content.
@@ -153,13 +154,13 @@ def visible(files: DataFrame) -> DataFrame:
     """
     if "file_class" in files.columns:
         return files
-    hidden = F.col("path").rlike(paths.IGNORED_ANCESTOR)
-    stopped = files.where(hidden).select(
-        "repo_id", F.regexp_extract("path", paths.VISIBLE_PREFIX, 0).alias("path"),
-        *[F.lit(None).cast(files.schema[c].dataType).alias(c) for c in files.columns if c not in ("repo_id", "path")],
-        F.lit("").alias("name"), F.lit(DIRECTORY).alias("file_class"))
-    return with_file_class(files.where(~hidden)).unionByName(stopped.select(
-        *files.columns, "name", "file_class"))
+    # One pass: as a union of files and directories, everything below would be read and derived twice.
+    hidden = F.col("path").rlike(paths.BELOW_IGNORED)
+    classed = with_file_class(files.where(F.col("path").isNotNull()))
+    stopped = {"path": F.regexp_extract("path", paths.VISIBLE_PREFIX, 0), "name": F.lit(""), "file_class": F.lit(DIRECTORY)}
+    return classed.select(*[
+        F.col(c) if c == "repo_id" else F.when(hidden, stopped.get(c, F.lit(None))).otherwise(F.col(c)).alias(c)
+        for c in classed.columns])
 
 
 def is_file():
@@ -197,9 +198,8 @@ def land_files(files: DataFrame, path: str) -> None:
 def dirs_of(files: DataFrame) -> DataFrame:
     """``dirs(repo_id, path)``: every visible directory at any depth, even if all in it is ignored."""
     # Few directories hold many files: reduce to distinct parents before expanding prefixes.
-    parents = (files.select("repo_id", paths.dir_of("path").alias("dir"))
-               .where(F.col("dir") != "").distinct())
-    parts = F.split("dir", "/")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)),
-                           lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    return parents.select("repo_id", F.explode(prefixes).alias("path")).distinct()
+    parents = (computed(files.select("repo_id", "path"), dir=paths.dir_of("path"))
+               .where(F.col("dir") != "").select("repo_id", "dir").distinct())
+    depth = F.length("dir") - F.length(F.replace(F.col("dir"), F.lit("/"))) + 1
+    return (parents.select("repo_id", "dir", F.explode(F.sequence(F.lit(1), depth)).alias("n"))
+            .select("repo_id", F.call_function("substring_index", "dir", F.lit("/"), "n").alias("path")).distinct())

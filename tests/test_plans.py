@@ -48,6 +48,24 @@ def test_path_facts_read_no_content(spark, tmp_path):
         assert "partial_count" in text and text.count("Exchange hashpartitioning") == 1
 
 
+def test_files_are_read_once_a_purpose(spark, tmp_path):
+    """Paths, directories, manifests and READMEs are read once each, the hidden files with the others."""
+    files(spark, ("r", "a/b.py"), ("r", "node_modules/x/y.js"), ("r", "a\\.x/SPECS/c.py"), ("s", "a/.git/z"), ("s", ".git/z"), ("s", None),
+          ("t", "a//.b"), ("t", "/etc/c"), ("t", "tESTs/dist/x")).write.parquet(str(tmp_path / "files"))
+    scanned = inventory.scan(spark.read.parquet(str(tmp_path / "files")))
+
+    def reads(df):
+        return plan(df).count("FileScan parquet")
+
+    assert (reads(scanned), reads(analysis.assemble_analyses(scanned)), reads(analysis.repo_facts(scanned))) == (1, 3, 4)
+    assert sorted((r.repo_id, r.path, r.name, r.file_class, r.content) for r in scanned.collect()) == [
+        ("r", "", "", "directory", None), ("r", "a/b.py", "b.py", "other", "x"), ("r", "a\\.x/SPECS/c.py", "c.py", "other", "x"),
+        ("s", "", "", "directory", None), ("s", "a/", "", "directory", None),
+        ("t", "/etc/c", "c", "other", "x"), ("t", "a//.b", ".b", "other", "x"), ("t", "tESTs/", "", "directory", None)]
+    got = {r.repo_id: (r.total_files, r.total_dirs, r.has_tests) for r in analysis.repo_facts(scanned).collect()}
+    assert got == {"r": (2, 3, True), "s": (0, 1, False), "t": (2, 5, True)}
+
+
 def test_languages_are_broadcast(spark):
     text = plan(inventory.with_language(inventory.scan(files(spark, ("r", "a.py")))))
     assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
