@@ -122,13 +122,17 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
-_SPLIT = re.compile(r"split_part\('([^']*)', '\|', ")
+_SPLIT = re.compile(r"split_part\('([^']*)', '\|', (CAST\(1 \+ (?:(?! AS INT\)).)* AS INT\))\)")
 
 
 def _spark(sql: str):
-    """The shared text as Spark reads it; a word list is an array that is made once, not split in every row."""
-    def listed(words):
-        return "element_at(array({}), ".format(", ".join(f"'{w}'" for w in words[1].split("|")))
+    """The shared text as Spark reads it; a word list is an array that is made once, not split in every row.
+
+    Where no word of the array is NULL, ``element_at`` takes a NULL position for the last one, so that is asked first.
+    """
+    def listed(found):
+        words, position = ", ".join(f"'{w}'" for w in found[1].split("|")), found[2]
+        return f"if(isnull({position}), CAST(NULL AS STRING), element_at(array({words}), {position}))"
 
     return F.expr(_SPLIT.sub(listed, sql).replace("{text}", "STRING"))
 

@@ -66,6 +66,14 @@ def test_files_are_read_once_a_purpose(spark, tmp_path):
     assert got == {"r": (2, 3, True), "s": (0, 1, False), "t": (2, 5, True)}
 
 
+def test_word_lists_are_read_as_split(spark):
+    rows = spark.createDataFrame([(v,) for v in (None, 0, 1, 2, 3, -2, -3, 10**12)], "v long").repartition(2)
+    text = derived._pick(("a", "bc", "", "d e"), "v * 2")
+    got = rows.select(F.expr(text).alias("split"), derived._spark(text).alias("listed")).where("not split <=> listed")
+    assert "split_part" not in plan(rows.select(derived._spark(derived.FILE_NAME.replace("l_partkey", "v").replace("l_suppkey", "v").replace("l_linenumber", "v"))))
+    assert got.count() == 0
+
+
 def test_languages_are_broadcast(spark):
     text = plan(inventory.with_language(inventory.scan(files(spark, ("r", "a.py")))))
     assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
