@@ -122,17 +122,18 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
-_SPLIT = re.compile(r"split_part\('([^']*)', '\|', (CAST\(1 \+ (?:(?! AS INT\)).)* AS INT\))\)")
+_SPLIT = re.compile(r"split_part\('([^']*)', '\|', ")
 
 
 def _spark(sql: str):
     """The shared text as Spark reads it; a word list is an array that is made once, not split in every row.
 
-    Where no word of the array is NULL, ``element_at`` takes a NULL position for the last one, so that is asked first.
+    Positions count from either end. The NULL between both copies of the words makes ``element_at`` mind a NULL
+    position: without one it gives the last word. A check of the position would make the scan's generated code too long to be compiled.
     """
     def listed(found):
-        words, position = ", ".join(f"'{w}'" for w in found[1].split("|")), found[2]
-        return f"if(isnull({position}), CAST(NULL AS STRING), element_at(array({words}), {position}))"
+        words = ", ".join(f"'{w}'" for w in found[1].split("|"))
+        return f"element_at(array({words}, NULL, {words}), "
 
     return F.expr(_SPLIT.sub(listed, sql).replace("{text}", "STRING"))
 
