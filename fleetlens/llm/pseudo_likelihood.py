@@ -22,6 +22,8 @@ columns of the input named as the added ones are replaced.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -43,6 +45,8 @@ ROUNDS = 3
 BATCH, RATE = 2048, 0.1
 #: Words that are scored at a time.
 SCORE_WORDS = 1 << 16
+#: Rows of a layer that are computed at a time, so that they stay in a processor's cache.
+CACHED_ROWS = 2048
 #: Weights that travel in one row.
 BLOCK = 8192
 
@@ -70,26 +74,55 @@ class Ids(dict):
         return value
 
 
-class Shares(dict):
-    """Word to the log of its share of its id: 0 with an id of its own, nan if its count isn't here."""
+class Words(dict):
+    """Word to its place in arrays of what is known of the words of a task.
+
+    ``ids`` are their ids, ``codes`` their hashes, ``logs`` the logs of their shares of their ids: 0 with an id of
+    its own, nan if its count isn't here.
+    """
 
     def __init__(self, frequent: dict[int, int], codes: np.ndarray, logs: np.ndarray):
         super().__init__()
-        self.frequent, self.codes, self.logs = frequent, codes, logs
+        own = np.array(sorted(frequent), np.int64)
+        self.own = own, np.array([frequent[c] for c in own.tolist()], np.int64)
+        self.sent = codes, logs
+        self.forget()
 
-    def __missing__(self, word: str) -> float:
-        if len(self) >= Ids.LIMIT:
-            self.clear()
-        code, value = _hash(word), np.nan
-        if code in self.frequent:
-            value = 0.0
-        else:
-            at = int(np.searchsorted(self.codes, code))
-            if at < len(self.codes) and self.codes[at] == code:
-                value = float(self.logs[at])
-        self[word] = value
+    def forget(self) -> None:
+        self.clear()
+        self.fresh: list[int] = []
+        self.ids, self.codes, self.logs = np.empty(0, np.uint16), np.empty(0, np.int64), np.empty(0)
+
+    def __missing__(self, word: str) -> int:
+        value = self[word] = len(self)
+        self.fresh.append(_hash(word))
         return value
 
+    def places(self, texts: list[list[str]], size: int) -> np.ndarray:
+        """The places of all ``size`` words of the texts, one after the other."""
+        if len(self) >= Ids.LIMIT:
+            self.forget()
+        found = np.fromiter(map(self.__getitem__, itertools.chain.from_iterable(texts)), np.int64, size)
+        if self.fresh:
+            fresh = np.array(self.fresh, np.int64)
+            self.fresh = []
+            ids, logs = OWN_IDS + fresh % (IDS - OWN_IDS), np.full(len(fresh), np.nan)
+            at, known = _looked_up(self.sent[0], fresh)
+            logs[known] = self.sent[1][at[known]]
+            at, known = _looked_up(self.own[0], fresh)
+            ids[known], logs[known] = self.own[1][at[known]], 0.0
+            self.ids = np.concatenate([self.ids, ids.astype(np.uint16)])
+            self.codes, self.logs = np.concatenate([self.codes, fresh]), np.concatenate([self.logs, logs])
+        return found
+
+
+def _looked_up(ordered: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each code in the ordered ones, and whether it is there."""
+    at = np.searchsorted(ordered, codes)
+    known = at < len(ordered)
+    known[known] = ordered[at[known]] == codes[known]
+    return at, known
+
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """``code, n``: occurrences of every word of the corpus by its hash."""
@@ -116,14 +149,15 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 class Network:
-    """Weights as one flat vector of float32 with named views."""
+    """Weights as one flat vector of float32 with named views; the last row of ``W``, ``C`` and of every class of ``O`` is the bias."""
 
-    SHAPES = {"E": (IDS + 1, EMBEDDING), "W": (2 * SIDE * EMBEDDING, HIDDEN), "b": (HIDDEN,), "C": (HIDDEN, CLASSES),
-              "c": (CLASSES,), "O": (CLASSES, HIDDEN, PER_CLASS), "o": (CLASSES, PER_CLASS)}
+    SHAPES = {"E": (IDS + 1, EMBEDDING), "W": (2 * SIDE * EMBEDDING + 1, HIDDEN), "C": (HIDDEN + 1, CLASSES),
+              "O": (CLASSES, HIDDEN + 1, PER_CLASS)}
     SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
 
     def __init__(self, flat: np.ndarray | None = None, seed: int = 3):
-        if flat is None:
+        start = flat is None
+        if start:
             rng = np.random.default_rng(seed)
             flat = (rng.standard_normal(self.SIZE) * 0.1).astype(np.float32)
         self.flat, self.p, at = np.array(flat, np.float32), {}, 0
@@ -131,71 +165,134 @@ class Network:
             size = int(np.prod(shape))
             self.p[name] = self.flat[at:at + size].reshape(shape)
             at += size
-
-    def _forward(self, context: np.ndarray):
-        x = self.p["E"][context].reshape(len(context), -1)
-        h = np.tanh(x @ self.p["W"] + self.p["b"])
-        return x, h, _log_softmax(h @ self.p["C"] + self.p["c"])
+        if start:  # drawn are the weights of all classes, then their biases
+            drawn = self.p["O"].reshape(-1).copy()
+            self.p["O"][:, :HIDDEN] = drawn[:CLASSES * HIDDEN * PER_CLASS].reshape(CLASSES, HIDDEN, PER_CLASS)
+            self.p["O"][:, HIDDEN] = drawn[CLASSES * HIDDEN * PER_CLASS:].reshape(CLASSES, PER_CLASS)
+        self._spare: dict[str, np.ndarray] = {}
+
+    def _room(self, name: str, rows: int, columns: int) -> np.ndarray:
+        """An array that the steps use again; the last column of inputs is for the bias."""
+        held = self._spare.get(name)
+        if held is None or len(held) < rows:
+            held = self._spare[name] = np.ones((rows, columns), np.float32)
+        return held[:rows]
+
+    def _forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The embeddings and the hidden layer, each with a column of ones."""
+        n = len(context)
+        x, h = self._room("x", n, 2 * SIDE * EMBEDDING + 1), self._room("h", n, HIDDEN + 1)
+        for k in range(2 * SIDE):
+            x[:, k * EMBEDDING:(k + 1) * EMBEDDING] = self.p["E"].take(context[:, k], axis=0)
+        _tanh(x @ self.p["W"], h[:, :HIDDEN])
+        return x, h
+
+    def _bound(self, name: str) -> float:
+        """No output of the layer is larger: all its inputs are between -1 and 1."""
+        return float(np.abs(self.p[name]).sum(axis=-2).max())
 
     def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        _, h, classes = self._forward(context)
-        of, within = np.divmod(target, PER_CLASS)
-        every = np.arange(len(target))
-        out = classes[every, of]
+        of, within = np.divmod(target.astype(np.int64), PER_CLASS)
         order, parts = _by_class(of)
-        out[order] += self._inner(h[order], parts)[every, within[order]]
+        context, of, within = context[order], of[order], within[order]
+        hidden, ordered = np.ones((len(order), HIDDEN + 1), np.float32), np.empty(len(order), np.float32)
+        weights = self.p["W"]
+        # What a word adds to the hidden layer from each of its places.
+        adds = [self.p["E"] @ weights[k * EMBEDDING:(k + 1) * EMBEDDING] for k in range(2 * SIDE)]
+        adds[0] += weights[-1]
+        bound, inner = self._bound("C"), self._bound("O")
+        for at in range(0, len(order), CACHED_ROWS):
+            part = slice(at, at + CACHED_ROWS)
+            z = adds[0].take(context[part, 0], axis=0)
+            for k in range(1, 2 * SIDE):
+                z += adds[k].take(context[part, k], axis=0)
+            _tanh(z, hidden[part, :HIDDEN])
+            ordered[part] = _chosen(hidden[part] @ self.p["C"], of[part], bound)
+        for k, first, end in parts:
+            for at in range(first, end, CACHED_ROWS):
+                part = slice(at, min(at + CACHED_ROWS, end))
+                ordered[part] += _chosen(hidden[part] @ self.p["O"][k], within[part], inner)
+        out = np.empty_like(ordered)
+        out[order] = ordered
         return out
 
-    def _inner(self, h: np.ndarray, parts: list[tuple[int, int, int]]) -> np.ndarray:
-        """Log probabilities within the class, for rows ordered by class."""
-        z = np.empty((len(h), PER_CLASS), np.float32)
-        for k, at, end in parts:
-            z[at:end] = h[at:end] @ self.p["O"][k] + self.p["o"][k]
-        return _log_softmax(z)
-
     def step(self, context: np.ndarray, target: np.ndarray, squares: np.ndarray, rate: float) -> None:
         """One step of adaptive gradient descent on the mean log loss."""
-        x, h, classes = self._forward(context)
-        of, within = np.divmod(target, PER_CLASS)
-        n = np.float32(len(target))
-        grad = Network(np.zeros(self.SIZE, np.float32))
-        d = np.exp(classes)
-        d[np.arange(len(target)), of] -= 1
-        d /= n
-        grad.p["C"][:] = h.T @ d
-        grad.p["c"][:] = d.sum(0)
-        dh = d @ self.p["C"].T
+        of, within = np.divmod(target.astype(np.int64), PER_CLASS)
         order, parts = _by_class(of)
-        ordered = h[order]
-        e = np.exp(self._inner(ordered, parts))
-        e[np.arange(len(target)), within[order]] -= 1
-        e /= n
-        back = np.empty_like(ordered)
+        context, of, within, n = context[order], of[order], within[order], len(target)
+        x, h = self._forward(context)
+        every = np.arange(n)
+        if "grad" not in self._spare:
+            self._spare["grad"] = Network(np.zeros(self.SIZE, np.float32))
+        grad = self._spare["grad"]
+        d = _softmax(np.matmul(h, self.p["C"], out=self._room("d", n, CLASSES)), n, self._bound("C"))
+        d[every, of] -= np.float32(1 / n)
+        np.matmul(h.T, d, out=grad.p["C"])
+        e = self._room("e", n, PER_CLASS)
         for k, at, end in parts:
-            grad.p["O"][k] = ordered[at:end].T @ e[at:end]
-            grad.p["o"][k] = e[at:end].sum(0)
-            back[at:end] = e[at:end] @ self.p["O"][k].T
-        dh[order] += back
-        dz = dh * (1 - h * h)
-        grad.p["W"][:] = x.T @ dz
-        grad.p["b"][:] = dz.sum(0)
-        by_id = np.argsort(context.reshape(-1), kind="stable")
-        ids, first = np.unique(context.reshape(-1)[by_id], return_index=True)
-        grad.p["E"][ids] = np.add.reduceat((dz @ self.p["W"].T).reshape(-1, EMBEDDING)[by_id], first)
-        squares += grad.flat * grad.flat
-        self.flat -= rate * grad.flat / (np.sqrt(squares) + 1e-6)
-
-
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+            np.matmul(h[at:end], self.p["O"][k], out=e[at:end])
+        _softmax(e, n, self._bound("O"))[every, within] -= np.float32(1 / n)
+        back = self._room("back", n, HIDDEN + 1)
+        grad.p["O"][:] = 0
+        for k, at, end in parts:
+            np.matmul(h[at:end].T, e[at:end], out=grad.p["O"][k])
+            np.matmul(e[at:end], self.p["O"][k].T, out=back[at:end])
+        inner = h[:, :HIDDEN]
+        dz = (d @ self.p["C"][:HIDDEN].T + back[:, :HIDDEN]) * (1 - inner * inner)
+        np.matmul(x.T, dz, out=grad.p["W"])
+        grad.p["E"][:] = 0
+        cells = (context.reshape(-1, 1).astype(np.int64) * EMBEDDING + np.arange(EMBEDDING)).reshape(-1)
+        np.add.at(grad.p["E"].reshape(-1), cells, (dz @ self.p["W"][:-1].T).reshape(-1))
+        change = np.multiply(grad.flat, grad.flat, out=self._room("change", 1, self.SIZE)[0])
+        squares += change
+        np.sqrt(squares, out=change)
+        change += np.float32(1e-6)
+        np.divide(grad.flat, change, out=change)
+        change *= np.float32(rate)
+        self.flat -= change
+
+
+#: Logits up to this size need no shift before the exponential of a float32.
+SAFE = 60.0
+
+
+def _tanh(z: np.ndarray, out: np.ndarray) -> None:
+    """The hyperbolic tangent by the exponential, which is faster on arrays of float32; ``z`` is overwritten."""
+    np.clip(z, -15, 15, out=z)
+    z *= -2
+    np.exp(z, out=z)
+    z += 1
+    np.divide(2, z, out=z)
+    np.subtract(z, 1, out=out)
+
+
+def _row_sums(z: np.ndarray) -> np.ndarray:
+    return z @ np.ones(z.shape[1], np.float32)
+
+
+def _chosen(z: np.ndarray, column: np.ndarray, bound: float) -> np.ndarray:
+    """The log of the softmax of every row at its column; no value of ``z`` is beyond ``bound``."""
+    if not bound <= SAFE:
+        z -= z.max(1, keepdims=True)
+    picked = z[np.arange(len(z)), column]
+    return picked - np.log(_row_sums(np.exp(z, out=z)))
+
+
+def _softmax(z: np.ndarray, n: int, bound: float) -> np.ndarray:
+    """The softmax of every row over ``n``, in place; no value of ``z`` is beyond ``bound``."""
+    if not bound <= SAFE:
+        z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z *= (1 / (_row_sums(z) * np.float32(n)))[:, None]
+    return z
 
 
 def _by_class(of: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """The rows ordered by class, and (class, start, stop) of each."""
-    order = np.argsort(of, kind="stable")
-    classes, first = np.unique(of[order], return_index=True)
-    return order, list(zip(classes.tolist(), first.tolist(), [*first[1:].tolist(), len(of)], strict=True))
+    order = np.argsort(of.astype(np.uint16), kind="stable")
+    ends = np.cumsum(np.bincount(of, minlength=CLASSES)).tolist()
+    return order, [(k, at, end) for k, (at, end) in enumerate(zip([0, *ends], ends, strict=False)) if at < end]
 
 
 def turns(texts: list[np.ndarray], offset: int, stride: int) -> np.ndarray:
@@ -203,15 +300,17 @@ def turns(texts: list[np.ndarray], offset: int, stride: int) -> np.ndarray:
     return np.concatenate([np.arange(len(t)) % stride == offset for t in texts] or [np.zeros(0, bool)])
 
 
-def windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, context, target) of every word; beyond a text's ends stands the id ``IDS``."""
-    gap = np.full(SIDE, IDS, np.int64)
-    line = np.concatenate([part for t in texts for part in (gap, t.astype(np.int64))] + [gap])
-    owner = np.concatenate([part for i, t in enumerate(texts) for part in (np.full(SIDE, -1), np.full(len(t), i))]
-                           + [np.full(SIDE, -1)])
-    at = np.flatnonzero(owner >= 0)
+def windows(texts: list[np.ndarray], now: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, context, target) of every word, or of those that ``now`` marks; beyond a text's ends stands the id ``IDS``."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    at = np.arange(len(owner)) + SIDE * (owner + 1)
+    line = np.full(len(owner) + SIDE * (len(texts) + 1), IDS, np.int64)
+    line[at] = np.concatenate([np.empty(0, np.int64), *texts])
+    if now is not None:
+        owner, at = owner[now], at[now]
     steps = [k for k in range(-SIDE, SIDE + 1) if k]
-    return owner[at], line[at[:, None] + np.array(steps)], line[at]
+    return owner, line[at[:, None] + np.array(steps)], line[at]
 
 
 def encode_documents(docs: DataFrame, frequent: dict[int, int], text: str = "text",
@@ -222,19 +321,21 @@ def encode_documents(docs: DataFrame, frequent: dict[int, int], text: str = "tex
     """
     codes, logs = shares or (np.empty(0, np.int64), np.empty(0))
     sent = docs.sparkSession.sparkContext.broadcast((frequent, codes, logs))
-    held: list = []
+    held: list[Words] = []
 
     def compute(texts):
         if not held:
-            held.extend([Ids(sent.value[0]), Shares(*sent.value)])
-        ids, within, far = [], [], []
-        for t in texts.to_pylist():
-            words = t.lower().split() if t else []
-            ids.append(np.fromiter(map(held[0].__getitem__, words), np.uint16, len(words)).tobytes())
-            own = np.fromiter(map(held[1].__getitem__, words), np.float64, len(words))
-            within.append(float(np.nansum(own)))
-            far.append([_hash(words[i]) for i in np.flatnonzero(np.isnan(own))])
-        return [pa.array(ids, pa.binary()), pa.array(within, pa.float64()), pa.array(far, pa.list_(pa.int64()))]
+            held.append(Words(*sent.value))
+        words = [t.lower().split() if t else [] for t in texts.to_pylist()]
+        ends = np.cumsum([0, *map(len, words)])
+        places = held[0].places(words, int(ends[-1]))
+        ids, logs = held[0].ids[places], held[0].logs[places]
+        away = np.isnan(logs)
+        logs[away] = 0
+        within = [float(logs[at:end].sum()) for at, end in itertools.pairwise(ends.tolist())]
+        parts = [ids[at:end].tobytes() for at, end in itertools.pairwise(ends.tolist())]
+        far = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(away)])[ends], pa.int32()), pa.array(held[0].codes[places[away]]))
+        return [pa.array(parts, pa.binary()), pa.array(within, pa.float64()), far]
 
     return append_columns(docs, [text], T.StructType([
         T.StructField("ids", T.BinaryType()), T.StructField("_within", T.DoubleType()),
@@ -263,10 +364,9 @@ def _train_round(encoded: DataFrame, network: Network, offset: int, rate: float,
 
         for batch in slices(batches):
             texts = [np.frombuffer(b, np.uint16) for b in batch.column(0).to_pylist()]
-            _, context, target = windows(texts)
-            now = turns(texts, offset, stride)
-            contexts.append(context[now])
-            targets.append(target[now])
+            _, context, target = windows(texts, turns(texts, offset, stride))
+            contexts.append(context)
+            targets.append(target)
             waiting += len(targets[-1])
             if waiting >= 4 * batch_words:
                 run(False)

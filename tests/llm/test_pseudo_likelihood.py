@@ -111,3 +111,59 @@ def test_shared_ids_score_each_word_by_its_counts(spark):
                 assert abs(got[i].mean_log_prob - own / len(words)) < 1e-3
             else:
                 assert got[i].n_words == 0 and got[i].mean_log_prob is None
+
+
+def test_a_word_is_looked_up_once_a_task(monkeypatch):
+    hashed = []
+    plain = P._hash
+    monkeypatch.setattr(P, "_hash", lambda w: hashed.append(w) or plain(w))
+    frequent = {plain("a"): 0, plain("b"): 7}
+    codes = np.array(sorted(map(plain, ["a", "c", "d"])))
+    logs = np.log(np.array([0.5, 0.25, 0.125]))
+    words = P.Words(frequent, codes, logs)
+    texts = [["a", "c", "x", "a"], [], ["b", "d", "x", "c"], ["c"]]
+    for k in range(2):
+        at = words.places(texts, 9)
+        share = [0, logs[codes == plain("c")][0], np.nan, 0, 0, logs[codes == plain("d")][0], np.nan] + [logs[codes == plain("c")][0]] * 2
+        own = len(hashed)
+        ids = P.Ids(frequent)
+        assert words.ids[at].tolist() == [ids[w] for t in texts for w in t]
+        assert words.codes[at].tolist() == [plain(w) for t in texts for w in t]
+        assert np.array_equal(words.logs[at], share, equal_nan=True)
+        if k == 0:
+            assert own == 5
+            monkeypatch.setattr(P.Ids, "LIMIT", 3)  # what is known goes, and comes back the same
+    none = P.Words({}, np.empty(0, np.int64), np.empty(0))
+    assert none.places([], 0).tolist() == [] and none.places([["a"]], 1).tolist() == [0] and np.isnan(none.logs).all()
+
+
+def test_a_step_is_the_descent_of_the_plain_network():
+    rng = np.random.default_rng(5)
+    for scale in (1, 300):  # logits that need no shift, and such that do
+        context, target = rng.integers(0, P.IDS + 1, (300, 2 * P.SIDE)), np.minimum(rng.geometric(0.01, 300), P.IDS - 1)
+        net = P.Network(seed=4)
+        net.flat *= scale
+        old = P.Network(net.flat)
+        p = {k: v.astype(np.float64) for k, v in old.p.items()}
+
+        def loss(p):
+            x = np.concatenate([p["E"][context].reshape(300, -1), np.ones((300, 1))], axis=1)
+            h = np.concatenate([np.tanh(x @ p["W"]), np.ones((300, 1))], axis=1)
+            of, within = np.divmod(target, P.PER_CLASS)
+            out = 0
+            for z, at in ((h @ p["C"], of), (np.einsum("nh,nhk->nk", h, p["O"][of]), within)):
+                z = z - z.max(1, keepdims=True)
+                out = out + z[np.arange(300), at] - np.log(np.exp(z).sum(1))
+            return out
+
+        whole = loss(p)
+        assert np.allclose(net.log_probabilities(context, target), whole, rtol=1e-4, atol=1e-3 * scale)
+        if scale > 1:
+            continue
+        net.step(context, target, np.zeros(P.Network.SIZE, np.float32), 0.0)
+        grad = net._spare["grad"].p
+        for name, at in (("E", (context[3, 1], 2)), ("W", (5, 3)), ("W", (-1, 3)), ("C", (2, 1)), ("C", (-1, 1)), ("O", (0, 4, 9)), ("O", (1, -1, 7))):
+            moved = {k: v.copy() for k, v in p.items()}
+            moved[name][at] += 1e-5
+            slope = -(loss(moved).mean() - whole.mean()) / 1e-5
+            assert abs(grad[name][at] - slope) < 1e-5 + 1e-3 * abs(slope)
