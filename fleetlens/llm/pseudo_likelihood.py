@@ -45,12 +45,17 @@ ROUNDS = 3
 BATCH, RATE = 2048, 0.1
 #: Words that are scored at a time.
 SCORE_WORDS = 1 << 16
-#: Rows of a layer that are computed at a time, so that they stay in a processor's cache.
-CACHED_ROWS = 2048
+#: Rows of a layer, and weights, that are computed at a time, so that they stay in a processor's cache.
+CACHED_ROWS = 1024
+CACHED_WEIGHTS = 16_384
 #: Weights that travel in one row.
 BLOCK = 8192
 
 
+#: The places of the embedding of every id.
+_CELLS = np.arange((IDS + 1) * EMBEDDING).reshape(-1, EMBEDDING)
+
+
 def _hash(word: str) -> int:
     value = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
     return value - (1 << 64) if value >> 63 else value
@@ -172,19 +177,20 @@ class Network:
         self._spare: dict[str, np.ndarray] = {}
 
     def _room(self, name: str, rows: int, columns: int) -> np.ndarray:
-        """An array that the steps use again; the last column of inputs is for the bias."""
+        """An array that the steps use again; it starts with ones, and the last column of ``h`` stays so for the bias."""
         held = self._spare.get(name)
         if held is None or len(held) < rows:
             held = self._spare[name] = np.ones((rows, columns), np.float32)
         return held[:rows]
 
     def _forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The embeddings and the hidden layer, each with a column of ones."""
+        """The embeddings, and the hidden layer with a column of ones."""
         n = len(context)
-        x, h = self._room("x", n, 2 * SIDE * EMBEDDING + 1), self._room("h", n, HIDDEN + 1)
-        for k in range(2 * SIDE):
-            x[:, k * EMBEDDING:(k + 1) * EMBEDDING] = self.p["E"].take(context[:, k], axis=0)
-        _tanh(x @ self.p["W"], h[:, :HIDDEN])
+        x, h = self._room("x", n, 2 * SIDE * EMBEDDING), self._room("h", n, HIDDEN + 1)
+        self.p["E"].take(context.reshape(-1), axis=0, out=x.reshape(-1, EMBEDDING), mode="clip")
+        z = x @ self.p["W"][:-1]
+        z += self.p["W"][-1]
+        _tanh(z, h[:, :HIDDEN])
         return x, h
 
     def _bound(self, name: str) -> float:
@@ -226,31 +232,37 @@ class Network:
         if "grad" not in self._spare:
             self._spare["grad"] = Network(np.zeros(self.SIZE, np.float32))
         grad = self._spare["grad"]
-        d = _softmax(np.matmul(h, self.p["C"], out=self._room("d", n, CLASSES)), n, self._bound("C"))
+        d = _softmax(np.dot(h, self.p["C"], self._room("d", n, CLASSES)), n, self._bound("C"))
         d[every, of] -= np.float32(1 / n)
-        np.matmul(h.T, d, out=grad.p["C"])
+        np.dot(h.T, d, grad.p["C"])
         e = self._room("e", n, PER_CLASS)
         for k, at, end in parts:
-            np.matmul(h[at:end], self.p["O"][k], out=e[at:end])
+            np.dot(h[at:end], self.p["O"][k], e[at:end])
         _softmax(e, n, self._bound("O"))[every, within] -= np.float32(1 / n)
         back = self._room("back", n, HIDDEN + 1)
         grad.p["O"][:] = 0
         for k, at, end in parts:
-            np.matmul(h[at:end].T, e[at:end], out=grad.p["O"][k])
-            np.matmul(e[at:end], self.p["O"][k].T, out=back[at:end])
+            np.dot(h[at:end].T, e[at:end], grad.p["O"][k])
+            np.dot(e[at:end], self.p["O"][k].T, back[at:end])
         inner = h[:, :HIDDEN]
         dz = (d @ self.p["C"][:HIDDEN].T + back[:, :HIDDEN]) * (1 - inner * inner)
-        np.matmul(x.T, dz, out=grad.p["W"])
+        np.dot(x.T, dz, grad.p["W"][:-1])
+        grad.p["W"][-1] = dz.sum(0)
         grad.p["E"][:] = 0
-        cells = (context.reshape(-1, 1).astype(np.int64) * EMBEDDING + np.arange(EMBEDDING)).reshape(-1)
-        np.add.at(grad.p["E"].reshape(-1), cells, (dz @ self.p["W"][:-1].T).reshape(-1))
-        change = np.multiply(grad.flat, grad.flat, out=self._room("change", 1, self.SIZE)[0])
-        squares += change
-        np.sqrt(squares, out=change)
-        change += np.float32(1e-6)
-        np.divide(grad.flat, change, out=change)
-        change *= np.float32(rate)
-        self.flat -= change
+        if "cells" not in self._spare or self._spare["cells"].size != context.size * EMBEDDING:
+            self._spare["cells"] = np.empty((context.size, EMBEDDING), np.int64)
+        cells = _CELLS.take(context.reshape(-1), axis=0, out=self._spare["cells"], mode="clip")
+        np.add.at(grad.p["E"].reshape(-1), cells.reshape(-1), (dz @ self.p["W"][:-1].T).reshape(-1))
+        change = self._room("change", 1, CACHED_WEIGHTS)[0]
+        for at in range(0, self.SIZE, CACHED_WEIGHTS):
+            part = slice(at, min(at + CACHED_WEIGHTS, self.SIZE))
+            own, held, to = grad.flat[part], squares[part], change[:part.stop - at]
+            held += np.multiply(own, own, out=to)
+            np.sqrt(held, out=to)
+            to += np.float32(1e-6)
+            np.divide(own, to, out=to)
+            to *= np.float32(rate)
+            self.flat[part] -= to
 
 
 #: Logits up to this size need no shift before the exponential of a float32.
@@ -281,10 +293,12 @@ def _chosen(z: np.ndarray, column: np.ndarray, bound: float) -> np.ndarray:
 
 def _softmax(z: np.ndarray, n: int, bound: float) -> np.ndarray:
     """The softmax of every row over ``n``, in place; no value of ``z`` is beyond ``bound``."""
-    if not bound <= SAFE:
-        z -= z.max(1, keepdims=True)
-    np.exp(z, out=z)
-    z *= (1 / (_row_sums(z) * np.float32(n)))[:, None]
+    for at in range(0, len(z), CACHED_ROWS):
+        part = z[at:at + CACHED_ROWS]
+        if not bound <= SAFE:
+            part -= part.max(1, keepdims=True)
+        np.exp(part, out=part)
+        part *= (1 / (_row_sums(part) * np.float32(n)))[:, None]
     return z
 
 
