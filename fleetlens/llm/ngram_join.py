@@ -20,6 +20,9 @@ table gives no rows; other columns are ignored; texts of any length are read who
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -38,6 +41,8 @@ FREQUENT = 1_000_000
 #: A token is counted as frequent where it stands in this many different sets of a task's slice.
 LOCALLY = 2
 SLICE = 16_384
+#: Words that are hashed at a time, about.
+HASHED_WORDS = 1 << 16
 #: Bits of a set's bitmap; fewer let more pairs through to the verification.
 BITS = 1024
 #: Multipliers that set the orders apart.
@@ -46,35 +51,46 @@ _FACTORS = np.array([0x9FB21C651E98DF25, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB,
                      0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x2D358DCCAA6C78A5], np.uint64)
 
 
-class WordHashes(dict):
-    """Word to 64-bit hash, kept for the words of a task."""
-
-    LIMIT = 1_000_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
 
 
-def shingle_set(text: str | None, hashes: WordHashes, width: int = WIDTH) -> np.ndarray:
-    """The sorted distinct shingles of a text as 64-bit hashes."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    ids = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    size = min(width, len(words))
-    n = len(words) - size + 1
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The sorted distinct values."""
+    ordered = np.sort(values)
+    return ordered[np.concatenate([[True], ordered[1:] != ordered[:-1]])] if len(ordered) else ordered
+
+
+def _shingles(ids: np.ndarray, size: int) -> np.ndarray:
+    n = len(ids) - size + 1
     total = np.full(n, size, np.uint64)
     for k in range(size):
         total = _mix(total + ids[k:k + n] * _FACTORS[k % len(_FACTORS)])
-    return np.unique(total)
+    return total
+
+
+def shingle_sets(texts: Iterable[str | None], width: int = WIDTH) -> Iterator[np.ndarray]:
+    """The sorted distinct shingles of every text as 64-bit hashes; the words of several texts are hashed at once."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text.encode("utf-8", "surrogatepass").lower().split() if text else [])
+        size += len(held[-1])
+        if size >= HASHED_WORDS:
+            yield from _sets(held, width)
+            held, size = [], 0
+    yield from _sets(held, width)
+
+
+def _sets(words: list[list[bytes]], width: int) -> Iterator[np.ndarray]:
+    ends = np.cumsum([0, *map(len, words)]).tolist()
+    ids = np.fromiter(map(xxhash.xxh3_64_intdigest, itertools.chain.from_iterable(words)), np.uint64, ends[-1])
+    whole = _shingles(ids, width) if len(ids) >= width else ids[:0]
+    for at, end in itertools.pairwise(ends):
+        if 0 < end - at < width:
+            yield _shingles(ids[at:end], end - at)
+        else:  # those that begin in this text and end in it
+            yield distinct(whole[at:max(at, end - width + 1)])
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -95,11 +111,9 @@ def _survey(docs: DataFrame, width: int) -> DataFrame:
     schema = "id long, print binary, token long, n long"
 
     def run(batches):
-        hashes = WordHashes()
         for batch in slices(batches, SLICE):
             prints, sizes, tokens, seen = [], [], [np.empty(0, np.uint64)], set()
-            for text in batch.column(1):
-                found = shingle_set(text.as_py(), hashes, width)
+            for found in shingle_sets((t.as_py() for t in batch.column(1)), width):
                 sizes.append(len(found))
                 prints.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                 if prints[-1] not in seen:  # copies are one set
@@ -121,21 +135,23 @@ def _survey(docs: DataFrame, width: int) -> DataFrame:
 
 # ---- prefixes ------------------------------------------------------------------------------------
 
-def _ordered(found: np.ndarray, factor: int, ranks: tuple[np.ndarray, np.ndarray], size: int) -> np.ndarray:
-    """The first ``size`` tokens in order: the infrequent ones by a hash, then the frequent ones, rarest first."""
+def _ranked(found: np.ndarray, ranks: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The infrequent tokens, the frequent ones, and the ranks of these."""
     tokens, rank = ranks
     at = np.searchsorted(tokens, found)
     known = (at < len(tokens)) & (tokens[np.minimum(at, len(tokens) - 1)] == found) if len(tokens) else np.zeros(len(found), bool)
-    rare = found[~known]
+    return found[~known], found[known], rank[at[known]]
+
+
+def _ordered(rare: np.ndarray, late: np.ndarray, rank: np.ndarray, factor: int, size: int) -> np.ndarray:
+    """The first ``size`` tokens in order: the infrequent ones by a hash, then the frequent ones, rarest first."""
+    key = _mix(rare * np.uint64(factor))
     if len(rare) >= size:
-        key = _mix(rare * np.uint64(factor))
         few = np.argpartition(key, size - 1)[:size]
         return rare[few[np.argsort(key[few])]]
-    rare = rare[np.argsort(_mix(rare * np.uint64(factor)))]
-    late = found[known]
     # Tokens of one rank are ordered by the hash, so that each order differs among them too.
-    order = np.lexsort((_mix(late * np.uint64(factor)), rank[at[known]]))
-    return np.concatenate([rare, late[order[:size - len(rare)]]])
+    order = np.lexsort((_mix(late * np.uint64(factor)), rank))
+    return np.concatenate([rare[np.argsort(key)], late[order[:size - len(rare)]]])
 
 
 def _prefixes(docs: DataFrame, frequent, width: int, percent: int) -> DataFrame:
@@ -143,18 +159,18 @@ def _prefixes(docs: DataFrame, frequent, width: int, percent: int) -> DataFrame:
     schema = "node long, n long, prefix array<long>, others array<binary>, bits binary"
 
     def run(batches):
-        hashes, ranks = WordHashes(), frequent.value
+        ranks = frequent.value
         for batch in slices(batches):
             nodes, sizes, firsts, others, bits = [], [], [], [], []
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found = shingle_set(text.as_py(), hashes, width)
+            for node, found in zip(batch.column(0).to_pylist(), shingle_sets((t.as_py() for t in batch.column(1)), width), strict=True):
                 if not len(found):
                     continue
                 size = prefix_size(len(found), percent)
                 nodes.append(node)
                 sizes.append(len(found))
-                firsts.append(_ordered(found, ORDERS[0], ranks, size).view(np.int64))
-                others.append([np.sort((_ordered(found, f, ranks, size) >> np.uint64(32)).astype(np.uint32)).tobytes()
+                ranked = _ranked(found, ranks)
+                firsts.append(_ordered(*ranked, ORDERS[0], size).view(np.int64))
+                others.append([np.sort((_ordered(*ranked, f, size) >> np.uint64(32)).astype(np.uint32)).tobytes()
                                for f in ORDERS[1:]])
                 bits.append(parity_bits(found, BITS))
             yield pa.RecordBatch.from_arrays(
@@ -186,11 +202,11 @@ def _share_prefixes(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
 
 def _verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     def run(batches):
-        hashes, group, own = WordHashes(), None, []
+        group, own = None, []
         for batch in slices(batches):
             a_out, b_out = [], []
-            for a, part, node, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = shingle_set(body, hashes, width)
+            *keys, bodies = (c.to_pylist() for c in batch.columns)
+            for a, part, node, found in zip(*keys, shingle_sets(bodies, width), strict=True):
                 if (a, part) != group:
                     group, own = (a, part), []
                 if node is None:

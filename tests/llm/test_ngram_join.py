@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from fleetlens.llm import ngram_join as J
 from tests.llm.helpers import corpus, docs_of, link, sentence
 
@@ -110,3 +112,31 @@ def test_buckets_larger_than_a_block(spark):
         expected = link(pairs, range(len(sets)))
         assert {k: got.get(k, k) for k in range(len(sets))} == expected
         assert sum(asked) < len(pairs) / 2  # a group of near copies doesn't become pairs
+
+
+def test_sets_of_many_texts_are_those_of_each(monkeypatch):
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"W{i}" for i in rng.integers(0, 30, n)) for n in (0, 1, 4, 5, 6, 90, 3, 0, 5, 200, 2)] + [None, " \t\n", "a a a a a a a a"]
+
+    def plain(text):
+        words = text.lower().split() if text else []
+        size = min(J.WIDTH, len(words))
+        return len({tuple(words[i:i + size]) for i in range(len(words) - size + 1)}) if words else 0
+
+    alone = [next(J.shingle_sets([t])) for t in texts]
+    for at_once in (J.HASHED_WORDS, 7, 1):
+        monkeypatch.setattr(J, "HASHED_WORDS", at_once)
+        found = list(J.shingle_sets(iter(texts)))
+        assert all(np.array_equal(x, y) for x, y in zip(found, alone, strict=True))
+    assert [len(x) for x in alone] == [plain(t) for t in texts]
+    assert all((x[1:] > x[:-1]).all() for x in alone)
+    # The ranks are looked up once for all orders, which hold the same tokens where all are wanted.
+    ranks = np.sort(alone[9][::3]), np.arange(len(alone[9][::3])) % 4
+    ranked = J._ranked(alone[9], ranks)
+    for factor in J.ORDERS:
+        whole = J._ordered(*ranked, factor, len(alone[9]))
+        assert np.array_equal(np.sort(whole), alone[9])
+        level = [int(ranks[1][np.searchsorted(ranks[0], t)]) if t in ranks[0] else -1 for t in whole]
+        assert level == sorted(level)
+        for size in (1, 5, len(ranked[0]), len(ranked[0]) + 3):
+            assert np.array_equal(J._ordered(*ranked, factor, size), whole[:size])
