@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.llm.common import append_columns, land, slices
+from fleetlens.llm.common import append_columns, land, slices, tidy
 
 ORDER = 5
 #: n-grams and contexts that are sent to the tasks, at most; a larger model stays in its tables and is joined.
@@ -43,6 +43,8 @@ ALL = "*"
 _START, _END = "\x02", "\x03"
 #: Words whose score a task remembers.
 CACHE_WORDS = 200_000
+#: Words that are scored at a time; the arrays of a word take about 1 KB.
+SCORED_WORDS = 8_192
 #: Different words whose n-grams a task counts at a time.
 COUNTED_WORDS = 100_000
 
@@ -87,7 +89,7 @@ def ngram_counts(docs: DataFrame, order: int, text: str = "text", lang: str = "l
         yield counted(words)
 
     found = docs.select(F.col(text), F.coalesce(F.col(lang), F.lit(ALL)).alias("lang")).mapInArrow(
-        count, "lang string, gram string, c long")
+        tidy(count), "lang string, gram string, c long")
     return found.select(F.explode(F.array_distinct(F.array("lang", F.lit(ALL)))).alias("lang"), "gram", "c").groupBy(
         "lang", "gram").agg(F.sum("c").alias("c"))
 
@@ -222,8 +224,9 @@ class Model:
         for code, words in wanted.items():
             known = cache.setdefault(code, {})
             fresh = [w for w in words if w not in known]
-            if fresh:
-                known.update(zip(fresh, self.words(code, fresh).tolist(), strict=True))
+            for at in range(0, len(fresh), SCORED_WORDS):
+                part = fresh[at:at + SCORED_WORDS]
+                known.update(zip(part, self.words(code, part).tolist(), strict=True))
         return [self._text(code, words, cache) for code, words in zip(codes, found, strict=True)]
 
     def _text(self, code: str, found: Counter, cache: dict):
@@ -300,7 +303,7 @@ def _joined_scores(docs: DataFrame, model: Model, text: str, lang: str) -> DataF
                               "_code": F.when(F.col(f"`{lang}`").isin(codes), F.col(f"`{lang}`")).otherwise(F.lit(ALL))})
     # Equal texts of a language have equal scores, so a text is known by its digest.
     words = land(coded.where(F.col(f"`{text}`").isNotNull()).select("_digest", "_code", F.col(f"`{text}`")).mapInArrow(
-        count, "_digest string, lang string, word string, c long").groupBy("_digest", "lang", "word").agg(F.max("c").alias("c")))
+        tidy(count), "_digest string, lang string, word string, c long").groupBy("_digest", "lang", "word").agg(F.max("c").alias("c")))
     padded = F.concat(F.lit(_START * (order - 1)), "word", F.lit(_END))
     places = land(words.select("lang", "word").distinct().select("lang", "word", F.explode(F.transform(
         F.sequence(F.lit(1), F.length("word") + 1), lambda i: F.substring(padded, i, F.lit(order)))).alias("gram")))

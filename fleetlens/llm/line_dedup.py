@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.llm.common import append_columns, discard, land, slices
+from fleetlens.llm.common import append_columns, discard, land, slices, tidy
 from fleetlens.llm.linking import beside, buckets, link_buckets, parity_bits
 
 SHINGLE = 8
@@ -161,7 +161,7 @@ def _lines(docs: DataFrame, shingle: int, short_lines: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list(fresh), pa.int64()), *[pa.nulls(len(fresh), pa.int64())] * 3, flat], schema=arrow)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def _bodies(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
@@ -183,7 +183,7 @@ def _bodies(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.string())],
                                              ["node", "body"])
 
-    lines = docs.where(F.col("id").isNotNull()).mapInArrow(run, "node long, body string")
+    lines = docs.where(F.col("id").isNotNull()).mapInArrow(tidy(run), "node long, body string")
     return lines.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("body").alias("body"))
 
 
@@ -196,7 +196,7 @@ def _sketches(bodies: DataFrame, shingle: int) -> DataFrame:
                 [batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([parity_bits(x, BITS) for x in sets], pa.binary())],
                 ["node", "n", "bits"])
 
-    return bodies.mapInArrow(run, "node long, n long, bits binary")
+    return bodies.mapInArrow(tidy(run), "node long, n long, bits binary")
 
 
 def _verify(pairs: DataFrame, bodies: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -217,7 +217,7 @@ def _verify(pairs: DataFrame, bodies: DataFrame, shingle: int, percent: int) ->
                         b_out.append(node)
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
 
-    return beside(pairs, bodies).mapInArrow(run, "a long, b long")
+    return beside(pairs, bodies).mapInArrow(tidy(run), "a long, b long")
 
 
 def line_components(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import discard, land
+from fleetlens.llm.common import discard, land, tidy
 
 #: Partners of one node that one group compares; a node with more is split over several.
 GROUP_ROWS = 256
@@ -111,7 +111,7 @@ def buckets(rows: DataFrame) -> DataFrame:
         if twin:
             yield pa.RecordBatch.from_arrays([pa.array(held[c]) for c in names], names)
 
-    return ordered.mapInArrow(run, rows.schema)
+    return ordered.mapInArrow(tidy(run), rows.schema)
 
 
 #: Rows of a bucket that one task compares at a time; a larger bucket is cut into blocks of about this size.
@@ -201,7 +201,7 @@ def _compare(blocks: DataFrame, percent: int, forest: bool, turn: int) -> DataFr
         if held is not None:
             yield _pairs(held, np.array([0, held.num_rows]), percent, forest, turn)
 
-    return blocks.mapInArrow(run, "a long, b long")
+    return blocks.mapInArrow(tidy(run), "a long, b long")
 
 
 def _pairs(rows: pa.Table, edges: np.ndarray, percent: int, forest: bool, turn: int) -> pa.RecordBatch:

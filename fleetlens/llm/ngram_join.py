@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetlens.llm.common import append_columns, discard, land, most_frequent, slices
+from fleetlens.llm.common import append_columns, discard, land, most_frequent, slices, tidy
 from fleetlens.llm.linking import beside, buckets, link_buckets, parity_bits
 
 WIDTH = 5
@@ -130,7 +130,7 @@ def _survey(docs: DataFrame, width: int) -> DataFrame:
                 [pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(values[often].view(np.int64)),
                  pa.array(counts[often], pa.int64())], ["id", "print", "token", "n"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 # ---- prefixes ------------------------------------------------------------------------------------
@@ -178,7 +178,7 @@ def _prefixes(docs: DataFrame, frequent, width: int, percent: int) -> DataFrame:
                  pa.array(others, pa.list_(pa.binary())), pa.array(bits, pa.binary())],
                 ["node", "n", "prefix", "others", "bits"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 # ---- comparing ------------------------------------------------------------------------------------
@@ -216,7 +216,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
                     b_out.append(node)
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
 
-    return beside(pairs, texts).mapInArrow(run, "a long, b long")
+    return beside(pairs, texts).mapInArrow(tidy(run), "a long, b long")
 
 
 def link_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH,

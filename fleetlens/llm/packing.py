@@ -13,7 +13,6 @@ other; an empty table gives no pieces; other columns are ignored.
 from __future__ import annotations
 
 import array
-import functools
 import os
 import re
 import sys
@@ -23,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import slices
+from fleetlens.llm.common import keep, slices, tidy
 
 WINDOW = 4096
 END = 2
@@ -135,18 +134,13 @@ class ChunkTokenizer:
         return out
 
 
-@functools.lru_cache(maxsize=2)
-def chunk_tokenizer(path: str) -> ChunkTokenizer:
-    """Kept by a worker for its next tasks."""
-    return ChunkTokenizer(path)
-
-
 def _tokenize(docs: DataFrame, tokenizer: str, end: int, shards: int) -> DataFrame:
     """``shard, doc_id, start, doc_tokens, ids``: parts of documents, ids packed."""
     schema = "hash long, doc_id long, start long, doc_tokens long, ids binary"
+    name = ("tokenizer", tokenizer)
 
     def run(batches):
-        encoder = chunk_tokenizer(tokenizer)
+        encoder = keep(name, lambda: ChunkTokenizer(tokenizer))
         width, last = encoder.dtype.itemsize, encoder.pack([end])
         for batch in slices(batches):
             rows = []
@@ -159,7 +153,7 @@ def _tokenize(docs: DataFrame, tokenizer: str, end: int, shards: int) -> DataFra
                 [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [*[pa.int64()] * 4, pa.binary()], strict=True)],
                 ["hash", "doc_id", "start", "doc_tokens", "ids"])
 
-    return docs.mapInArrow(run, schema).select(
+    return docs.mapInArrow(tidy(run, name), schema).select(
         F.pmod(F.xxhash64("hash", "start"), F.lit(shards)).alias("shard"), "doc_id", "start", "doc_tokens", "ids")
 
 
