@@ -20,6 +20,8 @@ whole, in chunks; columns named as the added ones are replaced, all others pass;
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -38,8 +40,8 @@ BITS = 1024
 #: Bins that an empty bin asks for a value, in a fixed order of its own.
 PROBES = 400
 _BASE = np.uint64(0x9FB21C651E98DF25)
-#: Characters that are hashed at a time.
-CHUNK_CHARS = 4_000_000
+#: Characters that are hashed at a time: so few that the arrays stay in a core's cache.
+CHUNK_CHARS = 1 << 18
 
 
 def normal(line: str) -> str:
@@ -60,13 +62,19 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def _hashes(codes: np.ndarray, shingle: int) -> np.ndarray:
     """A 64-bit hash of the ``shingle`` characters from each place on."""
-    n = len(codes) - shingle + 1
-    total, factor = np.zeros(n, np.uint64), np.uint64(1)
-    with np.errstate(over="ignore"):
-        for k in range(shingle):
-            total += codes[k:k + n] * factor
-            factor = factor * _BASE
-        return _mix(total)
+    total, width = codes, 1
+    # The sum of the characters times powers of the base, from the sums of half as many characters.
+    for bit in bin(shingle)[3:]:
+        total = total[:-width] + total[width:] * _power(width)
+        width *= 2
+        if bit == "1":
+            total = total[:-1] + codes[width:] * _power(width)
+            width += 1
+    return _mix(total)
+
+
+def _power(k: int) -> np.uint64:
+    return np.uint64(pow(int(_BASE), k, 1 << 64))
 
 
 def _codes(text: str) -> np.ndarray:
@@ -77,6 +85,7 @@ def shingle_set(line: str, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(_hashes(_codes(line), shingle))
 
 
+@functools.cache
 def _probes(bins: int) -> np.ndarray:
     """For each bin the bins it borrows from, in order; the same for every line."""
     with np.errstate(over="ignore"):
@@ -88,23 +97,30 @@ def _probes(bins: int) -> np.ndarray:
 
 def signatures(lines: list[str], shingle: int = SHINGLE, bins: int = BANDS * ROWS) -> np.ndarray:
     """One row of ``bins`` minima per line; every line has at least ``shingle`` characters."""
-    empty = np.uint64(1 << 63)
-    out = np.full((len(lines), bins), empty, np.uint64)
+    out = np.empty((len(lines), bins), np.uint64)
     at = 0
     while at < len(lines):
         stop, size = at, 0
         while stop < len(lines) and (stop == at or size + len(lines[stop]) <= CHUNK_CHARS):
             size += len(lines[stop])
             stop += 1
-        hashes = _hashes(_codes("".join(lines[at:stop])), shingle)
-        lengths = np.array([len(x) for x in lines[at:stop]])
-        owner = np.repeat(np.arange(at, stop), lengths)[:len(hashes)]
-        within = (np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths))[:len(hashes)]
-        whole = within <= (lengths[owner - at] - shingle)  # not across the end of a line
-        hashes, owner = hashes[whole], owner[whole]
-        slot = owner * bins + ((hashes >> np.uint64(32)) % np.uint64(bins)).astype(np.int64)
-        np.minimum.at(out.reshape(-1), slot, hashes & np.uint64(0xFFFFFFFF))
+        out[at:stop] = _minima(lines[at:stop], shingle, bins)
         at = stop
+    return out
+
+
+def _minima(lines: list[str], shingle: int, bins: int) -> np.ndarray:
+    empty = np.uint64(1 << 63)
+    lengths = np.fromiter(map(len, lines), np.int64, len(lines))
+    hashes = _hashes(_codes("".join(lines)), shingle)
+    whole = np.ones(len(hashes), bool)  # not across the end of a line
+    whole[np.cumsum(lengths)[:-1, None] - np.arange(1, shingle)] = False
+    hashes = hashes[whole]
+    high = (hashes >> np.uint64(32)).astype(np.uint32)
+    slot = (high - high // np.uint32(bins) * np.uint32(bins)).astype(np.int64)
+    slot += np.repeat(np.arange(len(lines)) * bins, lengths - shingle + 1)
+    out = np.full((len(lines), bins), empty, np.uint64)
+    np.minimum.at(out.reshape(-1), slot, hashes & np.uint64(0xFFFFFFFF))
     probes = _probes(bins)
     row, bin_ = np.nonzero(out == empty)
     values = out.copy()

@@ -94,3 +94,16 @@ def test_different_texts_of_one_id_keep_their_own_lines(spark):
     assert sorted(x for t in kept.values() for x in t.split("\n") if x) == sorted([first, second, "other words of the first row"])
     # Nothing that stands once is lost, whichever row keeps the shared line.
     assert second in kept[texts[1]] and "other words" in kept[texts[0]]
+
+
+def test_signatures_of_many_lines_take_bounded_memory():
+    import tracemalloc
+
+    lines = [f"{i:>40} {i * 7919:>40}" for i in range(20_000)]
+    L.signatures(lines[:10])
+    tracemalloc.start()
+    made = L.signatures(lines)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * made.nbytes
+    assert (made[[0, 9_999, 19_999]] == L.signatures([lines[i] for i in (0, 9_999, 19_999)])).all()
