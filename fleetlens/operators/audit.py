@@ -18,16 +18,16 @@ def known_names(record=F.col) -> Column:
         files, parts, F.coalesce(name, no_strings())))
 
 
-def with_audit(guides: DataFrame, analyses: DataFrame, key: str) -> DataFrame:
+def with_audit(guides: DataFrame, analyses: DataFrame, key: str, named_in=F.col) -> DataFrame:
     """Guides with ``failures ARRAY<STRING>``.
 
     Both sides hold one bounded row per record, so a single join on the key is all that moves;
-    the name checks run inside the row.
+    the name checks run inside the row.  ``named_in`` gives the column of a field of the guide.
     """
     facts = analyses.select(key, known_names().alias("_known"))
 
     def unknown(column, field, label, ok):
-        bad = F.filter(F.coalesce(F.col(column), F.array()), lambda e: ~ok(F.lower(e[field])))
+        bad = F.filter(F.coalesce(named_in(column), F.array()), lambda e: ~ok(F.lower(e[field])))
         return F.transform(bad, lambda e: F.concat(F.lit(f"{label} not in input: "), py_repr(e[field])))
 
     def named(n):

@@ -108,7 +108,7 @@ def merge_responses(analyses: DataFrame, responses: DataFrame, key: str, column:
         key, *[chosen(f) for f in plain], "architecture_diagram", used.alias("used_llm"),
         F.when(used, with_diagram_note(F.col("generated.data_completeness_notes"), diagram))
         .otherwise(F.col("data_completeness_notes")).alias("data_completeness_notes"),
-        "schema_version")
-    audited = with_audit(merged, analyses, key)
-    return audited.withColumn("failures", F.when(F.col("used_llm"), F.col("failures"))
-                              .otherwise(no_strings()))
+        "schema_version", "generated")
+    # Without an answer there is nothing to audit.  The names are read from the answer itself, so that a
+    # reader of the failures alone has no rule-based guide made.
+    return with_audit(merged, analyses, key, lambda field: F.col(f"generated.{field}")).drop("generated")

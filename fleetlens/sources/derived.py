@@ -328,7 +328,7 @@ RESPONSE_JSON = (
 
 def responses_from_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(part_id, response)``: what a model might have returned for each record."""
-    return _table(spark, sf_dir, "part").select(
+    return spread(_table(spark, sf_dir, "part").select("p_partkey")).select(
         F.col("p_partkey").alias("part_id"), _spark(RESPONSE_JSON).alias("response"))
 
 
