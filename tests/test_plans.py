@@ -105,3 +105,26 @@ def test_one_scope_and_hour_make_many_blocks(spark):
 def test_scan_reads_only_needed_columns(spark):
     text = plan(entry.queries()["document_secrets"](spark, SF))
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in text
+
+
+def test_responses_lie_on_all_cores(spark, tmp_path):
+    from fleetlens.sources import derived
+
+    spark.createDataFrame([(i,) for i in range(40)], "p_partkey long").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    responses = derived.responses_from_part(spark, str(tmp_path))
+    assert responses.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert sorted(r.part_id for r in responses.collect()) == list(range(40))
+
+
+def test_failures_are_read_without_a_rule_based_guide(spark):
+    from fleetlens import catalogs
+    from fleetlens.operators import analysis, prompts
+
+    texts = spark.createDataFrame([(1, '{"project_name": "p", "languages": ["Go"]}')], "id long, source_text string")
+    records, _ = analysis.parse_analyses(texts, "source_text")
+    answers = spark.createDataFrame([(1, "{bad")], "id long, response string")
+    merged = prompts.merge_responses(records.drop("source_text"), answers, "id", "response")
+    plans = [merged.select("id", c)._jdf.queryExecution().optimizedPlan().toString() for c in ("tech_stack", "failures")]
+    # The role of a rule-based stack is a text of its own.
+    assert [catalogs.ROLE in p for p in plans] == [True, False]
+    assert merged.first().failures == [] and not merged.first().used_llm
